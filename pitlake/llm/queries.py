@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import bpe, kneser_ney, lines, mixing, quality, simhash, substrings, warc
+from pitlake.llm import bpe, crf, kneser_ney, lines, mixing, quality, simhash, substrings, vectors, warc
 from pitlake.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "epoch", "block", "slot", "place")
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), digests=True)
 
@@ -24,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.languages(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     gone = lines.repeated_lines(docs)
@@ -52,8 +60,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_vectors": op2_vectors,
     "op3_substrings": op3_substrings,
     "op4_simhash": op4_simhash,
+    "op5_languages": op5_languages,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
