@@ -100,10 +100,10 @@ def _probe(window: int, buckets: int, groups: int):
     block = _anchor(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(200_000)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for start, stop, raw in slices(b.column(1), 7_000_000):
+            for start, stop, raw in slices(b.column(1), 3_000_000):
                 t = Texts(ids[start:stop], raw, known, window)
                 least, _, _, gone = t.split_known(t.starts())
                 yield batch(*t.grouped(gone, groups, DECIDED))
@@ -183,13 +183,13 @@ def _extend(window: int, buckets: int, groups: int):
 
     def run(key: tuple, docs: pa.Table, hits: pa.Table) -> pa.Table:
         live = _by_document(hits.column("packed").to_pylist(), LIVE)
-        known = WordHashes()
+        known = WordHashes(200_000)
         cells, packed = [], []
         keep = [i for i, k in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("key").to_pylist())) if k in live]
         docs = docs.take(pa.array(keep, pa.int64()))
         ids = docs.column("doc_id").to_numpy()
         text = docs.column("text").combine_chunks() if len(docs) else []
-        for start, stop, raw in slices(text, 7_000_000):
+        for start, stop, raw in slices(text, 3_000_000):
             t = Texts(ids[start:stop], raw, known, window)
             h = t.rolled(t.lo, block, _B).astype("<u4")
             hit = [np.flatnonzero(np.isin(h[t.at[i] : t.at[i + 1]], np.concatenate(live[k]))) + t.at[i] for i, k in enumerate(zip(t.ids.tolist(), t.keys.tolist()))]
@@ -293,7 +293,7 @@ def _keyed(groups: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, digests: bool = False, per_bucket: int = 2_500_000, per_group: int = 12_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, digests: bool = False, per_bucket: int = 1_500_000, per_group: int = 8_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept: the words left, joined by single spaces, as UTF-8 bytes) of each row.
 
     A word goes if one of the `window`-word windows over it also starts in a document with a smaller id. Blocks of
