@@ -97,7 +97,7 @@ def spans(lengths: list[int]) -> np.ndarray:
 def block_masks(max_bits: int, blocks: int) -> list[int]:
     """Masks of every choice of blocks - max_bits blocks out of `blocks`: two values that differ in at most
     max_bits bits agree on at least one of these masks (pigeonhole)."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
+    edges = [2 * (32 * i // blocks) for i in range(blocks + 1)]  # never inside a two-bit segment, so that it holds for bit counts too
     one = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
     return [sum(c) for c in combinations(one, blocks - max_bits)]
 
