@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pitlake.plans.queries import ORACLES, QUERIES
+
+FLAGSHIP = "metrics_quarterly"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
