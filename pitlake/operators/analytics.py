@@ -55,11 +55,16 @@ def leaves(segments: DataFrame, keys: list[str], code: str, parent: str) -> Data
 
 
 def nearest_peers(companies: DataFrame, key: str, size: str, within: list[str], k: int = 6) -> DataFrame:
-    """Up to k peers of each company by |size ratio - 1| (ties by id) within a group. Only the neighbours in the
-    order of size can be nearest: k rows to each side are looked at, not all pairs."""
-    w = Window.partitionBy(*within).orderBy(size, key)
-    sides = [F.lag(F.struct(F.col(key).alias("peer"), F.col(size).alias("peer_size")), i).over(w) for i in range(1, 2 * k + 1)] + [F.lead(F.struct(F.col(key).alias("peer"), F.col(size).alias("peer_size")), i).over(w) for i in range(1, 2 * k + 1)]
-    pairs = companies.where(F.col(size) > 0).select(*within, key, size, F.explode(F.array_compact(F.array(*sides))).alias("p")).select(*within, key, "p.peer", F.abs(F.col("p.peer_size") / F.col(size) - 1).alias("distance"))
+    """Up to k peers of each company by |size ratio - 1| (ties by id) within a group. Only the k sizes to each side
+    in order, and of each size the k + 1 smallest ids, can be nearest: these are looked at, not all pairs."""
+    some = companies.where(F.col(size) > 0).select(*within, key, size)
+    same = Window.partitionBy(*within, size).orderBy(key)
+    sizes = some.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).groupBy(*within, size).agg(F.collect_list(key).alias("_ids"))
+    w, entry = Window.partitionBy(*within).orderBy(size), F.struct(F.col(size).alias("peer_size"), F.col("_ids").alias("ids"))
+    around = [entry, *[f(entry, i).over(w) for f in (F.lag, F.lead) for i in range(1, k + 1)]]
+    near = sizes.withColumn("_near", F.array_compact(F.array(*around))).drop("_ids")
+    pairs = some.join(near, [*within, size]).withColumn("_s", F.explode("_near")).withColumn("peer", F.explode("_s.ids")).where(F.col("peer") != F.col(key))
+    pairs = pairs.select(*within, key, "peer", F.abs(F.col("_s.peer_size") / F.col(size) - 1).alias("distance"))
     best = Window.partitionBy(*within, key).orderBy("distance", "peer")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

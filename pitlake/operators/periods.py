@@ -27,9 +27,9 @@ def trailing_year(quarters: DataFrame, keys: list[str], end: str = "period_end",
 
 def year_on_year(df: DataFrame, keys: list[str], end: str = "period_end", value: str = "value") -> DataFrame:
     """yoy: growth over the same period a year earlier; null if that is absent or zero."""
-    prior = df.select(*keys, F.col(end).alias("_end"), F.col(value).alias("_prior"))
-    on = [df[k] == prior[k] for k in keys] + [year_before(F.col(end)) == F.col("_end")]
-    joined = df.join(prior, on, "left").select(*[df[c] for c in df.columns], "_prior")
+    prior = df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(end).alias("_end"), F.col(value).alias("_prior"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [year_before(F.col(end)) == F.col("_end")]
+    joined = df.join(prior, on, "left").select(*df.columns, "_prior")
     return joined.withColumn("yoy", F.try_divide(F.col(value) - F.col("_prior"), F.abs("_prior"))).drop("_prior")
 
 

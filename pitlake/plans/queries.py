@@ -103,7 +103,7 @@ def active_versions(spark, sf_dir):
 def version_heads(spark, sf_dir):
     """Leaves of supersession."""
     v = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") - 1).alias("old"))
-    return versions.heads(v, "id", "old")
+    return versions.heads(v, "id", "old").select("id")
 
 
 @query("""WITH v AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN event_id - 1 WHEN event_id % 50 = 1 THEN event_id - 2 END AS old, ts FROM events), l AS (SELECT v.*, o.id AS was, o.ts AS was_at FROM v LEFT JOIN v o ON v.old = o.id WHERE v.old IS NOT NULL)
@@ -155,7 +155,7 @@ def complete_dates(spark, sf_dir):
     return analytics.complete_dates(flows(spark, sf_dir), "ticker", "period_end")
 
 
-VERSIONED = """f AS (SELECT l_partkey AS part, l_orderkey * 10 + l_linenumber AS fact_id, round(l_extendedprice / l_quantity, 4) AS value, CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END AS authority, l_suppkey AS upstream, l_shipdate AS available_at FROM lineitem)"""
+VERSIONED = """f AS (SELECT l_partkey AS part, l_orderkey * 10 + l_linenumber AS fact_id, l_extendedprice / l_quantity AS value, CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END AS authority, l_suppkey AS upstream, l_shipdate AS available_at FROM lineitem)"""
 
 
 @query(f"""WITH {VERSIONED}, b AS (SELECT *, first_value(value) OVER w AS best, first_value(upstream) OVER w AS up, row_number() OVER w AS rn FROM f WINDOW w AS (PARTITION BY part ORDER BY authority, available_at DESC, fact_id)),
@@ -164,12 +164,12 @@ SELECT part, min(best) AS value, arg_min(fact_id, rn) AS fact_id, count(*) AS n_
 def consolidate(spark, sf_dir):
     """A1 K1-K4: preferred value and verification status."""
     li = read(spark, sf_dir, "lineitem")
-    f = li.select(F.col("l_partkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("value"), F.when(F.col("l_linenumber") == 1, 1).otherwise(2).alias("authority"), F.col("l_suppkey").alias("upstream"), F.col("l_shipdate").alias("available_at"))
+    f = li.select(F.col("l_partkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("value"), F.when(F.col("l_linenumber") == 1, 1).otherwise(2).alias("authority"), F.col("l_suppkey").alias("upstream"), F.col("l_shipdate").alias("available_at"))
     return analytics.consolidate(f, ["part"])
 
 
-@query("""WITH s AS (SELECT p_brand, p_retailprice - 1000 AS v, p_partkey AS at FROM part), a AS (SELECT p_brand, count(*) FILTER (v > 0) AS n, count(*) FILTER (NOT coalesce(v > 0, false)) AS n_excluded, quantile_cont(v, 0.1) FILTER (v > 0) AS p10, quantile_cont(v, 0.5) FILTER (v > 0) AS p50, quantile_cont(v, 0.9) FILTER (v > 0) AS p90, arg_max(v, at) AS latest FROM s GROUP BY 1)
-SELECT a.p_brand, n, n_excluded, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, round(latest, 6) AS latest, round(m, 8) AS mid_rank FROM a LEFT JOIN (SELECT s.p_brand, (count(*) FILTER (v < latest) + 0.5 * count(*) FILTER (v = latest)) / count(*) AS m FROM s JOIN a ON s.p_brand = a.p_brand WHERE v > 0 GROUP BY 1) r ON a.p_brand = r.p_brand""")
+@query("""WITH s AS (SELECT p_brand, p_retailprice - 1000 AS v, p_partkey AS seq FROM part), a AS (SELECT p_brand, count(*) FILTER (WHERE v > 0) AS n, count(*) FILTER (WHERE NOT coalesce(v > 0, false)) AS n_excluded, quantile_cont(v, 0.1) FILTER (WHERE v > 0) AS p10, quantile_cont(v, 0.5) FILTER (WHERE v > 0) AS p50, quantile_cont(v, 0.9) FILTER (WHERE v > 0) AS p90, arg_max(v, seq) AS latest FROM s GROUP BY 1)
+SELECT a.p_brand, n, n_excluded, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, round(latest, 6) AS latest, round(m, 8) AS mid_rank FROM a LEFT JOIN (SELECT s.p_brand, (count(*) FILTER (WHERE v < latest) + 0.5 * count(*) FILTER (WHERE v = latest)) / count(*) AS m FROM s JOIN a ON s.p_brand = a.p_brand WHERE v > 0 GROUP BY 1) r ON a.p_brand = r.p_brand""")
 def distribution(spark, sf_dir):
     """Type-7 quantiles, latest value and mid-rank."""
     p = read(spark, sf_dir, "part").select("p_brand", (F.col("p_retailprice") - 1000).alias("v"), F.col("p_partkey").alias("at"))
@@ -178,8 +178,8 @@ def distribution(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT o_custkey AS unit, o_orderpriority AS group_id, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'any_of' ELSE 'all_of' END AS m, CAST(o_orderkey AS VARCHAR) AS rid, o_orderstatus <> 'P' AS ready FROM orders),
-g AS (SELECT unit, group_id, CASE WHEN max(m) = 'any_of' THEN bool_or(ready) ELSE bool_and(ready) END AS ok, list(DISTINCT rid) FILTER (NOT ready) AS missing FROM r GROUP BY 1, 2)
-SELECT unit, bool_and(ok) AS ready, round(avg(ok::INT), 8) AS share, coalesce(array_to_string(list_sort(flatten(list(missing) FILTER (NOT ok))), ','), '') AS missing FROM g GROUP BY 1""")
+g AS (SELECT unit, group_id, CASE WHEN max(m) = 'any_of' THEN bool_or(ready) ELSE bool_and(ready) END AS ok, list(DISTINCT rid) FILTER (WHERE NOT ready) AS missing FROM r GROUP BY 1, 2)
+SELECT unit, bool_and(ok) AS ready, round(avg(ok::INT), 8) AS share, coalesce(array_to_string(list_sort(flatten(list(missing) FILTER (WHERE NOT ok))), ','), '') AS missing FROM g GROUP BY 1""")
 def coverage(spark, sf_dir):
     """A3 A4: readiness of all-of and any-of groups."""
     o = read(spark, sf_dir, "orders")
@@ -231,11 +231,11 @@ def page_audit(spark, sf_dir):
     return analytics.page_audit(p, ["conv_id"]).drop("complete")
 
 
-SLICES = "s AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) FILTER (event_type = 'error') < 2 AS ok FROM events GROUP BY 1, 2)"
+SLICES = "s AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) FILTER (WHERE event_type = 'error') < 2 AS ok FROM events GROUP BY 1, 2)"
 
 
 @query(f"""WITH {SLICES}, x AS (SELECT *, NOT ok OR d > coalesce(max(d + 1) OVER (PARTITION BY user_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), d) AS b FROM s), y AS (SELECT *, bool_or(b) OVER (PARTITION BY user_id ORDER BY d) AS stop FROM x)
-SELECT user_id, max(d + 1) FILTER (NOT stop) AS safe_through, count(*) FILTER (stop) AS n_blocked FROM y GROUP BY 1""")
+SELECT user_id, max(d + 1) FILTER (WHERE NOT stop) AS safe_through, count(*) FILTER (WHERE stop) AS n_blocked FROM y GROUP BY 1""")
 def safe_through(spark, sf_dir):
     """How far complete slices reach without a gap."""
     e = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("start")).agg((F.count_if(F.col("event_type") == "error") < 2).alias("complete"))
@@ -251,12 +251,12 @@ def time_tiles(spark, sf_dir):
 
 
 @query("""SELECT c_custkey, round(100 * power(1.05, 1) / 1.1 + 100 * 1.05 * 1.04 / power(1.1, 2) + 100 * 1.05 * 1.04 * 1.03 / power(1.1, 3) + 100 * 1.05 * 1.04 * 1.03 * 1.02 / (0.1 - 0.02) / power(1.1, 3), 6) * 1.0 AS unit_value,
-  CASE WHEN c_acctbal > 0 THEN round(c_acctbal * (1.05 / 1.1 + 1.05 * 1.04 / power(1.1, 2) + 1.05 * 1.04 * 1.03 / power(1.1, 3) + 1.05 * 1.04 * 1.03 * 1.02 / 0.08 / power(1.1, 3)), 3) END AS value FROM customer""")
+  CASE WHEN c_acctbal > 0 THEN round(c_acctbal * (1.05 / 1.1 + 1.05 * 1.04 / power(1.1, 2) + 1.05 * 1.04 * 1.03 / power(1.1, 3) + 1.05 * 1.04 * 1.03 * 1.02 / 0.08 / power(1.1, 3)), 4) END AS value FROM customer""")
 def discounted_value(spark, sf_dir):
     """Projected flows, present value and Gordon terminal value."""
     g = F.array(F.lit(0.05), F.lit(0.04), F.lit(0.03))
     v = lambda base: finance.discounted_value(finance.projected(base, g), F.lit(0.1), F.lit(0.02))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.round(v(F.lit(100.0)), 6).alias("unit_value"), F.round(v(F.col("c_acctbal")), 3).alias("value"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.round(v(F.lit(100.0)), 6).alias("unit_value"), F.round(v(F.col("c_acctbal")), 4).alias("value"))
 
 
 @query()
@@ -280,7 +280,7 @@ def dupont(spark, sf_dir):
     return y.select("ticker", "yr", d.alias("d")).select("ticker", "yr", *[F.round(f"d.{c}", 8).alias(c) for c in ("net_margin", "asset_turnover", "equity_multiplier", "roe")])
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(power(5000 / c_acctbal, 1.0 / 3) - 1, 8) END AS cagr, abs(c_acctbal - c_acctbal * 0.6 - 400) <= greatest(abs(c_acctbal) * 0.001, 1) AS balanced, round(0.6 * 0.08 + 0.4 * 0.05 * 0.75, 8) AS wacc FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(power(5000 / c_acctbal, 1.0 / 3) - 1, 8) END AS cagr, abs(c_acctbal - c_acctbal * 0.6 - 400) <= greatest(abs(c_acctbal) * 0.001, 1) AS balanced, round(0.6::DOUBLE * 0.08 + 0.4::DOUBLE * 0.05 * 0.75, 8) AS wacc FROM customer")
 def scalar_checks(spark, sf_dir):
     """CAGR, balance identity, WACC."""
     a = F.col("c_acctbal")

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import duckdb
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path("/root/testdata/sf0.01")
 
 
 def plain(v):
