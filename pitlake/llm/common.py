@@ -102,6 +102,15 @@ def block_masks(max_bits: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(one, blocks - max_bits)]
 
 
+def blocks_for(n: int, max_bits: int, least: int = 7, each: int = 8) -> int:
+    """How many blocks: enough that n even values leave about `each` in a cell at most, so that candidates grow with n
+    and not with its square. Any number of blocks finds the same links."""
+    blocks = max(least, max_bits + 1)
+    while blocks < 2 * max_bits + 2 and n > each << (64 * (blocks - max_bits) // blocks):
+        blocks += 1
+    return blocks
+
+
 def popcount_pairs(x: np.ndarray) -> np.ndarray:
     """Bit counts (0 to 2) of the 32 two-bit segments of each 64-bit value, kept in place."""
     return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
@@ -146,30 +155,51 @@ def near_pairs(values: np.ndarray, keys: np.ndarray, near: Callable, dense_above
         left.append(a[ok])
         right.append(b[ok])
         shift += 1
-    for c, s in zip(cut[sizes > dense_above], sizes[sizes > dense_above]):
-        rest = order[c : c + s]
-        while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                now = queue.pop()
-                ok = near(np.repeat(values[now : now + 1], len(rest)), values[rest])
-                found = rest[ok]
-                left.append(np.full(len(found), now))
-                right.append(found)
-                queue.extend(found)
-                rest = rest[~ok]
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
-
-
-def hamming_links(fps: DataFrame, n: int, max_bits: int, blocks: int, embed: str = "bits", dense_above: int = 64, per_bucket: int = 400_000) -> DataFrame:
+    a, b = _forests(values, order[size > dense_above], np.cumsum(np.diff(k[size > dense_above], prepend=k[:1]) != 0) if (size > dense_above).any() else size[:0], near)
+    left.append(a)
+    right.append(b)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _forests(values: np.ndarray, rest: np.ndarray, group: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within each group of rows `rest` (groups in order). All groups are walked side
+    by side: in each round one row of every group meets those of its group that nothing has reached yet."""
+    left, right = [rest[:0]], [rest[:0]]
+    queue, of = rest[:0], group[:0]
+    head = np.zeros(int(group[-1]) + 1 if len(group) else 0, np.int64)
+    while len(rest):
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        head[group[first]] = rest[first]
+        fresh = np.zeros(len(head), bool)
+        fresh[group[first]] = True
+        g, at = np.unique(of, return_index=True)
+        head[g], fresh[g] = queue[at], False
+        more = np.ones(len(rest), bool)
+        more[first[fresh[group[first]]]] = False  # a new root leaves the rest
+        rest, group = rest[more], group[more]
+        ok = near(values[head[group]], values[rest])
+        left.append(head[group[ok]])
+        right.append(rest[ok])
+        wait = np.ones(len(queue), bool)
+        wait[at] = False
+        queue, of = np.r_[queue[wait], rest[ok]], np.r_[of[wait], group[ok]]
+        rest, group = rest[~ok], group[~ok]
+        going = np.zeros(len(head), bool)
+        going[group] = True
+        queue, of = queue[going[of]], of[going[of]]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def hamming_links(fps: DataFrame, n: int, max_bits: int, blocks: int | None = None, embed: str = "bits", dense_above: int = 64, per_bucket: int = 400_000) -> DataFrame:
     """Links (a, b) between the distinct 64-bit values of column fp that differ in at most max_bits bits.
 
     Each value goes, packed with others, to one bucket for each mask: all values that agree on a mask meet.
     embed="popcount": the masks apply to the bit counts of two-bit segments (a grid over the embedding), the
     Manhattan distance there is the first bound, and the Hamming distance decides.
-    Groups of more than dense_above values in one cell give a spanning forest of their links.
+    Groups of more than dense_above values in one cell give a spanning forest of their links. blocks: None takes
+    blocks_for(n, max_bits).
     """
+    blocks = blocks or blocks_for(n, max_bits)
     masks = block_masks(max_bits, blocks)
     buckets = max(1, -(-n // per_bucket))
     grid = popcount_pairs if embed == "popcount" else (lambda x: x)

@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed
     return with_text_columns(docs, text_col, {"fp": "long"}, compute, keep)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, blocks: int = 7, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, blocks: int | None = None, **how) -> DataFrame:
     """(id, fp, component_id) of each row: component_id is the smallest id whose fingerprint can be reached over
     fingerprints that differ in at most max_bits bits.
 
