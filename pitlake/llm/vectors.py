@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.llm.common import components, table
@@ -38,8 +38,8 @@ class Index:
     cuts: list[int]
 
     def home(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each row's nearest list, and all lists that can hold a vector within `reach` of it: a list's vectors lie
-        on its side of the plane halfway between two centres, so the distance to that plane is a lower bound."""
+        """Each row's nearest list, and all lists whose side of the plane halfway between the two centres is within
+        `reach` of it: a list's vectors lie on its side, so this is a lower bound of the distance to any of them."""
         d = squared(x, self.lists)
         home = d.argmin(1)
         apart = np.sqrt(squared(self.lists, self.lists))
@@ -81,18 +81,18 @@ def build(sample: np.ndarray, lists: int, parts: int, words: int) -> Index:
 
 def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The vectors in double precision, and their unit vectors."""
-    raw = np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros((0, 1))
+    raw = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     return raw, raw / np.sqrt((raw**2).sum(1, keepdims=True))
 
 
-def _assign(index, reach: float):
+def _assign(index, near: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 _, x = unit(part.column(3))
-                home, probes = ix.home(x, reach)
+                home, probes = ix.home(x, near)
                 codes, off = ix.codes(x, home)
                 made = [pa.array(home, pa.int32()), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=["rep", "copies", "label", "v", "home", "probes", "code", "off"])
@@ -124,17 +124,17 @@ class _Sets:
 
 
 def _compare(index, least: float, reach: float):
-    """One list's members against one share of its queries: table distances first, then exact cosines. Gives each
-    vector's links found here, and edges that span them."""
+    """A block of one list's members against a block of its queries: table distances first, then exact cosines.
+    Gives each vector's links found here, and edges that span them."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         ix, at = index.value, key[1].as_py()
         t = t.combine_chunks()
-        member = t.column("member").to_numpy()
+        member, query = (t.column(c).to_numpy() for c in ("member", "query"))
         rep, copies, home, off = (t.column(c).to_numpy() for c in ("rep", "copies", "home", "off"))
         raw, x = unit(t.column("v").chunk(0))
         norms = np.sqrt((raw**2).sum(1))
-        m, q = np.flatnonzero(member), np.flatnonzero(~member)
+        m, q = np.flatnonzero(member), np.flatnonzero(query)
         out_rep, out_n, ea, eb = [], [], [], []
         if len(m) and len(q):
             codes = np.frombuffer(b"".join(t.column("code").take(pa.array(m)).to_pylist()), np.uint8).reshape(len(m), -1)
@@ -175,50 +175,68 @@ def _compare(index, least: float, reach: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = 20_000, parts: int = 8, words: int = 256, split_above: int = 4000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = 20_000, parts: int = 8, words: int = 256, margin: float | None = 1.5, split_above: int = 8000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: how many other vectors of its (non-null) label have a
     cosine of at least `least`, the smallest id reachable over such links, and whether that is its own.
 
     Equal vectors of a label are compared once and counted by their number. The index is fitted on the `sample`
     vectors with the smallest hashes; all vectors are in it. The number of lists follows the square root of the
-    number of vectors (4096 at most, so that the index is bounded). A query probes every list that can hold a
-    vector near enough (a bound, not a guess), table distances drop what the bound with the code's own error rules
-    out, and exact cosines in double precision decide. Nothing is lost to the index.
-    The queries of a list with more than split_above members are spread over several tasks.
-
-    Vectors that are null, empty, zero, of another length than the first of their label's sample, or hold null or
-    non-finite components, and those with a null label or id, link with nothing: 0 links, their own component.
-    Repeated rows are vectors of their own and link like copies. Extra columns are ignored.
+    number of vectors (4096 at most, so that the index is bounded). A query probes its own list and those whose
+    dividing plane is within `margin` * reach / sqrt(dimensions) of it, where reach is the distance at the cosine
+    `least`: two vectors that far apart in a random direction differ by 1 / sqrt(dimensions) of that along the line
+    between two centres. A pair is found if either of the two probes the other's list. margin=None takes the whole
+    reach, which loses no pair but probes most lists in many dimensions. In the lists probed nothing is lost: table
+    distances drop what the bound with the code's own error rules out, and exact cosines in double precision decide.
+    A list with more than split_above queries is cut into blocks of members and of queries, each pair of them a task's group.
+
+    Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components, and those
+    with a null label or id, link with nothing: 0 links, their own component. Repeated rows are vectors of their own
+    and link like copies; 0.0 and -0.0 are equal. Extra columns are ignored.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = base.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite)
-    reps = table(good.withColumn("h", F.sha1(F.col("v").cast("string"))).groupBy("label", "v", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
+    plain = F.transform("v", lambda x: x + F.lit(0).cast(kind[6:-1]))  # no negative zeros
+    hashed = base.where(usable).withColumn("v", plain).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")})
+    reps = table(hashed.groupBy("label", "h", "g").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
     lengths = [r[0] for r in reps.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()]
     own = F.col("id").alias("component_id")
     if not lengths:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), own, F.col("id").isNotNull().alias("kept"))
     fit = reps.where(F.size("v") == lengths[0])
     n = fit.count()
-    drawn = fit.orderBy("h", "rep").limit(sample).select("v").collect()
-    x = np.array([r[0] for r in drawn])
+    drawn = fit.orderBy("h", "g", "rep").limit(sample).select("v").collect()
+    x = np.array([r[0] for r in drawn], np.float64)
     x /= np.sqrt((x**2).sum(1, keepdims=True))
-    index = spark.sparkContext.broadcast(build(x, max(1, min(4096, len(x) // 8, math.isqrt(n) * 2)), min(parts, lengths[0]), words))
+    index = spark.sparkContext.broadcast(build(x, max(1, min(4096, len(x) // 8, math.isqrt(n))), min(parts, lengths[0]), words))
     reach = math.sqrt(2 - 2 * least)
-    placed = table(fit.select("rep", "copies", "label", "v").mapInArrow(_assign(index, reach), "rep long, copies long, label " + fit.schema["label"].dataType.simpleString() + ", v array<double>, home int, probes array<int>, code binary, off double"), "placed")
-    sizes = placed.groupBy("label", F.col("home").alias("at")).agg(F.count("*").alias("members")).withColumn("shares", F.ceil(F.col("members") / split_above).cast("int"))
-    queries = placed.withColumn("at", F.explode("probes")).withColumn("member", F.lit(False)).join(sizes.select("label", "at", "shares"), ["label", "at"])
-    queries = queries.withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")).withColumn("probes", F.lit(None).cast("array<int>")).withColumn("code", F.lit(None).cast("binary"))
-    members = placed.withColumn("at", F.col("home")).withColumn("member", F.lit(True)).join(sizes.select("label", "at", "shares"), ["label", "at"])
-    members = members.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    cols = ["label", "at", "share", "member", "rep", "copies", "v", "home", "probes", "code", "off"]
+    near = reach if margin is None else min(reach, margin * reach / math.sqrt(lengths[0]))
+    label = fit.schema["label"].dataType.simpleString()
+    placed = table(fit.select("rep", "copies", "label", "v").mapInArrow(_assign(index, near), f"rep long, copies long, label {label}, v {kind}, home int, probes array<int>, code binary, off double"), "placed")
+    full = placed.select("label", F.explode("probes").alias("at")).groupBy("label", "at").count().where(F.col("count") > split_above)
+    full = full.select("label", "at", F.ceil(F.col("count") / split_above).cast("int").alias("many"))
+    shares = F.coalesce("many", F.lit(1))
+    block = F.pmod(F.xxhash64("rep"), shares).cast("int")
+    each = F.sequence(F.lit(0), shares - 1)
+
+    def cell(members: Column, queries: Column, member: Column, query: Column) -> Column:
+        return F.struct(members.alias("mi"), queries.alias("qi"), member.alias("member"), query.alias("query"))
+
+    yes, no = F.lit(True), F.lit(False)
+    probing = placed.withColumn("at", F.explode(F.filter("probes", lambda p: p != F.col("home")))).withColumns({"probes": F.lit(None).cast("array<int>"), "code": F.lit(None).cast("binary")})
+    queries = probing.join(full, ["label", "at"], "left").withColumn("c", F.explode(F.transform(each, lambda i: cell(i, block, no, yes))))
+    alike = F.concat(F.transform(each, lambda j: cell(block, j, yes, block == j)), F.transform(F.filter(each, lambda i: i != block), lambda i: cell(i, block, no, yes)))
+    members = placed.withColumn("at", F.col("home")).join(full, ["label", "at"], "left").withColumn("c", F.explode(alike))
+    cols = ["label", "at", "c.*", "rep", "copies", "v", "home", "probes", "code", "off"]
     both = members.select(*cols).union(queries.select(*cols))
-    got = table(both.groupBy("label", "at", "share").applyInArrow(_compare(index, least, reach), "rep long, n long, a long, b long"), "vector-links")
+    got = table(both.groupBy("label", "at", "mi", "qi").applyInArrow(_compare(index, least, reach), "rep long, n long, a long, b long"), "vector-links")
     links = got.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("far"))
     roots = components(got.where("a is not null").select("a", "b"))
-    known = reps.join(links, "rep", "left").join(roots, reps.rep == roots.node, "left")
-    known = known.select("label", "v", (F.coalesce("far", F.lit(0)) + F.when(F.size("v") == lengths[0], F.col("copies") - 1).otherwise(0)).alias("n_links"), F.coalesce("root", "rep").alias("root"), (F.size("v") == lengths[0]).alias("in"))
-    usable = good.select("id", "label", "v").join(known, ["label", "v"]).select("id", "n_links", F.when(F.col("in"), F.col("root")).otherwise(F.col("id")).alias("component_id"))
-    rest = base.where(~F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), own)
-    return usable.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    fits = F.size("v") == lengths[0]
+    known = reps.select("label", "h", "g", "rep", "copies", fits.alias("in")).join(links, "rep", "left").join(roots, F.col("rep") == roots.node, "left")
+    known = known.select("label", "h", "g", (F.coalesce("far", F.lit(0)) + F.when(F.col("in"), F.col("copies") - 1).otherwise(0)).alias("n_links"), F.coalesce("root", "rep").alias("root"), "in")
+    linked = hashed.select("id", "label", "h", "g").join(known, ["label", "h", "g"]).select("id", "n_links", F.when(F.col("in"), F.col("root")).otherwise(F.col("id")).alias("component_id"))
+    rest = base.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), own)
+    return linked.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

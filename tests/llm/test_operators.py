@@ -284,9 +284,22 @@ def test_vectors(spark):
     ok = {i: (np.array(v, np.float64), y) for i, v, y in data[: len(x)]}
     links = {i: [j for j in ok if j != i and ok[i][1] == ok[j][1] and ok[i][0] @ ok[j][0] / np.sqrt((ok[i][0] ** 2).sum() * (ok[j][0] ** 2).sum()) >= 0.93] for i in ok}
     least = reach(links)
-    for how in ({}, {"split_above": 3}):
+    for how in ({"margin": None}, {"margin": None, "split_above": 3}, {}):
         got = {r.vec_id: r for r in vectors.near_duplicates(df, **how).collect()}
         assert len(got) == len(data)
         for i, r in got.items():
             assert (r.n_links, r.component_id) == (len(links.get(i, [])), least.get(i, i)) and r.kept == (i == least.get(i, i))
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+    zeros = spark.createDataFrame([(1, [0.0, 1.0], 1), (2, [-0.0, 1.0], 1), (3, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(zeros).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
+
+
+def test_vectors_recall(spark):
+    """Default probes against brute force on the whole small table."""
+    t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    data = [(r.vec_id, np.array(r.embedding, np.float64), r.label) for r in t.collect() if r.embedding is not None and r.label is not None]
+    x, y, ids = np.stack([v for _, v, _ in data]), np.array([l for *_, l in data]), [i for i, *_ in data]
+    cos = x @ x.T / np.sqrt(np.outer((x**2).sum(1), (x**2).sum(1)))
+    want = dict(zip(ids, ((cos >= 0.93) & (y[:, None] == y)).sum(1) - 1))
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(t).collect()}
+    assert all(got[i] <= want[i] for i in want) and sum(got[i] for i in want) >= 0.9 * sum(want.values())
