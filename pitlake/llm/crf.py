@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import spans, with_text_columns
+from pitlake.llm.common import mix64, spans, with_text_columns
 
 BITS = 18
 UNKNOWN = "und"
@@ -28,18 +28,44 @@ def plain(word: str) -> str:
     return word.strip(".,;:!?()[]{}\"'«»*#$%&|<>-_/\\0123456789").lower()
 
 
-def features(word: str, lexicon: dict[str, list[str]]) -> list[int]:
-    """Hashed affix, character n-gram, whole-word and lexicon features of one word; none if it has no letter."""
-    w = plain(word)
-    if not any(map(str.isalpha, w)):
-        return []
-    w = w if len(w) <= 60 else w[:30] + w[-30:]
-    out = ["w" + w, *("p" + w[:k] for k in (1, 2, 3, 4)), *("s" + w[-k:] for k in (1, 2, 3, 4))]
-    edge = f"^{w}$"
-    out += ["g" + edge[i : i + 2] for i in range(len(edge) - 1)] + ["g" + edge[i : i + 3] for i in range(len(edge) - 2)]
-    out += lexicon.get(w, ["l?"])
-    mask = (1 << BITS) - 1
-    return [crc32(f.encode("utf-8", "surrogatepass")) & mask for f in set(out)]
+def features(words: list[str], lexicon: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed affix, character n-gram, whole-word and lexicon features: (index of the word, feature) pairs; none for
+    a word without a letter. Two- and three-letter pieces of ^word$ include the affixes of one and two letters."""
+    edged, of, listed, listed_of = [], [], [], []
+    for i, word in enumerate(words):
+        w = plain(word)
+        if w.isalpha() or any(map(str.isalpha, w)):
+            w = w if len(w) <= 60 else w[:30] + w[-30:]
+            edged.append(f"^{w}$")
+            of.append(i)
+            found = lexicon.get(w, ["l?"])
+            listed += found
+            listed_of += [i] * len(found)
+    if not of:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    at = spans([len(w) for w in edged])
+    start, size, owner = at[:-1], np.diff(at), np.array(of)
+    own = np.repeat(np.arange(len(of)), size)
+    left = at[1:][own] - np.arange(len(c))  # letters from here to the word's end
+
+    def pieces(k: int, where: np.ndarray) -> np.ndarray:
+        h = np.full(len(where), k, np.uint64)
+        for j in range(k):
+            h = mix64(h ^ (c[where + j] << np.uint64(20)))
+        return h
+
+    out = [(owner, np.add.reduceat(mix64(c + ((np.arange(len(c)) - start[own]).astype(np.uint64) << np.uint64(32))), start))]
+    for k in (2, 3):
+        where = np.flatnonzero(left >= k)
+        out.append((owner[own[where]], pieces(k, where)))
+    for k in (4, 5):
+        long = np.flatnonzero(size >= k)
+        out += [(owner[long], pieces(k, start[long])), (owner[long], pieces(k, at[1:][long] - k))]
+    crc = {f: (crc32(f.encode()) & 0xFFFFFF) << 40 for f in set(listed)}
+    out.append((np.array(listed_of), np.array([crc[f] for f in listed], np.uint64)))
+    ids = np.concatenate([h for _, h in out])
+    return np.concatenate([o for o, _ in out]), (ids >> np.uint64(40) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
 def lexicons(words: list[tuple[str, int]], langs: int, least: int = 3) -> dict[str, list[str]]:
@@ -123,9 +149,9 @@ def train(samples: list[tuple[str, int]], langs: list[str], epochs: int = 4, len
     pieces = [(ws[i : i + length], lang) for ws, lang in rows for i in range(0, max(1, len(ws) - length // 2), length) if ws[i : i + length]]
     ids: dict[str, int] = {}
     coded = [(np.array([ids.setdefault(w, len(ids)) for w in ws]), lang) for ws, lang in pieces]
-    lists = [features(w, lexicon) for w in ids]
-    at = spans([len(f) for f in lists])
-    flat = np.fromiter((f for x in lists for f in x), np.int64, int(at[-1]))
+    of, flat = features(list(ids), lexicon)
+    flat = flat[np.argsort(of, kind="stable")]
+    at = spans(np.bincount(of, minlength=len(ids)))
     w, gw = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-3)
     change, first = np.eye(k) * 2.0, np.zeros(k)
     gc = np.full((k, k), 1.0)
@@ -184,14 +210,16 @@ class Labeller:
         self.letters = np.zeros(1 << 12, bool)
 
     def learn(self, words: list[bytes]) -> None:
-        for w in words:
-            i = self.ids[w] = len(self.ids)
-            if i >= len(self.letters):
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            first, n = len(self.ids), len(part)
+            self.ids.update(zip(part, range(first, first + n)))
+            while first + n > len(self.letters):
                 self.scores, self.letters = np.r_[self.scores, np.zeros_like(self.scores)], np.r_[self.letters, np.zeros_like(self.letters)]
-            text = w.decode("utf-8", "surrogatepass")
-            if f := features(text, self.m.lexicon):
-                self.scores[i] = self.m.weights[f].sum(0)
-            self.letters[i] = bool(f) or any(map(str.isalpha, text))
+            of, f = features([w.decode("utf-8", "surrogatepass") for w in part], self.m.lexicon)
+            for i in range(len(self.m.langs)):
+                self.scores[first : first + n, i] = np.bincount(of, self.m.weights[f, i], n)
+            self.letters[first : first + n] = np.bincount(of, minlength=n) > 0
 
     def words_of(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lists = [b.split() for b in raw]
