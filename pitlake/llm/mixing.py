@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,20 +55,52 @@ def pfair_frame(quota: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def whole_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the same proportion."""
+    if any(not w > 0 or math.isinf(w) for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def schedule(shares: dict[str, int], last: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, j) in slot 0, 1, ... until each source has had its block last[source]: the windows and the order of
+    pfair_frame, but against the exact shares and without a frame, so at each slot every source is less than one
+    block from its share of all slots so far. Holds one block of each source at a time."""
+    n = sum(shares.values())
+    waiting = [(0, s, 0) for s in shares]
+    heapq.heapify(waiting)
+    ready: list = []
+    slot, left = 0, len(shares)
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * n // shares[s]), release, s, j))
+        due, _, s, j = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError("a deadline was missed")
+        yield s, j
+        left -= j == last[s]
+        heapq.heappush(waiting, ((j + 1) * n // shares[s], s, j + 1))
+        slot += 1
+
+
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = 16, frame: int = 1024, temperature: float = 0.7, max_sources: int = 512, rows_per_bucket: int = 20_000
 ) -> DataFrame:
     """Rows of docs in a mix whose every prefix has the target weights, each source within one block of its share.
 
-    Each source's rows, in the order of a hash, are cut into blocks of `block` rows. A Pfair frame of `frame`
-    blocks (see pfair_frame) says which source supplies each slot, and repeats. The mix ends with the slot in which
-    the last source has given all its rows: every row is in it, and sources that ran out before start again
-    (epoch 1, 2, ...). Adds slot, block, epoch and place (position in the mix; all long). weights: for each
-    source; None: (row count) ** temperature. Weights are rounded to whole blocks in a frame.
+    Each source's rows, in the order of a hash, are cut into blocks of `block` rows. A Pfair schedule (see schedule)
+    against the exact weights says which source supplies each slot. The mix ends with the slot in which the last
+    source has given all its rows: every row is in it, and sources that ran out before start again (epoch 1, 2,
+    ...). Adds slot, block, epoch and place (position in the mix; all long). weights: for each source; None: (row
+    count) ** temperature. The schedule is made by one task, slot by slot with one block of each source in memory,
+    and written as a table; frame: slots that it hands on at a time, without effect on the mix.
 
     A null source is a source of its own (name it \\x00 in weights). A source that has rows must have a weight, one
-    without rows is ignored; more than max_sources sources are an error, so that the frame (driver and broadcast)
-    is bounded. Repeated rows are rows like others; rows with null ids or texts too. An empty table gives an empty
+    without rows is ignored; more than max_sources sources are an error, so that the counts (driver and broadcast)
+    are bounded. Repeated rows are rows like others; rows with null ids or texts too. An empty table gives an empty
     mix. Input columns named slot, block, epoch or place are replaced.
     """
     spark = docs.sparkSession
@@ -78,17 +114,21 @@ def mix(
         return spark.createDataFrame([], T.StructType([*docs.schema.fields, *extra]))
     if weights is not None and (missing := sorted(set(counts) - set(weights))):
         raise ValueError(f"no weight for {missing[:5]}")
-    quota = quotas({s: weights[s] if weights else float(n) ** temperature for s, n in counts.items()}, frame)
-    plan = pfair_frame(quota)
-    slots: dict[str, list[int]] = {s: [0] * q for s, q in quota.items()}
-    for slot, (s, j) in enumerate(plan):
-        slots[s][j] = slot
-
-    def slot_of(s: str, b: int) -> int:
-        return b // quota[s] * frame + slots[s][b % quota[s]]
-
-    end = max(slot_of(s, (n - 1) // block) for s, n in counts.items()) + 1
-    per_source = spark.createDataFrame([(s, n, quota[s], slots[s]) for s, n in counts.items()], "_s string, _n long, _q long, _slots array<int>")
+    shares = whole_shares({s: weights[s] if weights else float(n) ** temperature for s, n in counts.items()})
+    last = {s: (n - 1) // block for s, n in counts.items()}
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                slots, at = schedule(shares, last), 0
+                while some := list(islice(slots, frame)):
+                    s, j = zip(*some)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(j, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())], names=["_s", "block", "slot"])
+                    at += len(some)
+
+    slots = table(spark.range(0, 1, 1, 1).mapInArrow(plan, "_s string, block long, slot long"), "mix-slots")
+    given = {r["_s"]: r["n"] for r in slots.groupBy("_s").agg(F.count("*").alias("n")).collect()}
+    per_source = spark.createDataFrame([(s, n, given[s] * block) for s, n in counts.items()], "_s string, _n long, _rows long")
 
     # Number the rows of each source: hash-range buckets are counted, summed up, and numbered within.
     buckets = 1 << max(0, math.ceil(math.log2(max(1, sum(counts.values()) / rows_per_bucket))))
@@ -99,10 +139,9 @@ def mix(
     before = sizes.withColumn("_before", F.sum("_c").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_c")).drop("_c")
     numbered = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", F.col(id_col), "_t")) - 1)
     numbered = numbered.join(before, ["_s", "_b"]).withColumn("_i", F.col("_i") + F.col("_before"))
-    joined = numbered.join(F.broadcast(per_source), "_s")  # at most max_sources rows, frame slots in all
-    b = (F.col("epoch") * F.col("_n") + F.col("_i")) / block
-    rounds = F.expr(f"({end} div {frame} + 1) * _q * {block} div _n")
-    out = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), rounds)))
-    out = out.withColumn("block", F.floor(b)).withColumn("slot", F.expr(f"block div _q * {frame} + _slots[cast(block % _q as int)]")).where(F.col("slot") < end)
-    out = out.withColumn("place", F.col("slot") * block + (F.col("epoch") * F.col("_n") + F.col("_i")) % block)
+    joined = numbered.join(F.broadcast(per_source), "_s").where(F.col("_i") < F.col("_rows"))  # at most max_sources rows
+    nth = F.col("epoch") * F.col("_n") + F.col("_i")  # of all rows that the source gives
+    out = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_rows - 1 - _i) div _n"))))
+    out = out.withColumn("block", F.floor(nth / block)).withColumn("_at", nth % block).join(slots, ["_s", "block"])
+    out = out.withColumn("place", F.col("slot") * block + F.col("_at"))
     return out.select(*docs.columns, "epoch", "block", "slot", "place")

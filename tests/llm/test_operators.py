@@ -190,6 +190,21 @@ def test_mixing(docs, empty):
         mixing.mix(docs, {"a": 1.0})
 
 
+def test_mixing_keeps_exact_weights(spark):
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    df = spark.range(9000).selectExpr("id doc_id", "'t' text", "case when id % 10 < 5 then 'a' when id % 10 < 8 then 'b' else 'c' end source")
+    of = dict({(r.slot, r.source) for r in mixing.mix(df, weights, block=1).collect()})
+    assert sorted(of) == list(range(len(of))) and len(of) >= 9000
+    done = Counter()
+    for t in range(len(of)):
+        done[of[t]] += 1
+        assert all(abs(done[s] - w * (t + 1)) < 1 for s, w in weights.items())
+    many = {f"s{i:03}": 1.0 for i in range(99)} | {"big": 9901.0}
+    shares = mixing.whole_shares(many)
+    got = Counter(s for s, _ in mixing.schedule(shares, {s: 0 if s != "big" else 9900 for s in many}))
+    assert got["big"] == 9901 and max(got[s] for s in many if s != "big") == 1
+
+
 def test_crf(spark):
     made = {"xx": "aba bab abba baab", "yy": "ogo gog oggo goog"}
     def text(lang):
