@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,8 +57,36 @@ def _inverses(n: int) -> np.ndarray:
     return _grown("i", pow(_R, -1, 1 << 64), n)
 
 
+#: Splits of which no piece holds a blank: by name, or by the pattern of the pieces that are kept.
+_WORDS = ("Whitespace", "WhitespaceSplit")
+_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def drops_blanks(path: str) -> bool:
+    """Whether the file surely drops white space before it merges, so that a text's ids are those of its words one
+    after another: nothing in its normaliser, first split or added tokens reaches across a blank."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    blank_only = lambda n: n["type"] == "Replace" and (n["pattern"], n["content"]) == ({"Regex": r"\s+"}, " ")
+    if not all(n["type"] in ("NFC", "Lowercase") or blank_only(n) for n in steps(spec["normalizer"], "normalizers")):
+        return False
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"]):
+        return False
+    split = steps(spec["pre_tokenizer"], "pretokenizers")
+    if not split or any(x.get("add_prefix_space") for x in split) or spec["post_processor"] is not None or spec["model"].get("dropout"):
+        return False
+    first = split[0]
+    return first["type"] in _WORDS or first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in _PATTERNS
+
+
 class ChunkEncoder:
-    """Encodes texts chunk by chunk. Each distinct chunk's inner part, each distinct join and, within new ones,
+    """Encodes texts with a cache of words, if the tokenizer's file drops white space (see drops_blanks); a text is
+    then cut into chunks whose ids are put together from those of their words. With any other file each distinct
+    text of a batch is encoded whole by the library. Each distinct chunk's inner part, each distinct join and, within new ones,
     each distinct word is encoded once and kept while the Python worker lives. The stores are bounded (keep_mb of
     chunks, keep_words words); a full one starts afresh, which costs time and changes nothing else."""
 
@@ -70,6 +99,7 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
+        self.by_words = drops_blanks(path)
         self.known: dict[bytes, np.ndarray] = {}
         self.joins: dict[bytes, np.ndarray] = {}
         self.size, self.most, self.most_words = 0, keep_mb << 20, keep_words
@@ -101,6 +131,9 @@ class ChunkEncoder:
         return inner, joins
 
     def encode_all(self, raws: list[bytes]) -> list[np.ndarray]:
+        if not self.by_words:
+            whole = {r: self.plain(r) for r in dict.fromkeys(raws)}
+            return [whole[r] for r in raws]
         if self.size > self.most:
             self.known.clear()
             self.joins.clear()
@@ -109,20 +142,13 @@ class ChunkEncoder:
         self.learn({p for inner, _ in cut for p in inner}, self.known)
         self.learn({p for _, joins in cut for p in joins}, self.joins)
         out = []
-        for (inner, joins), raw in zip(cut, raws):
+        for inner, joins in cut:
             parts = [self.joins[joins[0]]]
             for a, b in zip(inner, joins[1:]):
                 parts += [self.known[a], self.joins[b]]
-            ids = np.concatenate(parts).astype(np.uint32)
-            out.append(ids if self.agrees(inner, joins) else self.plain(raw))
+            out.append(np.concatenate(parts).astype(np.uint32))
         return out
 
-    def agrees(self, inner: list[bytes], joins: list[bytes]) -> bool:
-        """Whether the joins' neighbours stay as they are: every inner part begins and ends at a blank, where no
-        token, special string or normalisation step reaches across. Checked on the bytes beside each cut: a blank
-        followed by a combining mark would be open to composition and sends the text to a full encoding."""
-        return all(not a or a[:1] in _BLANK for a in inner) and all(not b or i == 0 or b[:1] in _BLANK for i, b in enumerate(joins))
-
     def learn(self, wanted: set[bytes], store: dict[bytes, np.ndarray]) -> None:
         new = [p for p in wanted if p not in store]
         if not new:
@@ -156,9 +182,6 @@ class ChunkEncoder:
         return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
-_BLANK = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
-
-
 def _first_blank(b: bytes) -> int:
     found = [i for c in (b" ", b"\n") if (i := b.find(c)) >= 0]
     return min(found, default=-1)
@@ -180,6 +203,7 @@ def coder(path: str) -> ChunkEncoder:
 
 def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, keep: list[str] | None = None, digests: bool = False) -> DataFrame:
     """Rows of docs with the token ids of the whole text and the text decoded from them (or their digests only).
+    Any tokenizer file will do: one that keeps white space, or may, has each distinct text encoded whole.
 
     Equals the tokenizers library on the same file without added special tokens. Rows keep their partition: no
     shuffle. Null and empty texts encode to no ids and decode to the empty string; repeated rows and repeated

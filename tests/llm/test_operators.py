@@ -91,6 +91,18 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_that_keeps_blanks(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert bpe.drops_blanks(bpe.default_tokenizer()) and not bpe.drops_blanks(path)
+    for r in bpe.encode(docs, tokenizer=path).collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
+
+
 def test_simhash(spark, docs, empty):
     def fp(t):
         w = (t or "").encode().lower().split()
