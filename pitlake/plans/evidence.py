@@ -82,6 +82,13 @@ def dangling_references(spark, sf_dir):
     return evidence.dangling(e.where("event_id % 11 = 0").withColumn("ref", F.col("event_id") * 2), "ref", e, "event_id").select("event_id", "ref")
 
 
+@query("SELECT e.event_id, e.event_id * 2 AS ref FROM events e LEFT JOIN events t ON t.event_id = e.event_id * 2 WHERE t.event_id IS NULL AND e.event_id IS NOT NULL")
+def all_dangling_references(spark, sf_dir):
+    """dangling_references over every event."""
+    e = read(spark, sf_dir, "events").select("event_id")
+    return evidence.dangling(e.withColumn("ref", F.col("event_id") * 2), "ref", e, "event_id").select("event_id", "ref")
+
+
 @query("""SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') / count(*)::DOUBLE AS completeness, sum(CASE event_type WHEN 'purchase' THEN 10 WHEN 'signup' THEN 8 WHEN 'click' THEN 5 WHEN 'view' THEN 3 ELSE 0 END)::DOUBLE / (10 * count(*)) AS confidence FROM events GROUP BY 1""")
 def evidence_scores(spark, sf_dir):
     """A2: completeness and weighted confidence."""
@@ -116,6 +123,18 @@ def dataset_counts(spark, sf_dir):
     return read(spark, sf_dir, "nation").join(c, "n_nationkey", "left").select("n_name", F.coalesce("n", zero).alias("n"), F.coalesce("d", zero).alias("n_debtors"))
 
 
+@query("""SELECT n_name, s.segment, count(c_custkey) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS n_debtors FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS segment FROM customer UNION ALL SELECT 'NONE') s
+LEFT JOIN customer ON n_nationkey = c_nationkey AND c_mktsegment = s.segment GROUP BY 1, 2""")
+def all_dataset_counts(spark, sf_dir):
+    """dataset_counts over every customer, by nation and segment; segment NONE has no rows anywhere."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    every = c.select("segment").distinct().union(spark.sql("SELECT 'NONE'"))
+    n = c.groupBy("n_nationkey", "segment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("d"))
+    zero = F.lit(0).cast("long")
+    groups = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").crossJoin(every)
+    return groups.join(n, ["n_nationkey", "segment"], "left").select("n_name", "segment", F.coalesce("n", zero).alias("n"), F.coalesce("d", zero).alias("n_debtors"))
+
+
 @query("""SELECT o_orderkey, count(*) AS n_parts, abs(sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE - o_totalprice) <= 0.5::DOUBLE * greatest(abs(o_totalprice), 1) AS reconciled FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice""")
 def total_reconciliation(spark, sf_dir):
     """Parts against the printed total."""
@@ -184,6 +203,15 @@ def fact_lifecycle(spark, sf_dir):
     return evidence.lifecycle(f, "event_id", "old", ["user_id", "event_type"]).select("event_id", "status")
 
 
+@query("""WITH f AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS old FROM events), g AS (SELECT f.*, event_id IN (SELECT old FROM f WHERE old IS NOT NULL) AS gone FROM f)
+SELECT event_id, CASE WHEN gone THEN 'superseded' WHEN count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY user_id, event_type) > 1 THEN 'conflict' ELSE 'current' END AS status FROM g""")
+def all_fact_lifecycles(spark, sf_dir):
+    """fact_lifecycle over every event."""
+    e = F.col("event_id")
+    f = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.when(e % 3 == 0, e - 1).alias("old"))
+    return evidence.lifecycle(f, "event_id", "old", ["user_id", "event_type"]).select("event_id", "status")
+
+
 @query("""WITH d AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts DESC, event_id) = 1) SELECT user_id, event_id FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 3""")
 def latest_distinct(spark, sf_dir):
     """The newest distinct records."""

@@ -131,6 +131,16 @@ def immutable_append(spark, sf_dir):
     return versions.immutable_append(table, new, "event_id", "payload")[0]
 
 
+@query("""WITH t AS (SELECT event_id, event_type AS payload FROM events WHERE event_id % 2 = 0), i AS (SELECT DISTINCT event_id, CASE WHEN event_id % 10 = 0 THEN 'changed' ELSE event_type END AS payload FROM events)
+SELECT event_id, payload FROM i WHERE event_id NOT IN (SELECT event_id FROM t)""")
+def whole_append(spark, sf_dir):
+    """immutable_append of every event onto the even ones."""
+    e = read(spark, sf_dir, "events")
+    table = e.where("event_id % 2 = 0").select("event_id", F.col("event_type").alias("payload"))
+    new = e.select("event_id", F.when(F.col("event_id") % 10 == 0, "changed").otherwise(F.col("event_type")).alias("payload"))
+    return versions.immutable_append(table, new, "event_id", "payload")[0]
+
+
 @query("""SELECT e.event_id, e.user_id, p.value AS last_purchase FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error') e
   ASOF LEFT JOIN (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def as_of_join(spark, sf_dir):
@@ -223,6 +233,13 @@ def linked_groups(spark, sf_dir):
     return analytics.linked_groups(e, "a", "b")
 
 
+@query()
+def all_linked_groups(spark, sf_dir):
+    """linked_groups over every supplier of a line item, one long chain; a recursive CTE is too slow for it."""
+    s = F.col("l_suppkey")
+    return analytics.linked_groups(read(spark, sf_dir, "lineitem").select(s.alias("a"), (s + 1).alias("b")).distinct(), "a", "b")
+
+
 @query("""SELECT conv_id, count(*) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_rows, max(turn) % 5 AS declared_total, count(DISTINCT turn % 5) > 1 AS total_drift, count(DISTINCT turn) < count(*) AS duplicate_page, max(turn) > count(DISTINCT turn) AS page_gap, bool_or(role = 'assistant') AS has_terminal FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY 1""".replace("max(turn) % 5 AS", "max(turn % 5) AS"))
 def page_audit(spark, sf_dir):
     """Closure of pages."""
