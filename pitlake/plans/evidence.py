@@ -197,7 +197,7 @@ def field_resolution(spark, sf_dir):
 @query("""WITH f AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS old FROM events WHERE event_id % 40 < 3), g AS (SELECT f.*, event_id IN (SELECT old FROM f WHERE old IS NOT NULL) AS gone FROM f)
 SELECT event_id, CASE WHEN gone THEN 'superseded' WHEN count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY user_id, event_type) > 1 THEN 'conflict' ELSE 'current' END AS status FROM g""")
 def fact_lifecycle(spark, sf_dir):
-    """Superseded, conflicting and current facts."""
+    """Superseded, conflicting and current facts."""
     e = F.col("event_id")
     f = read(spark, sf_dir, "events").where(e % 40 < 3).select("event_id", "user_id", "event_type", F.when(e % 3 == 0, e - 1).alias("old"))
     return evidence.lifecycle(f, "event_id", "old", ["user_id", "event_type"]).select("event_id", "status")

@@ -354,7 +354,7 @@ def latest_revisions(spark, sf_dir):
 
 @query()
 def series_links(spark, sf_dir):
-    """Event chains."""
+    """Event chains."""
     e = read(spark, sf_dir, "events").where("event_type in ('signup', 'purchase')")
     e = e.select("user_id", "event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("i"), (F.col("event_id") % 3).cast("string"))).alias("identity"), F.col("ts").alias("available_at"), (F.col("event_type") == "purchase").alias("closes"))
     return analytics.series_links(e, ["user_id"])
