@@ -22,9 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one if it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or if it is unset, in local mode only (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='pitlake-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,6 +40,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def columns_after(df: DataFrame, keep: list[str] | None, fields: dict[str, str]) -> tuple[list[str], T.StructType]:
     """Columns passed on, and the schema of them plus fields; a new field replaces an input column of its name."""
     new = {f.lower() for f in fields}

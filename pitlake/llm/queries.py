@@ -36,7 +36,8 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     gone = lines.repeated_lines(docs)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
-    return docs.select("doc_id", n).join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
+    found = docs.select("doc_id", F.xxhash64("text").alias("row"), n).join(gone, ["doc_id", "row"], "left")
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pitlake.llm import bpe, common, crf, kneser_ney, lines, mixing, quality, simhash, substrings, vectors, warc
+from pitlake.llm import bpe, common, crf, kneser_ney, mixing, quality, simhash, substrings, vectors, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
 rng = np.random.default_rng(7)
@@ -162,27 +162,6 @@ def test_substrings(docs, empty, small):
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_edit_distance_and_lines(spark, empty):
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    for _ in range(200):
-        a, b = (list(rng.choice(list("abc"), int(rng.integers(0, 12)))) for _ in range(2))
-        assert lines.edit_distance(a, b) == plain(a, b)
-    line, other = prose(60), prose(60)
-    changed = line.replace(line.split()[30], "new", 1)
-    data = [(1, f"{line}\nshort"), (2, f"{other}\n{line.upper()}!"), (3, f"{changed}\nshort"), (4, None), (5, ""), (None, line), (2, f"{other}\n{line.upper()}!")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {(r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(df, max_bits=12, blocks=14).collect()}
-    assert got == {(1, f"{line}\nshort", 0), (2, other, 1), (3, "short", 1), (4, None, 0), (5, "", 0), (None, line, 0)}
-    assert lines.dedup_lines(empty).count() == 0
-
-
 def test_mixing(docs, empty):
     quota = mixing.quotas({"a": 5, "b": 1, "c": 0.001}, 64)
     done = Counter()
