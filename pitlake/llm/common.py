@@ -144,6 +144,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_R = 0x2545F4914F6CDD1D
+_tables: dict[str, np.ndarray] = {}
+
+
+def _grown(name: str, base: int, n: int) -> np.ndarray:
+    t = _tables.get(name)
+    if t is None or len(t) < n:
+        size = max(1 << 16, 1 << int(n).bit_length())
+        t = np.full(size, base, np.uint64)
+        t[0] = 1
+        _tables[name] = t = np.cumprod(t, dtype=np.uint64)
+    return t[:n]
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2 ** 64."""
+    return _grown("p", _R, n)
+
+
+def inverses(n: int) -> np.ndarray:
+    return _grown("i", pow(_R, -1, 1 << 64), n)
+
+
 def near_pairs(values: np.ndarray, keys: np.ndarray, near: Callable, dense_above: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with equal key for which near(a, b) holds.
 
