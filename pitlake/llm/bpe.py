@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import json
+import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pitlake.llm.common import with_text_columns
+from pitlake.llm.common import inverses, powers, with_text_columns
 
 FIELDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string"}
 DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -27,70 +28,46 @@ def cut_points(raw: bytes, window: int = 16, bits: int = 8) -> list[int]:
     x = np.frombuffer(raw, np.uint8)
     if len(x) <= window:
         return [len(raw)]
-    p = np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers(len(x)), dtype=np.uint64)
-    rolled = (p[window:] - p[:-window]) * _inverses(len(x))[1 : len(x) - window + 1]
+    p = np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(len(x)), dtype=np.uint64)
+    rolled = (p[window:] - p[:-window]) * inverses(len(x))[1 : len(x) - window + 1]
     hit = np.flatnonzero((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) == 0) + window + 1
     hit = hit[hit < len(x)]
     hit = hit[(x[hit] & 0xC0) != 0x80]
     return [*hit.tolist(), len(raw)]
 
 
-_R = 0x2545F4914F6CDD1D
-_tables: dict[str, np.ndarray] = {}
+_BREAK = re.compile(rb"(?<=[^\x09-\x0d\x20])[\x09-\x0d\x20]")
 
 
-def _grown(name: str, base: int, n: int) -> np.ndarray:
-    t = _tables.get(name)
-    if t is None or len(t) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        t = np.full(size, base, np.uint64)
-        t[0] = 1
-        _tables[name] = t = np.cumprod(t, dtype=np.uint64)
-    return t[:n]
+def break_after(raw: bytes, at: int) -> int:
+    """The first place from `at` on where a blank follows another character; -1 if there is none."""
+    found = _BREAK.search(raw, at)
+    return found.start() if found else -1
 
 
-def _powers(n: int) -> np.ndarray:
-    return _grown("p", _R, n)
+def break_before(raw: bytes, stop: int) -> int:
+    """The last such place before `stop`; -1 if there is none."""
+    while (stop := max(raw.rfind(b" ", 0, stop), raw.rfind(b"\n", 0, stop))) > 0:
+        if raw[stop - 1] not in BLANKS:
+            return stop
+    return -1
 
 
-def _inverses(n: int) -> np.ndarray:
-    return _grown("i", pow(_R, -1, 1 << 64), n)
-
-
-#: Splits of which no piece holds a blank: by name, or by the pattern of the pieces that are kept.
-_WORDS = ("Whitespace", "WhitespaceSplit")
-_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
-
-
-def drops_blanks(path: str) -> bool:
-    """Whether the file surely drops white space before it merges, so that a text's ids are those of its words one
-    after another: nothing in its normaliser, first split or added tokens reaches across a blank."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-
-    def steps(part: dict | None, inner: str) -> list[dict]:
-        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
-
-    blank_only = lambda n: n["type"] == "Replace" and (n["pattern"], n["content"]) == ({"Regex": r"\s+"}, " ")
-    if not all(n["type"] in ("NFC", "Lowercase") or blank_only(n) for n in steps(spec["normalizer"], "normalizers")):
-        return False
-    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"]):
-        return False
-    split = steps(spec["pre_tokenizer"], "pretokenizers")
-    if not split or any(x.get("add_prefix_space") for x in split) or spec["post_processor"] is not None or spec["model"].get("dropout"):
-        return False
-    first = split[0]
-    return first["type"] in _WORDS or first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in _PATTERNS
+class ChunkEncoder:
+    """Encodes texts from content-defined chunks, each distinct one encoded once and kept while the Python worker
+    lives. The chunks' ids are joined by re-encoding what stands around each cut.
 
+    A chunk's encoding is trusted between its first and its last break (a blank after another character), if it
+    agrees there with the head's and the tail's own encodings. A join is all from the last break of one chunk to the
+    first of a later one. It is encoded with a word of context on both sides, and must agree with the encodings of
+    the three; if not, the context grows (2, 4 and 8 words), and at last the whole text is encoded. Chunks that do not
+    agree become part of a join. `whole` counts the texts encoded as a whole.
 
-class ChunkEncoder:
-    """Encodes texts with a cache of words, if the tokenizer's file drops white space (see drops_blanks); a text is
-    then cut into chunks whose ids are put together from those of their words. With any other file each distinct
-    text of a batch is encoded whole by the library. Each distinct chunk's inner part, each distinct join and, within new ones,
-    each distinct word is encoded once and kept while the Python worker lives. The stores are bounded (keep_mb of
-    chunks, keep_words words); a full one starts afresh, which costs time and changes nothing else."""
+    The stores are bounded (keep_mb of chunks and as much of joins); a full one starts afresh, which costs time and
+    changes nothing else.
+    """
 
-    def __init__(self, path: str, keep_mb: int = 64, keep_words: int = 800_000) -> None:
+    def __init__(self, path: str, keep_mb: int = 48, bits: int = 9) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,98 +76,92 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.by_words = drops_blanks(path)
-        self.known: dict[bytes, np.ndarray] = {}
-        self.joins: dict[bytes, np.ndarray] = {}
-        self.size, self.most, self.most_words = 0, keep_mb << 20, keep_words
-        self.small = self.tok.get_vocab_size() <= 1 << 16
-        self.forget_words()
-
-    def forget_words(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def plain(self, raw: bytes) -> np.ndarray:
-        return np.asarray(self.tok.encode(raw.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32)
-
-    def pieces(self, raw: bytes) -> tuple[list[bytes], list[bytes]]:
-        """The chunks' inner parts, and the joins between them: a join reaches from the last blank of one chunk to
-        the first blank of a later one, so that no word is cut."""
-        inner, joins, open_join, start = [], [], b"", 0
-        for cut in cut_points(raw):
-            chunk, start = raw[start:cut], cut
-            head = _first_blank(chunk)
-            if head < 0:
-                open_join += chunk
-                continue
-            tail = _last_blank(chunk)
-            joins.append(open_join + chunk[:head])
-            inner.append(chunk[head:tail])
-            open_join = chunk[tail:]
-        joins.append(open_join)
-        return inner, joins
+        self.most, self.bits, self.whole = keep_mb << 20, bits, 0
+        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.bodies: dict[bytes, tuple[int, int, np.ndarray] | None] = {}
+        self.parts: dict[bytes, np.ndarray] = {}
+        self.size = [0, 0]
+
+    def ids_of(self, raws: list[bytes]) -> list[np.ndarray]:
+        found = self.tok.encode_batch_fast([r.decode("utf-8", "surrogatepass") for r in raws], add_special_tokens=False)
+        return [np.array(e.ids, self.kind) for e in found]
+
+    def learn_parts(self, wanted: Iterable[bytes]) -> None:
+        new = [p for p in dict.fromkeys(wanted) if p not in self.parts]
+        for p, ids in zip(new, self.ids_of(new)):
+            self.parts[p] = ids
+            self.size[1] += len(p) + ids.nbytes + 200
+
+    def learn_chunks(self, chunks: Iterable[bytes]) -> None:
+        """For each new chunk its body's place and ids; None if it has none that agrees."""
+        new = {}
+        for c in chunks:
+            if c not in self.bodies and c not in new:
+                new[c] = (break_after(c, 0), break_before(c, len(c)))
+        good = [c for c, (a, b) in new.items() if 0 < a < b]
+        self.learn_parts(p for c in good for p in (c[: new[c][0]], c[new[c][1] :]))
+        ids = dict(zip(good, self.ids_of(good)))
+        for c, (a, b) in new.items():
+            body = None
+            if c in ids:
+                head, tail, all_ = self.parts[c[:a]], self.parts[c[b:]], ids[c]
+                i, j = len(head), len(all_) - len(tail)
+                if i <= j and np.array_equal(all_[:i], head) and np.array_equal(all_[j:], tail):
+                    body = (a, b, all_[i:j].copy())
+            self.bodies[c] = body
+            self.size[0] += len(c) + (body[2].nbytes if body else 0) + 300
+
+    def agrees(self, before: bytes, join: bytes, after: bytes) -> bool:
+        return np.array_equal(self.parts[before + join + after], np.concatenate([self.parts[x] for x in (before, join, after)]))
 
     def encode_all(self, raws: list[bytes]) -> list[np.ndarray]:
-        if not self.by_words:
-            whole = {r: self.plain(r) for r in dict.fromkeys(raws)}
-            return [whole[r] for r in raws]
-        if self.size > self.most:
-            self.known.clear()
-            self.joins.clear()
-            self.size = 0
-        cut = [self.pieces(r) for r in raws]
-        self.learn({p for inner, _ in cut for p in inner}, self.known)
-        self.learn({p for _, joins in cut for p in joins}, self.joins)
-        out = []
-        for inner, joins in cut:
-            parts = [self.joins[joins[0]]]
-            for a, b in zip(inner, joins[1:]):
-                parts += [self.known[a], self.joins[b]]
-            out.append(np.concatenate(parts).astype(np.uint32))
-        return out
-
-    def learn(self, wanted: set[bytes], store: dict[bytes, np.ndarray]) -> None:
-        new = [p for p in wanted if p not in store]
-        if not new:
-            return
-        split = [p.split() for p in new]
-        if len(self.words) > self.most_words:
-            self.forget_words()
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.words))
-        for i in range(0, len(fresh), 20_000):
-            self.learn_words(fresh[i : i + 20_000])
-        index = np.fromiter((self.words[w] for words in split for w in words), np.int64)
-        sizes = self.at[index + 1] - self.at[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[index] - (ends - sizes), sizes) + np.arange(total)]
-        word_ends = np.r_[0, ends][np.cumsum([len(x) for x in split])]
-        start = 0
-        for p, end in zip(new, word_ends.tolist()):
-            store[p] = ids[start:end].astype(np.uint16 if self.small else np.uint32)
-            self.size += len(p) + 2 * (end - start) + 250
-            start = end
-
-    def learn_words(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
-        first = len(self.words)
-        self.words.update(zip(words, range(first, first + len(words))))
-        self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(x) for x in found])]
-        self.flat = np.r_[self.flat, np.fromiter((i for x in found for i in x), np.uint32)]
+        for i, store in enumerate((self.bodies, self.parts)):
+            if self.size[i] > self.most:
+                store.clear()
+                self.size[i] = 0
+        cuts = {r: cut_points(r, bits=self.bits) for r in dict.fromkeys(raws)}
+        self.learn_chunks(r[a:b] for r, cut in cuts.items() for a, b in zip([0, *cut], cut))
+        plans = {}
+        for r, cut in cuts.items():
+            bodies = [(a + body[0], a + body[1], body[2]) for a, b in zip([0, *cut], cut) if (body := self.bodies[r[a:b]])]
+            edges = [0, *(x for lo, hi, _ in bodies for x in (lo, hi)), len(r)]
+            plans[r] = bodies, [(edges[i], edges[i + 1]) for i in range(0, len(edges), 2)]
+        left = {r: [(*j, 1) for j in joins] for r, (bodies, joins) in plans.items() if bodies}
+        whole = [r for r, (bodies, _) in plans.items() if not bodies]
+        while left:
+            checks = {r: [self.around(r, *j) for j in joins] for r, joins in left.items()}
+            self.learn_parts(p for cs in checks.values() for c in cs for p in (*c, b"".join(c)))
+            again = {}
+            for r, cs in checks.items():
+                wider = [(lo, hi, 2 * n) for (lo, hi, n), c in zip(left[r], cs) if not self.agrees(*c)]
+                if any(n > 8 for *_, n in wider):
+                    whole.append(r)
+                elif wider:
+                    again[r] = wider
+            left = again
+        out = dict(zip(whole, self.ids_of(whole)))
+        self.whole += sum(len(plans[r][1]) > 1 for r in whole)
+        for r, (bodies, joins) in plans.items():
+            if r not in out:
+                ids = [self.parts[r[joins[0][0] : joins[0][1]]]]
+                for (_, _, body), (lo, hi) in zip(bodies, joins[1:]):
+                    ids += [body, self.parts[r[lo:hi]]]
+                out[r] = np.concatenate(ids)
+        return [out[r].astype(np.uint32) for r in raws]
+
+    @staticmethod
+    def around(raw: bytes, lo: int, hi: int, words: int) -> tuple[bytes, bytes, bytes]:
+        """A join with `words` words before and after it."""
+        start, stop = lo, hi
+        for _ in range(words):
+            start = max(break_before(raw, start), 0) if start else 0
+            stop = len(raw) if (to := break_after(raw, stop + 1)) < 0 else to
+        return raw[start:lo], raw[lo:hi], raw[hi:stop]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
-def _first_blank(b: bytes) -> int:
-    found = [i for c in (b" ", b"\n") if (i := b.find(c)) >= 0]
-    return min(found, default=-1)
-
-
-def _last_blank(b: bytes) -> int:
-    return max(b.rfind(b" "), b.rfind(b"\n"))
-
-
 _coders: dict[str, ChunkEncoder] = {}
 
 
@@ -203,11 +174,12 @@ def coder(path: str) -> ChunkEncoder:
 
 def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, keep: list[str] | None = None, digests: bool = False) -> DataFrame:
     """Rows of docs with the token ids of the whole text and the text decoded from them (or their digests only).
-    Any tokenizer file will do: one that keeps white space, or may, has each distinct text encoded whole.
 
-    Equals the tokenizers library on the same file without added special tokens. Rows keep their partition: no
-    shuffle. Null and empty texts encode to no ids and decode to the empty string; repeated rows and repeated
-    passages are encoded once a task; columns named like a result are replaced.
+    Equals the tokenizers library on the same file without added special tokens, whether the file keeps white space
+    or not; with a file whose encodings of chunks do not agree with those of texts, texts are encoded as a whole. Rows
+    keep their partition: no shuffle, so chunks are shared by the texts that one Python worker sees. Null and empty
+    texts encode to no ids and decode to the empty string; repeated texts, chunks and joins are encoded once as long
+    as the worker's stores hold them; columns named like a result are replaced.
     """
     path = tokenizer or default_tokenizer()
 

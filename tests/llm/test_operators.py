@@ -2,13 +2,16 @@
 tables and clashing columns."""
 
 import hashlib
+import itertools
 import math
+import os
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pitlake.llm import bpe, common, crf, kneser_ney, mixing, quality, simhash, substrings, vectors, warc
 
@@ -91,18 +94,53 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
-def test_bpe_that_keeps_blanks(docs):
+def adversarial(n, seed=11):
+    r = np.random.default_rng(seed)
+    bits = ["a", "b", "the", "The", "ing", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", ".", "...", "!", "'s", "'", "12", "3", "e\u0301", "\u0301", "\u00df", "\u65e5\u672c", "\U0001f600", "<|endoftext|>", "<|", "|>", "\u200b", "x" * 40, "\r", "-", "_"]
+    return ["".join(r.choice(bits, int(r.integers(1, 1500)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_chunks(docs, name):
+    """Chunks, joins and repairs against the library: prose, shared passages, and texts of awkward pieces."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path(name)
     tok = Tokenizer.from_file(path)
-    assert bpe.drops_blanks(bpe.default_tokenizer()) and not bpe.drops_blanks(path)
+    coder = bpe.ChunkEncoder(path, keep_mb=1)
+    shared = prose(3000)
+    texts = [f"{prose(200)}\n{shared[k:]}" for k in (0, 7, 9)] + adversarial(150) + [(t or "") for _, t, *_ in ROWS]
+    for i in range(0, len(texts), 40):
+        part = texts[i : i + 40]
+        for t, ids in zip(part, coder.encode_all([t.encode() for t in part])):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+    fresh = bpe.ChunkEncoder(path)
+    fresh.encode_all([texts[0].encode()])
+    n = len(fresh.bodies)
+    fresh.encode_all([texts[1].encode(), texts[2].encode()])
+    assert n > 20 and len(fresh.bodies) < 2 * n and fresh.whole == 0  # the shared passage's chunks are known
     for r in bpe.encode(docs, tokenizer=path).collect():
         ids = tok.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_repairs(tmp_path):
+    """A tokenizer whose pieces reach across blanks: joins widen or texts are encoded whole, and ids stay right."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {c: i for i, c in enumerate(["<unk>", "a", "b", "c", " ", "a ", "a b", " c", "b a", "b a ", "cc", "c c"])}
+    merges = [("a", " "), ("a ", "b"), ("b", " a"), (" ", "c"), ("c", "c"), ("c", " c")]
+    merges = [m for m in merges if m[0] in vocab and m[1] in vocab and m[0] + m[1] in vocab]
+    tok = Tokenizer(models.BPE(vocab, merges, unk_token="<unk>"))
+    tok.save(str(tmp_path / "crossing.json"))
+    coder = bpe.ChunkEncoder(str(tmp_path / "crossing.json"), bits=4)
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(["a", "b", "c", " ", "a b", "c c"], 400)) for _ in range(60)]
+    for t, ids in zip(texts, coder.encode_all([t.encode() for t in texts])):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_simhash(spark, docs, empty):
     def fp(t):
         w = (t or "").encode().lower().split()
@@ -211,6 +249,52 @@ def test_crf(spark):
     change, first = rng.normal(size=(3, 3)), rng.normal(size=3)
     whole = np.concatenate([one_pass(e[a:b], change, first) for a, b in zip(at, at[1:]) if b > a])
     assert np.allclose(crf.marginals(e, at, change, first), whole, atol=1e-6)
+    assert crf.languages(df.limit(0)).count() == 0
+    same = crf.languages(df.where("doc_id < 3").union(df.where("doc_id < 3")).withColumn("words", F.lit(1)).withColumn("score", F.lit("x"))).collect()
+    assert Counter(r.doc_id for r in same) == {0: 2, 1: 2, 2: 2} and {(r.words, type(r.score)) for r in same} == {(1, float)}
+
+
+def test_crf_pairs():
+    """Expected label pairs and the trained weights against enumeration of all label sequences."""
+    e, at, k = rng.normal(size=(9, 3)), np.array([0, 4, 5, 9]), 3
+    change, first = rng.normal(size=(k, k)), rng.normal(size=k)
+    want = np.zeros((k, k))
+    for a, b in zip(at, at[1:]):
+        total, part = 0.0, np.zeros((k, k))
+        for y in itertools.product(range(k), repeat=int(b - a)):
+            p = math.exp(first[y[0]] + sum(e[a + i, y[i]] for i in range(len(y))) + sum(change[y[i - 1], y[i]] for i in range(1, len(y))))
+            total += p
+            for i in range(1, len(y)):
+                part[y[i - 1], y[i]] += p
+        want += part / total
+    for block in (2, 3, 64):
+        got = np.zeros((k, k))
+        crf.marginals(e, at, change, first, block, got)
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_crf_words(spark):
+    """Code-switched text: whole words, and a change of language within a text; first is trained."""
+    def text(lang, n):
+        return " ".join("".join(rng.choice(list({"xx": "abe", "yy": "ogu"}[lang]), 5)) for _ in range(n))
+
+    samples = [(text(lang, 30), i) for _ in range(80) for i, lang in enumerate(["xx", "xx", "yy"][:2] if _ % 3 else ["xx", "yy"])]
+    samples = [(t, int(set(t) & set("ogu") != set())) for t, _ in samples]
+    model = crf.train(samples, ["xx", "yy"])
+    assert np.abs(model.first).max() > 0
+    mixed = [(i, text("xx", 12) + " " + text("yy", 9) + " 123 " + text("xx", 7)) for i in range(20)] + [(99, None), (100, ""), (101, "ab" * 5000 + " " + "ogo" * 5000)]
+    got = {r.doc_id: r for r in crf.label_words(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()}
+    want = ["xx"] * 12 + ["yy"] * 9 + ["und"] + ["xx"] * 7
+    right = sum(a == b for i in range(20) for a, b in zip(got[i].word_langs, want))
+    assert right >= 0.95 * 20 * len(want) and all(len(got[i].words) == len(want) for i in range(20))
+    assert got[99].word_langs == got[100].word_langs == [] and got[101].word_langs == ["xx", "yy"]
+    assert crf.label_words(spark.createDataFrame(mixed, "doc_id long, text string"), None).collect()[0].word_langs[0] == "und"
+
+
+def test_crf_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = crf.languages(docs, keep=["doc_id", "lang"]).where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 50 and sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)
 
 
 def one_pass(e, change, first):
@@ -274,6 +358,7 @@ def test_warc(spark):
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 9) if again else ("response", None))
         assert again or bytes(got[i].payload) == b
     assert warc.round_trip(df.limit(0)).count() == 0
+    assert warc.round_trip(df.withColumn("payload", F.lit(1)).withColumn("top", F.lit("x"))).count() == len(data)
     raw = warc.record(1, "u", b"body", 4, hashlib.sha1(b"body").hexdigest(), None)
     assert warc.parse(raw)["payload"] == b"body"
     for bad in (raw[:-1], raw.replace(b"body", b"bodx"), raw.replace(b"Length: 4", b"Length: 5"), b"x" + raw):
@@ -281,6 +366,33 @@ def test_warc(spark):
             warc.parse(bad)
 
 
+@pytest.mark.parametrize("rows", [1, 5, 400])
+def test_warc_dictionary(spark, tmp_path, rows):
+    """Every archive starts with its dictionary in a skippable frame, and its frames cannot be read without it."""
+    import zstandard
+
+    made = [(i, f"http://c/{i}", "" if rows == 1 else f"<html><body class='x'>{prose(250)}</body></html>") for i in range(rows)]
+    df = spark.createDataFrame(made, "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.round_trip(df, f"file://{tmp_path}/w").collect()}
+    assert got == {i: html for i, _, html in made}
+    files = list((tmp_path / "w").glob("*.warc.zst"))
+    assert files
+    for f in files:
+        raw = f.read_bytes()
+        magic, n = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+        assert magic == warc.DICTIONARY_MAGIC and n > 0 and len(list(warc.read_archive(raw))) > 0
+        assert (raw[8:12] == b"\x37\xa4\x30\xec") == (rows == 400)  # trained, or raw content
+        if rows == 400:
+            with pytest.raises(zstandard.ZstdError):
+                list(warc.read_archive(raw[8 + n :]))
+            packed = zstandard.ZstdCompressor().compress(raw[8 : 8 + n])  # a dictionary that is itself compressed
+            again = raw[:4] + len(packed).to_bytes(4, "little") + packed + raw[8 + n :]
+            assert [r["page_id"] for r in warc.read_archive(again)] == [r["page_id"] for r in warc.read_archive(raw)]
+        for cut in (raw[: 8 + n // 2], raw[:-3]):
+            with pytest.raises((warc.BadArchive, zstandard.ZstdError)):
+                list(warc.read_archive(cut))
+
+
 def test_vectors(spark):
     x = rng.normal(size=(60, 16))
     x = np.concatenate([x, x[:20] + rng.normal(size=(20, 16)) * 0.15, x[:10], x[:1] * 3]).astype(np.float32)
@@ -300,12 +412,27 @@ def test_vectors(spark):
     assert {(r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(zeros).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
 
 
-def test_vectors_recall(spark):
-    """Default probes against brute force on the whole small table."""
-    t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    data = [(r.vec_id, np.array(r.embedding, np.float64), r.label) for r in t.collect() if r.embedding is not None and r.label is not None]
-    x, y, ids = np.stack([v for _, v, _ in data]), np.array([l for *_, l in data]), [i for i, *_ in data]
-    cos = x @ x.T / np.sqrt(np.outer((x**2).sum(1), (x**2).sum(1)))
-    want = dict(zip(ids, ((cos >= 0.93) & (y[:, None] == y)).sum(1) - 1))
+def test_vectors_of_many_lengths(spark):
+    """Each length links by itself; null ids, extra and clashing columns."""
+    a, b = [1.0, 2.0, 3.0], [1.0, 2.0]
+    data = [(1, a, 1), (2, a, 1), (3, b, 1), (4, b, 1), (5, [1.0, 2.01], 1), (6, b, 2), (7, [4.0], 1), (None, a, 1), (8, [5.0], 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").selectExpr("*", "'x' rep", "1 n_links", "2 h")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (2, 3, True), 4: (2, 3, False), 5: (2, 3, False), 6: (0, 6, True), 7: (1, 7, True), 8: (1, 7, False), None: (0, None, False)}
+
+
+@pytest.mark.parametrize("where", ["sf0.01", "check_s"])
+def test_vectors_recall(spark, where):
+    """Settings of the query against brute force over whole tables: no link too many, nine in ten of all or more."""
+    path = f"/root/testdata/{where}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table here")
+    t = spark.read.parquet(path).select("vec_id", "embedding", "label")
+    data = [r for r in t.collect() if r.embedding and r.label is not None and all(c is not None and math.isfinite(c) for c in r.embedding) and any(r.embedding)]
+    x, y, ids = np.array([r.embedding for r in data], np.float64), np.array([r.label for r in data]), np.array([r.vec_id for r in data])
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    want = dict(zip(ids.tolist(), np.concatenate([((x[i : i + 1000] @ x.T >= 0.93) & (y[i : i + 1000, None] == y)).sum(1) - 1 for i in range(0, len(x), 1000)]).tolist()))
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(t).collect()}
-    assert all(got[i] <= want[i] for i in want) and sum(got[i] for i in want) >= 0.9 * sum(want.values())
+    total, have = sum(want.values()), sum(min(got[i], n) for i, n in want.items())
+    print(f"recall of links at {where}: {have / total:.4f} of {total}")
+    assert sum(max(0, got[i] - n) for i, n in want.items()) <= 2 and have >= 0.9 * total
