@@ -35,7 +35,6 @@ def features(words: list[str], lexicon: dict[str, list[str]]) -> tuple[np.ndarra
     for i, word in enumerate(words):
         w = plain(word)
         if w.isalpha() or any(map(str.isalpha, w)):
-            w = w if len(w) <= 60 else w[:30] + w[-30:]
             edged.append(f"^{w}$")
             of.append(i)
             found = lexicon.get(w, ["l?"])
@@ -78,8 +77,9 @@ def lexicons(words: list[tuple[str, int]], langs: int, least: int = 3) -> dict[s
     return {w: [f"l{i}:{int(4 * s)}" for i, s in enumerate(c / c.sum()) if s > 0] for w, c in counts.items() if w and c.sum() >= least}
 
 
-def marginals(e: np.ndarray, at: np.ndarray, change: np.ndarray, first: np.ndarray, block: int = 64) -> np.ndarray:
-    """Label probabilities of every position of concatenated sequences, by forward-backward.
+def marginals(e: np.ndarray, at: np.ndarray, change: np.ndarray, first: np.ndarray, block: int = 64, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities of every position of concatenated sequences, by forward-backward. The expected number of
+    each pair of neighbouring labels is added to `pairs` (langs, langs), if given.
 
     Sequences are cut into blocks whose transfer products are taken side by side; then states pass from block to
     block, and at last inside all blocks side by side. The result is that of one pass from end to end.
@@ -131,6 +131,10 @@ def marginals(e: np.ndarray, at: np.ndarray, change: np.ndarray, first: np.ndarr
         forward[:, t] = v[:, 0]
     b = back
     for t in range(block - 1, -1, -1):
+        if pairs is not None:
+            both = real[:, t] if t else real[:, 0] & ~heads
+            two = (forward[both, t - 1] if t else into[both])[:, :, None] * move * (b * x[:, t])[both, None, :]
+            pairs += (two / two.sum((1, 2), keepdims=True)).sum(0)
         forward[:, t] *= b
         moved = (b * x[:, t]) @ move.T
         b = np.where(real[:, t, None], moved, b)
@@ -154,7 +158,7 @@ def train(samples: list[tuple[str, int]], langs: list[str], epochs: int = 4, len
     at = spans(np.bincount(of, minlength=len(ids)))
     w, gw = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-3)
     change, first = np.eye(k) * 2.0, np.zeros(k)
-    gc = np.full((k, k), 1.0)
+    gc, g1 = np.full((k, k), 1.0), np.full(k, 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(coded))
         for i in range(0, len(order), batch):
@@ -175,7 +179,8 @@ def train(samples: list[tuple[str, int]], langs: list[str], epochs: int = 4, len
             own = np.repeat(np.arange(len(u)), sizes)
             e = np.zeros((len(u), k))
             np.add.at(e, own, w[mine])
-            p = marginals(e[inverse], sat, change, first)
+            expected = np.zeros((k, k))
+            p = marginals(e[inverse], sat, change, first, pairs=expected)
             off = p.copy()
             off[np.arange(len(y)), y] -= 1
             g = np.zeros((len(u), k))
@@ -189,11 +194,14 @@ def train(samples: list[tuple[str, int]], langs: list[str], epochs: int = 4, len
             inside = np.ones(len(y), bool)
             inside[sat[:-1]] = False
             t = np.flatnonzero(inside)
-            seen, expected = np.zeros((k, k)), p[t - 1].T @ p[t]  # neighbours' labels taken as independent given the text
+            seen = np.zeros((k, k))
             np.add.at(seen, (y[t - 1], y[t]), 1)
             gt = (expected - seen) / len(seqs)
             gc += gt**2
             change -= 0.1 * gt / np.sqrt(gc)
+            g0 = off[sat[:-1]].sum(0) / len(seqs)
+            g1 += g0**2
+            first -= 0.1 * g0 / np.sqrt(g1)
     return Model(langs, w.astype(np.float32), change, first, lexicon)
 
 
@@ -240,11 +248,12 @@ class Labeller:
         share = sums[np.arange(len(raw)), best] / np.maximum(n, 1)
         return {"lang_pred": [self.m.langs[b] if c else UNKNOWN for b, c in zip(best, n)], "score": [float(min(max(s, 0.0), 1.0)) if c else 0.0 for s, c in zip(share, n)]}
 
-    def words(self, raw: list[bytes]) -> list[list[str]]:
-        """The most probable language of each word."""
+    def words(self, raw: list[bytes]) -> dict[str, list]:
+        """The words, and the most probable language of each (`und` for those without a letter)."""
         x, at = self.words_of(raw)
         best = marginals(self.scores[x].astype(np.float64), at, self.m.change, self.m.first).argmax(1) if len(x) else x
-        return [[self.m.langs[i] for i in best[a:b]] for a, b in zip(at, at[1:])]
+        names = np.where(self.letters[x], np.array(self.m.langs, object)[best], UNKNOWN) if len(x) else x
+        return {"words": [[w.decode("utf-8", "replace") for w in b.split()] for b in raw], "word_langs": [list(names[a:b]) for a, b in zip(at, at[1:])]}
 
 
 def held_out(id_col: str = "doc_id", of: int = 5) -> Column:
@@ -253,20 +262,34 @@ def held_out(id_col: str = "doc_id", of: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 6000, each_lang: int = 300, chars: int = 400, max_langs: int = 64) -> Model | None:
-    """Train on a bounded sample: the `sample` labelled texts with the smallest hashes, at least each_lang of each
-    language if there are so many, and three stretches of `chars` characters of each. None without labelled words."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
+    """Train on a bounded sample of labelled texts: of each language its share of `sample`, at least each_lang if it
+    has so many, and three stretches of `chars` characters of each text. None without labelled words.
+
+    Texts are drawn by the hash of the whole text, below a threshold from the number of distinct texts of the
+    language, so that tasks send only about what is drawn; equal texts of a language count once. More than max_langs
+    languages are an error (the model has 2 ** BITS weights for each).
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.xxhash64(text_col).alias("h"))
+    have = {r["y"]: max(r["n"], 1) for r in rows.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).limit(max_langs + 1).collect()}
+    if len(have) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    if not have:
+        return None
+    langs, total = sorted(have), sum(have.values())
+    want = {y: max(each_lang, round(sample * n / total)) for y, n in have.items()}
+    rate = F.create_map(*[F.lit(x) for y in langs for x in (y, min(1.0, 1.2 * want[y] / have[y] + 1e-9))])
+    drawn = rows.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < rate[F.col("y")]).dropDuplicates(["y", "h"])
     n = F.length("t")
     parts = [F.substring("t", F.greatest(F.lit(1), (n * s).cast("int") - chars).cast("int"), F.lit(chars)) for s in (0.0, 0.5, 1.0)]
-    rows = rows.select(F.when(n <= 3 * chars, F.col("t")).otherwise(F.concat_ws(" ", *parts)).alias("t"), "y", F.xxhash64("t").alias("h"))
-    langs = sorted(r["y"] for r in rows.groupBy("y").count().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    found = rows.orderBy("h", "t", "y").limit(sample).collect()
-    for lang in langs:
-        if sum(r["y"] == lang for r in found) < each_lang:
-            found = [r for r in found if r["y"] != lang] + rows.where(F.col("y") == lang).orderBy("h", "t").limit(each_lang).collect()
-    return train([(r["t"], langs.index(r["y"])) for r in found], langs) if found else None
+    short = F.when(n <= 3 * chars, F.col("t")).otherwise(F.concat_ws(" ", *parts))
+    found = sorted((r["h"], r["t"], r["y"]) for r in drawn.select(F.shiftrightunsigned("h", 11).alias("h"), short.alias("t"), "y").collect())
+    taken: dict[str, int] = dict.fromkeys(langs, 0)
+    samples = []
+    for _, t, y in found:
+        if taken[y] < want[y]:
+            taken[y] += 1
+            samples.append((t, langs.index(y)))
+    return train(samples, langs)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -274,7 +297,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     a letter, and that mean. Whole texts; no shuffle. The model (bounded: 2 ** BITS rows, and the sample's words) is
     broadcast.
 
-    Null texts and those without a letter get `und` and 0, and so do all without a model. Repeated rows get equal
+    Words of any length count whole. Null texts and those without a letter get `und` and 0, and so do all without a model. Repeated rows get equal
     results. Input columns lang_pred and score are replaced.
     """
     kinds = {"lang_pred": "string", "score": "double"}
@@ -289,3 +312,13 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
     cols = [c for c in (docs.columns if keep is None else keep) if c.lower() != "held_out"]
     return identify(docs.select(*dict.fromkeys([*cols, text_col]), held_out(id_col).alias("held_out")), model, text_col, [*cols, "held_out"])
+
+
+def label_words(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Rows of docs with `words` and `word_langs`: the language of each word of a text that may change its language
+    on the way, by forward-backward over the whole text; `und` for words without a letter, and for all without a
+    model. Null and empty texts have no words. Input columns of these names are replaced."""
+    kinds = {"words": "array<string>", "word_langs": "array<string>"}
+    model = model or Model([UNKNOWN], np.zeros((1 << BITS, 1), np.float32), np.zeros((1, 1)), np.zeros(1), {})
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return with_text_columns(docs, text_col, kinds, lambda raw, labeller: labeller.words(raw), keep, words_at_once=200_000, setup=lambda: Labeller(shared.value))
