@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,13 +176,45 @@ def _compare(index, least: float, reach: float):
     return run
 
 
+def _links(fit: DataFrame, n: int, dim: int, kind: str, least: float, sample: int, parts: int, words: int, margin: float | None, split_above: int) -> DataFrame:
+    """Links (rep, n) of distinct vectors of one length, and edges (a, b) that span them; see near_duplicates."""
+    spark = fit.sparkSession
+    rate = 1.1 * sample / n + 1e-9  # drawn by hash, so that tasks send no more than about the sample
+    drawn = fit.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < rate).select("h", "g", "rep", "v").collect()
+    x = np.array([r["v"] for r in sorted(drawn)[:sample]] or fit.select("v").first()[:1], np.float64)
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    index = spark.sparkContext.broadcast(build(x, max(1, min(len(x) // 8, math.isqrt(n))), min(parts, dim), words))
+    reach = math.sqrt(2 - 2 * least)
+    near = reach if margin is None else min(reach, margin * reach / math.sqrt(dim))
+    label = fit.schema["label"].dataType.simpleString()
+    placed = table(fit.select("rep", "copies", "label", "v").mapInArrow(_assign(index, near), f"rep long, copies long, label {label}, v {kind}, home int, probes array<int>, code binary, off double"), "placed")
+    full = placed.select("label", F.explode("probes").alias("at")).groupBy("label", "at").count().where(F.col("count") > split_above)
+    full = full.select("label", "at", F.ceil(F.col("count") / split_above).cast("int").alias("many"))
+    shares = F.coalesce("many", F.lit(1))
+    block = F.pmod(F.xxhash64("rep"), shares).cast("int")
+    each = F.sequence(F.lit(0), shares - 1)
+
+    def cell(members: Column, queries: Column, member: Column, query: Column) -> Column:
+        return F.struct(members.alias("mi"), queries.alias("qi"), member.alias("member"), query.alias("query"))
+
+    yes, no = F.lit(True), F.lit(False)
+    probing = placed.withColumn("at", F.explode(F.filter("probes", lambda p: p != F.col("home")))).withColumns({"probes": F.lit(None).cast("array<int>"), "code": F.lit(None).cast("binary")})
+    queries = probing.join(full, ["label", "at"], "left").withColumn("c", F.explode(F.transform(each, lambda i: cell(i, block, no, yes))))
+    alike = F.concat(F.transform(each, lambda j: cell(block, j, yes, block == j)), F.transform(F.filter(each, lambda i: i != block), lambda i: cell(i, block, no, yes)))
+    members = placed.withColumn("at", F.col("home")).join(full, ["label", "at"], "left").withColumn("c", F.explode(alike))
+    cols = ["label", "at", "c.*", "rep", "copies", "v", "home", "probes", "code", "off"]
+    both = members.select(*cols).union(queries.select(*cols))
+    return table(both.groupBy("label", "at", "mi", "qi").applyInArrow(_compare(index, least, reach), "rep long, n long, a long, b long"), "vector-links")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = 20_000, parts: int = 8, words: int = 256, margin: float | None = 1.5, split_above: int = 8000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: how many other vectors of its (non-null) label have a
     cosine of at least `least`, the smallest id reachable over such links, and whether that is its own.
 
     Equal vectors of a label are compared once and counted by their number. The index is fitted on the `sample`
     vectors with the smallest hashes; all vectors are in it. The number of lists follows the square root of the
-    number of vectors (4096 at most, so that the index is bounded). A query probes its own list and those whose
+    number of vectors, up to sample // 8 (2500), so that the index is bounded; from 6 million vectors on lists grow
+    with the table unless sample does. A query probes its own list and those whose
     dividing plane is within `margin` * reach / sqrt(dimensions) of it, where reach is the distance at the cosine
     `least`: two vectors that far apart in a random direction differ by 1 / sqrt(dimensions) of that along the line
     between two centres. A pair is found if either of the two probes the other's list. margin=None takes the whole
@@ -189,8 +222,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     distances drop what the bound with the code's own error rules out, and exact cosines in double precision decide.
     A list with more than split_above queries is cut into blocks of members and of queries, each pair of them a task's group.
 
-    Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components, and those
-    with a null label or id, link with nothing: 0 links, their own component. Repeated rows are vectors of their own
+    Vectors of different lengths do not link; each length has an index of its own, one after another. Vectors that are
+    null, empty, zero, or hold null or non-finite components, and those with a null label or id, link with nothing: 0 links, their own component. Repeated rows are vectors of their own
     and link like copies; 0.0 and -0.0 are equal. Extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -201,42 +234,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     plain = F.transform("v", lambda x: x + F.lit(0).cast(kind[6:-1]))  # no negative zeros
     hashed = base.where(usable).withColumn("v", plain).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")})
     reps = table(hashed.groupBy("label", "h", "g").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    lengths = [r[0] for r in reps.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()]
+    lengths = {r["d"]: r["n"] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    got = [_links(reps.where(F.size("v") == d), n, d, kind, least, sample, parts, words, margin, split_above) for d, n in sorted(lengths.items()) if n > 1]
     own = F.col("id").alias("component_id")
-    if not lengths:
-        return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), own, F.col("id").isNotNull().alias("kept"))
-    fit = reps.where(F.size("v") == lengths[0])
-    n = fit.count()
-    drawn = fit.orderBy("h", "g", "rep").limit(sample).select("v").collect()
-    x = np.array([r[0] for r in drawn], np.float64)
-    x /= np.sqrt((x**2).sum(1, keepdims=True))
-    index = spark.sparkContext.broadcast(build(x, max(1, min(4096, len(x) // 8, math.isqrt(n))), min(parts, lengths[0]), words))
-    reach = math.sqrt(2 - 2 * least)
-    near = reach if margin is None else min(reach, margin * reach / math.sqrt(lengths[0]))
-    label = fit.schema["label"].dataType.simpleString()
-    placed = table(fit.select("rep", "copies", "label", "v").mapInArrow(_assign(index, near), f"rep long, copies long, label {label}, v {kind}, home int, probes array<int>, code binary, off double"), "placed")
-    full = placed.select("label", F.explode("probes").alias("at")).groupBy("label", "at").count().where(F.col("count") > split_above)
-    full = full.select("label", "at", F.ceil(F.col("count") / split_above).cast("int").alias("many"))
-    shares = F.coalesce("many", F.lit(1))
-    block = F.pmod(F.xxhash64("rep"), shares).cast("int")
-    each = F.sequence(F.lit(0), shares - 1)
-
-    def cell(members: Column, queries: Column, member: Column, query: Column) -> Column:
-        return F.struct(members.alias("mi"), queries.alias("qi"), member.alias("member"), query.alias("query"))
-
-    yes, no = F.lit(True), F.lit(False)
-    probing = placed.withColumn("at", F.explode(F.filter("probes", lambda p: p != F.col("home")))).withColumns({"probes": F.lit(None).cast("array<int>"), "code": F.lit(None).cast("binary")})
-    queries = probing.join(full, ["label", "at"], "left").withColumn("c", F.explode(F.transform(each, lambda i: cell(i, block, no, yes))))
-    alike = F.concat(F.transform(each, lambda j: cell(block, j, yes, block == j)), F.transform(F.filter(each, lambda i: i != block), lambda i: cell(i, block, no, yes)))
-    members = placed.withColumn("at", F.col("home")).join(full, ["label", "at"], "left").withColumn("c", F.explode(alike))
-    cols = ["label", "at", "c.*", "rep", "copies", "v", "home", "probes", "code", "off"]
-    both = members.select(*cols).union(queries.select(*cols))
-    got = table(both.groupBy("label", "at", "mi", "qi").applyInArrow(_compare(index, least, reach), "rep long, n long, a long, b long"), "vector-links")
-    links = got.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("far"))
-    roots = components(got.where("a is not null").select("a", "b"))
-    fits = F.size("v") == lengths[0]
-    known = reps.select("label", "h", "g", "rep", "copies", fits.alias("in")).join(links, "rep", "left").join(roots, F.col("rep") == roots.node, "left")
-    known = known.select("label", "h", "g", (F.coalesce("far", F.lit(0)) + F.when(F.col("in"), F.col("copies") - 1).otherwise(0)).alias("n_links"), F.coalesce("root", "rep").alias("root"), "in")
-    linked = hashed.select("id", "label", "h", "g").join(known, ["label", "h", "g"]).select("id", "n_links", F.when(F.col("in"), F.col("root")).otherwise(F.col("id")).alias("component_id"))
+    known = reps.select("label", "h", "g", "rep", "copies")
+    if got:
+        links = reduce(DataFrame.union, got)
+        roots = components(links.where("a is not null").select("a", "b"))
+        known = known.join(links.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("far")), "rep", "left").join(roots, F.col("rep") == roots.node, "left")
+    else:
+        known = known.withColumns({"far": F.lit(0).cast("long"), "root": F.lit(None).cast("long")})
+    known = known.select("label", "h", "g", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    linked = hashed.select("id", "label", "h", "g").join(known, ["label", "h", "g"]).select("id", "n_links", "component_id")
     rest = base.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), own)
     return linked.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
