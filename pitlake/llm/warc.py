@@ -101,15 +101,16 @@ def read_archive(raw: bytes) -> Iterator[dict]:
 
 
 def train_dictionary(pages: DataFrame, sample: int = 2000, each: int = 20_000, size: int = 64 << 10) -> bytes:
-    """A dictionary from at most `sample` payloads, `each` bytes of each; empty if they are too few."""
-    rows = pages.where("payload is not null").select(F.substring("payload", 1, each)).limit(sample).collect()
-    samples = [bytes(r[0]) for r in rows if r[0]]
-    if sum(map(len, samples)) < 4 * size or len(samples) < 50:
-        return b""
+    """A dictionary from records of at most `sample` pages (payload, url), `each` bytes of each payload. Where they are
+    too few or too short to train on, a raw one: the last `size` bytes of them, or of an empty record; never empty."""
+    rows = pages.where("payload is not null").select(F.substring("payload", 1, each), "url").limit(sample).collect()
+    samples = [record(i, r[1], bytes(r[0]), len(r[0]), hashlib.sha1(bytes(r[0])).hexdigest(), None) for i, r in enumerate(rows)]
+    total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        trained = zstandard.train_dictionary(min(size, total // 8), samples).as_bytes() if total >= 8 * 1024 else b""
     except zstandard.ZstdError:
-        return b""
+        trained = b""
+    return trained or b"".join(samples or [record(0, "http://", b"", 0, "0" * 40, None)])[-size:]
 
 
 def resolved(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -124,7 +125,7 @@ def resolved(pages: DataFrame, least: int = 1000) -> DataFrame:
     return p.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, dictionary: bytes = b"", archive_bytes: int = 256 << 20) -> DataFrame:
+def write(pages: DataFrame, path: str, dictionary: bytes = b"", archive_bytes: int = 64 << 20) -> DataFrame:
     """Write resolved pages as .warc.zst archives under path; returns (path, records, bytes) of each.
 
     A task writes its rows as one archive, and a further one for each archive_bytes. Names come from the task's
@@ -190,7 +191,7 @@ def round_trip(pages: DataFrame, path: str | None = None, least: int = 1000) ->
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    sample = pages.select(F.col("html").cast("binary").alias("payload"))
+    sample = pages.select(F.col("html").cast("binary").alias("payload"), "url")
     done = write(resolved(pages, least), path, train_dictionary(sample))
     if done.isEmpty():
         return spark.createDataFrame([], RECORD)
