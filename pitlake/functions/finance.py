@@ -36,6 +36,14 @@ def dupont(profit: Column, revenue: Column, assets: Column, equity: Column) -> C
     return F.struct(margin.alias("net_margin"), turnover.alias("asset_turnover"), leverage.alias("equity_multiplier"), (margin * turnover * leverage).alias("roe"))
 
 
+def derived(operation: Column, a: Column, b: Column, alike: Column) -> Column:
+    """struct<failure, value> of `ratio`, `one_minus_ratio` or `difference` of two operands that are defined alike."""
+    q = F.try_divide(a, b)
+    value = F.when(operation == "ratio", q).when(operation == "one_minus_ratio", 1 - q).otherwise(a - b)
+    failure = F.when(a.isNull() | b.isNull(), "missing_operand").when(~alike, "definition_mismatch").when(value.isNull(), "zero_denominator")
+    return F.struct(failure.alias("failure"), F.when(failure.isNull(), value).alias("value"))
+
+
 def roic(operating_profit: Column, tax: Column, capital: Column) -> Column:
     return F.when(tax.between(0, 1), F.try_divide(operating_profit * (1 - tax), capital))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitlake.plans import evidence  # noqa: F401  (registers its queries)
+from pitlake.plans import evidence, valuation  # noqa: F401  (they register their queries)
 from pitlake.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "metrics_quarterly"
