@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,6 +99,8 @@ def linked_groups(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFra
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pitlake-"))
@@ -130,20 +133,38 @@ def tiles(df: DataFrame, start: str, end: str, days: int) -> DataFrame:
 def series_links(events: DataFrame, keys: list[str], max_days: int = 800) -> DataFrame:
     """Event chains within each key, in order of availability: an event with a known identity joins its root; one
     without joins the only open root of the last max_days days; with several open ones it starts a new root, marked
-    ambiguous. The fold keeps state, so a key's rows meet in one pandas group: its events, by contract few."""
-    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    ambiguous.
 
-    def fold(pdf):
-        roots, known, out = {}, {}, []
-        for r in pdf.sort_values(["available_at", "event_id"]).itertuples():
-            fit = [e for e, (last, open_) in roots.items() if open_ and (r.available_at - last).days <= max_days]
-            own = known.get(r.identity) if isinstance(r.identity, str) else None
-            root = own if own is not None else fit[0] if len(fit) == 1 and not isinstance(r.identity, str) else r.event_id
-            roots[root] = (r.available_at, not r.closes)
-            if isinstance(r.identity, str):
-                known[r.identity] = root
-            out.append((r.event_id, root, own is None and not isinstance(r.identity, str) and len(fit) > 1))
-        got = pdf.__class__(out, columns=["event_id", "root_event_id", "ambiguous"])
-        return pdf[keys].iloc[:1].merge(got, how="cross")
-
-    return events.groupBy(*keys).applyInPandas(fold, f"{kinds}, event_id long, root_event_id long, ambiguous boolean")
+    Spark sorts each key's events within its partition, and a task folds the stream batch by batch. Its state is the
+    roots of the key at hand that are open and not older than max_days, and the roots of its identities."""
+    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    limit = max_days * 86_400_000_000
+
+    def fold(batches):
+        key, open_, known = None, {}, {}
+        for b in batches:
+            at = b.column("_at").to_pylist()
+            ids, identities, closes = (b.column(c).to_pylist() for c in ("event_id", "identity", "closes"))
+            roots, unsure = [], []
+            for i, k in enumerate(zip(*(b.column(c).to_pylist() for c in keys))):
+                if k != key:
+                    key, open_, known = k, {}, {}
+                identity, ambiguous = identities[i], False
+                root = known.get(identity) if identity is not None else None
+                if root is None and identity is None:
+                    open_ = {r: t for r, t in open_.items() if at[i] - t <= limit}
+                    ambiguous = len(open_) > 1
+                    root = next(iter(open_)) if len(open_) == 1 else None
+                root = ids[i] if root is None else root
+                open_.pop(root, None)
+                if not closes[i]:
+                    open_[root] = at[i]
+                if identity is not None:
+                    known[identity] = root
+                roots.append(root), unsure.append(ambiguous)
+            cols = [*(b.column(c) for c in keys), b.column("event_id"), pa.array(roots, pa.int64()), pa.array(unsure, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "event_id", "root_event_id", "ambiguous"])
+
+    rows = events.select(*keys, "event_id", "identity", F.unix_micros(F.col("available_at").cast("timestamp")).alias("_at"), F.coalesce("closes", F.lit(False)).alias("closes"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "event_id")
+    return dealt.mapInArrow(fold, f"{kinds}, event_id long, root_event_id long, ambiguous boolean")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitlake.functions import finance, periods as when, rules
+from pitlake.functions import finance, periods as when, rules, text
 from pitlake.operators import evidence
 from pitlake.plans.queries import query
 from pitlake.sources.tables import read
@@ -75,11 +75,11 @@ def lineage_closure(spark, sf_dir):
     return evidence.lineage(e, "p_partkey", "parent")
 
 
-@query("SELECT event_id, event_id * 2 AS ref FROM events WHERE event_id % 11 = 0 AND event_id * 2 NOT IN (SELECT event_id FROM events)")
+@query("SELECT event_id, event_id * 3 + 1 AS ref FROM events WHERE event_id * 3 + 1 NOT IN (SELECT event_id FROM events)")
 def dangling_references(spark, sf_dir):
     """Claims on what isn't there."""
     e = read(spark, sf_dir, "events").select("event_id")
-    return evidence.dangling(e.where("event_id % 11 = 0").withColumn("ref", F.col("event_id") * 2), "ref", e, "event_id").select("event_id", "ref")
+    return evidence.dangling(e.withColumn("ref", F.col("event_id") * 3 + 1), "ref", e, "event_id").select("event_id", "ref")
 
 
 @query("SELECT e.event_id, e.event_id * 2 AS ref FROM events e LEFT JOIN events t ON t.event_id = e.event_id * 2 WHERE t.event_id IS NULL AND e.event_id IS NOT NULL")
@@ -115,10 +115,10 @@ def historic_percentile(spark, sf_dir):
     return p.join(o, "p_partkey", "left").groupBy("p_partkey").agg(F.try_divide(F.count_if(F.col("v") <= F.col("now")).cast("double"), F.count("v")).alias("share"))
 
 
-@query("SELECT n_name, count(c_custkey) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS n_debtors FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_custkey % 40 = 1 GROUP BY 1")
+@query("SELECT n_name, count(c_custkey) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS n_debtors FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey  GROUP BY 1")
 def dataset_counts(spark, sf_dir):
     """Counters by group, groups without rows included."""
-    c = read(spark, sf_dir, "customer").where("c_custkey % 40 = 1").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("d"))
+    c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("d"))
     zero = F.lit(0).cast("long")
     return read(spark, sf_dir, "nation").join(c, "n_nationkey", "left").select("n_name", F.coalesce("n", zero).alias("n"), F.coalesce("d", zero).alias("n_debtors"))
 
@@ -194,12 +194,12 @@ def field_resolution(spark, sf_dir):
     return evidence.resolve_fields(read(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_discount") > 0.03, order, "l_extendedprice")
 
 
-@query("""WITH f AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS old FROM events WHERE event_id % 40 < 3), g AS (SELECT f.*, event_id IN (SELECT old FROM f WHERE old IS NOT NULL) AS gone FROM f)
+@query("""WITH f AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS old FROM events WHERE value IS NOT NULL), g AS (SELECT f.*, event_id IN (SELECT old FROM f WHERE old IS NOT NULL) AS gone FROM f)
 SELECT event_id, CASE WHEN gone THEN 'superseded' WHEN count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY user_id, event_type) > 1 THEN 'conflict' ELSE 'current' END AS status FROM g""")
 def fact_lifecycle(spark, sf_dir):
     """Superseded, conflicting and current facts."""
     e = F.col("event_id")
-    f = read(spark, sf_dir, "events").where(e % 40 < 3).select("event_id", "user_id", "event_type", F.when(e % 3 == 0, e - 1).alias("old"))
+    f = read(spark, sf_dir, "events").where("value is not null").select("event_id", "user_id", "event_type", F.when(e % 3 == 0, e - 1).alias("old"))
     return evidence.lifecycle(f, "event_id", "old", ["user_id", "event_type"]).select("event_id", "status")
 
 
@@ -228,10 +228,12 @@ def sensitivity_grid(spark, sf_dir):
     return c.select("c_custkey", "rate", "growth", F.round(v, 8).alias("value"))
 
 
-@query("SELECT conv_id, turn, substr(text, 1, 300) AS snippet FROM conversations WHERE contains(lower(text), 'data')")
+@query("""SELECT conv_id, turn, substr(text, greatest(instr(lower(text), 'the') - 150, 1), 303) AS snippet, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS hits FROM conversations WHERE contains(lower(text), 'the')""")
 def text_search(spark, sf_dir):
-    """Texts that hold a word, with a snippet."""
-    return read(spark, sf_dir, "conversations").where(F.lower("text").contains("data")).select("conv_id", "turn", F.substring("text", 1, 300).alias("snippet"))
+    """Texts that hold a word, with how often and what stands around its first place."""
+    low = F.lower("text")
+    hits = F.expr("(length(lower(text)) - length(replace(lower(text), 'the', ''))) div 3").cast("long")
+    return read(spark, sf_dir, "conversations").where(low.contains("the")).select("conv_id", "turn", text.snippet(F.col("text"), "the").alias("snippet"), hits.alias("hits"))
 
 
 @query("SELECT o_orderkey, o_orderdate, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderdate <= TIMESTAMP '1999-06-30' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")

@@ -121,13 +121,13 @@ def payload_conflicts(spark, sf_dir):
     return versions.conflicts(read(spark, sf_dir, "events"), ["user_id", "event_type"], "props")
 
 
-@query("""WITH t AS (SELECT event_id, event_type AS payload FROM events WHERE event_id % 2 = 0), i AS (SELECT DISTINCT event_id, payload FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'changed' ELSE event_type END AS payload FROM events WHERE event_id % 5 IN (0, 1)))
+@query("""WITH t AS (SELECT event_id, event_type AS payload FROM events WHERE event_type <> 'view'), i AS (SELECT event_id, CASE WHEN value > 50 THEN 'changed' ELSE event_type END AS payload FROM events)
 SELECT event_id, payload FROM i WHERE event_id NOT IN (SELECT event_id FROM t)""")
 def immutable_append(spark, sf_dir):
     """What an append adds; rows known already and conflicts stay out."""
     e = read(spark, sf_dir, "events")
-    table = e.where("event_id % 2 = 0").select("event_id", F.col("event_type").alias("payload"))
-    new = e.where("event_id % 5 in (0, 1)").select("event_id", F.when(F.col("event_id") % 10 == 0, "changed").otherwise(F.col("event_type")).alias("payload"))
+    table = e.where("event_type <> 'view'").select("event_id", F.col("event_type").alias("payload"))
+    new = e.select("event_id", F.when(F.col("value") > 50, "changed").otherwise(F.col("event_type")).alias("payload"))
     return versions.immutable_append(table, new, "event_id", "payload")[0]
 
 
@@ -224,13 +224,11 @@ def running_balance(spark, sf_dir):
     return analytics.running_balance(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], a).select("event_id", "user_id", F.col("balance").cast("double").alias("balance"), "integrity")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey + 1 AS b FROM lineitem WHERE l_suppkey % 7 NOT IN (0, 6)), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM b UNION SELECT r.n, b.b FROM r JOIN b ON r.m = b.a)
-SELECT n AS node, min(m) AS root FROM r GROUP BY 1""")
+@query("SELECT DISTINCT n AS node, n - n % 7 AS root FROM (SELECT l_suppkey AS n FROM lineitem UNION ALL SELECT l_suppkey - l_suppkey % 7 FROM lineitem)")
 def linked_groups(spark, sf_dir):
-    """Groups of linked nodes."""
+    """Groups of linked nodes: each supplier with the head of its seven."""
     s = F.col("l_suppkey")
-    e = read(spark, sf_dir, "lineitem").where(~(s % 7).isin(0, 6)).select(s.alias("a"), (s + 1).alias("b")).distinct()
-    return analytics.linked_groups(e, "a", "b")
+    return analytics.linked_groups(read(spark, sf_dir, "lineitem").select(s.alias("a"), (s - s % 7).alias("b")).distinct(), "a", "b")
 
 
 @query()
@@ -276,10 +274,18 @@ def discounted_value(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.round(v(F.lit(100.0)), 6).alias("unit_value"), F.round(v(F.col("c_acctbal")), 4).alias("value"))
 
 
-@query()
+def _ahead(g: str) -> str:
+    years = " + ".join(f"c_acctbal * power(1 + {g}, {j}) / power(1.1e0, {j})" for j in range(1, 6))
+    return f"({years} + c_acctbal * power(1 + {g}, 5) * 1.02e0 / 0.08e0 / power(1.1e0, 5))"
+
+
+@query(f"""WITH RECURSIVE r(k, c_acctbal, i, lo, hi) AS (SELECT c_custkey, c_acctbal, 0, -0.5e0, 1e0 FROM customer WHERE c_acctbal > 0 AND 5000 BETWEEN {_ahead("(-0.5e0)")} AND {_ahead("1e0")}
+  UNION ALL SELECT k, c_acctbal, i + 1, CASE WHEN {_ahead("((lo + hi) / 2)")} < 5000 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_ahead("((lo + hi) / 2)")} < 5000 THEN hi ELSE (lo + hi) / 2 END FROM r WHERE i < 50)
+SELECT c_custkey, round((lo + hi) / 2, 8) AS growth FROM customer LEFT JOIN (SELECT * FROM r WHERE i = 50) ON k = c_custkey""")
 def implied_growth(spark, sf_dir):
     """Reverse DCF by bisection."""
-    return read(spark, sf_dir, "customer").select("c_custkey", finance.implied_growth(F.lit(5000.0), F.col("c_acctbal"), F.lit(0.1), F.lit(0.02)).alias("growth"))
+    g = finance.implied_growth(F.lit(5000.0), F.col("c_acctbal"), F.lit(0.1), F.lit(0.02))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.round(g, 8).alias("growth"))
 
 
 @query("SELECT c_custkey, round(b + b * 0.05 / 1.1 + b * 1.09 * 0.05 / power(1.1, 2) + b * power(1.09, 2) * 0.05 / power(1.1, 3), 6) AS value FROM (SELECT c_custkey, c_acctbal AS b FROM customer)")
@@ -311,7 +317,7 @@ def html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, substr(sha256(concat_ws('|', coalesce('v' || CAST(page_id AS VARCHAR), 'n'), coalesce('v' || url, 'n'))), 1, 20) AS content_id FROM pages")
+@query("SELECT page_id, substr(sha256(concat_ws('|', coalesce(strlen(CAST(page_id AS VARCHAR)) || ':' || page_id, 'n'), coalesce(strlen(url) || ':' || url, 'n'))), 1, 20) AS content_id FROM pages")
 def content_ids(spark, sf_dir):
     """Content-addressed ids."""
     return read(spark, sf_dir, "pages").select("page_id", text.content_id("page_id", "url", digits=20).alias("content_id"))
@@ -320,13 +326,13 @@ def content_ids(spark, sf_dir):
 RULES = [("query", 3, [r"\?"], [r"\bthe\b"], ["zzz"]), ("long", 2, ["^.{200,}"], [r"\band\b"], []), ("digits", 1, [r"[0-9]{3}"], [], [r"\?"])]
 
 
-@query("""WITH s AS (SELECT conv_id, turn, substr(text, 1, 300) AS t, text AS b FROM conversations), n AS (SELECT *, 1000 * regexp_matches(t, '\\?')::INT + 10 * regexp_matches(b, '\\bthe\\b')::INT AS q, 1000 * regexp_matches(t, '^.{200,}')::INT + 10 * regexp_matches(b, '\\band\\b')::INT AS l, 1000 * regexp_matches(t, '[0-9]{3}')::INT AS d, regexp_matches(t, '\\?') AS veto, regexp_matches(t, 'zzz') AS zzz FROM s WHERE t IS NOT NULL),
+@query("""WITH s AS (SELECT conv_id, turn, split_part(text, chr(10), 1) AS t, text AS b FROM conversations), n AS (SELECT *, 1000 * regexp_matches(t, '\\?')::INT + 10 * regexp_matches(b, '\\bthe\\b')::INT AS q, 1000 * regexp_matches(t, '^.{200,}')::INT + 10 * regexp_matches(b, '\\band\\b')::INT AS l, 1000 * regexp_matches(t, '[0-9]{3}')::INT AS d, regexp_matches(t, '\\?') AS veto, regexp_matches(t, 'zzz') AS zzz FROM s WHERE t IS NOT NULL),
 m AS (SELECT *, CASE WHEN q > 0 AND NOT zzz THEN q + 3 ELSE -1 END AS sq, CASE WHEN l > 0 THEN l + 2 ELSE -1 END AS sl, CASE WHEN d > 0 AND NOT veto THEN d + 1 ELSE -1 END AS sd FROM n)
 SELECT conv_id, turn, CASE greatest(sq, sl, sd) WHEN -1 THEN NULL WHEN sq THEN 'query' WHEN sl THEN 'long' ELSE 'digits' END AS type, CASE WHEN greatest(sq, sl, sd) > 0 THEN greatest(sq, sl, sd) END AS score FROM m""")
 def rule_classification(spark, sf_dir):
-    """Rules with title, body and veto patterns."""
+    """Rules with patterns of the title (the first line), body and veto."""
     c = read(spark, sf_dir, "conversations").where("text is not null")
-    best = text.best_rule(F.substring("text", 1, 300), F.col("text"), RULES)
+    best = text.best_rule(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"), RULES)
     return c.select("conv_id", "turn", best.alias("b")).select("conv_id", "turn", F.col("b.type").alias("type"), F.col("b.score").alias("score"))
 
 
