@@ -96,3 +96,31 @@ def latest_distinct(rows: DataFrame, keys: list[str], content: list[str], order:
     """The n newest rows of each key, of rows with equal content the newest only."""
     one = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *content).orderBy(*order))).where("_n = 1")
     return one.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def referenced(sources: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Sources that something refers to; all of them when there is no reference at all."""
+    if references.where(F.col(key).isNotNull()).isEmpty():
+        return sources
+    return sources.join(references.select(key), key, "left_semi")
+
+
+def cycles(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+    """The smallest node of each cycle of a graph in which a node has at most one edge out: nodes that are still on
+    their way after as many steps as there are nodes, by path doubling; then the smallest node that each comes by."""
+    up = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("to"), F.least(a, b).alias("least")))
+    steps, n = 1, up.count()
+    for _ in range(rounds):
+        if steps > n:
+            break
+        nxt = up.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("least").alias("more"))
+        up = _cut(up.join(nxt, "to").select("node", F.col("next").alias("to"), F.least("least", "more").alias("least")))
+        steps *= 2
+    return up.join(up.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select(F.col("least").alias("node")).distinct()
+
+
+def person_key(name: str) -> Column:
+    """A name in lower case without blanks, dots, dashes and underscores. Compatibility forms (full width) of letters
+    and digits become plain ones."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    return F.regexp_replace(F.lower(F.translate(F.col(name), wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))), r"[\s\u00b7\u2022\u30fb._-]+", "")

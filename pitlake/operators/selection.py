@@ -89,6 +89,27 @@ def verified_pairs(facts: DataFrame, keys: list[str], comparable: list[str], tol
     return f.select(*keys, "fact_id", "best_fact_id", status.alias("status"), off.alias("difference"))
 
 
+def roots(edges: DataFrame, child: str, parent: str, most: int = 40) -> DataFrame:
+    """(node, root): the node that a chain of parents ends at, by path doubling (log2 of the longest chain's rounds)."""
+    up = edges.select(F.col(child).alias("node"), F.col(parent).alias("to"))
+    for _ in range(most):
+        longer = cut(up.join(up.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.col("to"), "next"))
+        if longer.where("next is not null").isEmpty():
+            return longer.select("node", F.col("to").alias("root"))
+        up = longer.select("node", F.coalesce("next", "to").alias("to"))
+    raise RuntimeError("a node is its own ancestor")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in the whole order: range partitions are counted, and rows numbered within each,
+    so that no task sees all of them."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row a partition
+    within = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return within.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+
+
 def depths(edges: DataFrame, child: str, parent: str, most: int = 40) -> DataFrame:
     """(node, depth): how many plans a plan waits for in a row, by path doubling: each round doubles the length of the
     pointers, so a chain of n needs log2(n) rounds. A node has one parent; a cycle is an error."""

@@ -28,5 +28,6 @@ def write_manifested(df: DataFrame, manifest: DataFrame, key: str, path: str) ->
 
 def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines) of JSON lines of a declared schema."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select(F.col("_bad").alias("line"))
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    raw = spark.read.text(path).where("trim(value) <> ''").select("value", parsed.alias("r"))
+    return raw.where("r._bad is null").select("r.*").drop("_bad"), raw.where("r._bad is not null").select(F.col("value").alias("line"))
