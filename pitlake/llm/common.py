@@ -167,6 +167,27 @@ def inverses(n: int) -> np.ndarray:
     return _grown("i", pow(_R, -1, 1 << 64), n)
 
 
+def hashed_words(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts one after another, and the texts' offsets. A word's
+    hash is a polynomial over its bytes, taken from running sums of about `block` bytes at a time."""
+    raw = b"\n".join(texts) + b"\n"
+    out, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        stop = min(at + block, len(raw))
+        cut = max(raw.rfind(b" ", at, stop), raw.rfind(b"\n", at, stop)) + 1
+        if cut <= at:  # one word longer than a block
+            cut = min(i for i in (raw.find(b" ", stop), raw.find(b"\n", stop)) if i >= 0) + 1
+        x = np.frombuffer(raw, np.uint8, cut - at, at)
+        edges = np.flatnonzero(np.diff((x == 32) | ((x >= 9) & (x <= 13)), prepend=True))
+        starts, ends = edges[0::2], edges[1::2]
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(len(x)), out=total[1:])
+        out.append(mix64((total[ends] - total[starts]) * inverses(len(x))[starts]))
+        places.append(starts + at)
+        at = cut
+    return np.concatenate(out), np.searchsorted(np.concatenate(places), spans([len(t) + 1 for t in texts]))
+
+
 def near_pairs(values: np.ndarray, keys: np.ndarray, near: Callable, dense_above: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with equal key for which near(a, b) holds.
 
