@@ -11,26 +11,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import mix64, shared_dir, slices, spans, table, with_text_columns
-from pitlake.llm.packed import WordHashes, batch, found, mapped, merged, pack, put, runs_of, small, summed, unpack
+from pitlake.llm.common import hashed_words, mix64, shared_dir, slices, table, with_text_columns
+from pitlake.llm.packed import batch, found, mapped, merged, pack, put, runs_of, small, summed, unpack
 
-LOW = np.uint64((1 << 48) - 1)
 START, END = np.uint64(1), np.uint64(2)
 #: The words whose contexts are dealt by bigram: those with at least this many tokens, and this share of all tokens.
 HOT_TOKENS, HOT_SHARE = 100_000, 1 / 65_536
 
 
-def tokens(raw: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys (48 bits) of all texts with an end after each; the key before each; offsets of the texts."""
-    lists = [b.lower().split() for b in raw]
-    at = spans([len(w) + 1 for w in lists])
+def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys (64 bits) of all texts with an end after each; the key before each; offsets of the texts."""
+    words, at = hashed_words([b.lower() for b in raw])
+    words = np.where(words < 16, words + np.uint64(16), words)
+    at = at + np.arange(len(at))
     key = np.full(int(at[-1]), END, np.uint64)
     inside = np.ones(len(key), bool)
     inside[at[1:] - 1] = False
-    get = known.__getitem__
-    low = (1 << 48) - 1
-    key[inside] = np.fromiter((get(w) & low for words in lists for w in words), np.uint64, int(inside.sum()))
-    key[inside & (key < 16)] += np.uint64(16)
+    key[inside] = words
     before = np.r_[START, key[:-1]]
     before[at[:-1]] = START
     return key, before, at
@@ -65,13 +62,14 @@ class Model:
 
 
 def discounts(n: list[int]) -> list[float]:
-    """D1, D2 and D3+ from how many counts are 1, 2, 3 and 4; without such counts, halves."""
+    """D1, D2 and D3+ from how many counts are 1, 2, 3 and 4. Where the estimate takes nothing off or more than the
+    count, as small corpora can have it, half the count: every context leaves something to words it hasn't seen."""
     n1, n2, n3, n4 = n
     if not (n1 and n2):
-        return [0.5, 0.5, 0.5]
+        return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
     out = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.0), i + 1.0) for i, d in enumerate(out)]
+    return [d if 0 < d < i + 1 else (i + 1) / 2 for i, d in enumerate(out)]
 
 
 def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
@@ -93,10 +91,9 @@ def train(docs: DataFrame, text_col: str = "text", per_shard: int = 2_000_000) -
     shards = max(1, -(-((size[0] or 0) // 6 + size[1]) // per_shard))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
             for _, _, raw in slices(b.column(0), 14_000_000):
-                w, c = np.unique(tokens(raw, known)[0], return_counts=True)
+                w, c = np.unique(tokens(raw)[0], return_counts=True)
                 order, runs = runs_of(shard_of(w, shards), shards)
                 cut = [(s, pack(w[order[i:j]], small(c[order[i:j]]))) for s, i, j in runs]
                 yield batch([s for s, _ in cut], [p for _, p in cut])
@@ -115,10 +112,9 @@ def train(docs: DataFrame, text_col: str = "text", per_shard: int = 2_000_000) -
     hot = np.sort(np.array([r[0] for r in hot] + [int(START)], np.uint64))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
             for _, _, raw in slices(b.column(0), 14_000_000):
-                key, before, _ = tokens(raw, known)
+                key, before, _ = tokens(raw)
                 order = np.lexsort((key, before))
                 k, p = key[order], before[order]
                 first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])]) if len(k) else np.empty(0, np.int64)
@@ -129,17 +125,15 @@ def train(docs: DataFrame, text_col: str = "text", per_shard: int = 2_000_000) -
                     o = order[i:j]
                     start = np.flatnonzero(np.r_[True, p[o][1:] != p[o][:-1]])
                     cells.append(s)
-                    packed.append(pack(p[o][start], small(np.diff(np.r_[start, len(o)])), np.ascontiguousarray(k[o].view("u1").reshape(-1, 8)[:, :6]).ravel(), small(c[o])))
+                    packed.append(pack(p[o][start], small(np.diff(np.r_[start, len(o)])), k[o], small(c[o])))
                 yield batch(cells, packed)
 
     def sum_pairs(key: tuple, t: pa.Table) -> pa.Table:
         p, k, c = [], [], []
         for row in t.column("packed").to_pylist():
-            ctx, sizes, six, count = unpack(row)
-            wide = np.zeros((len(count), 8), "u1")
-            wide[:, :6] = six.reshape(-1, 6)
+            ctx, sizes, follower, count = unpack(row)
             p.append(np.repeat(ctx, sizes.astype(np.int64)))
-            k.append(wide.ravel().view("<u8"))
+            k.append(follower)
             c.append(count.astype(np.int64))
         p, k, c = np.concatenate(p), np.concatenate(k), np.concatenate(c)
         order = np.lexsort((k, p))
@@ -149,7 +143,7 @@ def train(docs: DataFrame, text_col: str = "text", per_shard: int = 2_000_000) -
         hashed = pair_key(p, k)
         order = np.argsort(hashed)
         put(f"{path}/pair-{key[0].as_py()}.key", hashed[order].tobytes())
-        put(f"{path}/pair-{key[0].as_py()}.count", c[order].astype("<u4").tobytes())
+        put(f"{path}/pair-{key[0].as_py()}.count", c[order].astype("<u8").tobytes())
         ctx = summed(p, c, c == 1, c == 2, c >= 3)
         cont = summed(k, np.ones(len(k), np.int64))
         rows = []
@@ -196,7 +190,7 @@ class Arrays:
     """The model's arrays in one worker: mapped, never read whole."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.open, self.known = model, {}, WordHashes()
+        self.m, self.open = model, {}
 
     def look_up(self, kind: str, shard: np.ndarray, key: np.ndarray, *fields: tuple[str, str]) -> list[np.ndarray]:
         """The fields' values for each key; zero where it isn't in its shard."""
@@ -221,7 +215,7 @@ class Arrays:
 
     def score(self, raw: list[bytes]) -> dict[str, list]:
         m = self.m
-        key, before, at = tokens(raw, self.known)
+        key, before, at = tokens(raw)
         w, inverse = np.unique(key, return_inverse=True)
         shard = shard_of(w, m.shards)
         (count,) = self.look_up("word", shard, w, ("count", "<u8"))
@@ -231,7 +225,7 @@ class Arrays:
         c, back = np.unique(before, return_inverse=True)
         total, rest = self.look_up("context", shard_of(c, m.shards), c, ("total", "<f8"), ("rest", "<f8"))
         total, rest = total[back], rest[back]
-        (c2,) = self.look_up("pair", pair_shard(before, key, m.hot, m.shards), pair_key(before, key), ("count", "<u4"))
+        (c2,) = self.look_up("pair", pair_shard(before, key, m.hot, m.shards), pair_key(before, key), ("count", "<u8"))
         seen = total > 0
         p2 = np.where(seen, discounted(c2.astype(np.int64), m.discounts) / np.where(seen, total, 1) + rest * p1, p1)
         sums = lambda x: np.add.reduceat(x, at[:-1]) if len(x) else x
