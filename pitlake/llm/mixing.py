@@ -19,42 +19,6 @@ from pitlake.llm.common import table
 NULL = "\x00"  # the group of rows without a source
 
 
-def quotas(weights: dict[str, float], frame: int) -> dict[str, int]:
-    """Whole numbers of blocks for each source, in proportion to its weight, that sum up to `frame`: largest
-    remainders, ties by name, at least one for each."""
-    if len(weights) > frame:
-        raise ValueError(f"{len(weights)} sources do not fit a frame of {frame} blocks")
-    if any(not w > 0 or math.isinf(w) for w in weights.values()):
-        raise ValueError("weights must be positive and finite")
-    total = sum(weights.values())
-    exact = {s: w / total * (frame - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: frame - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def pfair_frame(quota: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, j) in each slot of a frame of sum(quota) slots: block j of a source with q blocks is released at
-    floor(j * n / q) and due at ceil((j + 1) * n / q); of the released blocks that with the earliest deadline goes
-    first, ties by release and name. One processor and full use: every deadline is met, so at each slot every
-    source is less than one block from its share. The frame ends with all shares met: frames just repeat."""
-    n = sum(quota.values())
-    jobs = sorted((j * n // q, -(-(j + 1) * n // q), s, j) for s, q in quota.items() for j in range(q))
-    ready: list = []
-    out, at = [], 0
-    for slot in range(n):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            release, due, s, j = jobs[at]
-            heapq.heappush(ready, (due, release, s, j))
-            at += 1
-        due, _, s, j = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a deadline was missed")
-        out.append((s, j))
-    return out
-
-
 def whole_shares(weights: dict[str, float]) -> dict[str, int]:
     """The weights as whole numbers in exactly the same proportion."""
     if any(not w > 0 or math.isinf(w) for w in weights.values()):
@@ -65,9 +29,11 @@ def whole_shares(weights: dict[str, float]) -> dict[str, int]:
 
 
 def schedule(shares: dict[str, int], last: dict[str, int]) -> Iterator[tuple[str, int]]:
-    """(source, j) in slot 0, 1, ... until each source has had its block last[source]: the windows and the order of
-    pfair_frame, but against the exact shares and without a frame, so at each slot every source is less than one
-    block from its share of all slots so far. Holds one block of each source at a time."""
+    """(source, j) in slot 0, 1, ... until each source has had its block last[source]: block j of a
+    source with share w of all slots is released at floor(j / w) and due at ceil((j + 1) / w); of the released blocks
+    that with the earliest deadline goes first, ties by release and name. One processor and full use: every deadline
+    is met, so at each slot every source is less than one block from its share of all slots so far. Shares are whole
+    numbers, so nothing is rounded. Holds one block of each source at a time."""
     n = sum(shares.values())
     waiting = [(0, s, 0) for s in shares]
     heapq.heapify(waiting)
@@ -87,11 +53,11 @@ def schedule(shares: dict[str, int], last: dict[str, int]) -> Iterator[tuple[str
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = 16, frame: int = 1024, temperature: float = 0.7, max_sources: int = 512, rows_per_bucket: int = 20_000
+    docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block: int = 16, frame: int = 1024, temperature: float = 0.7, max_sources: int = 100_000, rows_per_bucket: int = 20_000
 ) -> DataFrame:
     """Rows of docs in a mix whose every prefix has the target weights, each source within one block of its share.
 
-    Each source's rows, in the order of a hash, are cut into blocks of `block` rows. A Pfair schedule (see schedule)
+    Each source's rows, in the order of a hash of the whole row, are cut into blocks of `block` rows. A Pfair schedule (see schedule)
     against the exact weights says which source supplies each slot. The mix ends with the slot in which the last
     source has given all its rows: every row is in it, and sources that ran out before start again (epoch 1, 2,
     ...). Adds slot, block, epoch and place (position in the mix; all long). weights: for each source; None: (row
@@ -100,13 +66,13 @@ def mix(
 
     A null source is a source of its own (name it \\x00 in weights). A source that has rows must have a weight, one
     without rows is ignored; more than max_sources sources are an error, so that the counts (driver and broadcast)
-    are bounded. Repeated rows are rows like others; rows with null ids or texts too. An empty table gives an empty
+    are bounded. Repeated rows are rows like others (equal ones share a bucket); rows with null ids or texts too. An empty table gives an empty
     mix. Input columns named slot, block, epoch or place are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("slot", "block", "epoch", "place")
-    group = F.coalesce(F.col(source_col), F.lit(NULL)).alias("_s")
-    counts = {r["_s"]: r["n"] for r in docs.groupBy(group).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()}
+    group = F.coalesce(F.col(source_col), F.lit(NULL)).alias("s")
+    counts = {r["s"]: r["n"] for r in docs.groupBy(group).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()}
     if len(counts) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     extra = [T.StructField(n, T.LongType()) for n in ("epoch", "block", "slot", "place")]
@@ -123,25 +89,24 @@ def mix(
                 slots, at = schedule(shares, last), 0
                 while some := list(islice(slots, frame)):
                     s, j = zip(*some)
-                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(j, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())], names=["_s", "block", "slot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(j, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())], names=["s", "block", "slot"])
                     at += len(some)
 
-    slots = table(spark.range(0, 1, 1, 1).mapInArrow(plan, "_s string, block long, slot long"), "mix-slots")
-    given = {r["_s"]: r["n"] for r in slots.groupBy("_s").agg(F.count("*").alias("n")).collect()}
-    per_source = spark.createDataFrame([(s, n, given[s] * block) for s, n in counts.items()], "_s string, _n long, _rows long")
+    slots = table(spark.range(0, 1, 1, 1).mapInArrow(plan, "s string, block long, slot long"), "mix-slots")
+    given = {r["s"]: r["n"] for r in slots.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    per_source = spark.createDataFrame([(s, n, given[s] * block) for s, n in counts.items()], "s string, n long, rows long")
 
     # Number the rows of each source: hash-range buckets are counted, summed up, and numbered within.
     buckets = 1 << max(0, math.ceil(math.log2(max(1, sum(counts.values()) / rows_per_bucket))))
-    others = [c for c in docs.columns if c != id_col]
-    keyed = docs.withColumn("_s", group).withColumn("_h", F.xxhash64(id_col)).withColumn("_t", F.xxhash64(*others))
-    keyed = keyed.withColumn("_b", F.floor((F.shiftrightunsigned("_h", 33).cast("double")) / (1 << 31) * buckets).cast("int"))
-    sizes = table(keyed.groupBy("_s", "_b").agg(F.count("*").alias("_c")), "mix-buckets")
-    before = sizes.withColumn("_before", F.sum("_c").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_c")).drop("_c")
-    numbered = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", F.col(id_col), "_t")) - 1)
-    numbered = numbered.join(before, ["_s", "_b"]).withColumn("_i", F.col("_i") + F.col("_before"))
-    joined = numbered.join(F.broadcast(per_source), "_s").where(F.col("_i") < F.col("_rows"))  # at most max_sources rows
-    nth = F.col("epoch") * F.col("_n") + F.col("_i")  # of all rows that the source gives
-    out = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_rows - 1 - _i) div _n"))))
-    out = out.withColumn("block", F.floor(nth / block)).withColumn("_at", nth % block).join(slots, ["_s", "block"])
-    out = out.withColumn("place", F.col("slot") * block + F.col("_at"))
-    return out.select(*docs.columns, "epoch", "block", "slot", "place")
+    plain = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" else F.col(f.name) for f in docs.schema.fields]
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), group, F.xxhash64(*plain).alias("h"), F.xxhash64(F.lit(1), *plain).alias("t"))
+    keyed = keyed.withColumn("b", F.floor((F.shiftrightunsigned("h", 33).cast("double")) / (1 << 31) * buckets).cast("int"))
+    sizes = table(keyed.groupBy("s", "b").agg(F.count("*").alias("c")), "mix-buckets")
+    before = sizes.withColumn("before", F.sum("c").over(Window.partitionBy("s").orderBy("b")) - F.col("c")).drop("c")
+    numbered = keyed.withColumn("i", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "t")) - 1)
+    numbered = numbered.join(before, ["s", "b"]).withColumn("i", F.col("i") + F.col("before"))
+    joined = numbered.join(F.broadcast(per_source), "s").where(F.col("i") < F.col("rows"))  # at most max_sources rows
+    nth = F.col("epoch") * F.col("n") + F.col("i")  # of all rows that the source gives
+    out = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(rows - 1 - i) div n"))))
+    out = out.withColumn("block", F.floor(nth / block)).withColumn("at", nth % block).join(slots, ["s", "block"])
+    return out.select("row.*", "epoch", "block", "slot", (F.col("slot") * block + F.col("at")).alias("place"))

@@ -201,12 +201,6 @@ def test_substrings(docs, empty, small):
 
 
 def test_mixing(docs, empty):
-    quota = mixing.quotas({"a": 5, "b": 1, "c": 0.001}, 64)
-    done = Counter()
-    for t, (s, j) in enumerate(mixing.pfair_frame(quota), 1):
-        assert done[s] == j
-        done[s] += 1
-        assert all(abs(done[x] - q * t / 64) < 1 for x, q in quota.items())
     got = mixing.mix(docs, block=2, frame=16, rows_per_bucket=8).collect()
     ids = Counter(r.doc_id for r in docs.collect())
     assert {k: v for k, v in Counter(r.doc_id for r in got if r.epoch == 0).items()} == dict(ids)
@@ -234,6 +228,33 @@ def test_mixing_keeps_exact_weights(spark):
     assert got["big"] == 9901 and max(got[s] for s in many if s != "big") == 1
 
 
+def test_mixing_of_many_sources(spark):
+    """600 sources of Zipf weights: every prefix of the output is within one block of each source's target share."""
+    df = spark.range(12_000).selectExpr("id doc_id", "'t' text", "concat('s', int(pow(600, (id + 0.5) / 12000))) source").selectExpr("doc_id", "text", "source")
+    names = sorted(r[0] for r in df.select("source").distinct().collect())
+    extra = spark.createDataFrame([(20_000 + i, "t", f"z{i}") for i in range(600 - len(names))], "doc_id long, text string, source string")
+    df = df.union(extra)
+    weights = {s: 1.0 / (i + 1) ** 1.2 for i, s in enumerate([*names, *(f"z{i}" for i in range(600 - len(names)))])}
+    total = sum(weights.values())
+    of = dict({(r.slot, r.source) for r in mixing.mix(df, weights, block=4).collect()})
+    assert sorted(of) == list(range(len(of))) and len(set(of.values())) == 600
+    names = sorted(weights)
+    share = np.array([weights[s] / total for s in names])
+    done, index = np.zeros(600), {s: i for i, s in enumerate(names)}
+    for t in range(len(of)):
+        done[index[of[t]]] += 1
+        assert np.abs(done - share * (t + 1)).max() < 1 + 1e-9
+
+
+def test_mixing_edges(spark):
+    df = spark.createDataFrame([(i % 3 or None, None if i % 5 == 0 else f"t{i}", ["a", "b", None][i % 3], i) for i in range(60)], "doc_id long, text string, source string, k int")
+    clash = df.selectExpr("*", "1 _s", "2 _n", "3 `_i`", "4 s", "5 h", "6 row", "map('a', k) m", "7 slot")
+    got = mixing.mix(clash, block=3).collect()
+    assert {r.k for r in got if r.epoch == 0} == set(range(60)) and sum(r.epoch == 0 for r in got) == 60
+    assert {(r._s, r._n, r._i, r.s, r.h, r.row) for r in got} == {(1, 2, 3, 4, 5, 6)} and all(r.m["a"] == r.k for r in got)
+    assert len({r.place for r in got}) == len(got)
+
+
 def test_crf(spark):
     made = {"xx": "aba bab abba baab", "yy": "ogo gog oggo goog"}
     def text(lang):
