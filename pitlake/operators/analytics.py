@@ -96,14 +96,20 @@ def linked_groups(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFra
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark) -> str:
+    """The checkpoint folder that the driver and all executors see; in local mode only, a temporary one if none is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pitlake-"))
+    return sc.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
