@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pitlake.llm.common import inverses, powers, with_text_columns
+from pitlake.llm.common import hashed_words, inverses, powers, with_text_columns
 
 FIELDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string"}
 DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -53,12 +54,75 @@ def break_before(raw: bytes, stop: int) -> int:
     return -1
 
 
+#: Splits of which no piece holds a blank: by name, or by the pattern of the pieces that are kept.
+_WORDS = ("Whitespace", "WhitespaceSplit")
+_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def drops_blanks(path: str) -> bool:
+    """Whether the file surely drops white space before it merges, so that a text's ids are those of its words one
+    after another: nothing in its normaliser, first split or added tokens reaches across a blank."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    blank_only = lambda n: n["type"] == "Replace" and (n["pattern"], n["content"]) == ({"Regex": r"\s+"}, " ")
+    if not all(n["type"] in ("NFC", "Lowercase") or blank_only(n) for n in steps(spec["normalizer"], "normalizers")):
+        return False
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"]):
+        return False
+    split = steps(spec["pre_tokenizer"], "pretokenizers")
+    if not split or any(x.get("add_prefix_space") for x in split) or spec["post_processor"] is not None or spec["model"].get("dropout"):
+        return False
+    first = split[0]
+    return first["type"] in _WORDS or first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in _PATTERNS
+
+
+class Words:
+    """Ids of words, for a file that drops white space: each distinct word is encoded once while the store holds it.
+    Words are known by 64-bit hashes; a store of more than `most` words starts afresh."""
+
+    def __init__(self, ids_of: Callable[[list[bytes]], list[np.ndarray]], most: int = 800_000) -> None:
+        self.ids_of, self.most = ids_of, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[int, int] = {}
+        self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.index) > self.most:
+            self.forget()
+        where: list = []
+        h, offsets = hashed_words(texts, where=where)
+        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        get = self.index.get
+        known = np.array([get(x, -1) for x in u.tolist()], np.int64)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            raw, starts, ends = where
+            found = self.ids_of([raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            known[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self.index.update(zip(u[new].tolist(), known[new].tolist()))
+            self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(x) for x in found])]
+            self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
+        word = known[inverse]
+        sizes = self.at[word + 1] - self.at[word]
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = self.flat[np.repeat(self.at[word] - ends[:-1], sizes) + np.arange(ends[-1])]
+        cut = ends[offsets]
+        return [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 class ChunkEncoder:
     """Encodes texts from content-defined chunks, each distinct one encoded once and kept while the Python worker
     lives. The chunks' ids are joined by re-encoding what stands around each cut.
 
-    A chunk's encoding is trusted between its first and its last break (a blank after another character), if it
-    agrees there with the head's and the tail's own encodings. A join is all from the last break of one chunk to the
+    A chunk counts between its first and its last break (a blank after another character). With a file that surely
+    drops white space (see drops_blanks), this body's ids are those of its words, each encoded once; with any other,
+    the whole chunk is encoded, and counts if it agrees with the encodings of its head and its tail. A join is all from the last break of one chunk to the
     first of a later one. It is encoded with a word of context on both sides, and must agree with the encodings of
     the three; if not, the context grows (2, 4 and 8 words), and at last the whole text is encoded. Chunks that do not
     agree become part of a join. `whole` counts the texts encoded as a whole.
@@ -67,7 +131,7 @@ class ChunkEncoder:
     changes nothing else.
     """
 
-    def __init__(self, path: str, keep_mb: int = 48, bits: int = 9) -> None:
+    def __init__(self, path: str, keep_mb: int = 48, bits: int = 10) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,6 +142,7 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.most, self.bits, self.whole = keep_mb << 20, bits, 0
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.words = Words(self.ids_of) if drops_blanks(path) else None
         self.bodies: dict[bytes, tuple[int, int, np.ndarray] | None] = {}
         self.parts: dict[bytes, np.ndarray] = {}
         self.size = [0, 0]
@@ -99,6 +164,12 @@ class ChunkEncoder:
             if c not in self.bodies and c not in new:
                 new[c] = (break_after(c, 0), break_before(c, len(c)))
         good = [c for c, (a, b) in new.items() if 0 < a < b]
+        if self.words:
+            found = dict(zip(good, self.words.encode([c[new[c][0] : new[c][1]] for c in good])))
+            for c in new:
+                self.bodies[c] = (*new[c], found[c].astype(self.kind)) if c in found else None
+                self.size[0] += len(c) + (found[c].nbytes if c in found else 0) + 300
+            return
         self.learn_parts(p for c in good for p in (c[: new[c][0]], c[new[c][1] :]))
         ids = dict(zip(good, self.ids_of(good)))
         for c, (a, b) in new.items():

@@ -167,11 +167,12 @@ def inverses(n: int) -> np.ndarray:
     return _grown("i", pow(_R, -1, 1 << 64), n)
 
 
-def hashed_words(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes], block: int = 1 << 20, where: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts one after another, and the texts' offsets. A word's
-    hash is a polynomial over its bytes, taken from running sums of about `block` bytes at a time."""
+    hash is a polynomial over its bytes, taken from running sums of about `block` bytes at a time. `where` gets
+    all texts as one, and the words' starts and ends in it."""
     raw = b"\n".join(texts) + b"\n"
-    out, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    out, places, stops, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while at < len(raw):
         stop = min(at + block, len(raw))
         cut = max(raw.rfind(b" ", at, stop), raw.rfind(b"\n", at, stop)) + 1
@@ -184,8 +185,12 @@ def hashed_words(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray,
         np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(len(x)), out=total[1:])
         out.append(mix64((total[ends] - total[starts]) * inverses(len(x))[starts]))
         places.append(starts + at)
+        stops.append(ends + at)
         at = cut
-    return np.concatenate(out), np.searchsorted(np.concatenate(places), spans([len(t) + 1 for t in texts]))
+    starts = np.concatenate(places)
+    if where is not None:
+        where += [raw, starts, np.concatenate(stops)]
+    return np.concatenate(out), np.searchsorted(starts, spans([len(t) + 1 for t in texts]))
 
 
 def near_pairs(values: np.ndarray, keys: np.ndarray, near: Callable, dense_above: int) -> tuple[np.ndarray, np.ndarray]:
