@@ -29,19 +29,19 @@ def near_matches(left: DataFrame, right: DataFrame, keys: list[str], a: Column,
     return left.join(right, keys).where(F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) <= tolerance)
 
 
-def lineage(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> DataFrame:
-    """(child, ancestor) pairs over any number of steps. The newest pairs take one step each round, and each round is
-    checkpointed; a cycle ends when nothing new is found."""
-    step = _cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct())
-    up = step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"))
-    known = fresh = step
+def lineage(edges: DataFrame, child: str, parent: str, rounds: int = 40) -> DataFrame:
+    """(child, ancestor) pairs over any number of steps, by path doubling: each round joins the pairs known with
+    themselves, so a depth of n needs log2(n) rounds, each of them checkpointed. The result has every pair; selection.roots gives
+    the last ancestor alone."""
+    known = _cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct())
+    n = known.count()
     for _ in range(rounds):
-        reached = fresh.join(up, "ancestor").select("child", F.col("_next").alias("ancestor")).distinct()
-        fresh = _cut(reached.join(known, ["child", "ancestor"], "left_anti"))
-        if fresh.isEmpty():
+        more = known.join(known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next")), "ancestor").select("child", F.col("_next").alias("ancestor"))
+        known = _cut(known.union(more).distinct())
+        before, n = n, known.count()
+        if n == before:
             return known.select(F.col("child").alias(child), "ancestor")
-        known = known.union(fresh)
-    raise RuntimeError(f"lineage is deeper than {rounds} steps")
+    raise RuntimeError(f"lineage is deeper than 2 ** {rounds} steps")
 
 
 def dangling(references: DataFrame, ref: str, targets: DataFrame, key: str) -> DataFrame:

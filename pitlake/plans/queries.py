@@ -48,11 +48,11 @@ FLOWS = """flows AS (SELECT n_name AS ticker, CAST(date_trunc('quarter', o_order
 
 
 def to_date_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year-to-date revenue."""
+    """Year-to-date revenue, with the quarter's own revenue and cost."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("ticker", F.year("period_end")).orderBy("period_end")
-    return flows(spark, sf_dir).select("ticker", "period_end", F.sum(F.col("revenue").cast("decimal(28,4)")).over(w).cast("double").alias("value"))
+    return flows(spark, sf_dir).select("ticker", "period_end", "revenue", "cost", F.sum(F.col("revenue").cast("decimal(28,4)")).over(w).cast("double").alias("value"))
 
 
 YTD = FLOWS + """, ytd AS (SELECT ticker, period_end, CAST(sum(CAST(revenue AS DECIMAL(28,4))) OVER (PARTITION BY ticker, year(period_end) ORDER BY period_end) AS DOUBLE) AS value FROM flows)"""
@@ -65,10 +65,10 @@ SELECT ticker, period_end, round(revenue, 2) AS revenue, round(CASE WHEN c = 4 A
   round(CASE WHEN year(pe) = year(period_end) - 1 AND month(pe) = month(period_end) THEN (revenue - p) / p END, 8) AS yoy FROM t""")
 def metrics_quarterly(spark, sf_dir):
     """Single quarters out of year-to-date values, TTM, margin, growth."""
-    f = flows(spark, sf_dir)
     quarters = periods.single_quarters(to_date_flows(spark, sf_dir), ["ticker"])
-    out = periods.year_on_year(periods.trailing_year(quarters, ["ticker"]), ["ticker"]).join(f.select("ticker", "period_end", "revenue", "cost"), ["ticker", "period_end"])
-    return out.select("ticker", "period_end", F.round("value", 2).alias("revenue"), F.round("ttm", 2).alias("ttm"), F.round(finance.gross_margin(F.col("revenue"), F.col("cost")), 8).alias("gross_margin"), F.round("yoy", 8).alias("yoy"))
+    out = periods.year_on_year(periods.trailing_year(quarters, ["ticker"]), ["ticker"])
+    margin = finance.gross_margin(F.col("revenue"), F.col("cost"))
+    return out.select("ticker", "period_end", F.round("value", 2).alias("revenue"), F.round("ttm", 2).alias("ttm"), F.round(margin, 8).alias("gross_margin"), F.round("yoy", 8).alias("yoy"))
 
 
 @query(f"""WITH {YTD} SELECT a.ticker, a.period_end, round(CASE WHEN quarter(a.period_end) = 4 THEN a.value ELSE a.value + b.value - c.value END, 2) AS ttm FROM ytd a
