@@ -19,7 +19,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = squared(x, c).argmin(1)
+        own = nearest(x, c)
         n = np.bincount(own, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, own, x)
@@ -27,6 +27,11 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray
     return c
 
 
+def nearest(x: np.ndarray, c: np.ndarray, block: int = 1000) -> np.ndarray:
+    """The nearest row of c for each row of x, `block` rows at a time."""
+    return np.concatenate([squared(x[i : i + block], c).argmin(1) for i in range(0, len(x), block)])
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a to all rows of b."""
     return np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1), 0)
@@ -73,7 +78,7 @@ class Index:
 
 def build(sample: np.ndarray, lists: int, parts: int, words: int) -> Index:
     centres = k_means(sample, min(lists, len(sample)))
-    own = squared(sample, centres).argmin(1)
+    own = nearest(sample, centres)
     r = sample - centres[own]
     dim = sample.shape[1]
     cuts = [dim * i // parts for i in range(parts + 1)]
@@ -223,8 +228,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     A list with more than split_above queries is cut into blocks of members and of queries, each pair of them a task's group.
 
     Vectors of different lengths do not link; each length has an index of its own, one after another. Vectors that are
-    null, empty, zero, or hold null or non-finite components, and those with a null label or id, link with nothing: 0 links, their own component. Repeated rows are vectors of their own
-    and link like copies; 0.0 and -0.0 are equal. Extra columns are ignored.
+    null, empty, zero, or hold null or non-finite components, and those with a null label or id, link with nothing: 0
+    links, their own component. Repeated rows are vectors of their own and link like copies; 0.0 and -0.0 are equal. Extra columns are ignored.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
