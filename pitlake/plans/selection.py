@@ -10,7 +10,9 @@ from pitlake.operators import selection
 from pitlake.plans.queries import query
 from pitlake.sources.tables import read
 
-AT = F.lit("1998-06-30").cast("timestamp_ntz")
+
+def cutoff():
+    return F.lit("1998-06-30").cast("timestamp_ntz")
 
 
 @query("""SELECT 'order' AS record_type, CAST(o_orderkey AS VARCHAR) AS key, o_orderdate AS at_, o_totalprice AS value, o_orderstatus AS state FROM orders UNION ALL SELECT 'item', l_orderkey || '-' || l_linenumber, l_shipdate, l_extendedprice, l_linestatus FROM lineitem
@@ -190,7 +192,7 @@ def annual_projection(spark, sf_dir):
     """Record heads by fiscal year, with conflicts of their natural key."""
     k = F.col("o_orderkey")
     v = read(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 4 == 1, k - 1).alias("old"), "o_custkey", F.year("o_orderdate").alias("fiscal_year"), "o_orderstatus", "o_orderdate")
-    h = selection.visible_heads(v, "id", "old", F.col("o_orderdate") <= AT)
+    h = selection.visible_heads(v, "id", "old", F.col("o_orderdate") <= cutoff())
     return h.select("id", "o_custkey", "fiscal_year", "o_orderstatus", (F.count("*").over(Window.partitionBy("o_custkey", "fiscal_year")) > 1).alias("natural_key_conflict"))
 
 
@@ -210,7 +212,7 @@ def current_roles(spark, sf_dir):
     """Tenures active at an instant; confirmed only with complete coverage."""
     o = read(spark, sf_dir, "orders")
     end = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("interval 200 days"))
-    live = o.where((F.col("o_orderdate") <= AT) & (end.isNull() | (AT < end)))
+    live = o.where((F.col("o_orderdate") <= cutoff()) & (end.isNull() | (cutoff() < end)))
     return live.select("o_custkey", F.col("o_orderkey").alias("tenure_id"), F.col("o_orderstatus").alias("role"), F.when(F.col("o_orderpriority") == "1-URGENT", "candidate").otherwise("confirmed").alias("standing"))
 
 

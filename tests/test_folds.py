@@ -125,3 +125,12 @@ def test_scenario_failures(spark):
         flow = new * (0.3 * 0.75 - 0.02) - (new - revenue) * 0.1
         pv, revenue = pv + flow / 1.1**y, new
     assert abs(got["None"].fair_value - round((pv + flow * 1.02 / 0.08 / 1.1**5 - 10) / 10, 4)) < 1e-9
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
