@@ -270,3 +270,24 @@ def record_dimensions(spark, sf_dir):
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("brand", F.col("p_brand")), ("type", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).otherwise("")), ("size", F.when(F.col("p_size") > 10, F.col("p_size").cast("string"))))])
     p = read(spark, sf_dir, "part").select("p_partkey", F.filter(pairs, lambda x: x["value"] != "").alias("d"))
     return p.select("p_partkey", F.array_join(F.transform("d", lambda x: F.concat_ws("=", x["name"], x["value"])), ";").alias("dimensions"), F.array_join("d.name", ",").alias("date_roles"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'E100' WHEN 1 THEN 'NODATA' ELSE 'OK' END AS code, CASE WHEN o_orderkey % 5 > 0 THEN n END AS total, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT o_orderkey, CASE WHEN code = 'NODATA' AND n = 0 THEN 'empty' WHEN code <> 'OK' THEN 'failure' WHEN total IS NULL THEN 'total_missing' WHEN total <> n THEN 'total_mismatch' ELSE 'ok' END AS status, n FROM p""")
+def parsed_pages(spark, sf_dir):
+    """A page by its business code, and its rows against the total that it must declare."""
+    k = F.col("o_orderkey")
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("rows"))
+    p = read(spark, sf_dir, "orders").select("o_orderkey").join(n, "o_orderkey", "left").withColumn("n", F.coalesce("rows", F.lit(0).cast("long")))
+    code = F.when(k % 9 == 0, "E100").when(k % 9 == 1, "NODATA").otherwise("OK")
+    total = F.when(k % 5 > 0, F.col("rows"))
+    status = rules.first_reason(("empty", (code == "NODATA") & (F.col("n") == 0)), ("failure", code != "OK"), ("total_missing", total.isNull()), ("total_mismatch", total != F.col("n")), ("ok", F.lit(True)))
+    return p.select("o_orderkey", status.alias("status"), "n")
+
+
+@query("""WITH r AS (SELECT o_custkey AS run, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total, bool_and(o_orderstatus <> 'P') AS finalized, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1) SELECT run, n, total, digest FROM r WHERE finalized""")
+def retained_inventory(spark, sf_dir):
+    """What finalised runs retain: rows, total and a digest over their ids."""
+    o = read(spark, sf_dir, "orders")
+    r = o.groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.every(F.col("o_orderstatus") != "P").alias("finalized"), F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
+    return r.where("finalized").select("run", "n", "total", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("digest"))
