@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitlake.functions import review, rules
+from pitlake.functions import reading, review, rules
 from pitlake.operators import analytics, evidence, selection
 from pitlake.plans.queries import query
 from pitlake.sources.tables import read
@@ -288,3 +288,53 @@ def upsert_outcomes(spark, sf_dir):
     t = e.where("event_type <> 'view'").select("event_id", F.col("event_type").alias("old"))
     i = e.select("event_id", F.when(F.col("value") > 80, "changed").otherwise(F.col("event_type")).alias("payload"))
     return i.join(t, "event_id", "left").select("event_id", F.when(F.col("old").isNull(), "inserted").when(F.col("old") == F.col("payload"), "verified").otherwise("rejected").alias("outcome"))
+
+
+#: Figures of each customer, in SQL for both.
+_FIGURES = {
+    "revenue": "c_acctbal", "revenue_before": "CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal * (0.7e0 + c_nationkey * 0.02e0) END", "revenue_growth_before": "0.05e0", "profit": "c_acctbal - 2000", "profit_before": "c_acctbal - 2500", "profit_growth_before": "CASE WHEN c_custkey % 2 = 0 THEN 0.1e0 END",
+    "adjusted_profit": "CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal - 2100 END", "adjusted_profit_before": "c_acctbal - 2600", "adjusted_profit_growth_before": "0.2e0", "gross_margin": "0.3e0 + c_nationkey * 0.0013e0", "gross_margin_before": "0.3071e0", "sales_expense_ratio": "0.1e0", "sales_expense_ratio_before": "0.1e0 + c_nationkey * 0.0011e0",
+    "management_expense_ratio": "CASE WHEN c_custkey % 3 = 0 THEN 0.08e0 END", "management_expense_ratio_before": "0.05e0", "research_expense_ratio": "0.04e0", "research_expense_ratio_before": "0.0413e0", "cash_flow": "c_acctbal * 0.6e0 - 1500", "cash_ratio_before": "CASE WHEN c_custkey % 5 <> 0 THEN 0.9e0 END",
+    "receivables_growth": "c_nationkey * 0.03e0", "receivables_days": "40e0 + c_nationkey * 3", "receivables_days_before": "50e0", "inventory_growth": "CASE WHEN c_custkey % 6 <> 0 THEN 0.1e0 END", "inventory_days": "100e0", "inventory_days_before": "c_nationkey * 5e0", "contract_liability": "c_acctbal * 0.3e0", "contract_liability_before": "c_acctbal * 0.2e0 + 900",
+    "assets": "c_acctbal * 4", "debt": "c_acctbal + c_nationkey * 70", "debt_ratio_before": "0.23e0", "goodwill_impairment": "CASE WHEN c_custkey % 10 = 1 THEN 5e0 ELSE 0e0 END", "impairment": "c_nationkey * 3e0", "equity_before": "c_acctbal * 0.9e0 - 100", "people_changed": "c_custkey % 12 = 0", "capital_event": "CASE WHEN c_custkey % 7 = 0 THEN 300e0 END",
+    "capital_event_major": "c_custkey % 50 = 0", "risk_event": "c_nationkey * 7e0", "risk_event_key": "c_custkey % 40 = 3", "dividend": "CASE WHEN c_custkey % 8 <> 0 THEN 1e0 END", "dividend_before": "1e0 + c_nationkey * 0.017e0", "return_cancelled": "c_custkey % 60 = 7", "repurchase": "c_nationkey * 1e0", "shares": "1013e0",
+}
+
+
+def _g(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN {a} / {b} - 1 END"
+
+
+def _reading_sql() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    hit: list[tuple[str, str]] = []
+    for m in ("revenue", "profit", "adjusted_profit"):
+        switch = "false" if m == "revenue" else f"coalesce(({m}_before <= 0 AND {m} > 0) OR ({m}_before >= 0 AND {m} < 0), false)"
+        if m != "revenue":
+            hit.append((f"R01/{m}:profit_loss_switch", switch))
+        hit += [(f"R01/{m}:growth", f"NOT {switch} AND abs({_g(m, m + '_before')}) >= 0.2e0"), (f"R01/{m}:growth_change", f"NOT {switch} AND abs({_g(m, m + '_before')} - {m}_growth_before) >= 0.15e0")]
+    hit += [(f"R02/{m}:change", f"abs({m} - {m}_before) >= {x}e0") for m, x in (("gross_margin", "0.03"), ("sales_expense_ratio", "0.02"), ("management_expense_ratio", "0.02"), ("research_expense_ratio", "0.02"))]
+    hit += [("R03/cash_flow_negative", "profit > 0 AND cash_flow < 0"), ("R03/cash_ratio_down", "profit > 0 AND cash_flow / nullif(profit, 0) < 0.8e0 AND cash_ratio_before - cash_flow / nullif(profit, 0) >= 0.2e0")]
+    for m in ("receivables", "inventory"):
+        hit += [(f"R04/{m}:outgrow_revenue", f"{m}_growth - ({_g('revenue', 'revenue_before')}) >= 0.2e0"), (f"R04/{m}:days", f"{m}_days_before > 0 AND {m}_days - {m}_days_before >= 30 AND {m}_days / nullif({m}_days_before, 0) - 1 >= 0.2e0")]
+    hit += [
+        ("R05/contract_liability_down", f"({_g('contract_liability', 'contract_liability_before')}) <= -0.2e0"), ("R05/debt_ratio_up", "assets > 0 AND debt / nullif(assets, 0) - debt_ratio_before >= 0.05e0"), ("R06/goodwill_impairment", "goodwill_impairment > 0"), ("R06/impairment_share", "equity_before > 0 AND impairment / nullif(equity_before, 0) >= 0.01e0"),
+        ("R07/people_changed", "people_changed"), ("R08/major_capital_event", "capital_event_major"), ("R08/capital_event_share", "equity_before > 0 AND capital_event / nullif(equity_before, 0) >= 0.05e0"), ("R09/key_regulatory_event", "risk_event_key"), ("R09/risk_event_share", "equity_before > 0 AND risk_event / nullif(equity_before, 0) >= 0.01e0"),
+        ("R10/dividend_down", f"({_g('dividend', 'dividend_before')}) <= -0.2e0"), ("R10/return_cancelled", "return_cancelled"), ("R10/repurchase_share", "repurchase / shares >= 0.01e0"),
+    ]
+    no_equity = "coalesce(equity_before <= 0, true)"
+    gone = [(f"R01/{m}:same_period", f"{m} IS NULL OR {m}_before IS NULL") for m in ("revenue", "profit", "adjusted_profit")] + [(f"R02/{m}:same_period", f"{m} IS NULL OR {m}_before IS NULL") for m in ("gross_margin", "sales_expense_ratio", "management_expense_ratio", "research_expense_ratio")]
+    gone += [("R03/profit_and_cash_flow", "profit IS NULL OR cash_flow IS NULL"), *[(f"R04/{m}:comparison", f"{m}_growth IS NULL OR {m}_days IS NULL OR {m}_days_before IS NULL") for m in ("receivables", "inventory")], ("R05/debt_ratio", "debt IS NULL OR assets IS NULL OR debt_ratio_before IS NULL")]
+    gone += [("R06/impairment_and_equity", f"impairment IS NULL OR {no_equity}"), ("R08/capital_event_and_equity", f"capital_event IS NULL OR {no_equity}"), ("R09/risk_event_and_equity", f"risk_event IS NULL OR {no_equity}"), ("R10/two_dividends", "dividend IS NULL OR dividend_before IS NULL")]
+    return hit, gone
+
+
+def _joined(checks: list[tuple[str, str]]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {x} THEN '{c}' END" for c, x in checks) + ")"
+
+
+@query("WITH f AS (SELECT c_custkey, " + ", ".join(f"{e} AS {n}" for n, e in _FIGURES.items()) + f" FROM customer) SELECT c_custkey, {_joined(_reading_sql()[0])} AS triggers, {_joined(_reading_sql()[1])} AS missing FROM f")
+def reading_rules(spark, sf_dir):
+    """K5: rules over a company's figures: why its report must be read, and what is missing to say so."""
+    f = read(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{e} AS {n}" for n, e in _FIGURES.items()])
+    v = {n: F.col(n) for n in _FIGURES}
+    return f.select("c_custkey", reading.codes(reading.triggers(v)).alias("triggers"), reading.codes(reading.missing(v)).alias("missing"))
