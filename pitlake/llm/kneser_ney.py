@@ -1,4 +1,4 @@
-"""Operator 9: interpolated modified Kneser-Ney bigram model, counted in Spark, read from memory-mapped arrays."""
+"""Operator 9: interpolated modified Kneser-Ney n-gram model, counted in Spark, read from memory-mapped arrays."""
 
 from __future__ import annotations
 
@@ -15,12 +15,13 @@ from pitlake.llm.common import hashed_words, mix64, shared_dir, slices, table, w
 from pitlake.llm.packed import batch, found, mapped, merged, pack, put, runs_of, small, summed, unpack
 
 START, END = np.uint64(1), np.uint64(2)
-#: The words whose contexts are dealt by bigram: those with at least this many tokens, and this share of all tokens.
+#: The words after which followers are dealt one by one: those with at least this many tokens, and this share of all tokens.
 HOT_TOKENS, HOT_SHARE = 100_000, 1 / 65_536
 
 
-def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys (64 bits) of all texts with an end after each; the key before each; offsets of the texts."""
+def tokens(raw: list[bytes], order: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word keys (64 bits) of all texts with an end after each, preceded by those of the order - 1 words before, the
+    farthest first (a start before the first word); offsets of the texts."""
     words, at = hashed_words([b.lower() for b in raw])
     words = np.where(words < 16, words + np.uint64(16), words)
     at = at + np.arange(len(at))
@@ -28,22 +29,76 @@ def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(len(key), bool)
     inside[at[1:] - 1] = False
     key[inside] = words
-    before = np.r_[START, key[:-1]]
-    before[at[:-1]] = START
-    return key, before, at
+    out = [key]
+    for _ in range(order - 1):
+        before = np.r_[START, out[0][:-1]]
+        before[at[:-1]] = START
+        out.insert(0, before)
+    return out, at
 
 
-def pair_key(before: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + key)
+def gram_key(words: list[np.ndarray]) -> np.ndarray:
+    """The key of a sequence of words; that of one word is the word's own."""
+    out = words[-1]
+    for w in words[-2::-1]:
+        out = mix64(w * np.uint64(0x9E3779B97F4A7C15) + out)
+    return out
 
 
 def shard_of(key: np.ndarray, n: int) -> np.ndarray:
     return ((mix64(key) >> np.uint64(11)) % np.uint64(n)).astype(np.int64)
 
 
-def pair_shard(before: np.ndarray, key: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    """A context's bigrams share a shard, but for those of hot contexts, which are dealt one by one."""
-    return shard_of(np.where(found(hot, before)[1], pair_key(before, key), before), n)
+def gram_shard(words: list[np.ndarray], hot: np.ndarray, n: int) -> np.ndarray:
+    """The followers of a context share a shard; after a hot word they are dealt one by one."""
+    if len(words) == 1:
+        return shard_of(words[0], n)
+    return shard_of(np.where(found(hot, words[-2])[1], gram_key(words), gram_key(words[:-1])), n)
+
+
+def firsts(words: list[np.ndarray]) -> np.ndarray:
+    """Where a sequence of words differs from the one before, in sorted columns of words."""
+    if not len(words[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(words[0]), bool)
+    new[0] = True
+    for w in words:
+        new[1:] |= w[1:] != w[:-1]
+    return np.flatnonzero(new)
+
+
+def counted_grams(words: list[np.ndarray], count: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct sequences in order, and the sums of their counts (None: how often each occurs)."""
+    order = np.lexsort(words[::-1])
+    words = [w[order] for w in words]
+    first = firsts(words)
+    n = np.diff(np.r_[first, len(order)]) if count is None else np.add.reduceat(count[order], first) if len(first) else count
+    return [w[first] for w in words], n
+
+
+def packed_grams(words: list[np.ndarray], count: np.ndarray) -> bytes:
+    """Sorted sequences as their contexts, each context's number of followers, followers and counts."""
+    if len(words) == 1:
+        return pack(words[0], small(count))
+    start = firsts(words[:-1])
+    return pack(*(w[start] for w in words[:-1]), small(np.diff(np.r_[start, len(count)])), words[-1], small(count))
+
+
+def unpacked_grams(rows: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    parts = []
+    for row in rows:
+        *ctx, follower, count = unpack(row)
+        if ctx:
+            *ctx, sizes = ctx
+            ctx = [np.repeat(w, sizes.astype(np.int64)) for w in ctx]
+        parts.append([*ctx, follower, count.astype(np.int64)])
+    *words, count = (np.concatenate(x) for x in zip(*parts))
+    return words, count
+
+
+def dealt(words: list[np.ndarray], count: np.ndarray, hot: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    order, runs = runs_of(gram_shard(words, hot, shards), shards)
+    return [(s, packed_grams([w[order[i:j]] for w in words], count[order[i:j]])) for s, i, j in runs]
 
 
 @dataclass
@@ -55,8 +110,7 @@ class Model:
     hot: np.ndarray
     tokens: int
     words: int
-    discounts: list[float]
-    unigram_discounts: list[float]
+    discounts: list[list[float]]  # of sequences of 1, 2, ... words
     unigram_total: int
     unigram_rest: float
 
@@ -77,12 +131,15 @@ def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
 
-def train(docs: DataFrame, text_col: str = "text", per_shard: int = 2_000_000) -> Model:
-    """Count words, bigrams, continuations and contexts of all texts of docs, and write them as sorted arrays.
+def train(docs: DataFrame, text_col: str = "text", order: int = 2, per_shard: int = 2_000_000) -> Model:
+    """Count words, sequences of `order` words (2 or more), what they continue and their contexts in all texts of docs,
+    and write them as sorted arrays.
 
     Entries are summed in each task, then packed and dealt to shards by hash. One shard holds about per_shard
-    tokens' bigrams. Followers of a hot context are spread over all shards. The driver gets sums, and the hot
-    words (at most 1 / HOT_SHARE of them).
+    tokens' sequences. Followers of a context that ends in a hot word are spread over all shards. A level's shards hand
+    on its contexts, and the shorter sequences that its own continue, to the next stage: highest counts are raw, all
+    others are numbers of distinct words before. The driver gets sums, and the hot words (at most 1 / HOT_SHARE of
+    them).
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
@@ -93,9 +150,9 @@ def train(docs: DataFrame, text_col: str = "text", per_shard: int = 2_000_000) -
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, raw in slices(b.column(0), 14_000_000):
-                w, c = np.unique(tokens(raw)[0], return_counts=True)
-                order, runs = runs_of(shard_of(w, shards), shards)
-                cut = [(s, pack(w[order[i:j]], small(c[order[i:j]]))) for s, i, j in runs]
+                w, c = np.unique(tokens(raw, 1)[0][0], return_counts=True)
+                at, runs = runs_of(shard_of(w, shards), shards)
+                cut = [(s, pack(w[at[i:j]], small(c[at[i:j]]))) for s, i, j in runs]
                 yield batch([s for s, _ in cut], [p for _, p in cut])
 
     def sum_words(key: tuple, t: pa.Table) -> pa.Table:
@@ -103,87 +160,72 @@ def train(docs: DataFrame, text_col: str = "text", per_shard: int = 2_000_000) -
         put(f"{path}/word-{key[0].as_py()}.key", w.tobytes())
         put(f"{path}/word-{key[0].as_py()}.count", c.astype("<u8").tobytes())
         big = c >= HOT_TOKENS
-        return pa.table({"word": np.r_[w[big], 0].astype(np.int64), "tokens": np.r_[c[big], c.sum()], "words": np.r_[np.zeros(big.sum(), np.int64), len(w)]})
+        return pa.table({"word": np.r_[w[big], 0].view(np.int64), "tokens": np.r_[c[big], c.sum()], "words": np.r_[np.zeros(big.sum(), np.int64), len(w)]})
 
     counted = table(texts.mapInArrow(words, "cell long, packed binary").groupBy("cell").applyInArrow(sum_words, "word long, tokens long, words long"), "word-counts")
     total = counted.where("words > 0").agg(F.sum("tokens"), F.sum("words")).first()
     n, v = total[0] or 0, total[1] or 0
     hot = counted.where((F.col("words") == 0) & (F.col("tokens") >= n * HOT_SHARE)).select("word").collect()
-    hot = np.sort(np.array([r[0] for r in hot] + [int(START)], np.uint64))
+    hot = np.sort(np.r_[np.array([r[0] for r in hot], np.int64).view(np.uint64), START])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, raw in slices(b.column(0), 14_000_000):
-                key, before, _ = tokens(raw)
-                order = np.lexsort((key, before))
-                k, p = key[order], before[order]
-                first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])]) if len(k) else np.empty(0, np.int64)
-                c, k, p = np.diff(np.r_[first, len(k)]), k[first], p[first]
-                order, runs = runs_of(pair_shard(p, k, hot, shards), shards)
-                cells, packed = [], []
-                for s, i, j in runs:
-                    o = order[i:j]
-                    start = np.flatnonzero(np.r_[True, p[o][1:] != p[o][:-1]])
-                    cells.append(s)
-                    packed.append(pack(p[o][start], small(np.diff(np.r_[start, len(o)])), k[o], small(c[o])))
-                yield batch(cells, packed)
-
-    def sum_pairs(key: tuple, t: pa.Table) -> pa.Table:
-        p, k, c = [], [], []
-        for row in t.column("packed").to_pylist():
-            ctx, sizes, follower, count = unpack(row)
-            p.append(np.repeat(ctx, sizes.astype(np.int64)))
-            k.append(follower)
-            c.append(count.astype(np.int64))
-        p, k, c = np.concatenate(p), np.concatenate(k), np.concatenate(c)
-        order = np.lexsort((k, p))
-        p, k, c = p[order], k[order], c[order]
-        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
-        p, k, c = p[first], k[first], np.add.reduceat(c, first)
-        hashed = pair_key(p, k)
-        order = np.argsort(hashed)
-        put(f"{path}/pair-{key[0].as_py()}.key", hashed[order].tobytes())
-        put(f"{path}/pair-{key[0].as_py()}.count", c[order].astype("<u8").tobytes())
-        ctx = summed(p, c, c == 1, c == 2, c >= 3)
-        cont = summed(k, np.ones(len(k), np.int64))
-        rows = []
-        for kind, arrays in ((0, ctx), (1, cont)):
-            order, runs = runs_of(shard_of(arrays[0], shards), shards)
-            rows += [(2 * s + kind, pack(arrays[0][order[i:j]], *(small(a[order[i:j]]) for a in arrays[1:]))) for s, i, j in runs]
-        n = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-        m = len(rows) + 1
-        out = {"cell": [r[0] for r in rows] + [-1], "packed": pa.array([r[1] for r in rows] + [b""], pa.binary())}
-        return pa.table(out | {f"n{i + 1}": [0] * (m - 1) + [x] for i, x in enumerate(n)} | {"rows": [0] * (m - 1) + [len(c)]})
+                cut = dealt(*counted_grams(tokens(raw, order)[0], None), hot, shards)
+                yield batch([s for s, _ in cut], [p for _, p in cut])
 
     sums = "n1 long, n2 long, n3 long, n4 long, rows long"
-    stats = table(texts.mapInArrow(pairs, "cell long, packed binary").groupBy("cell").applyInArrow(sum_pairs, f"cell long, packed binary, {sums}"), "pair-counts")
-    two = stats.where("cell < 0").agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4)), F.sum("rows")).first()
-    d = discounts([x or 0 for x in two[:4]])
-
-    def sum_rest(key: tuple, t: pa.Table) -> pa.Table:
-        s, kind = divmod(key[0].as_py(), 2)
-        arrays = [unpack(r) for r in t.column("packed").to_pylist()]
-        arrays = [np.concatenate([a[i] for a in arrays]) for i in range(len(arrays[0]))]
-        n = [0, 0, 0, 0]
-        if kind == 0:
-            ctx, c, one, two, more = summed(*arrays)
-            put(f"{path}/context-{s}.key", ctx.tobytes())
-            put(f"{path}/context-{s}.total", c.astype("<f8").tobytes())
-            put(f"{path}/context-{s}.rest", ((d[0] * one + d[1] * two + d[2] * more) / c).astype("<f8").tobytes())
-        else:
-            w, c = summed(*arrays)
-            put(f"{path}/follow-{s}.key", w.tobytes())
-            put(f"{path}/follow-{s}.count", c.astype("<u8").tobytes())
-            n = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-        rows = len(arrays[0]) if kind == 0 else len(c)
-        return pa.table({f"n{i + 1}": [x] for i, x in enumerate(n)} | {"rows": [0 if kind == 0 else rows]})
-
-    one = table(stats.where("cell >= 0").select("cell", "packed").groupBy("cell").applyInArrow(sum_rest, sums), "follow-counts")
-    one = one.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4)), F.sum("rows")).first()
-    n1 = [x or 0 for x in one[:4]]
-    u, pairs_total = discounts(n1), two[4] or 0
-    rest = (u[0] * n1[0] + u[1] * n1[1] + u[2] * ((one[4] or 0) - n1[0] - n1[1])) / pairs_total if pairs_total else 1.0
-    return Model(path, shards, hot, n, v, d, u, pairs_total, rest)
+
+    def written(level: int, shard: int, rows: list[bytes]) -> pa.Table:
+        """The sums of one shard's sequences of `level` words, written as sorted arrays; what goes on to the next
+        stage: contexts (even cells) and shorter sequences (odd ones)."""
+        w, c = counted_grams(*unpacked_grams(rows))
+        hashed = gram_key(w)
+        at = np.argsort(hashed)
+        put(f"{path}/gram{level}-{shard}.key", hashed[at].tobytes())
+        put(f"{path}/gram{level}-{shard}.count", c[at].astype("<u8").tobytes())
+        out = []
+        if level > 1:
+            ctx = summed(gram_key(w[:-1]), c, c == 1, c == 2, c >= 3)
+            at, runs = runs_of(shard_of(ctx[0], shards), shards)
+            out = [(2 * s, pack(ctx[0][at[i:j]], *(small(x[at[i:j]]) for x in ctx[1:]))) for s, i, j in runs]
+            out += [(2 * s + 1, p) for s, p in dealt(*counted_grams(w[1:], None), hot, shards)]
+        m, stats = len(out), {f"n{i}": int((c == i).sum()) for i in (1, 2, 3, 4)} | {"rows": len(c)}
+        return pa.table({"cell": [x for x, _ in out] + [-1], "packed": pa.array([p for _, p in out] + [b""], pa.binary())} | {k: [0] * m + [x] for k, x in stats.items()})
+
+    def contexts(level: int, shard: int, rows: list[bytes], d: list[float]) -> None:
+        arrays = [np.concatenate(x) for x in zip(*map(unpack, rows))]
+        ctx, c, one, two, more = summed(*arrays)
+        put(f"{path}/context{level}-{shard}.key", ctx.tobytes())
+        put(f"{path}/context{level}-{shard}.total", c.astype("<f8").tobytes())
+        put(f"{path}/context{level}-{shard}.rest", ((d[0] * one + d[1] * two + d[2] * more) / c).astype("<f8").tobytes())
+
+    def first(key: tuple, t: pa.Table) -> pa.Table:
+        return written(order, key[0].as_py(), t.column("packed").to_pylist())
+
+    def then(level: int, d: list[float]):
+        def run(key: tuple, t: pa.Table) -> pa.Table:
+            shard, odd = divmod(key[0].as_py(), 2)
+            rows = t.column("packed").to_pylist()
+            if odd:
+                return written(level, shard, rows)
+            contexts(level + 1, shard, rows, d)
+            return pa.table({"cell": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())} | {k: pa.array([], pa.int64()) for k in ("n1", "n2", "n3", "n4", "rows")})
+
+        return run
+
+    out, found_sums = [], None
+    stage = table(texts.mapInArrow(grams, "cell long, packed binary").groupBy("cell").applyInArrow(first, f"cell long, packed binary, {sums}"), "gram-counts")
+    for level in range(order, 0, -1):
+        found_sums = stage.where("cell < 0").agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4)), F.sum("rows")).first()
+        out.insert(0, discounts([x or 0 for x in found_sums[:4]]))
+        if level == 2:
+            pairs = found_sums[4] or 0
+        if level > 1:
+            stage = table(stage.where("cell >= 0").select("cell", "packed").groupBy("cell").applyInArrow(then(level - 1, out[0]), f"cell long, packed binary, {sums}"), "gram-counts")
+    n1, u = [x or 0 for x in found_sums], out[0]
+    rest = (u[0] * n1[0] + u[1] * n1[1] + u[2] * (n1[4] - n1[0] - n1[1])) / pairs if pairs else 1.0
+    return Model(path, shards, hot, n, v, out, pairs, rest)
 
 
 class Arrays:
@@ -215,23 +257,25 @@ class Arrays:
 
     def score(self, raw: list[bytes]) -> dict[str, list]:
         m = self.m
-        key, before, at = tokens(raw)
-        w, inverse = np.unique(key, return_inverse=True)
+        words, at = tokens(raw, len(m.discounts))
+        w, inverse = np.unique(words[-1], return_inverse=True)
         shard = shard_of(w, m.shards)
         (count,) = self.look_up("word", shard, w, ("count", "<u8"))
-        (follows,) = self.look_up("follow", shard, w, ("count", "<u8"))
-        p1 = (discounted(follows.astype(np.int64), m.unigram_discounts) / max(m.unigram_total, 1) + m.unigram_rest / (m.words + 1))[inverse]
+        (follows,) = self.look_up("gram1", shard, w, ("count", "<u8"))
+        p = (discounted(follows.astype(np.int64), m.discounts[0]) / max(m.unigram_total, 1) + m.unigram_rest / (m.words + 1))[inverse]
         count = count.astype(np.int64)[inverse]
-        c, back = np.unique(before, return_inverse=True)
-        total, rest = self.look_up("context", shard_of(c, m.shards), c, ("total", "<f8"), ("rest", "<f8"))
-        total, rest = total[back], rest[back]
-        (c2,) = self.look_up("pair", pair_shard(before, key, m.hot, m.shards), pair_key(before, key), ("count", "<u8"))
-        seen = total > 0
-        p2 = np.where(seen, discounted(c2.astype(np.int64), m.discounts) / np.where(seen, total, 1) + rest * p1, p1)
+        for level in range(2, len(m.discounts) + 1):
+            gram = words[-level:]
+            c, back = np.unique(gram_key(gram[:-1]), return_inverse=True)
+            total, rest = self.look_up(f"context{level}", shard_of(c, m.shards), c, ("total", "<f8"), ("rest", "<f8"))
+            total, rest = total[back], rest[back]
+            (n,) = self.look_up(f"gram{level}", gram_shard(gram, m.hot, m.shards), gram_key(gram), ("count", "<u8"))
+            seen = total > 0
+            p = np.where(seen, discounted(n.astype(np.int64), m.discounts[level - 1]) / np.where(seen, total, 1) + rest * p, p)
         sums = lambda x: np.add.reduceat(x, at[:-1]) if len(x) else x
         return {
             "n_tokens": np.diff(at), "n_known": sums((count > 0).astype(np.int64)), "train_tokens": [m.tokens] * len(raw),
-            "base_score": sums(np.log10((count + 1) / (m.tokens + (m.words + 1)))), "score": sums(np.log10(p2)),
+            "base_score": sums(np.log10((count + 1) / (m.tokens + (m.words + 1)))), "score": sums(np.log10(p)),
         }
 
 
@@ -253,9 +297,9 @@ def held_out(id_col: str = "doc_id", of: int = 7, is_: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % of == is_
 
 
-def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, order: int = 2) -> DataFrame:
     """Train on the documents that aren't held out, score all of them."""
     held = held_out(id_col).alias("held_out")
-    model = train(docs.where(~held_out(id_col)), text_col)
+    model = train(docs.where(~held_out(id_col)), text_col, order)
     cols = [c for c in (docs.columns if keep is None else keep) if c.lower() != "held_out"]
     return score(docs.select(*dict.fromkeys([*cols, text_col]), held), model, text_col, [*cols, "held_out"])

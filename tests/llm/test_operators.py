@@ -81,6 +81,10 @@ def test_quality(docs, empty):
         if len(w) <= 150:
             longest = max((k for k in range(1, len(w)) if len({tuple(w[a : a + k]) for a in range(len(w) - k + 1)}) < len(w) - k + 1), default=0)
             assert r.longest_repeat == longest
+            eights = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+            long = {p for k in range(len(w) - 7) if eights[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+            assert math.isclose(r.repeat_fraction, sum(len(w[p]) for p in long) / max(sum(map(len, w)), 1), abs_tol=1e-12)
+            assert r.kept == (not r.base_failed and r.repeat_fraction <= 0.3 and longest <= 100)
     assert quality.quality_rules(empty).count() == 0
 
 
@@ -328,41 +332,73 @@ def one_pass(e, change, first):
     return p / p.sum(1, keepdims=True)
 
 
-def test_kneser_ney(docs, empty, spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(docs, empty, spark, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HOT_TOKENS", 40)
+    monkeypatch.setattr(kneser_ney, "HOT_SHARE", 1 / 1000)
     held = lambda i: crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    uni, big = Counter(), Counter()
+    padded = lambda t: [*[1] * (order - 1), *(x.lower() for x in words(t)), 2]
+    grams = [Counter() for _ in range(order + 1)]  # by length: raw for the longest, else numbers of words before
+    uni = Counter()
     for i, t, *_ in rows():
         if not held(i):
-            w = [x.lower() for x in words(t)] + [2]
-            uni.update(w)
-            big.update(zip([1, *w], w))
+            w = padded(t)
+            uni.update(w[order - 1 :])
+            grams[order].update(tuple(w[k - order + 1 : k + 1]) for k in range(order - 1, len(w)))
+    for n in range(order, 1, -1):
+        grams[n - 1].update(g[1:] for g in grams[n])
     n, v = sum(uni.values()), len(uni)
-    ctx, cont = Counter(), Counter()
-    for (a, w), c in big.items():
-        ctx[a] += c
-        cont[w] += 1
-    d2 = kneser_ney.discounts([sum(c == k for c in big.values()) for k in (1, 2, 3, 4)])
-    d1 = kneser_ney.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
-    cut = lambda c, d: max(c - ([0.0, *d][min(c, 3)]), 0)
-    total = len(big)
-    rest = sum(d1[min(c, 3) - 1] for c in cont.values()) / total
-    back = Counter()
-    for (a, _), c in big.items():
-        back[a] += d2[min(c, 3) - 1] / ctx[a]
-
-    def p(a, w):
-        low = cut(cont[w], d1) / total + rest / (v + 1)
-        return cut(big[a, w], d2) / ctx[a] + back[a] * low if ctx[a] else low
-
-    assert abs(sum(p(b"w1", w) for w in uni) + (p(b"w1", b"never")) - 1) < 1e-9
-    got = kneser_ney.perplexity(docs).collect()
+    d = [None] + [kneser_ney.discounts([sum(c == k for c in grams[m].values()) for k in (1, 2, 3, 4)]) for m in range(1, order + 1)]
+    total = [Counter() for _ in range(order + 1)]
+    back = [Counter() for _ in range(order + 1)]
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            total[m][g[:-1]] += c
+        for g, c in grams[m].items():
+            back[m][g[:-1]] += d[m][min(c, 3) - 1] / total[m][g[:-1]]
+    pairs = len(grams[2])
+    rest = sum(d[1][min(c, 3) - 1] for c in grams[1].values()) / pairs
+    cut = lambda c, x: max(c - ([0.0, *x][min(c, 3)]), 0)
+
+    def p(g):
+        out = cut(grams[1][g[-1:]], d[1]) / pairs + rest / (v + 1)
+        for m in range(2, order + 1):
+            h = g[-m:]
+            if total[m][h[:-1]]:
+                out = cut(grams[m][h], d[m]) / total[m][h[:-1]] + back[m][h[:-1]] * out
+        return out
+
+    context = next(iter(grams[order]))[:-1]
+    assert abs(sum(p((*context, w)) for w in uni) + p((*context, b"never")) - 1) < 1e-9
+    got = kneser_ney.perplexity(docs, order=order).collect()
     assert len(got) == len(rows())
     for r in got:
-        w = [x.lower() for x in words(r.text)] + [2]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(w), sum(x in uni for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([1, *w], w)), rel_tol=1e-6)
-    assert kneser_ney.perplexity(empty).count() == 0
+        w = padded(r.text)
+        own = w[order - 1 :]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(own), sum(x in uni for x in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in own), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w))), rel_tol=1e-6)
+    assert kneser_ney.perplexity(empty, order=order).count() == 0
+
+
+def test_kneser_ney_is_never_sure(spark):
+    """Contexts whose followers all have one count leave something to others: no score is minus infinity."""
+    texts = ["a b", "a b", "c d", "c d", "e f", "e f", "a b c", "x", "y", "z", "q r s", "q r s", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, f"a z{i} d b") for i in range(30)], "doc_id long, text string")
+    got = kneser_ney.perplexity(df).collect()
+    assert any(r.held_out for r in got) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_hashed_words():
+    texts = ["".join(rng.choice(list("ab \n\té"), 40)).encode() for _ in range(50)] + [b"", b"x" * 2000]
+    for block in (8, 100, 1 << 20):
+        where, seen = [], {}
+        h, at = common.hashed_words(texts, block, where)
+        assert [where[0][i:j] for i, j in zip(where[1], where[2])] == [w for t in texts for w in t.split()]
+        assert np.diff(at).tolist() == [len(t.split()) for t in texts]
+        for w, x in zip((w for t in texts for w in t.split()), h.tolist()):
+            assert seen.setdefault(w, x) == x
+        assert len(set(seen.values())) == len(seen)
 
 
 def test_warc(spark):
