@@ -48,6 +48,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def by_cell(df: DataFrame, cells: int):
+    """df grouped by its column cell (of which there are about `cells`), over as many tasks as that needs: the session's
+    number of shuffle partitions would stay as it is while cells grow with the input."""
+    return df.repartition(2 * cells, "cell").groupBy("cell")
+
+
 def columns_after(df: DataFrame, keep: list[str] | None, fields: dict[str, str]) -> tuple[list[str], T.StructType]:
     """Columns passed on, and the schema of them plus fields; a new field replaces an input column of its name."""
     new = {f.lower() for f in fields}

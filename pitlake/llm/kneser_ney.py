@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import hashed_words, mix64, shared_dir, slices, table, with_text_columns
+from pitlake.llm.common import by_cell, hashed_words, mix64, shared_dir, slices, table, with_text_columns
 from pitlake.llm.packed import batch, found, mapped, merged, pack, put, runs_of, small, summed, unpack
 
 START, END = np.uint64(1), np.uint64(2)
@@ -162,7 +162,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, per_shard: in
         big = c >= HOT_TOKENS
         return pa.table({"word": np.r_[w[big], 0].view(np.int64), "tokens": np.r_[c[big], c.sum()], "words": np.r_[np.zeros(big.sum(), np.int64), len(w)]})
 
-    counted = table(texts.mapInArrow(words, "cell long, packed binary").groupBy("cell").applyInArrow(sum_words, "word long, tokens long, words long"), "word-counts")
+    counted = table(by_cell(texts.mapInArrow(words, "cell long, packed binary"), shards).applyInArrow(sum_words, "word long, tokens long, words long"), "word-counts")
     total = counted.where("words > 0").agg(F.sum("tokens"), F.sum("words")).first()
     n, v = total[0] or 0, total[1] or 0
     hot = counted.where((F.col("words") == 0) & (F.col("tokens") >= n * HOT_SHARE)).select("word").collect()
@@ -215,14 +215,14 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, per_shard: in
         return run
 
     out, found_sums = [], None
-    stage = table(texts.mapInArrow(grams, "cell long, packed binary").groupBy("cell").applyInArrow(first, f"cell long, packed binary, {sums}"), "gram-counts")
+    stage = table(by_cell(texts.mapInArrow(grams, "cell long, packed binary"), shards).applyInArrow(first, f"cell long, packed binary, {sums}"), "gram-counts")
     for level in range(order, 0, -1):
         found_sums = stage.where("cell < 0").agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4)), F.sum("rows")).first()
         out.insert(0, discounts([x or 0 for x in found_sums[:4]]))
         if level == 2:
             pairs = found_sums[4] or 0
         if level > 1:
-            stage = table(stage.where("cell >= 0").select("cell", "packed").groupBy("cell").applyInArrow(then(level - 1, out[0]), f"cell long, packed binary, {sums}"), "gram-counts")
+            stage = table(by_cell(stage.where("cell >= 0").select("cell", "packed"), 2 * shards).applyInArrow(then(level - 1, out[0]), f"cell long, packed binary, {sums}"), "gram-counts")
     n1, u = [x or 0 for x in found_sums], out[0]
     rest = (u[0] * n1[0] + u[1] * n1[1] + u[2] * (n1[4] - n1[0] - n1[1])) / pairs if pairs else 1.0
     return Model(path, shards, hot, n, v, out, pairs, rest)
