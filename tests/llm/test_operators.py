@@ -123,7 +123,7 @@ def test_bpe_chunks(docs, name):
     fresh.encode_all([texts[0].encode()])
     n = len(fresh.bodies)
     fresh.encode_all([texts[1].encode(), texts[2].encode()])
-    assert n > 20 and len(fresh.bodies) < 2 * n and fresh.whole == 0  # the shared passage's chunks are known
+    assert n > 10 and len(fresh.bodies) < 2 * n and fresh.whole == 0  # the shared passage's chunks are known
     for r in bpe.encode(docs, tokenizer=path).collect():
         ids = tok.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
@@ -478,7 +478,7 @@ def test_vectors_of_many_lengths(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (2, 3, True), 4: (2, 3, False), 5: (2, 3, False), 6: (0, 6, True), 7: (1, 7, True), 8: (1, 7, False), None: (0, None, False)}
 
 
-@pytest.mark.parametrize("where", ["sf0.01", "check_s"])
+@pytest.mark.parametrize("where", ["sf0.1", "check_s"])
 def test_vectors_recall(spark, where):
     """Settings of the query against brute force over whole tables: no link too many, nine in ten of all or more."""
     path = f"/root/testdata/{where}/embeddings.parquet"
@@ -491,5 +491,5 @@ def test_vectors_recall(spark, where):
     want = dict(zip(ids.tolist(), np.concatenate([((x[i : i + 1000] @ x.T >= 0.93) & (y[i : i + 1000, None] == y)).sum(1) - 1 for i in range(0, len(x), 1000)]).tolist()))
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(t).collect()}
     total, have = sum(want.values()), sum(min(got[i], n) for i, n in want.items())
-    print(f"recall of links at {where}: {have / total:.4f} of {total}")
+    print(f"recall of links at {where}: {have / max(total, 1):.4f} of {total}")
     assert sum(max(0, got[i] - n) for i, n in want.items()) <= 2 and have >= 0.9 * total
