@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pitlake.llm.common import by_cell, columns_after, slices, table, with_text_columns
+from pitlake.llm.common import by_cell, columns_after, slices, table
 from pitlake.llm.packed import pack, small, unpack
 
 FIELDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "binary"}
@@ -74,10 +75,10 @@ def splitter(path: str, pattern: str):
         ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[cut], points[np.r_[cut[1:] - 1, len(points) - 1]]))
         own = regex.sub(r"(\[[^\]]*)" + regex.escape(name), lambda m, r=ranges: m[1] + r, own).replace(name, f"[{ranges}]")
     slow = regex.compile(own)
-    strange = regex.compile(f"[{''.join(f'\\U{ord(c):08x}' for c in sorted(odd))}]") if odd else None
+    high = re.compile(f"[{min(odd)}-\U0010ffff]") if odd else None  # most texts have no character from there on
 
     def split(text: str) -> list[str]:
-        return (slow if strange and not text.isascii() and strange.search(text) else plain).findall(text)
+        return (slow if high and high.search(text) and not odd.isdisjoint(text) else plain).findall(text)
 
     return split
 
