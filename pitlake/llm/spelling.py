@@ -13,23 +13,21 @@ from pyspark.sql import functions as F
 
 from pitlake.llm.common import table
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LETTERS = "[A-Za-zÀ-ÿ]"
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
 def counted_runs(doc_id: object, text: str, least: int, one_in: int, into: Counter, piece: int = 1 << 22) -> None:
     """Add the words of one text to `into`; long texts are read a piece at a time, cut behind a run."""
     start, seen = crc32(f"{'' if doc_id is None else doc_id}:".encode()), Counter()
-    at = 0
+    rest, runs, at = re.compile(f"{LETTERS}+"), re.compile(f"{LETTERS}{{{least},}}"), 0
     while at < len(text):
         stop = min(at + piece, len(text))
-        if stop < len(text) and (m := RUN.match(text, stop)):
+        if stop < len(text) and (m := rest.match(text, stop)):
             stop = m.end()
-        seen.update(RUN.findall(text, at, stop))
+        seen.update(runs.findall(text, at, stop))
         at = stop
     for run, n in seen.items():
-        if len(run) < least:
-            continue
         word = run.translate(_LOWER)
         h = crc32(word.encode(), start)
         if h % one_in == 0:
@@ -79,40 +77,41 @@ def rarest(words: DataFrame, order: dict[str, int], n: int = 3) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, p array<int>").select("word", "n", F.explode("p").alias("p"))
 
 
-def join_keys() -> Column:
-    """Keys of a word (columns word, p) such that two words one edit apart have one in common.
+def join_keys(longer: int) -> Column:
+    """Keys of a word (columns word, p) such that two words one edit apart have one in common: the shorter word has it
+    among those for longer=0, the other among those for longer=1 (words of one length have it among both).
 
     Of two such words, all but two bigrams of each are the other's too, at the same place from the start (left of the
     edit) or from the end (right of it), and in the same order; so the first common bigram in the global order is among
-    the three rarest of both. The edit stands in one half: with c code points in the shorter word and h = ceil(c / 2),
-    either the first h are equal, or the last c - h (the last c - h + 1 if the lengths differ). A key is the lengths, the
-    equal half, the bigram and its place, so no key holds more words than share all of these; a bigram right of the edit
-    isn't within the first half, one left of it isn't within the last.
+    the three rarest of both. The edit stands in one third of the shorter word, of c code points; what is before and
+    behind that third is equal. A key is the lengths, the equal parts, the bigram and its place, so that few words share
+    one that aren't near; a bigram right of the edit isn't before its third, one left of it not behind.
     """
     size, p = F.char_length("word"), F.col("p")
     gram = F.substring("word", p + 1, 2)
 
-    def key(kind: Column, half: Column, place: Column) -> Column:
-        return F.xxhash64(kind, half, gram, place)
-
-    first = lambda h: F.left("word", h)
-    last = lambda h: F.right("word", h)
-    same = F.ceil(size / 2).cast("int")
-    keys = [key(4 * size, first(same), p), key(4 * size + 1, last(size - same), p)]
-    for c in (size, size - 1):  # as the shorter word of a pair, and as the longer one
-        h = F.ceil(c / 2).cast("int")
-        left, right = first(h), last(c - h + 1)
-        keys += [key(4 * c + 2, left, p), key(4 * c + 3, right, p - size)]
-        keys += [F.when(p >= h, key(4 * c + 2, left, p - size)), F.when(p + 2 < h, key(4 * c + 3, right, p))]
+    def third(c: Column, j: int) -> Column:
+        return F.ceil(c * j / 3).cast("int")
+
+    def key(kind: int, j: int, c: Column, behind: Column | None, place: Column) -> Column:
+        return F.xxhash64(6 * c + 3 * kind + j, F.left("word", third(c, j)), F.lit("") if behind is None else F.right("word", behind), gram, place)
+
+    keys, c = [key(0, j, size, size - third(size, j + 1), p) for j in range(3)], size - longer
+    for j in range(3):
+        behind = c - third(c, j + 1) + 1 if j < 2 else None
+        left, right = key(1, j, c, behind, p), key(1, j, c, behind, p - size)
+        keys += [F.when(p + 2 < third(c, j + 1), left) if j < 2 else left, F.when(p - longer >= third(c, j), right)]
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(a, b, n): words one inserted, deleted or replaced code point apart, both ways, with the count n of b."""
-    order = bigram_order(words)
-    keyed = rarest(words, order).select(F.explode(join_keys()).alias("key"), "word", "n")
-    x, y = keyed.select("key", F.col("word").alias("a"), F.col("n").alias("na")), keyed.select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y, "key").where("a < b and levenshtein(a, b, 1) = 1").select("a", "b", "na", "nb").distinct()
+    """(a, b, n): words one inserted, deleted or replaced code point apart, both ways, with the count n of b.
+
+    Each word's three rarest bigrams go to a join on keys that hold the bigram and its place; Levenshtein distances decide.
+    No pair of words is met twice in a key, and pairs that meet in several keys are made distinct."""
+    places = table(rarest(words, bigram_order(words)), "rarest-bigrams")
+    x, y = (places.select(F.explode(join_keys(longer)).alias("key"), F.col("word").alias(w), F.col("n").alias(f"n{w}")) for longer, w in ((0, "a"), (1, "b")))
+    pairs = x.join(y, "key").where("(a < b or char_length(a) < char_length(b)) and levenshtein(a, b, 1) = 1").select("a", "b", "na", "nb").distinct()
     return pairs.select(F.explode(F.array(F.struct("a", "b", F.col("nb").alias("n")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("na").alias("n")))).alias("x")).select("x.*")
 
 
