@@ -82,7 +82,8 @@ def drops_blanks(path: str) -> bool:
 
 class Words:
     """Ids of words, for a file that drops white space: each distinct word is encoded once while the store holds it.
-    Words are known by 64-bit hashes; a store of more than `most` words starts afresh."""
+    Words are found by 64-bit hashes, and all their bytes are compared; texts in which words of equal hash differ are
+    encoded word by word. A store of more than `most` words starts afresh."""
 
     def __init__(self, ids_of: Callable[[list[bytes]], list[np.ndarray]], most: int = 800_000) -> None:
         self.ids_of, self.most = ids_of, most
@@ -90,6 +91,7 @@ class Words:
 
     def forget(self) -> None:
         self.index: dict[int, int] = {}
+        self.words: list[bytes] = []
         self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -101,9 +103,15 @@ class Words:
         get = self.index.get
         known = np.array([get(x, -1) for x in u.tolist()], np.int64)
         new = np.flatnonzero(known < 0)
+        raw, starts, ends = where
+        old = np.flatnonzero(known >= 0)
+        met = zip(known[old].tolist(), starts[first[old]].tolist(), ends[first[old]].tolist())
+        if not same_words(raw, starts, ends, first[inverse]) or any(self.words[k] != raw[i:j] for k, i, j in met):
+            return self.one_by_one(raw, starts, ends, offsets)
         if len(new):
-            raw, starts, ends = where
-            found = self.ids_of([raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            fresh = [raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            self.words += fresh
+            found = self.ids_of(fresh)
             known[new] = np.arange(len(self.index), len(self.index) + len(new))
             self.index.update(zip(u[new].tolist(), known[new].tolist()))
             self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(x) for x in found])]
@@ -115,6 +123,30 @@ class Words:
         cut = ends[offsets]
         return [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
+    def one_by_one(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        words = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+        distinct = list(dict.fromkeys(words))
+        ids = dict(zip(distinct, self.ids_of(distinct)))
+        return [np.concatenate([np.empty(0, np.uint32), *(ids[w] for w in words[i:j])]).astype(np.uint32) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def same_words(raw: bytes, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, block: int = 1 << 22) -> bool:
+    """Whether each word has the same bytes as the word numbered `other`."""
+    at = np.flatnonzero(other != np.arange(len(other)))
+    a, b, sizes = starts[at], starts[other[at]], (ends - starts)[at]
+    if not np.array_equal(sizes, (ends - starts)[other[at]]):
+        return False
+    x, stop = np.frombuffer(raw, np.uint8), np.cumsum(sizes)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + block)))
+        n = sizes[i:j]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(x[np.repeat(a[i:j], n) + place], x[np.repeat(b[i:j], n) + place]):
+            return False
+        i = j
+    return True
+
 
 class ChunkEncoder:
     """Encodes texts from content-defined chunks, each distinct one encoded once and kept while the Python worker

@@ -173,10 +173,23 @@ def inverses(n: int) -> np.ndarray:
     return _grown("i", pow(_R, -1, 1 << 64), n)
 
 
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
+_places = mix64(np.arange(1 << 12, dtype=np.uint64) + np.uint64(_R))
+
+
+def _drawn(n: int) -> np.ndarray:
+    """A number for each place in a word, for n places at least."""
+    global _places
+    if len(_places) < n:
+        _places = mix64(np.arange(1 << int(n).bit_length(), dtype=np.uint64) + np.uint64(_R))
+    return _places
+
+
 def hashed_words(texts: list[bytes], block: int = 1 << 20, where: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts one after another, and the texts' offsets. A word's
-    hash is a polynomial over its bytes, taken from running sums of about `block` bytes at a time. `where` gets
-    all texts as one, and the words' starts and ends in it."""
+    hash is a sum over its bytes of a number drawn for the byte and its place, so that no rule of a word's letters makes
+    two words equal; sums are taken from running ones of about `block` bytes at a time. `where` gets all texts as one,
+    and the words' starts and ends in it."""
     raw = b"\n".join(texts) + b"\n"
     out, places, stops, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while at < len(raw):
@@ -187,9 +200,14 @@ def hashed_words(texts: list[bytes], block: int = 1 << 20, where: list | None =
         x = np.frombuffer(raw, np.uint8, cut - at, at)
         edges = np.flatnonzero(np.diff((x == 32) | ((x >= 9) & (x <= 13)), prepend=True))
         starts, ends = edges[0::2], edges[1::2]
+        begin = np.zeros(len(x), np.int64)
+        begin[starts] = starts
+        place = np.arange(len(x)) - np.maximum.accumulate(begin)
+        drawn = (_drawn(int((ends - starts).max()) if len(starts) else 0)[np.minimum(place, len(_places) - 1)] ^ _BYTES[x]) * np.uint64(0x9E3779B97F4A7C15)
+        drawn ^= drawn >> np.uint64(32)
         total = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(len(x)), out=total[1:])
-        out.append(mix64((total[ends] - total[starts]) * inverses(len(x))[starts]))
+        np.cumsum(drawn, out=total[1:])
+        out.append(mix64(total[ends] - total[starts] + (ends - starts).astype(np.uint64)))
         places.append(starts + at)
         stops.append(ends + at)
         at = cut

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import tiktoken
 
-from pitlake.llm import byte_bpe, queries, ranked, spelling
+from pitlake.llm import bpe, byte_bpe, common, kneser_ney, queries, ranked, spelling
 from tests.oracle import differences
 
 SCHEMA = "doc_id long, text string, lang string, n_tokens string, term string"
@@ -228,3 +228,35 @@ def test_treap_search_prunes(monkeypatch):
 def test_against_sql(spark, name):
     more, less, n = differences(spark, queries.QUERIES[name], queries.ORACLES[name])
     assert (more, less) == ([], []) and n
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_that_differ_by_rule(spark):
+    """Words of 1,024 and 2,048 letters that any polynomial modulo 2 ** 64 takes for one: own hashes, ids, counts."""
+    from tokenizers import Tokenizer
+
+    words = [thue_morse(n, s) for n in (1024, 2048) for s in (0, 1)]
+    h, _ = common.hashed_words([" ".join(words).encode()])
+    assert len(set(h.tolist())) == 4
+    texts = [f"{prose(200)} {w} {prose(200)}" for w in words] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    tok = Tokenizer.from_file(bpe.default_tokenizer())
+    assert {r.doc_id: list(r.ids) for r in bpe.encode(df).collect()} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    train = Counter(w for i, t in enumerate(texts) for w in [*t.lower().split(), ""] if crc32(str(i).encode()) % 7 != 2)
+    for r in kneser_ney.perplexity(df).collect():
+        w = [*texts[r.doc_id].lower().split(), ""]
+        assert r.n_known == sum(train[x] > 0 for x in w) and r.train_tokens == train.total()
+        assert math.isclose(r.base_score, sum(math.log10((train[x] + 1) / (train.total() + len(train) + 1)) for x in w), rel_tol=1e-12)
+
+
+def test_equal_hashes_of_different_words(monkeypatch):
+    """Bytes decide: with a hash that is the same for all words, in one text and against the store."""
+    calls = []
+    store = bpe.Words(lambda raws: (calls.append(raws), [np.frombuffer(w, np.uint8).astype(np.uint32) for w in raws])[1])
+    real = bpe.hashed_words
+    monkeypatch.setattr(bpe, "hashed_words", lambda texts, where: (lambda h, at: (h * np.uint64(0), at))(*real(texts, where=where)))
+    for texts in ([b"one"], [b"two"], [b"one two", b"", b"one"], [b"one one"]):
+        assert [x.tolist() for x in store.encode(texts)] == [[c for w in t.split() for c in w] for t in texts]
