@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitlake.plans import evidence, extraction, intake, review, selection, valuation  # noqa: F401  (they register their queries)
+from pitlake.plans import evidence, extraction, filings, intake, review, selection, valuation  # noqa: F401  (they register their queries)
 from pitlake.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "metrics_quarterly"
