@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitlake.operators import graphs
+from pitlake.operators import graphs, reconstruction
 from pitlake.plans.queries import query
 from pitlake.sources.tables import read
 
@@ -43,3 +43,122 @@ def control_states(spark, sf_dir):
     """Control graphs as known and valid at a time: versions, conflicts, unproven segments, nodes on cycles."""
     relations, states = _relations(spark, sf_dir)
     return graphs.control_state(relations, states, "nation")
+
+
+#: What each kind takes from the events as deltas, and what it says about a position, in SQL for both.
+_KINDS = {
+    "ownership": (("purchase", "click"), "subject", "cast({balance} as {s})"),
+    "pledge": (("purchase", "click"), "concat(subject, '/', other, '/', {basis_key})", "cast({balance} as {s})"),
+    "roster": (("view", "error"), "concat(subject, '/', other, coalesce(':' || problem, ''))", "cast({since} as {s})"),
+    "control": (("purchase", "click", "view", "error"), "concat(subject, '/', other)", "cast(delta_id as {s})"),
+    "annual": (("purchase", "click", "view", "error"), "concat(subject, '/', basis)", "cast(delta_id as {s})"),
+    "interval": (("purchase", "click", "view", "error"), "concat(subject, '/', other, '/', basis)", "cast(delta_id as {s})"),
+}
+_DELTA = [
+    "CASE k % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS subject",
+    "CASE WHEN k % 2 = 0 THEN 'chair' ELSE 'ceo' END AS other",
+    "CASE event_type WHEN 'purchase' THEN 'increase' WHEN 'click' THEN 'decrease' WHEN 'view' THEN 'appoint' ELSE 'dismiss' END AS action",
+    "CASE WHEN value >= 0.3 THEN CAST(floor(value) AS BIGINT) END AS quantity",
+    "CASE WHEN value BETWEEN 19 AND 19.3 THEN 'lots' ELSE 'shares' END AS unit",
+]
+
+
+def _history(spark: SparkSession, sf_dir: str, kind: str) -> reconstruction.Inputs:
+    """The events of each user as a company's history: signups are anchors of three positions, other events deltas; some
+    replace the delta before, some are withdrawn or out of unit; three states a user, known a day before to a day after."""
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    later = F.expr("ts + make_dt_interval(0, int(k / 10))")
+    states = e.select(F.col("user_id").alias("company")).distinct().select("company", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    at = lambda days: F.expr(f"to_timestamp_ntz('2024-01-10 00:00:00') + make_dt_interval({days})")
+    states = states.select((F.col("company") * 10 + F.col("i")).alias("state_id"), "company", at("8 * i").alias("state_at"), at("9 * i - 1").alias("known_at"))
+    up = e.where("event_type = 'signup'")
+    never = F.lit(None).cast("long")
+    anchors = up.select(F.col("user_id").alias("company"), F.col("event_id").alias("anchor_id"), F.col("ts").alias("reference_at"), later.alias("available_at"), F.expr("value >= 2").alias("complete"), never.alias("supersedes"), F.expr("k = 7").alias("withdrawn"))
+    three = F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(o).alias("other")) for s, o in (("a", "chair"), ("b", "ceo"), ("c", "ceo"))])
+    items = up.select(F.col("event_id").alias("anchor_id"), F.inline(three), (F.col("k") * 3).cast("long").alias("quantity"), F.lit("shares").alias("unit"), F.lit("total").alias("basis")).select("anchor_id", "subject", "other", "quantity", "unit", "basis")
+    basis = "concat('Y', int(day(ts) / 10))" if kind in ("annual", "interval") else "CASE WHEN value > 60 THEN 'free' ELSE 'total' END"
+    d = e.where(F.col("event_type").isin(*_KINDS[kind][0])).withColumn("before", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
+    deltas = d.selectExpr(
+        "user_id AS company", "event_id AS delta_id", "ts AS effective_at", "ts AS announced_at", "ts + make_dt_interval(0, int(k / 10)) AS available_at", "CASE WHEN k = 50 THEN before END AS supersedes", "k = 8 AS withdrawn",
+        *_DELTA, f"{basis} AS basis", "CASE WHEN k >= 20 THEN ts + make_dt_interval(0, 6 * k) END AS valid_to",
+    )
+    sides = e.where("k in (33, 44)").select(F.col("user_id").alias("company"), F.when(F.col("k") == 33, "conflict").otherwise("gap").alias("side"), F.col("ts").alias("available_at"), F.when(F.col("event_type") == "click", later).alias("closed_at"))
+    return reconstruction.Inputs(states, anchors, items, deltas, sides)
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    found = reconstruction.reconstruct(kind, _history(spark, sf_dir, kind))
+    says = [x.format(s="string", balance="balance", since="since", basis_key="basis_key") for x in _KINDS[kind][1:]]
+    positions = found.positions.select("state_id", F.expr(says[0]).alias("position"), F.expr(says[1]).alias("value"))
+    return found.summary.join(positions, "state_id", "left")
+
+
+def _rebuilt_sql(kind: str) -> str:
+    basis = "concat('Y', day(ts) // 10)" if kind in ("annual", "interval") else "CASE WHEN value > 60 THEN 'free' ELSE 'total' END"
+    types, position, value = _KINDS[kind]
+    key = {"ownership": "subject", "pledge": "subject, other, basis"}.get(kind, "subject, other")
+    balance = f"""s0 AS (SELECT state_id, subject, other, 'total' AS basis, CAST(q AS BIGINT) AS start FROM best JOIN e ON event_id = anchor_id, LATERAL (SELECT unnest(['a', 'b', 'c']) AS subject, unnest(['chair', 'ceo', 'ceo']) AS other, k * 3 AS q)),
+      s1 AS (SELECT state_id, {key}, start FROM s0), run AS (SELECT x.*, s1.start, s1.start IS NULL OR bool_or(quantity IS NULL OR (s1.start IS NOT NULL AND (unit <> 'shares' OR basis <> 'total'))) OVER w AS bad FROM sel x LEFT JOIN s1 USING (state_id, {key}) WINDOW w AS (PARTITION BY state_id, {key} ORDER BY eff, delta_id)),
+      sums AS (SELECT *, CASE WHEN NOT bad THEN start + sum(CASE WHEN bad THEN 0 WHEN action = 'increase' THEN quantity ELSE -quantity END) OVER (PARTITION BY state_id, {key} ORDER BY eff, delta_id) END AS now FROM run),
+      per AS (SELECT state_id, {key}, sum(CASE WHEN bad THEN 0 WHEN action = 'increase' THEN quantity ELSE -quantity END) AS total, count(*) FILTER (bad) AS n_issues, coalesce(min(now) < 0, false) AS neg FROM sums GROUP BY ALL),
+      pos AS (SELECT state_id, {key}, CASE WHEN start IS NOT NULL AND coalesce(n_issues, 0) = 0 THEN CAST(start + coalesce(total, 0) AS BIGINT) END AS balance, coalesce(n_issues, 0) AS n, coalesce(neg, false) AS neg FROM s1 FULL JOIN per USING (state_id, {key})),
+      status AS (SELECT state_id, CAST(sum(n) AS BIGINT) AS n_issues, CASE WHEN bool_or(neg) THEN 'invalid' WHEN sum(n) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM pos GROUP BY 1)"""
+    roster = """al AS (SELECT state_id, 0 AS f, ref AS t, 0 AS delta_id, unnest(['a', 'b', 'c']) AS subject, unnest(['chair', 'ceo', 'ceo']) AS other, 'appoint' AS action FROM best UNION ALL SELECT state_id, 1, eff, delta_id, subject, other, action FROM sel),
+      o AS (SELECT *, lag(action) OVER w AS before, lead(action) OVER w AS after FROM al WINDOW w AS (PARTITION BY state_id, subject, other ORDER BY f, t, delta_id)), op AS (SELECT state_id, subject, other, t AS since FROM o WHERE action = 'appoint' AND after IS NULL),
+      pos AS (SELECT state_id, subject, other, since, CASE WHEN other = 'chair' AND count(*) OVER (PARTITION BY state_id, other) > 1 THEN 'overlap' END AS problem FROM op UNION ALL SELECT state_id, subject, other, t, 'close_without_open' FROM o WHERE action = 'dismiss' AND before IS DISTINCT FROM 'appoint'),
+      status AS (SELECT state_id, count(problem) AS n_issues, CASE WHEN bool_or(coalesce(problem = 'overlap', false)) THEN 'conflicted' WHEN count(problem) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM pos GROUP BY 1)"""
+    cols = {"control": "subject, other", "annual": "subject, basis", "interval": "subject, other, basis"}.get(kind, "subject")
+    holds = "sel" if kind != "annual" else "(SELECT * FROM sel QUALIFY basis = max(basis) OVER (PARTITION BY state_id, subject))"
+    where = "" if kind == "annual" else "WHERE valid_to IS NULL OR state_at < valid_to"
+    record = f"""same AS (SELECT state_id, {cols}, count(DISTINCT (action, quantity, unit)) AS n, min(delta_id) AS delta_id FROM {holds} {where} GROUP BY ALL), pos AS (SELECT * FROM same WHERE n = 1),
+      status AS (SELECT state_id, count(*) FILTER (n > 1) AS n_issues, CASE WHEN count(*) FILTER (n > 1) > 0 THEN 'conflicted' ELSE 'complete' END AS status FROM same GROUP BY 1)"""
+    body = balance if kind in ("ownership", "pledge") else roster if kind == "roster" else record
+    lacks = "WHEN best.anchor_id IS NULL THEN 'incomplete'" if kind in reconstruction.ANCHORED else ""
+    said = [x.format(s="VARCHAR", balance="balance", since="since", basis_key="basis") for x in (position, value)]
+    return f"""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+      st AS (SELECT company, company * 10 + i AS state_id, TIMESTAMP '2024-01-10' + to_days(CAST(8 * i AS INT)) AS state_at, TIMESTAMP '2024-01-10' + to_days(CAST(9 * i - 1 AS INT)) AS known_at FROM (SELECT DISTINCT user_id AS company FROM e), (SELECT unnest(range(3)) AS i)),
+      best AS (SELECT state_id, arg_max(event_id, (ts, ts + to_hours(k // 10), event_id)) AS anchor_id, max(ts) AS ref FROM st JOIN e ON user_id = company WHERE event_type = 'signup' AND ts + to_hours(k // 10) <= known_at AND k <> 7 AND value >= 2 AND ts <= state_at GROUP BY 1),
+      d AS (SELECT user_id AS company, event_id AS delta_id, ts AS eff, ts + to_hours(k // 10) AS av, CASE WHEN k = 50 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS sup, k = 8 AS wd, {', '.join(_DELTA)}, {basis} AS basis, CASE WHEN k >= 20 THEN ts + to_hours(6 * k) END AS valid_to FROM e WHERE event_type IN {types}),
+      m AS (SELECT st.*, d.* EXCLUDE (company), av <= known_at AS vis FROM st JOIN d USING (company)), v AS (SELECT * FROM m WHERE vis), rep AS (SELECT DISTINCT state_id, sup AS delta_id, true AS replaced FROM v WHERE sup IS NOT NULL),
+      fault AS (SELECT DISTINCT x.state_id FROM v x LEFT JOIN v y ON y.state_id = x.state_id AND y.delta_id = x.sup WHERE x.sup IS NOT NULL AND (y.delta_id IS NULL OR x.av < y.av)),
+      sel AS (SELECT v.* FROM v LEFT JOIN rep USING (state_id, delta_id) LEFT JOIN best USING (state_id) WHERE replaced IS NULL AND NOT wd AND eff <= state_at AND (ref IS NULL OR eff > ref)), {body},
+      side AS (SELECT state_id, bool_or(k = 33) AS conflict, bool_or(k = 44) AS gap FROM st JOIN e ON user_id = company WHERE k IN (33, 44) AND ts <= known_at AND (event_type <> 'click' OR ts + to_hours(k // 10) > known_at) GROUP BY 1),
+      n AS (SELECT state_id, count(*) AS n FROM m GROUP BY 1), ns AS (SELECT state_id, count(*) AS n FROM sel GROUP BY 1)
+    SELECT st.state_id, best.anchor_id, coalesce(ns.n, 0) AS n_selected, coalesce(n.n, 0) - coalesce(ns.n, 0) AS n_excluded, coalesce(n_issues, 0) AS n_issues, CASE WHEN fault.state_id IS NOT NULL OR status = 'invalid' THEN 'invalid' WHEN status = 'conflicted' OR conflict THEN 'conflicted' WHEN status = 'incomplete' OR gap THEN 'incomplete' {lacks} ELSE 'complete' END AS completeness,
+      p.position, p.value FROM st LEFT JOIN best USING (state_id) LEFT JOIN ns USING (state_id) LEFT JOIN n USING (state_id) LEFT JOIN status USING (state_id) LEFT JOIN side USING (state_id) LEFT JOIN fault USING (state_id) LEFT JOIN (SELECT state_id, {said[0]} AS position, {said[1]} AS value FROM pos) p USING (state_id)"""
+
+
+@query(_rebuilt_sql("ownership"))
+def rebuilt_ownership(spark, sf_dir):
+    """Holdings from an anchor and signed deltas, unknown for good after a mismatch."""
+    return _rebuilt(spark, sf_dir, "ownership")
+
+
+@query(_rebuilt_sql("pledge"))
+def rebuilt_pledges(spark, sf_dir):
+    """Pledges by pledgor, pledgee and basis."""
+    return _rebuilt(spark, sf_dir, "pledge")
+
+
+@query(_rebuilt_sql("roster"))
+def rebuilt_rosters(spark, sf_dir):
+    """Who holds which role: a fold over a state's appointments and dismissals."""
+    return _rebuilt(spark, sf_dir, "roster")
+
+
+@query(_rebuilt_sql("control"))
+def rebuilt_control(spark, sf_dir):
+    """Control relations that hold, by their natural key."""
+    return _rebuilt(spark, sf_dir, "control")
+
+
+@query(_rebuilt_sql("annual"))
+def rebuilt_annual(spark, sf_dir):
+    """Records of each subject's last year."""
+    return _rebuilt(spark, sf_dir, "annual")
+
+
+@query(_rebuilt_sql("interval"))
+def rebuilt_intervals(spark, sf_dir):
+    """Records whose interval holds the state's instant."""
+    return _rebuilt(spark, sf_dir, "interval")
