@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitlake.operators import graphs, reconstruction
-from pitlake.plans.queries import query
+from pitlake.operators.analytics import shared_dir
+from pitlake.plans.queries import ORACLES, query
 from pitlake.sources.tables import read
+from pitlake.streaming import folds
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -162,3 +166,19 @@ def rebuilt_annual(spark, sf_dir):
 def rebuilt_intervals(spark, sf_dir):
     """Records whose interval holds the state's instant."""
     return _rebuilt(spark, sf_dir, "interval")
+
+
+@query(ORACLES["running_balance"])
+def streamed_balances(spark, sf_dir):
+    """R18 over unbounded input: the running balances of all users by a stateful stream; a last row of no user, far ahead,
+    lets the watermark pass all others."""
+    amount = "CASE event_type WHEN 'purchase' THEN cast(value as decimal(18,4)) WHEN 'error' THEN -cast(value as decimal(18,4)) WHEN 'signup' THEN CASE WHEN event_id % 40 <> 0 THEN cast(0 as decimal(18,4)) END ELSE cast(0 as decimal(18,4)) END"
+    rows = read(spark, sf_dir, "events").selectExpr("user_id", "event_id", "cast(ts as timestamp) AS ts", f"cast({amount} as decimal(18,4)) AS amount")
+    last = rows.selectExpr("cast(-1 as long) AS user_id", "cast(-1 as long) AS event_id", "ts").groupBy("user_id", "event_id").agg(F.max("ts").alias("ts"))
+    last = last.select("user_id", "event_id", (F.col("ts") + F.expr("interval 9 days")).alias("ts"), F.lit(None).cast("decimal(18,4)").alias("amount"))
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.union(last).write.parquet(f"{path}/in")
+    spark.conf.set(folds.STORE, folds.ROCKS)
+    found = folds.running_balance(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), ["user_id"])
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").select("event_id", "user_id", "balance", "integrity")
