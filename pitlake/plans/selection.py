@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitlake.functions import periods as when, rules
-from pitlake.operators import selection
+from pitlake.operators import materialize, selection
 from pitlake.plans.queries import query
 from pitlake.sources.tables import read
 
@@ -269,3 +269,28 @@ def tree_comparison(spark, sf_dir):
     x, y = F.expr("try_cast(x as double)"), F.expr("try_cast(y as double)")
     off = F.when(F.col("y").isNull(), "missing").when(x.isNull() & (F.col("x") != F.col("y")), "different").when(F.abs(x - y) > F.greatest(F.abs(x) * 0.000001, F.lit(0.000000001)), "different")
     return flat.select("p_partkey", "path", off.alias("difference")).where("difference is not null")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS k, l_returnflag AS src, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS id, l_linestatus AS rk, CAST(l_shipdate AS DATE) AS av, CAST(floor(l_quantity / 30) AS BIGINT) AS value, CASE WHEN l_tax < 0.075 THEN 'CNY' ELSE 'USD' END AS unit, l_discount < 0.045 AS corrects FROM lineitem),
+  x AS (SELECT *, CASE WHEN corrects THEN id - 1 END AS sup FROM f), l AS (SELECT p.*, c.rk AS by_rk, c.av AS by_av, c.id IS NULL AS leaf FROM x p LEFT JOIN x c ON c.k = p.k AND c.src = p.src AND c.sup = p.id),
+  s AS (SELECT k, src, bool_or(coalesce(by_rk <> rk, false)) AS another, bool_or(coalesce(av >= by_av, false)) AS disorder, count(*) FILTER (leaf) AS n, count(DISTINCT (value, unit)) FILTER (leaf) AS said, arg_max((value, unit, id), (av, id)) FILTER (leaf) AS best FROM l GROUP BY 1, 2),
+  o AS (SELECT k, CASE WHEN bool_or(another) THEN 'revision_of_another_row' WHEN bool_or(disorder) THEN 'revision_out_of_order' WHEN min(n) = 0 THEN 'no_leaf' WHEN max(said) > 1 THEN 'conflict_within_source' WHEN count(DISTINCT (best[1], best[2])) > 1 THEN 'conflict_across_sources' ELSE 'selected' END AS outcome, arg_min(best, (src <> 'R', best[3])) AS b, count(*) AS n_sources FROM s GROUP BY 1)
+SELECT k AS l_orderkey, outcome, CASE WHEN outcome = 'selected' THEN b[3] END AS fact_id, CASE WHEN outcome = 'selected' THEN b[1] END AS value, CASE WHEN outcome = 'selected' THEN b[2] END AS unit, n_sources FROM o""")
+def materialized_facts(spark, sf_dir):
+    """Versions within a source, agreement of its leaves, agreement of sources, then the preferred one; or the reason."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    f = read(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 100 + F.row_number().over(w))
+    f = f.select(
+        "l_orderkey", F.col("l_returnflag").alias("source"), F.col("id").alias("fact_id"), F.col("id").alias("record_id"), F.col("l_linestatus").alias("row_key"), F.when(F.col("l_discount") < 0.045, F.col("id") - 1).alias("supersedes"),
+        F.col("l_shipdate").cast("date").alias("available_at"), F.floor(F.col("l_quantity") / 30).cast("long").alias("value"), F.when(F.col("l_tax") < 0.075, "CNY").otherwise("USD").alias("unit"),
+    )
+    return materialize.materialized(f, ["l_orderkey"], ["source"], F.col("source") == "R")
+
+
+@query("""SELECT o_custkey, arg_min(o_orderkey, (pr, n, -d, o_orderkey)) AS fact_id, round(arg_min(v, (pr, n, -d, o_orderkey)), 2) AS value, arg_min(o_orderstatus, (pr, n, -d, o_orderkey)) AS unit, count(*) AS n_candidates, count(DISTINCT (v, o_orderstatus)) AS n_values
+FROM (SELECT *, CAST(o_orderpriority[1] AS INT) AS pr, CASE o_orderstatus WHEN 'P' THEN 2 ELSE 0 END AS n, epoch_us(o_orderdate) AS d, floor(o_totalprice / 100000) AS v FROM orders) GROUP BY 1""")
+def chosen_candidates(spark, sf_dir):
+    """The first of a key's candidates by priority, parents, newest, id, and how many values there were."""
+    day = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("fact_id"), F.floor(F.col("o_totalprice") / 100000).cast("double").alias("value"), F.col("o_orderstatus").alias("unit"), F.substring("o_orderpriority", 1, 1).cast("int").alias("pr"), F.when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("n"), day.alias("d"))
+    return materialize.chosen(o, ["o_custkey"], [F.col("pr"), F.col("n"), -F.col("d"), F.col("fact_id")])

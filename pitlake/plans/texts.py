@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pitlake.operators import search
+from pitlake.operators.analytics import shared_dir
 from pitlake.plans.queries import query
+from pitlake.sources import content
 from pitlake.sources.tables import read
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -40,3 +46,60 @@ def phrase_search(spark, sf_dir):
 def pattern_search(spark, sf_dir):
     """The fallback for a pattern that is no word: a stop at the end of a line."""
     return search.containing(read(spark, sf_dir, "documents"), "doc_id", "text", ".\n")
+
+
+def _encoded(spark, sf_dir):
+    """The pages as bytes by language: French declares GB2312 and is GB18030, German declares nothing and is GB18030, Spanish declares
+    what no one knows, English has a UTF-8 mark; a page without any of these is as it was."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for html in b.column(1).to_pylist():
+                lang = re.search('lang="([a-z]+)"', html or "")
+                meta = '<meta charset="utf-8">'
+                match lang and lang[1]:
+                    case "fr":
+                        out.append(html.replace(meta, '<meta charset="GB2312">').encode("gb18030"))
+                    case "de":
+                        out.append(html.replace(meta, "").encode("gb18030"))
+                    case "es":
+                        out.append(html.replace(meta, "<meta charset=koi8-r>").encode())
+                    case "en":
+                        out.append(b"\xef\xbb\xbf" + html.encode())
+                    case _:
+                        out.append(None if html is None else html.encode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["page_id", "content"])
+
+    return read(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(run, "page_id long, content binary")
+
+
+_SEEN = """p AS (SELECT page_id, html, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages),
+  t AS (SELECT page_id, lang, CASE lang WHEN 'fr' THEN replace(html, '<meta charset="utf-8">', '<meta charset="GB2312">') WHEN 'de' THEN replace(html, '<meta charset="utf-8">', '') ELSE html END AS text FROM p)"""
+
+
+@query(f"""WITH {_SEEN} SELECT page_id, CASE WHEN lang <> 'es' THEN sha256(text) END AS text_sha256, CASE lang WHEN 'fr' THEN 'gb18030' WHEN 'de' THEN CASE WHEN octet_length(encode(text)) = length(text) THEN 'utf-8' ELSE 'gb18030' END WHEN 'es' THEN NULL WHEN 'en' THEN 'utf-8-sig' ELSE 'utf-8' END AS charset, CASE lang WHEN 'es' THEN 'unsupported_charset' ELSE 'decoded' END AS status FROM t""")
+def sniffed_pages(spark, sf_dir):
+    """Pages decoded by mark, declaration or trial, wrong declarations included."""
+    found = content.decoded(_encoded(spark, sf_dir), "page_id", "content")
+    return found.select("page_id", F.sha2("text", 256).alias("text_sha256"), "charset", "status")
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS k, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT -1 - doc_id, text FROM documents WHERE text IS NOT NULL), s AS (SELECT k, sha256(text) AS digest, octet_length(encode(text)) AS length FROM c), d AS (SELECT k, digest, length, k < 0 AND digest IN (SELECT digest FROM s WHERE k >= 0) AS reused FROM s)
+SELECT CAST(k AS VARCHAR) AS name, digest, length, reused, 'good' AS state FROM d""")
+def content_store(spark, sf_dir):
+    """Texts of conversations, then of documents, put into a content-addressed store and read back: every blob once, every
+    name's bytes hashed again."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    conversations = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    documents = read(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    found = content.archive(conversations, root).union(content.archive(documents, root))
+    return found.join(content.verified(found, content.blobs(spark, root)).select("name", "state"), "name")
+
+
+@query("""WITH x AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'forged' WHEN l_shipdate > TIMESTAMP '2000-06-30' THEN 'future' WHEN l_discount = 0 THEN 'audit_only' END AS e FROM lineitem)
+SELECT l_orderkey, count(*) FILTER (e IS NULL) AS n_items, count(e) AS n_excluded, CASE WHEN bool_or(e = 'forged') THEN 'forged' WHEN bool_or(e = 'future') THEN 'future' END AS blocked_by, count(*) FILTER (e IS NULL) > 0 AND NOT coalesce(bool_or(e IN ('forged', 'future')), false) AS passes FROM x GROUP BY 1""")
+def evidence_gate(spark, sf_dir):
+    """Evidence passes with an item that nothing excludes and no exclusion that blocks."""
+    why = F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"), "forged").when(F.col("l_shipdate") > F.lit("2000-06-30").cast("timestamp_ntz"), "future").when(F.col("l_discount") == 0, "audit_only")
+    return content.gate(read(spark, sf_dir, "lineitem"), "l_orderkey", why, ["forged", "future"])
