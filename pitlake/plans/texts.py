@@ -8,7 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pitlake.operators import search
+from pitlake.operators import search, slots
 from pitlake.operators.analytics import shared_dir
 from pitlake.plans.queries import query
 from pitlake.sources import content
@@ -103,3 +103,39 @@ def evidence_gate(spark, sf_dir):
     """Evidence passes with an item that nothing excludes and no exclusion that blocks."""
     why = F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"), "forged").when(F.col("l_shipdate") > F.lit("2000-06-30").cast("timestamp_ntz"), "future").when(F.col("l_discount") == 0, "audit_only")
     return content.gate(read(spark, sf_dir, "lineitem"), "l_orderkey", why, ["forged", "future"])
+
+
+_FIELDS = {"phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "card": "[0-9]{16}", "mail": r"[a-z0-9.]+@[a-z0-9.]+\.com", "secret": 'token = "[0-9a-f]{40}"', "word": "[Tt]h[a-z]+"}
+
+
+@query(" UNION ALL ".join(f"""SELECT doc_id, '{n}' AS field, CAST(i - 1 AS INTEGER) AS nth, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, f[i] AS value FROM
+  (SELECT doc_id, regexp_split_to_array(text, '{p}') AS b, regexp_extract_all(text, '{p}') AS f FROM documents), LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)""" for n, p in _FIELDS.items()))
+def text_spans(spark, sf_dir):
+    """Every phone number, address, card, mail, secret and word of a kind in the documents, with its place."""
+    return slots.spans(read(spark, sf_dir, "documents"), "doc_id", "text", _FIELDS).select("doc_id", "field", "nth", "start", "value")
+
+
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'dividend' ELSE event_type END AS kind, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+SELECT event_id, CASE WHEN k < 10 THEN kind || ':case_number:' || 'no' || k WHEN k < 20 THEN kind || ':pledge_id:' || user_id WHEN k < 30 THEN kind || ':bond_code:b' || k WHEN kind = 'dividend' THEN 'dividend:2024:' || CASE WHEN value > 20 THEN '中期' WHEN value > 10 THEN '三季度' ELSE '年度' END END AS identity FROM e""")
+def event_keys(spark, sf_dir):
+    """Identities of events from the first of seven terms, else from the fiscal period that the text names."""
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind = F.when(F.col("event_type") == "purchase", "dividend").otherwise(F.col("event_type"))
+    terms = F.create_map(
+        F.lit("bond_code"), F.when(F.col("k") < 30, F.concat(F.lit("B "), "k")), F.lit("pledge_id"), F.when(F.col("k") < 20, F.col("user_id").cast("string")).otherwise(""), F.lit("case_number"), F.when(F.col("k") < 10, F.concat(F.lit("No\t"), "k")),
+    )
+    said = F.concat(F.date_format("ts", "yyyy"), F.lit("年"), F.when(F.col("value") > 20, "半年度").when(F.col("value") > 10, "三季度").otherwise(""), F.lit("分红"))
+    return e.select("event_id", slots.event_identity(kind, terms, said).alias("identity"))
+
+
+_SLOTS = {"done": ("fact", "F"), "open": ("fact", "O"), "held": ("fact", "P"), "share": ("divide", "done", "total"), "total": ("add", "both", "held"), "both": ("add", "done", "open"), "gap": ("subtract", "done", "open"), "rest": ("divide", "gap", "held")}
+
+
+@query("""WITH m AS (SELECT o_custkey AS c, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'F') AS DOUBLE) AS f, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'O') AS DOUBLE) AS o, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'P') AS DOUBLE) AS p FROM orders GROUP BY 1),
+  s AS (SELECT c, unnest([{'slot': 'done', 'v': f, 'l': [f, NULL, NULL], 'u': [1, 0, 0]}, {'slot': 'open', 'v': o, 'l': NULL, 'u': [0, 1, 0]}, {'slot': 'held', 'v': p, 'l': NULL, 'u': [0, 0, 1]}, {'slot': 'both', 'v': f + o, 'l': NULL, 'u': [1, 1, 0]}, {'slot': 'total', 'v': f + o + p, 'l': NULL, 'u': [1, 1, 1]}, {'slot': 'share', 'v': f / (f + o + p), 'l': NULL, 'u': [1, 1, 1]}, {'slot': 'gap', 'v': f - o, 'l': NULL, 'u': [1, 1, 0]}, {'slot': 'rest', 'v': (f - o) / p, 'l': NULL, 'u': [1, 1, 1]}]) AS x, f, o, p FROM m)
+SELECT c AS o_custkey, x.slot AS slot, CASE WHEN x.v IS NULL THEN 'missing' WHEN x.slot IN ('done', 'open', 'held') THEN 'present' ELSE 'derived' END AS state, round(x.v, 6) AS value, concat(CASE WHEN x.u[1] = 1 AND f IS NULL THEN 'F' END, CASE WHEN x.u[2] = 1 AND o IS NULL THEN 'O' END, CASE WHEN x.u[3] = 1 AND p IS NULL THEN 'P' END) AS lacks FROM s""")
+def report_slots(spark, sf_dir):
+    """A report's inputs from facts, derived in the order of their dependence where operands allow, else what they lack."""
+    facts = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("metric"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
+    facts = facts.groupBy("o_custkey", "metric").agg(F.sum("value").cast("double").alias("value"))
+    return slots.filled_slots(facts, "o_custkey", _SLOTS).select("o_custkey", "slot", "state", F.round("value", 6).alias("value"), F.array_join("lacks", "").alias("lacks"))
