@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -13,12 +15,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pitlake.llm.common import shared_dir, table
 from pitlake.llm.packed import put
 
 DICTIONARY_MAGIC = 0x184D2A5D
-RECORD = "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+RECORD = "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary, record_id string, refers_to_id string, error string"
+_PAGE = re.compile("<urn:page:(-?[0-9]*)>")
 
 
 class BadArchive(ValueError):
@@ -39,40 +44,93 @@ def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_t
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
 
+def digest_of(named: str, data: bytes) -> bool | None:
+    """Whether data has the digest `algorithm:value` (hex of either case, or base32); None for an algorithm that isn't known."""
+    algorithm, _, value = named.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    found, value = hashlib.new(algorithm, data).digest(), value.strip()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def headers(head: str) -> dict[str, str]:
+    """Named fields of a record; a line that starts with a blank goes on with the one before. Of the fields that may stand
+    several times (WARC-Concurrent-To) all are kept, one a line; any other that does is an error."""
+    out: dict[str, str] = {}
+    last = ""
+    for line in head.split("\r\n"):
+        if line[:1] in " \t" and last:
+            out[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        last = name.strip().lower()
+        if not colon or not last or (last in out and last != "warc-concurrent-to"):
+            raise BadArchive(f"bad header {line[:40]!r}")
+        out[last] = f"{out[last]}\n{value.strip()}" if last in out else value.strip()
+    return out
+
+
 def parse(raw: bytes) -> dict:
-    """One record, all of it: version, headers, lengths, end marks and the payload's digest are checked."""
+    """One record of any type, all of it: version, headers, lengths, end marks and digests are checked.
+
+    The payload is the block, or what follows the HTTP headers of a block that has them (its content type says so). The block's
+    digest is of the block, the payload's of the payload; a revisit's is that of the payload it stands for, and one of a
+    truncated record can't be checked. Digests are hex or base32."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not mark or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+    version, _, fields = head.decode("utf-8", "replace").partition("\r\n")
+    if not mark or version not in ("WARC/1.0", "WARC/1.1"):
         raise BadArchive("no WARC version or no end of headers")
-    h: dict[str, str] = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon or not name or name.lower() in h:
-            raise BadArchive(f"bad header {line[:40]!r}")
-        h[name.lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
+    h = headers(fields)
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in h:
             raise BadArchive(f"no {name}")
+    if not h["content-length"].isdigit():
+        raise BadArchive("the length is no number")
     n = int(h["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise BadArchive("the length isn't that of the block")
-    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">") or -1) if x else None
-    kind, digest, body = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), rest[:n]
-    if kind not in ("response", "revisit") or (kind == "revisit") != ("warc-refers-to" in h):
-        raise BadArchive(f"record type {kind}")
-    if kind == "response" and (hashlib.sha1(body).hexdigest() != digest or int(h.get("x-payload-length", n)) != n):
-        raise BadArchive("the payload isn't that of the headers")
-    own = h["warc-record-id"]
+    kind, block = h["warc-type"], rest[:n]
+    payload = block
+    if h.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        ends = [(i, len(e)) for e in (b"\r\n\r\n", b"\n\n") if (i := block.find(e)) >= 0]
+        payload = block[sum(min(ends)) :] if ends else b""
+    if "warc-block-digest" in h and digest_of(h["warc-block-digest"], block) is False:
+        raise BadArchive("the block isn't that of its digest")
+    named = h.get("warc-payload-digest")
+    whole = kind != "revisit" and "warc-truncated" not in h
+    if whole and named and digest_of(named, payload) is False:
+        raise BadArchive("the payload isn't that of its digest")
+    size = h.get("x-payload-length", "")
+    if whole and size and size != str(len(payload)):
+        raise BadArchive("the payload isn't as long as its header says")
+    if kind == "revisit" and "warc-refers-to" not in h and "warc-refers-to-target-uri" not in h and not named:
+        raise BadArchive("a revisit of nothing")
+    page = lambda x: int(m[1]) if x and (m := _PAGE.fullmatch(x)) and m[1] else None
     return {
-        "page_id": None if own == "<urn:page:>" else page(own), "record_type": kind, "url": h.get("warc-target-uri"), "payload_digest": digest,
-        "payload_bytes": int(h.get("x-payload-length", n)), "refers_to": page(h.get("warc-refers-to")), "payload": body if kind == "response" else None,
+        "page_id": page(h["warc-record-id"]), "record_type": kind, "url": h.get("warc-target-uri"), "payload_digest": _hex(named) if named else hashlib.sha1(payload).hexdigest(),
+        "payload_bytes": int(size) if size.isdigit() else len(payload), "refers_to": page(h.get("warc-refers-to")), "payload": None if kind == "revisit" else payload,
+        "record_id": h["warc-record-id"], "refers_to_id": h.get("warc-refers-to"), "error": None,
     }
 
 
-def read_archive(raw: bytes) -> Iterator[dict]:
+def _hex(named: str) -> str:
+    """The value of a digest in lower-case hex; as it is if it is neither hex nor base32."""
+    value = named.partition(":")[2].strip()
+    sizes = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+    n = sizes.get(named.partition(":")[0].strip().lower().replace("-", ""))
+    if n and len(value) == 2 * n:
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper().rstrip("=") + "=" * (-len(value.rstrip("=")) % 8)).hex()
+    except ValueError:
+        return value
+
+
+def read_archive(raw: bytes, strict: bool = True) -> Iterator[dict]:
     """The records of one archive: the dictionary stands in the leading skippable frame (plain or itself a frame),
-    then each frame is one record."""
+    then each frame is one record. A bad one is an error, or, if not strict, a record with nothing but its error; what is cut
+    off, or no frame, ends the archive."""
     at, words = 0, None
     if len(raw) >= 8 and struct.unpack_from("<I", raw)[0] == DICTIONARY_MAGIC:
         at = 8 + struct.unpack_from("<I", raw, 4)[0]
@@ -97,7 +155,17 @@ def read_archive(raw: bytes) -> Iterator[dict]:
         if not one.eof:
             raise BadArchive(f"the frame at byte {start} is cut off")
         at = min(at, len(raw)) - len(one.unused_data)
-        yield parse(b"".join(parts))
+        try:
+            found = parse(b"".join(parts))
+        except BadArchive as e:
+            if strict:
+                raise
+            found = failed(f"the record at byte {start}: {e}")
+        yield found
+
+
+def failed(error: str) -> dict:
+    return dict.fromkeys(x.split(" ")[0] for x in RECORD.split(", ")) | {"error": error}
 
 
 def train_dictionary(pages: DataFrame, sample: int = 2000, each: int = 20_000, size: int = 64 << 10) -> bytes:
@@ -113,16 +181,24 @@ def train_dictionary(pages: DataFrame, sample: int = 2000, each: int = 20_000, s
     return trained or b"".join(samples or [record(0, "http://", b"", 0, "0" * 40, None)])[-size:]
 
 
-def resolved(pages: DataFrame, least: int = 1000) -> DataFrame:
+def resolved(pages: DataFrame, least: int = 1000, broadcast_mb: int = 64, salts: int = 32) -> DataFrame:
     """Pages with payload, payload_bytes, payload_digest, record_type and refers_to: of equal payloads of at least
-    `least` bytes the one with the largest page_id is the response."""
+    `least` bytes the one with the largest page_id is the response; all others lose their payload here.
+
+    Which that is comes from digests and ids alone. The table of payloads that occur twice is broadcast if it is small (its
+    size is checked), so that no payload is shuffled; else it is joined with the copies of a payload dealt over `salts`."""
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     large = p.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("copies"))
-    large = large.where("copies > 1").drop("copies")
-    p = p.join(large, ["payload_digest", "payload_bytes"], "left")
+    large = table(large.where("copies > 1").drop("copies"), "warc-copies")
+    keys = ["payload_digest", "payload_bytes"]
+    if large.count() * 100 <= broadcast_mb << 20:
+        p = p.join(F.broadcast(large), keys, "left")
+    else:
+        spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, [*keys, "salt"], "left")
     again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return p.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top")).alias("refers_to"))
+    return p.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top")).alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str, dictionary: bytes = b"", archive_bytes: int = 64 << 20) -> DataFrame:
@@ -156,27 +232,35 @@ def write(pages: DataFrame, path: str, dictionary: bytes = b"", archive_bytes: i
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    body = F.when(F.col("record_type") == "response", F.col("payload")).alias("payload")  # a revisit's payload stays behind
-    rows = pages.select("page_id", "url", body, "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = pages.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return table(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Records of archives (rows with binary column content, as from spark.read.format("binaryFile"))."""
+def read(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Records of archives (rows with binary column content, as from spark.read.format("binaryFile")), whoever wrote them: all
+    record types, plain records and such of HTTP messages. page_id and refers_to are those of archives written here, else
+    null; record_id and refers_to_id are as they stand. If not strict, bad records are rows with an error and nothing else."""
+    kinds = {f.name: to_arrow_type(f.dataType) for f in T._parse_datatype_string(RECORD).fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in RECORD.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        def made(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in kinds.items()], names=list(kinds))
+
         for b in batches:
             for content in b.column(0):
                 rows, size = [], 0
-                for r in read_archive(content.as_py()):
-                    rows.append(r)
-                    size += len(r["payload"] or b"") + 200
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds)], names=names)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds)], names=names)
+                try:
+                    for r in read_archive(content.as_py(), strict):
+                        rows.append(r)
+                        size += len(r["payload"] or b"") + 200
+                        if size > 8 << 20:
+                            yield made(rows)
+                            rows, size = [], 0
+                except (BadArchive, zstandard.ZstdError, struct.error) as e:
+                    if strict:
+                        raise
+                    rows.append(failed(f"the archive: {e}"))
+                yield made(rows)
 
     return files.select("content").mapInArrow(run, RECORD)
 

@@ -12,8 +12,10 @@ from zlib import crc32
 import numpy as np
 import pytest
 import tiktoken
+import zstandard
 
 from pitlake.llm import bpe, byte_bpe, common, kneser_ney, queries, ranked, spelling
+from pitlake.llm import warc as warc_op
 from tests.oracle import differences
 
 SCHEMA = "doc_id long, text string, lang string, n_tokens string, term string"
@@ -260,3 +262,51 @@ def test_equal_hashes_of_different_words(monkeypatch):
     monkeypatch.setattr(bpe, "hashed_words", lambda texts, where: (lambda h, at: (h * np.uint64(0), at))(*real(texts, where=where)))
     for texts in ([b"one"], [b"two"], [b"one two", b"", b"one"], [b"one one"]):
         assert [x.tolist() for x in store.encode(texts)] == [[c for w in t.split() for c in w] for t in texts]
+
+
+def warc(kind, block, *fields, version="WARC/1.1", length=None, end=b"\r\n\r\n"):
+    lines = [version, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", "WARC-Date: 2024-01-01T00:00:00Z", *fields, f"Content-Length: {len(block) if length is None else length}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + end
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Records by other hands: all types, HTTP messages, base32 and hex, blocks and payloads; bad ones apart."""
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    b32 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    hexed = lambda x: "SHA-256:" + hashlib.sha256(x).hexdigest().upper()
+    web = "Content-Type: application/http; msgtype=response"
+    good = [
+        warc("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), warc("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http;msgtype=request", "WARC-Concurrent-To: <urn:uuid:1>", "WARC-Concurrent-To: <urn:uuid:2>"),
+        warc("response", http, web, f"WARC-Payload-Digest: {b32(body)}", f"WARC-Block-Digest: {hexed(http)}", "WARC-Target-URI: http://x/", " y"), warc("resource", body, f"WARC-Payload-Digest: {hexed(body)}", version="WARC/1.0"),
+        warc("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", web, f"WARC-Payload-Digest: {b32(body)}", "WARC-Refers-To: <urn:uuid:9>"), warc("metadata", b""), warc("response", http[:-3], web, f"WARC-Payload-Digest: {b32(body)}", "WARC-Truncated: length"),
+        warc("conversion", body, "WARC-Payload-Digest: blake3:zz"),
+    ]
+    bad = [
+        warc("response", http, web, f"WARC-Payload-Digest: {b32(http)}"), warc("resource", body, f"WARC-Block-Digest: {b32(b'other')}"), warc("resource", body, length=3), warc("resource", body, "WARC-Target-URI: a", "WARC-Target-URI: b"),
+        warc("resource", body, version="HTTP/1.1"), warc("resource", body).replace(b"WARC-Date", b"WARC-Dote"), warc("resource", body, end=b"\r\n"), warc("resource", body, length="x"), warc("revisit", b""), b"\xff\xfe nonsense",
+    ]
+    words = zstandard.ZstdCompressionDict(b"".join(good))
+    writer = zstandard.ZstdCompressor(dict_data=words)
+    lead = (0x184D2A5D).to_bytes(4, "little") + len(words.as_bytes()).to_bytes(4, "little") + words.as_bytes()
+    (tmp_path / "mixed.warc.zst").write_bytes(lead + b"".join(writer.compress(r) for pair in zip(good, bad) for r in pair) + b"".join(writer.compress(r) for r in bad[len(good) :]))
+    (tmp_path / "plain.warc.zst").write_bytes(b"".join(zstandard.ZstdCompressor().compress(r) for r in good[:2]) + b"\x28\xb5\x2f")
+    (tmp_path / "empty.warc.zst").write_bytes(b"")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    rows = warc_op.read(files, strict=False).collect()
+    fine = [r for r in rows if r.error is None]
+    assert Counter(r.record_type for r in fine) == Counter(["warcinfo", "request", "response", "resource", "revisit", "metadata", "response", "conversion", "warcinfo", "request"])
+    assert len(rows) - len(fine) == len(bad) + 1 and all(r.record_id is None for r in rows if r.error)
+    one = next(r for r in fine if r.url)
+    assert (bytes(one.payload), one.payload_digest, one.payload_bytes, one.url, one.page_id) == (body, hashlib.sha1(body).hexdigest(), len(body), "http://x/ y", None)
+    again = next(r for r in fine if r.record_type == "revisit")
+    assert (again.payload, again.payload_digest, again.refers_to_id, again.refers_to) == (None, hashlib.sha1(body).hexdigest(), "<urn:uuid:9>", None)
+    with pytest.raises(Exception, match="archive"):
+        warc_op.read(files).collect()
+
+
+def test_copies_by_salt(spark):
+    """The join for a table of copies that is too large to broadcast gives the same."""
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 2000 if i % 3 else f"{i}" * 900) for i in range(60)] + [(None, None, "x" * 2000)], "page_id long, url string, html string")
+    rows = lambda how: Counter(tuple(r) for r in warc_op.resolved(pages, **how).drop("payload").collect())
+    assert rows({}) == rows({"broadcast_mb": -1}) and warc_op.resolved(pages).where("record_type = 'revisit' and payload is not null").count() == 0
