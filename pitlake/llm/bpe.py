@@ -136,9 +136,20 @@ def same_words(raw: bytes, starts: np.ndarray, ends: np.ndarray, other: np.ndarr
     a, b, sizes = starts[at], starts[other[at]], (ends - starts)[at]
     if not np.array_equal(sizes, (ends - starts)[other[at]]):
         return False
+    eight = np.ndarray((len(raw),), "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    short = sizes <= 8
+    mask = (np.uint64(1) << (8 * np.minimum(sizes[short], 7)).astype(np.uint64)) - np.uint64(1)
+    mask[sizes[short] == 8] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    if ((eight[a[short]] ^ eight[b[short]]) & mask).any():
+        return False
+    a, b, sizes = a[~short], b[~short], sizes[~short]
+    if not (np.array_equal(eight[a], eight[b]) and np.array_equal(eight[a + sizes - 8], eight[b + sizes - 8])):
+        return False
+    rest = sizes > 16  # the others' ends overlap
+    a, b, sizes = a[rest] + 8, b[rest] + 8, sizes[rest] - 16
     x, stop = np.frombuffer(raw, np.uint8), np.cumsum(sizes)
     i = 0
-    while i < len(at):
+    while i < len(a):
         j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + block)))
         n = sizes[i:j]
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)

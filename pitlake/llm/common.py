@@ -200,10 +200,11 @@ def hashed_words(texts: list[bytes], block: int = 1 << 20, where: list | None =
         x = np.frombuffer(raw, np.uint8, cut - at, at)
         edges = np.flatnonzero(np.diff((x == 32) | ((x >= 9) & (x <= 13)), prepend=True))
         starts, ends = edges[0::2], edges[1::2]
-        begin = np.zeros(len(x), np.int64)
-        begin[starts] = starts
-        place = np.arange(len(x)) - np.maximum.accumulate(begin)
-        drawn = (_drawn(int((ends - starts).max()) if len(starts) else 0)[np.minimum(place, len(_places) - 1)] ^ _BYTES[x]) * np.uint64(0x9E3779B97F4A7C15)
+        step = np.ones(len(x), np.int32)  # a running sum of it is each byte's place in its word
+        step[starts[:1]] = -starts[:1]
+        step[starts[1:]] = 1 - np.diff(starts)
+        place = np.cumsum(step, dtype=np.int32)
+        drawn = (_drawn(int((ends - starts).max()) if len(starts) else 0).take(place, mode="clip") ^ _BYTES.take(x)) * np.uint64(0x9E3779B97F4A7C15)
         drawn ^= drawn >> np.uint64(32)
         total = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(drawn, out=total[1:])

@@ -310,3 +310,15 @@ def test_copies_by_salt(spark):
     pages = spark.createDataFrame([(i, f"u{i}", "x" * 2000 if i % 3 else f"{i}" * 900) for i in range(60)] + [(None, None, "x" * 2000)], "page_id long, url string, html string")
     rows = lambda how: Counter(tuple(r) for r in warc_op.resolved(pages, **how).drop("payload").collect())
     assert rows({}) == rows({"broadcast_mb": -1}) and warc_op.resolved(pages).where("record_type = 'revisit' and payload is not null").count() == 0
+
+
+def test_same_words():
+    """Byte for byte, at every length and place of a difference."""
+    for n in (1, 2, 7, 8, 9, 15, 16, 17, 24, 40):
+        w = bytes(rng.choice(b"abcdefgh") for _ in range(n))
+        for k in range(-1, n):
+            other = w if k < 0 else w[:k] + b"X" + w[k + 1 :]
+            raw = w + b" " + other + b"\n"
+            starts, ends = np.array([0, n + 1]), np.array([n, 2 * n + 1])
+            assert bpe.same_words(raw, starts, ends, np.array([0, 0]), block=4) == (k < 0)
+    assert not bpe.same_words(b"a ab\n", np.array([0, 2]), np.array([1, 4]), np.array([0, 0]))
