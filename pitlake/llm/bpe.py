@@ -82,16 +82,15 @@ def drops_blanks(path: str) -> bool:
 
 class Words:
     """Ids of words, for a file that drops white space: each distinct word is encoded once while the store holds it.
-    Words are found by 64-bit hashes, and all their bytes are compared; texts in which words of equal hash differ are
+    A batch's distinct words come from 64-bit hashes, and all bytes are compared; where words of equal hash differ, a batch is
     encoded word by word. A store of more than `most` words starts afresh."""
 
-    def __init__(self, ids_of: Callable[[list[bytes]], list[np.ndarray]], most: int = 800_000) -> None:
+    def __init__(self, ids_of: Callable[[list[bytes]], list[np.ndarray]], most: int = 600_000) -> None:
         self.ids_of, self.most = ids_of, most
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.words: list[bytes] = []
+        self.index: dict[bytes, int] = {}
         self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -99,21 +98,18 @@ class Words:
             self.forget()
         where: list = []
         h, offsets = hashed_words(texts, where=where)
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        get = self.index.get
-        known = np.array([get(x, -1) for x in u.tolist()], np.int64)
-        new = np.flatnonzero(known < 0)
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         raw, starts, ends = where
-        old = np.flatnonzero(known >= 0)
-        met = zip(known[old].tolist(), starts[first[old]].tolist(), ends[first[old]].tolist())
-        if not same_words(raw, starts, ends, first[inverse]) or any(self.words[k] != raw[i:j] for k, i, j in met):
+        if not same_words(raw, starts, ends, first[inverse]):
             return self.one_by_one(raw, starts, ends, offsets)
+        words = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+        known = np.array([self.index.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(known < 0)
         if len(new):
-            fresh = [raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            self.words += fresh
+            fresh = [words[i] for i in new.tolist()]
             found = self.ids_of(fresh)
             known[new] = np.arange(len(self.index), len(self.index) + len(new))
-            self.index.update(zip(u[new].tolist(), known[new].tolist()))
+            self.index.update(zip(fresh, known[new].tolist()))
             self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(x) for x in found])]
             self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
         word = known[inverse]
@@ -174,7 +170,7 @@ class ChunkEncoder:
     changes nothing else.
     """
 
-    def __init__(self, path: str, keep_mb: int = 48, bits: int = 10) -> None:
+    def __init__(self, path: str, keep_mb: int = 32, bits: int = 10) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
