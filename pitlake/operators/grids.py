@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,21 +27,28 @@ def compact(x: Column) -> Column:
     return F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\u00A0\u3000]+", "")
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is evaluated once however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def plain_text(x: Column) -> Column:
     """HTML without tags, named and numeric entities decoded; &amp; last, so that nothing is decoded twice."""
-    out = F.regexp_replace(x, "(?s)<[^>]*>", "")
-    out = _decoded(out, "&#([0-9]{1,6});", "&#", 10)
-    out = _decoded(out, "&#x([0-9A-Fa-f]{1,5});", "&#x", 16)
-    for name, c in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(c))
-    return out
+
+    def entities(text: Column) -> Column:
+        out = let(text, lambda t: _decoded(t, "&#([0-9]{1,6});", "&#", 10))
+        out = let(out, lambda t: _decoded(t, "&#x([0-9A-Fa-f]{1,5});", "&#x", 16))
+        for name, c in ENTITIES.items():
+            out = F.replace(out, F.lit(name), F.lit(c))
+        return out
+
+    return let(F.regexp_replace(x, "(?s)<[^>]*>", ""), lambda t: F.when(t.contains("&"), entities(t)).otherwise(t))
 
 
 def _decoded(text: Column, pattern: str, opens: str, base: int) -> Column:
     """Text with numeric entities of one base decoded."""
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern)))
-    done = F.aggregate(codes, text, lambda s, n: F.replace(s, F.concat(F.lit(opens), n, F.lit(";")), _character(F.conv(n, base, 10).cast("int"))))
-    return F.when(F.size(codes) == 0, text).otherwise(done)
+    return F.when(~text.contains(opens), text).otherwise(F.aggregate(codes, text, lambda s, n: F.replace(s, F.concat(F.lit(opens), n, F.lit(";")), let(F.conv(n, base, 10).cast("int"), _character))))
 
 
 def _character(code: Column) -> Column:
@@ -61,7 +68,8 @@ def html_rows(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     its text to every place it covers. `before` is the text between the table and the one before. Null and empty
     pages, and pages without tables, have no rows; an unclosed table ends with the page, an inner one is a table of its
     own."""
-    parts = F.split(html, "(?i)<table(?=[\\s>])[^>]*>")
+    parts = F.col("_parts")
+    pages = pages.select(id_col, F.split(html, "(?i)<table(?=[\\s>])[^>]*>").alias("_parts"))
     cut = lambda x: F.split(x, "(?i)</table\\s*>", 2)
     lines = lambda x: plain_text(F.regexp_replace(x, "(?i)<(br|/p|/div|/h[1-6]|/li|/tr)[^>]*>", "\n"))
     before = lambda i: F.when(i == 1, parts[0]).otherwise(F.coalesce(F.try_element_at(cut(F.element_at(parts, i)), F.lit(2)), F.lit("")))
@@ -69,9 +77,9 @@ def html_rows(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     body = lambda c: F.substring(c, F.instr(c, ">") + 1, F.length(c))
     cells = lambda r: F.transform(F.filter(F.split(r, "(?i)<(?=t[dh][\\s>])"), lambda c: c.rlike("(?i)^t[dh][\\s>]")), lambda c: F.struct(F.regexp_replace(plain_text(body(c)), r"^\s+|\s+$", "").alias("text"), span(c, "colspan").alias("across"), span(c, "rowspan").alias("down")))
     pieces = lambda x: F.split(x, "(?i)<tr(?=[\\s>])[^>]*>")
-    inner = lambda x: F.slice(pieces(x), F.lit(2), F.size(pieces(x)))
+    inner = lambda x: let(pieces(x), lambda p: F.slice(p, F.lit(2), F.size(p)))
     tables = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(i.alias("table_no"), lines(before(i)).alias("before"), F.transform(inner(cut(F.element_at(parts, i + 1))[0]), cells).alias("rows")))
-    found = pages.where(F.size(parts) > 1).select(id_col, F.inline(tables))
+    found = pages.where("size(_parts) > 1").select(id_col, F.inline(tables))
     kind = pages.schema[id_col].dataType.simpleString()
     placed = found.mapInArrow(_placed, f"{id_col} {kind}, table_no int, before string, row_no int, texts array<string>")
     return placed
