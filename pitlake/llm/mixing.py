@@ -17,13 +17,14 @@ from pyspark.sql.window import Window
 from pitlake.llm.common import table
 
 NULL = "\x00"  # the group of rows without a source
+EPOCHS = 4096  # repeats of a row that one task makes
 
 
 def whole_shares(weights: dict[str, float]) -> dict[str, int]:
-    """The weights as whole numbers in exactly the same proportion."""
+    """The weights, as the decimals that they are written as, as whole numbers in exactly the same proportion."""
     if any(not w > 0 or math.isinf(w) for w in weights.values()):
         raise ValueError("weights must be positive and finite")
-    exact = {s: Fraction(w) for s, w in weights.items()}
+    exact = {s: Fraction(repr(w)) for s, w in weights.items()}
     unit = math.lcm(*(x.denominator for x in exact.values()))
     return {s: int(x * unit) for s, x in exact.items()}
 
@@ -53,16 +54,21 @@ def schedule(shares: dict[str, int], last: dict[str, int]) -> Iterator[tuple[str
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block: int = 16, frame: int = 1024, temperature: float = 0.7, max_sources: int = 100_000, rows_per_bucket: int = 20_000
+    docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block: int = 16, frame: int = 1024, temperature: float = 0.7, max_sources: int = 100_000, rows_per_bucket: int = 20_000, period: int = 1 << 24
 ) -> DataFrame:
     """Rows of docs in a mix whose every prefix has the target weights, each source within one block of its share.
 
     Each source's rows, in the order of a hash of the whole row, are cut into blocks of `block` rows. A Pfair schedule (see schedule)
-    against the exact weights says which source supplies each slot. The mix ends with the slot in which the last
+    against the weights says which source supplies each slot. The mix ends with the slot in which the last
     source has given all its rows: every row is in it, and sources that ran out before start again (epoch 1, 2,
-    ...). Adds slot, block, epoch and place (position in the mix; all long). weights: for each source; None: (row
-    count) ** temperature. The schedule is made by one task, slot by slot with one block of each source in memory,
-    and written as a table; frame: slots that it hands on at a time, without effect on the mix.
+    ...). Adds slot, block, epoch and place (position in the mix; all long). weights: for each source, kept exactly, as
+    decimals; None: (row count) ** temperature in whole shares of `period`, one at least.
+
+    After as many slots as there are shares every source has had exactly its share, so the schedule repeats: one task
+    makes that first stretch at most, slot by slot with one block of each source in memory, and it is written as a
+    table; blocks of later stretches take their slots from it. With weights=None the task is bounded by `period` and
+    one slot for each source at any size of docs; with given weights by the sum of their whole shares, if that is less than the mix.
+    frame: slots that the task hands on at a time, without effect on the mix.
 
     A null source is a source of its own (name it \\x00 in weights). A source that has rows must have a weight, one
     without rows is ignored; more than max_sources sources are an error, so that the counts (driver and broadcast)
@@ -80,21 +86,31 @@ def mix(
         return spark.createDataFrame([], T.StructType([*docs.schema.fields, *extra]))
     if weights is not None and (missing := sorted(set(counts) - set(weights))):
         raise ValueError(f"no weight for {missing[:5]}")
-    shares = whole_shares({s: weights[s] if weights else float(n) ** temperature for s, n in counts.items()})
-    last = {s: (n - 1) // block for s, n in counts.items()}
+    if weights:
+        shares = whole_shares({s: weights[s] for s in counts})
+    else:
+        whole = math.fsum(float(n) ** temperature for n in counts.values())
+        shares = {s: max(1, round(float(n) ** temperature / whole * period)) for s, n in counts.items()}
+    last, stretch = {s: (n - 1) // block for s, n in counts.items()}, sum(shares.values())
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                slots, at = schedule(shares, last), 0
+                slots, at = islice(schedule(shares, last), min(stretch, 1 << 62)), 0
                 while some := list(islice(slots, frame)):
                     s, j = zip(*some)
                     yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(j, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())], names=["s", "block", "slot"])
                     at += len(some)
 
     slots = table(spark.range(0, 1, 1, 1).mapInArrow(plan, "s string, block long, slot long"), "mix-slots")
-    given = {r["s"]: r["n"] for r in slots.groupBy("s").agg(F.count("*").alias("n")).collect()}
-    per_source = spark.createDataFrame([(s, n, given[s] * block) for s, n in counts.items()], "s string, n long, rows long")
+    ends = spark.createDataFrame([(s, j % shares[s]) for s, j in last.items()], "s string, block long")
+    total = 1 + max(last[r["s"]] // shares[r["s"]] * stretch + r["slot"] for r in slots.join(F.broadcast(ends), ["s", "block"]).collect())  # one row of each source
+    if total * block >= 1 << 62:
+        raise ValueError("the mix would be too long")
+    turns, rest = divmod(total, stretch)
+    part = {r["s"]: r["n"] for r in slots.where(F.col("slot") < rest).groupBy("s").agg(F.count("*").alias("n")).collect()}
+    rows = {s: (turns * shares[s] + part.get(s, 0)) * block for s in counts}
+    per_source = spark.createDataFrame([(s, n, rows[s], min(shares[s], 1 << 62)) for s, n in counts.items()], "s string, n long, rows long, share long")
 
     # Number the rows of each source: hash-range buckets are counted, summed up, and numbered within.
     buckets = 1 << max(0, math.ceil(math.log2(max(1, sum(counts.values()) / rows_per_bucket))))
@@ -106,7 +122,12 @@ def mix(
     numbered = keyed.withColumn("i", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "t")) - 1)
     numbered = numbered.join(before, ["s", "b"]).withColumn("i", F.col("i") + F.col("before"))
     joined = numbered.join(F.broadcast(per_source), "s").where(F.col("i") < F.col("rows"))  # at most max_sources rows
+    joined = joined.withColumn("last", F.expr("(rows - 1 - i) div n"))
+    out = joined.where(F.col("last") < EPOCHS).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    if any(rows[s] > n * EPOCHS for s, n in counts.items()):  # few rows that stand for much of the mix: repeated by many tasks
+        dealt = joined.where(F.col("last") >= EPOCHS).withColumn("e", F.explode(F.expr(f"sequence(0L, last div {EPOCHS})"))).repartition("h", "t", "e")
+        out = out.union(dealt.withColumn("epoch", F.explode(F.expr(f"sequence(e * {EPOCHS}, least(last, e * {EPOCHS} + {EPOCHS - 1}))"))).drop("e"))
     nth = F.col("epoch") * F.col("n") + F.col("i")  # of all rows that the source gives
-    out = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(rows - 1 - i) div n"))))
-    out = out.withColumn("block", F.floor(nth / block)).withColumn("at", nth % block).join(slots, ["s", "block"])
-    return out.select("row.*", "epoch", "block", "slot", (F.col("slot") * block + F.col("at")).alias("place"))
+    out = out.withColumn("whole", F.floor(nth / block)).withColumns({"at": nth % block, "block": F.expr("whole % share"), "turn": F.expr("whole div share")}).join(slots, ["s", "block"])
+    out = out.withColumn("slot", F.col("turn") * F.lit(min(stretch, 1 << 62)) + F.col("slot"))
+    return out.select("row.*", "epoch", F.col("whole").alias("block"), "slot", (F.col("slot") * block + F.col("at")).alias("place"))

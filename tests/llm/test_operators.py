@@ -250,6 +250,24 @@ def test_mixing_of_many_sources(spark):
         assert np.abs(done - share * (t + 1)).max() < 1 + 1e-9
 
 
+def test_mixing_repeats_its_schedule(spark):
+    """A mix longer than the sum of shares, against the schedule made slot by slot; a source of three rows that fills nine
+    tenths of it and so is repeated 9000 times."""
+    df = spark.range(3003).selectExpr("id doc_id", "'t' text", "if(id < 3, 'a', 'b') source")
+    for weights, shares in (({"a": 0.9, "b": 0.1}, {"a": 9, "b": 1}), (None, None)):
+        got = mixing.mix(df, weights, block=2, period=16).collect()
+        if weights is None:
+            x, y = 3**0.7, 3000**0.7
+            shares = {"a": max(1, round(16 * x / (x + y))), "b": round(16 * y / (x + y))}
+        want = list(mixing.schedule(shares, {"a": 1, "b": 1499}))
+        assert sorted({(r.slot, r.source, r.block) for r in got}) == [(i, s, j) for i, (s, j) in enumerate(want)]
+        assert sorted(r.place for r in got) == list(range(2 * len(want))) and all(r.place // 2 == r.slot for r in got)
+        assert sorted(r.doc_id for r in got if r.epoch == 0) == list(range(3003))
+        times = Counter(r.doc_id for r in got if r.source == "a")
+        assert max(times.values()) - min(times.values()) <= 1 and len({(r.doc_id, r.epoch) for r in got}) == len(got)
+        assert weights is None or max(r.epoch for r in got) > mixing.EPOCHS
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(i % 3 or None, None if i % 5 == 0 else f"t{i}", ["a", "b", None][i % 3], i) for i in range(60)], "doc_id long, text string, source string, k int")
     clash = df.selectExpr("*", "1 _s", "2 _n", "3 `_i`", "4 s", "5 h", "6 row", "map('a', k) m", "7 slot")
