@@ -54,7 +54,7 @@ def schedule(shares: dict[str, int], last: dict[str, int]) -> Iterator[tuple[str
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block: int = 16, frame: int = 1024, temperature: float = 0.7, max_sources: int = 100_000, rows_per_bucket: int = 20_000, period: int = 1 << 24
+    docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block: int = 16, frame: int = 1024, temperature: float = 0.7, max_sources: int = 100_000, rows_per_bucket: int = 20_000, period: int = 1 << 24, keep: list[str] | None = None
 ) -> DataFrame:
     """Rows of docs in a mix whose every prefix has the target weights, each source within one block of its share.
 
@@ -68,7 +68,8 @@ def mix(
     makes that first stretch at most, slot by slot with one block of each source in memory, and it is written as a
     table; blocks of later stretches take their slots from it. With weights=None the task is bounded by `period` and
     one slot for each source at any size of docs; with given weights by the sum of their whole shares, if that is less than the mix.
-    frame: slots that the task hands on at a time, without effect on the mix.
+    frame: slots that the task hands on at a time, without effect on the mix. keep: columns that the result has, so that no others are
+    shuffled (None: all); the order is that of the whole row in any case.
 
     A null source is a source of its own (name it \\x00 in weights). A source that has rows must have a weight, one
     without rows is ignored; more than max_sources sources are an error, so that the counts (driver and broadcast)
@@ -81,9 +82,10 @@ def mix(
     counts = {r["s"]: r["n"] for r in docs.groupBy(group).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()}
     if len(counts) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
+    kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
     extra = [T.StructField(n, T.LongType()) for n in ("epoch", "block", "slot", "place")]
     if not counts:
-        return spark.createDataFrame([], T.StructType([*docs.schema.fields, *extra]))
+        return spark.createDataFrame([], T.StructType([*kept, *extra]))
     if weights is not None and (missing := sorted(set(counts) - set(weights))):
         raise ValueError(f"no weight for {missing[:5]}")
     if weights:
@@ -115,7 +117,7 @@ def mix(
     # Number the rows of each source: hash-range buckets are counted, summed up, and numbered within.
     buckets = 1 << max(0, math.ceil(math.log2(max(1, sum(counts.values()) / rows_per_bucket))))
     plain = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" else F.col(f.name) for f in docs.schema.fields]
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), group, F.xxhash64(*plain).alias("h"), F.xxhash64(F.lit(1), *plain).alias("t"))
+    keyed = docs.select(F.struct(*[f.name for f in kept]).alias("row"), group, F.xxhash64(*plain).alias("h"), F.xxhash64(F.lit(1), *plain).alias("t"))
     keyed = keyed.withColumn("b", F.floor((F.shiftrightunsigned("h", 33).cast("double")) / (1 << 31) * buckets).cast("int"))
     sizes = table(keyed.groupBy("s", "b").agg(F.count("*").alias("c")), "mix-buckets")
     before = sizes.withColumn("before", F.sum("c").over(Window.partitionBy("s").orderBy("b")) - F.col("c")).drop("c")

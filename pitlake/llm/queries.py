@@ -12,7 +12,7 @@ from pitlake.llm.common import documents
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "epoch", "block", "slot", "place")
+    return mixing.mix(documents(spark, sf_dir), keep=["doc_id", "source"]).select("doc_id", "source", "epoch", "block", "slot", "place")
 
 
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,8 @@ def test_mixing_edges(spark):
     assert {r.k for r in got if r.epoch == 0} == set(range(60)) and sum(r.epoch == 0 for r in got) == 60
     assert {(r._s, r._n, r._i, r.s, r.h, r.row) for r in got} == {(1, 2, 3, 4, 5, 6)} and all(r.m["a"] == r.k for r in got)
     assert len({r.place for r in got}) == len(got)
+    few = mixing.mix(clash, block=3, keep=["k"])
+    assert few.columns == ["k", "epoch", "block", "slot", "place"] and {(r.place, r.k) for r in few.collect()} == {(r.place, r.k) for r in got}
 
 
 def test_crf(spark):
