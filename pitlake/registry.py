@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitlake.plans import evidence, extraction, filings, governance, intake, review, selection, texts, valuation  # noqa: F401  (they register their queries)
+from pitlake.plans import evidence, extraction, filings, governance, intake, reports, review, selection, texts, valuation  # noqa: F401  (they register their queries)
 from pitlake.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "metrics_quarterly"
