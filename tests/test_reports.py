@@ -30,6 +30,8 @@ def test_corrections_like_one_by_one(spark):
     rng = np.random.default_rng(3)
     n, day = 120, dt.date(2020, 1, 1)
     changes = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, n, (150, 2))) if a != b]
+    changes += [(200, 121, 122), (201, 123, 121), (202, 122, 123), (203, 124, 121), (204, 122, 123), (205, 122, 125), (206, 126, 127), (207, 127, 126)]  # rings of three and two
+    n += 8
     facts = spark.createDataFrame([(i, "k") for i in range(n)], "fact_id long, fact_key string")
     cited = spark.createDataFrame([(i, 1, day) for i in range(n)], "fact_id long, citation_id long, available_at date")
     rows = [(i, a, b, 1, True, day) for i, a, b in changes]
