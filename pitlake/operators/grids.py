@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,45 +69,72 @@ def html_rows(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     its text to every place it covers. `before` is the text between the table and the one before. Null and empty
     pages, and pages without tables, have no rows; an unclosed table ends with the page, an inner one is a table of its
     own."""
-    parts = F.col("_parts")
-    pages = pages.select(id_col, F.split(html, "(?i)<table(?=[\\s>])[^>]*>").alias("_parts"))
-    cut = lambda x: F.split(x, "(?i)</table\\s*>", 2)
-    lines = lambda x: plain_text(F.regexp_replace(x, "(?i)<(br|/p|/div|/h[1-6]|/li|/tr)[^>]*>", "\n"))
-    before = lambda i: F.when(i == 1, parts[0]).otherwise(F.coalesce(F.try_element_at(cut(F.element_at(parts, i)), F.lit(2)), F.lit("")))
-    span = lambda c, name: F.greatest(F.lit(1), F.least(F.lit(1000), F.coalesce(F.regexp_extract(F.substring_index(c, ">", 1), f"(?i)\\b{name}\\s*=\\s*[\"']?([0-9]{{1,4}})", 1).try_cast("int"), F.lit(1))))
-    body = lambda c: F.substring(c, F.instr(c, ">") + 1, F.length(c))
-    cells = lambda r: F.transform(F.filter(F.split(r, "(?i)<(?=t[dh][\\s>])"), lambda c: c.rlike("(?i)^t[dh][\\s>]")), lambda c: F.struct(F.regexp_replace(plain_text(body(c)), r"^\s+|\s+$", "").alias("text"), span(c, "colspan").alias("across"), span(c, "rowspan").alias("down")))
-    pieces = lambda x: F.split(x, "(?i)<tr(?=[\\s>])[^>]*>")
-    inner = lambda x: let(pieces(x), lambda p: F.slice(p, F.lit(2), F.size(p)))
-    tables = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(i.alias("table_no"), lines(before(i)).alias("before"), F.transform(inner(cut(F.element_at(parts, i + 1))[0]), cells).alias("rows")))
-    found = pages.where("size(_parts) > 1").select(id_col, F.inline(tables))
     kind = pages.schema[id_col].dataType.simpleString()
-    placed = found.mapInArrow(_placed, f"{id_col} {kind}, table_no int, before string, row_no int, texts array<string>")
-    return placed
+    return pages.select(id_col, html).mapInArrow(_placed, f"{id_col} {kind}, table_no int, before string, row_no int, texts array<string>")
+
+
+# The blanks of Java's \s; its $ also stands before a last line end, whichever it is.
+_TABLE, _END, _ROW = (re.compile(x, re.I | re.A) for x in (r"<table(?=[\s>])[^>]*>", r"</table\s*>", r"<tr(?=[\s>])[^>]*>"))
+_CELL, _BREAK = re.compile(r"<(?=t[dh][\s>])", re.I | re.A), re.compile("<(?:br|/p|/div|/h[1-6]|/li|/tr)[^>]*>", re.I | re.A)
+_SPAN = [re.compile(r"\b" + "".join(f"[{c}{c.upper()}]" for c in x) + r"[ \t\n\x0b\f\r]*=[ \t\n\x0b\f\r]*[\"']?([0-9]{1,4})") for x in ("colspan", "rowspan")]
+_TAG, _EDGES = re.compile("<[^>]*>"), re.compile("^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+(?=[\x85\u2028\u2029]?\\Z)")
+_CODES = [(re.compile("&#([0-9]{1,6});"), "&#", 10), (re.compile("&#x([0-9A-Fa-f]{1,5});"), "&#x", 16)]
+
+
+def _plain(x: str) -> str:
+    """plain_text of one text."""
+    x = _TAG.sub("", x) if "<" in x else x
+    if "&" not in x:
+        return x
+    for pattern, opens, base in _CODES:
+        for n in dict.fromkeys(pattern.findall(x)):
+            c = int(n, base)
+            x = x.replace(f"{opens}{n};", chr(c) if 0 < c <= 0x10FFFF and not 0xD800 <= c <= 0xDFFF else "\ufffd")
+    for name, c in ENTITIES.items():
+        x = x.replace(name, c)
+    return x
+
+
+def _cells(row: str) -> Iterator[tuple[str, int, int]]:
+    """(text, columns, rows) of the cells of a row."""
+    for cell in _CELL.split(row)[1:]:
+        tag, _, body = cell.partition(">")
+        span = [min(max(int(found[1]), 1), 1000) if "span" in tag.lower() and (found := pattern.search(tag)) else 1 for pattern in _SPAN]
+        yield _EDGES.sub("", _plain(body if len(tag) < len(cell) else cell)), *span
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to the rows of their tables' grids, some megabytes of HTML at a time."""
+    for whole in batches:
+        for at in range(0, len(whole), 500):
+            b, from_page, out = whole.slice(at, 500), [], ([], [], [], [])
+            for page, html in enumerate(b.column(1).to_pylist()):
+                parts = [_END.split(x, 1) for x in _TABLE.split(html or "")]
+                for n, part in enumerate(parts[1:], 1):
+                    before = _plain(_BREAK.sub("\n", _TABLE.split(html, 1)[0] if n == 1 else "".join(parts[n - 1][1:])))
+                    for row_no, texts in enumerate(_grid(_ROW.split(part[0])[1:])):
+                        from_page.append(page)
+                        for column, x in zip(out, (n, before, row_no, texts)):
+                            column.append(x)
+            kinds = pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(from_page, pa.int32())), *map(pa.array, out, kinds)], names=[b.schema.names[0], "table_no", "before", "row_no", "texts"])
+
+
+def _grid(rows: list[str]) -> Iterator[list[str]]:
     """Rows of cells with spans to rows of a grid."""
-    for b in batches:
-        from_row, row_no, texts = [], [], []
-        for at, rows in enumerate(b.column(3).to_pylist()):
-            open_: dict[int, tuple[int, str]] = {}  # column: rows that a cell from above still covers, its text
-            for n, row in enumerate(rows):
-                line, column = {c: text for c, (_, text) in open_.items()}, 0
-                open_ = {c: (down - 1, text) for c, (down, text) in open_.items() if down > 1}
-                for cell in row:
-                    while column in line:
-                        column += 1
-                    for c in range(column, column + cell["across"]):
-                        line[c] = cell["text"]
-                        if cell["down"] > 1:
-                            open_[c] = (cell["down"] - 1, cell["text"])
-                    column += cell["across"]
-                from_row.append(at)
-                row_no.append(n)
-                texts.append([line.get(c, "") for c in range(max(line, default=-1) + 1)])
-        names = [*b.schema.names[:3], "row_no", "texts"]
-        yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(from_row, pa.int32())) for i in range(3)), pa.array(row_no, pa.int32()), pa.array(texts, pa.list_(pa.string()))], names=names)
+    open_: dict[int, tuple[int, str]] = {}  # column: rows that a cell from above still covers, its text
+    for row in rows:
+        line, column = {c: text for c, (_, text) in open_.items()}, 0
+        open_ = {c: (down - 1, text) for c, (down, text) in open_.items() if down > 1}
+        for text, across, down in _cells(row):
+            while column in line:
+                column += 1
+            for c in range(column, column + across):
+                line[c] = text
+                if down > 1:
+                    open_[c] = (down - 1, text)
+            column += across
+        yield [line.get(c, "") for c in range(max(line, default=-1) + 1)]
 
 
 def text_rows(docs: DataFrame, id_col: str, text: str, separator: str = r"\|") -> DataFrame:
@@ -127,6 +155,11 @@ def cell_state(x: Column) -> Column:
     return F.when(n == "", "disclosed_blank").when(n.isin("-", "—", "/", "不适用"), "not_applicable_or_dash").when(n.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "ready").otherwise("disclosed_text")
 
 
+def _is_number(x: Column) -> Column:
+    """Whether cell_state is ready."""
+    return F.regexp_replace(x, r"[\s\u00A0\u3000,，]+", "").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+
+
 def cell_value(x: Column) -> Column:
     state = cell_state(x)
     return F.when(state == "ready", F.regexp_replace(compact(x), "[,，+]", "")).when(state == "disclosed_text", compact(x))
@@ -179,7 +212,7 @@ def note_tables(rows: DataFrame, id_col: str, title: str = "") -> DataFrame:
     that follow without a header. Unit and currency hold until others are named.
     """
     first, others = compact(F.col("texts")[0]), F.slice("texts", 2, F.greatest(F.size("texts"), F.lit(1)))
-    numbers = F.exists(others, lambda x: cell_state(x) == "ready")
+    numbers = F.exists(others, lambda x: F.coalesce(_is_number(x), F.lit(False)))
     names = F.exists(others, lambda x: compact(x).rlike(HEADER_WORDS))
     opens = ~numbers & ~first.rlike("^[一二三四]+[、.]") & ((first == "") | first.isin(HEADER_LABELS) | names)
     goes = (F.col("row_no") < 4) & ((first == "") | first.isin(HEADER_LABELS)) & ~numbers
@@ -208,16 +241,18 @@ def note_rows(rows: DataFrame, tables: DataFrame, id_col: str) -> DataFrame:
     """(id, table_no, row_no, label, values, issue, ...): body rows with their full labels, in the context of the groups
     ('一、…', '其中：', '按…分类', without values) and numbered items ('1.…') above them, which a continuation takes over."""
     body = rows.where("size(texts) > 0").join(tables.where("issue is null").drop("issue"), [id_col, "table_no"]).where("row_no >= depth")
-    label, values = compact(F.col("texts")[0]), F.slice("texts", 2, F.greatest(F.size("texts"), F.lit(1)))
-    empty = F.forall(values, lambda x: compact(x) == "")
-    group = (label.rlike("^[一二三四五六七八九十]+[、.]") | label.isin(GROUP_LABELS) | label.rlike("^按.+分类$")) & empty
+    # Columns of their own, so that each is computed once for all that use it.
+    body = body.select("*", compact(F.col("texts")[0]).alias("own"), F.slice("texts", 2, F.greatest(F.size("texts"), F.lit(1))).alias("values"))
+    body = body.withColumn("empty", F.forall("values", lambda x: compact(x) == ""))
+    label, empty = F.col("own"), F.col("empty")
+    body = body.withColumn("is_group", (F.size("texts") == F.size("headers")) & (label.rlike("^[一二三四五六七八九十]+[、.]") | label.isin(GROUP_LABELS) | label.rlike("^按.+分类$")) & empty)
     numbered, inner = label.rlike(r"^[0-9]+[.、．]"), label.rlike("^[（(][0-9]+[)）]")
     bare = F.regexp_replace(label, r"^[0-9]+[.、．]\s*", "")
     fits = F.size("texts") == F.size("headers")
     w = Window.partitionBy(id_col, "chain").orderBy("table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    above = F.last(F.when(fits & group, F.regexp_replace(F.regexp_replace(label, "^[一二三四五六七八九十]+[、.]", ""), "^[：:]+|[：:]+$", "")), ignorenulls=True).over(w)
-    item = F.last(F.when(fits & group, "").when(fits & numbered, bare), ignorenulls=True).over(w)
-    found = body.select("*", values.alias("values"), F.coalesce(above, F.lit("")).alias("group"), F.coalesce(item, F.lit("")).alias("item"), label.alias("own"), bare.alias("bare"), (fits & group).alias("is_group"), fits.alias("fits"), empty.alias("empty"))
+    above = F.last(F.when(F.col("is_group"), F.regexp_replace(F.regexp_replace(label, "^[一二三四五六七八九十]+[、.]", ""), "^[：:]+|[：:]+$", "")), ignorenulls=True).over(w)
+    item = F.last(F.when(F.col("is_group"), "").when(fits & numbered, bare), ignorenulls=True).over(w)
+    found = body.select("*", F.coalesce(above, F.lit("")).alias("group"), F.coalesce(item, F.lit("")).alias("item"), bare.alias("bare"), fits.alias("fits"))
     named = F.when(inner & ~numbered & (F.col("item") != ""), F.concat("item", F.lit(" / "), F.regexp_replace("own", "^[（(][0-9]+[)）]", ""))).otherwise(F.col("bare"))
     found = found.where("not is_group and not (fits and own = '' and empty)").withColumn("label", F.when(F.col("group") != "", F.concat("group", F.lit(" / "), named)).otherwise(named))
     again = F.row_number().over(Window.partitionBy(id_col, "table_no", "fits", "label").orderBy("row_no")) > 1
@@ -229,12 +264,12 @@ def note_cells(found: DataFrame, id_col: str) -> DataFrame:
     """(id, table_no, row_no, column_no, section, label, header, value, state, unit, currency, at_date): the cells of
     the rows of note_rows. Columns without a header have none (see note_issues)."""
     cells = found.where("issue is null or issue = 'repeated_row_label'").select("*", F.posexplode("values").alias("i", "raw"))
-    cells = cells.withColumn("header", F.col("headers")[F.col("i") + 1]).where("header <> ''")
-    state = cell_state(F.col("raw"))
+    cells = cells.withColumn("header", F.col("headers")[F.col("i") + 1]).where("header <> ''").withColumn("state", cell_state(F.col("raw")))
+    state = F.col("state")
     own = F.when(F.col("header").rlike("[%％]|比例|利率"), "%").when(F.col("header").rlike("股数|数量"), "原表列单位").otherwise(F.coalesce("unit", F.lit("原文未标单位")))
     kept = (F.col("unit") != "股") & (own == F.col("unit")) & (state != "disclosed_text")
     return cells.select(
-        id_col, "table_no", "row_no", (F.col("i") + 2).alias("column_no"), "section", "label", "header", cell_value(F.col("raw")).alias("value"), state.alias("state"),
+        id_col, "table_no", "row_no", (F.col("i") + 2).alias("column_no"), "section", "label", "header", cell_value(F.col("raw")).alias("value"), "state",
         F.when(state == "disclosed_text", "原文文字").otherwise(own).alias("unit"), F.when(kept, F.col("currency")).alias("currency"), F.concat("header", "label").rlike("期初|期末").alias("at_date"),
     )
 
