@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,17 +108,30 @@ def referenced(sources: DataFrame, references: DataFrame, key: str) -> DataFrame
 
 
 def cycles(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
-    """The smallest node of each cycle of a graph in which a node has at most one edge out: nodes that are still on
-    their way after as many steps as there are nodes, by path doubling; then the smallest node that each comes by."""
-    up = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("to"), F.least(a, b).alias("least")))
-    steps, n = 1, up.count()
+    """The smallest node of each cycle of a graph in which a node has at most one edge out, by path doubling."""
+    up = edges.select(F.col(a).alias("node"), F.col(b).alias("to"), F.least(a, b).alias("last"))
+    return on_rings(up, F.least, rounds).select(F.col("last").alias("node")).distinct()
+
+
+def on_rings(edges: DataFrame, best: Callable, rounds: int = 40) -> DataFrame:
+    """(node, last) of the nodes on rings of a graph with at most one edge out of a node (node, to, last): the best `last` all
+    the way round.
+
+    Each round doubles the steps, and nodes whose way ends go. It is over when a round loses no node, reaches as many
+    nodes as the one before and changes no `last`: then no way ends, the nodes reached are those on rings, and each of
+    them has seen its whole ring. So the rounds grow with the longest way, not with the number of nodes. The two sides
+    of a join are of one size, so neither is broadcast."""
+    up = _cut(edges)
+    n = up.count()
     for _ in range(rounds):
-        if steps > n:
-            break
-        nxt = up.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("least").alias("more"))
-        up = _cut(up.join(nxt, "to").select("node", F.col("next").alias("to"), F.least("least", "more").alias("least")))
-        steps *= 2
-    return up.join(up.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select(F.col("least").alias("node")).distinct()
+        nxt = up.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("last").alias("more"))
+        longer = _cut(up.join(nxt.hint("merge"), "to").select("node", F.col("next").alias("to"), best("last", "more").alias("last"), (best("last", "more") != F.col("last")).alias("moved")))
+        state = longer.agg(F.count("*").alias("n"), F.count_if("moved").alias("moved")).first()
+        reached = lambda df: df.select("to").distinct().count()
+        if state["n"] == n and not state["moved"] and reached(longer) == reached(up):
+            return up.join(up.select(F.col("to").alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", "last")
+        up, n = longer.drop("moved"), state["n"]
+    raise RuntimeError(f"a way is longer than 2 ** {rounds} steps")
 
 
 def person_key(name: str) -> Column:
