@@ -32,14 +32,27 @@ def near_matches(left: DataFrame, right: DataFrame, keys: list[str], a: Column,
 
 
 def lineage(edges: DataFrame, child: str, parent: str, rounds: int = 40) -> DataFrame:
-    """(child, ancestor) pairs over any number of steps, by path doubling: each round joins the pairs known with
-    themselves, so a depth of n needs log2(n) rounds, each of them checkpointed. The result has every pair; selection.roots gives
-    the last ancestor alone."""
-    known = _cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct())
-    n = known.count()
+    """(child, ancestor) pairs over any number of steps, by path doubling: each round joins the pairs that are exactly so
+    many steps apart with all pairs that are at most as many apart, so a depth of n needs log2(n) rounds, each of them
+    written once. In a graph without cycles in which a node has one parent no pair is found twice, and only new pairs
+    are written; else pairs are made distinct. The result has every pair; selection.roots gives the last ancestor alone."""
+    exact = _cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct())
+    known, n = exact, exact.count()
+    plain, n_exact = exact.select("child").distinct().count() == n, n
     for _ in range(rounds):
-        more = known.join(known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next")), "ancestor").select("child", F.col("_next").alias("ancestor"))
-        known = _cut(known.union(more).distinct())
+        if plain and not n_exact:
+            return known.select(F.col("child").alias(child), "ancestor")
+        step = exact.select("child", F.col("ancestor").alias("_mid"))
+        further = lambda pairs: step.join(pairs.select(F.col("child").alias("_mid"), "ancestor").hint("merge"), "_mid").select("child", "ancestor")  # noqa: E731, B023
+        more, twice = further(known), further(exact)
+        if plain:
+            known, exact = known.union(_cut(more)), _cut(twice)
+            before, n_exact = n_exact, exact.count()
+            plain = n_exact < before  # as many that far apart as half as far: there is a cycle
+            if not plain:
+                known, n = known.distinct(), -1
+            continue
+        known, exact = _cut(known.union(more).distinct()), _cut(twice.distinct())
         before, n = n, known.count()
         if n == before:
             return known.select(F.col("child").alias(child), "ancestor")
