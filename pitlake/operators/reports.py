@@ -118,23 +118,24 @@ def analysis_scope(companies: DataFrame, published: DataFrame, years: int = 5, q
     ones, the last half-year's second quarter and that of a year before if published and eligible), dependency (the
     year before each annual one; the quarter a year before and the three before each quarterly one), missing (dependencies
     that were not published), before_listing (published by `until` but before the listing)."""
-    own = published.select("company", "kind", "end").distinct().join(companies, "company").where("end <= until")
-    early = F.coalesce(F.col("end") < F.col("listed"), F.lit(False))
-    fit = own.where(~early & F.coalesce(F.col("end") >= F.col("since"), F.lit(True)))
-    fit = fit.withColumn("i", F.row_number().over(Window.partitionBy("company", "kind").orderBy(F.desc("end"))))
-    most = {"Y": ("annual", years), "Q": ("quarterly", quarters), "M": ("monthly", months)}
-    role = reduce(lambda c, k: c.when((F.col("kind") == k) & (F.col("i") <= most[k][1]), most[k][0]), most, F.when(F.lit(False), ""))
-    chosen = fit.withColumn("role", role).where("role is not null").select("company", "role", "kind", "end")
-    half = fit.where((F.col("kind") == "Q") & (F.month("end") == 6)).withColumn("top", F.max("end").over(Window.partitionBy("company")))
-    half = half.where((F.col("end") == F.col("top")) | (F.col("end") == F.add_months("top", -12))).select("company", F.lit("business").alias("role"), "kind", "end")
-    back = F.when(F.col("kind") == "Y", F.array(F.lit(12))).otherwise(F.array(*map(F.lit, (3, 6, 9, 12))))
-    wants = chosen.where("kind <> 'M'").select("company", "kind", F.explode(back).alias("b"), "end")
-    wants = wants.select("company", "kind", F.last_day(F.expr("add_months(end, -b)")).alias("end")).distinct()
-    lacks = wants.join(published, ["company", "kind", "end"], "left_anti")
-    before = own.where(early).select("company", F.lit("before_listing").alias("role"), "kind", "end")
-    parts = [chosen, chosen.where("kind = 'Y'").withColumn("role", F.lit("business")), half, *[d.select("company", F.lit(r).alias("role"), "kind", "end") for r, d in (("dependency", wants), ("missing", lacks))], before]
+    # A company's periods are few (the calendar bounds them), so they meet in one array by one shuffle.
+    ends = published.groupBy("company").agg(F.collect_set(F.struct("kind", "end")).alias("all")).join(companies, "company")
+    ends = ends.withColumn("own", F.filter("all", lambda p: p["end"] <= F.col("until")))
+    early = lambda p: F.coalesce(p["end"] < F.col("listed"), F.lit(False))
+    ends = ends.withColumn("fit", F.filter("own", lambda p: ~early(p) & F.coalesce(p["end"] >= F.col("since"), F.lit(True))))
+    of = lambda kind: F.transform(F.filter("fit", lambda p: p["kind"] == kind), lambda p: p["end"])
+    last = lambda kind, n: F.slice(F.sort_array(of(kind), asc=False), 1, n)
+    ends = ends.select("company", "all", last("Y", years).alias("annual"), last("Q", quarters).alias("quarterly"), last("M", months).alias("monthly"), F.filter(of("Q"), lambda e: F.month(e) == 6).alias("halves"), F.filter("own", early).alias("before"))
+    back = lambda kind, b: lambda e: F.struct(F.lit(kind).alias("kind"), F.last_day(F.add_months(e, -b)).alias("end"))
+    wants = [F.transform("annual", back("Y", 12)), *(F.transform("quarterly", back("Q", b)) for b in (3, 6, 9, 12))]
+    ends = ends.withColumn("wants", F.array_distinct(F.concat(*wants))).withColumn("top", F.array_max("halves"))
+    named = lambda role, kind, c: F.transform(c, lambda e: F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"), e.alias("end")))
+    kinds = lambda role, c: F.transform(c, lambda p: F.struct(F.lit(role).alias("role"), p["kind"].alias("kind"), p["end"].alias("end")))
+    half = F.filter("halves", lambda e: (e == F.col("top")) | (e == F.add_months("top", -12)))
+    parts = [named("annual", "Y", "annual"), named("quarterly", "Q", "quarterly"), named("monthly", "M", "monthly"), named("business", "Y", "annual"), named("business", "Q", half), kinds("dependency", "wants"), kinds("missing", F.array_except("wants", "all")), kinds("before_listing", "before")]
+    found = ends.select("company", F.explode(F.concat(*parts)).alias("p")).select("company", "p.*")
     label = F.concat("kind", F.when(F.col("kind") == "Y", F.year("end").cast("string")).when(F.col("kind") == "Q", F.concat(F.year("end").cast("string"), F.lit("Q"), F.quarter("end").cast("string"))).otherwise(F.date_format("end", "yyyy-MM")))
-    return reduce(DataFrame.union, parts).select("company", "role", label.alias("period"))
+    return found.select("company", "role", label.alias("period"))
 
 
 def report_changes(reports: DataFrame, facts: DataFrame, assumptions: DataFrame, key: str, order: list[str], plain: dict[str, str]) -> DataFrame:

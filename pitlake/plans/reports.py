@@ -107,13 +107,13 @@ SELECT company, role, kind || CASE kind WHEN 'Y' THEN CAST(year(e) AS VARCHAR) W
 def analysis_scope(spark, sf_dir):
     """Five years, twelve quarters, sixty months, the half-year pair, dependencies and what is missing of them, for each
     customer from its months, quarters and years with orders; listed with its first urgent order."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company"), F.to_date("o_orderdate").alias("d"), "o_orderpriority")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company"), F.to_date("o_orderdate").alias("d"), "o_orderpriority").repartition("company")  # all that follows is by company
     listed = o.where("o_orderpriority like '1%'").groupBy("company").agg(F.min("d").alias("first"))
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company"), "c_acctbal", "c_mktsegment").join(listed, "company", "left")
     c = c.select("company", F.expr("date'2001-06-30'").alias("until"), F.when(F.col("c_acctbal") > 0, F.col("first")).alias("listed"), F.when(F.col("c_mktsegment") == "BUILDING", F.expr("date'1996-01-01'")).alias("since"))
     months = o.select("company", F.last_day("d").alias("end")).distinct()
     ends = F.explode(F.expr("array(struct('M' as kind, end), struct('Q' as kind, last_day(add_months(trunc(end, 'quarter'), 2)) as end), struct('Y' as kind, make_date(year(end), 12, 31) as end))")).alias("p")
-    return reports.analysis_scope(c, months.select("company", ends).select("company", "p.*").distinct())
+    return reports.analysis_scope(c, months.select("company", ends).select("company", "p.*"))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER w AS prev, o_orderstatus <> lag(o_orderstatus) OVER w AS c1, year(o_orderdate) <> year(lag(o_orderdate) OVER w) AS c2, o_orderpriority <> lag(o_orderpriority) OVER w AS c3, floor(o_totalprice / 100000) <> floor(lag(o_totalprice) OVER w / 100000) AS c4, floor(o_totalprice / 50000) <> floor(lag(o_totalprice) OVER w / 50000) AS c5, floor(o_totalprice / 20000) <> floor(lag(o_totalprice) OVER w / 20000) AS c6 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
