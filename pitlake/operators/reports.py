@@ -146,12 +146,14 @@ def report_changes(reports: DataFrame, facts: DataFrame, assumptions: DataFrame,
     Each item meets that of the other version by a key of its own, so no report's items are collected."""
     w = Window.partitionBy(key).orderBy(*order)
     pairs = reports.select("report_id", *[F.col(c).alias(f"_{s}") for s, c in plain.items()], F.lag("report_id").over(w).alias("parent_report_id"), *[F.lag(c).over(w).alias(f"_old_{s}") for s, c in plain.items()])
-    both = pairs.where("parent_report_id is not null").select("report_id", "parent_report_id")
+    # An item goes to its own report and to the one that follows: one join brings it to both.
+    child = F.lead("report_id").over(w)
+    goes = F.filter(F.array(F.when(F.lag("report_id").over(w).isNotNull(), F.struct(F.col("report_id").alias("of"), F.lit(1).alias("side"))), F.when(child.isNotNull(), F.struct(child.alias("of"), F.lit(0).alias("side")))), lambda x: x.isNotNull())
+    ways = reports.select("report_id", goes.alias("goes"))
 
     def differing(items: DataFrame, part: str, name: str) -> DataFrame:
-        new = both.select("report_id").join(items, "report_id").select("report_id", part, F.lit(1).alias("side"), "content")
-        old = both.join(items.withColumnRenamed("report_id", "parent_report_id"), "parent_report_id").select("report_id", part, F.lit(0).alias("side"), "content")
-        one = new.union(old).groupBy("report_id", part).agg((F.count_distinct("side") < 2).alias("alone"), (~F.min("content").eqNullSafe(F.max("content")) | (F.count("content") % 2 == 1)).alias("other"))
+        both = items.join(ways, "report_id").select(F.explode("goes").alias("to"), part, "content").select(F.col("to.of").alias("report_id"), part, F.col("to.side").alias("side"), "content")
+        one = both.groupBy("report_id", part).agg((F.min("side") == F.max("side")).alias("alone"), (~F.min("content").eqNullSafe(F.max("content")) | (F.count("content") % 2 == 1)).alias("other"))
         return one.groupBy("report_id").agg(F.bool_or(F.col("alone") | F.col("other")).alias(name))
 
     j = pairs.join(differing(facts, "fact_id", "_facts"), "report_id", "left").join(differing(assumptions, "position", "_assumptions"), "report_id", "left")
