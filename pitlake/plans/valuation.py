@@ -102,7 +102,8 @@ def valuation_models(spark, sf_dir):
     v["segments"] = F.when(F.col("c_custkey") % 6 != 0, F.array(item(F.col("c_acctbal") * 2), item(100.0))).otherwise(F.slice(F.array(item(1.0)), 1, 0))
     v["assets"] = F.array(item(F.col("c_acctbal"), 0.8), item(300.0))
     names = [*_MODEL_SQL, "relative@2", "unknown"]
-    rows = c.withColumn("method", F.explode(F.array(*map(F.lit, names))))
+    # A small file is one or two partitions, its models are most of the work: rows are dealt to all cores first.
+    rows = c.repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").withColumn("method", F.explode(F.array(*map(F.lit, names))))
     run = valuation.execute(F.split_part("method", F.lit("@"), F.lit(1)), F.when(F.col("method").contains("@"), "2.0.0").otherwise("1.0.0"), v)
     return rows.select("c_custkey", "method", run.alias("r")).select("c_custkey", "method", "r.*")
 
