@@ -100,6 +100,22 @@ def roots(edges: DataFrame, child: str, parent: str, most: int = 40) -> DataFram
     raise RuntimeError("a node is its own ancestor")
 
 
+def ends(edges: DataFrame, child: str, parent: str, most: int = 40) -> DataFrame:
+    """(node, root, depth): what `roots` and `depths` give, by one doubling. Nodes that have come to the end of their chain
+    are written once and leave the rounds; their ends are still there for those that pass them."""
+    up = edges.select(F.col(child).alias("node"), F.col(parent).alias("to"), F.lit(1).cast("long").alias("depth"))
+    done = None
+    for _ in range(most):
+        step = up if done is None else up.union(done.select("node", F.col("root").alias("to"), "depth"))
+        step = step.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
+        longer = cut(up.join(step.hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNull().alias("ended")))
+        found = longer.where("ended").select("node", F.col("to").alias("root"), "depth")
+        done, up = found if done is None else done.union(found), longer.where("not ended").drop("ended")
+        if up.isEmpty():
+            return done
+    raise RuntimeError("a node is its own ancestor")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows with their place (from 1) in the whole order: range partitions are counted, and rows numbered within each,
     so that no task sees all of them."""

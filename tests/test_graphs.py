@@ -73,3 +73,58 @@ def test_control_state(spark):
         cyclic, conflicts = len(plain({(x[2], x[3]) for x in good})), len(keys) - len(good)
         want[sid] = ("cyclic" if cyclic else "unproven" if unproven else "conflicted" if conflicts else "complete", len(good), conflicts, unproven, cyclic)
     assert got == want and {x[0] for x in want.values()} >= {"cyclic", "complete"}
+
+
+def _cuts(monkeypatch, *modules):
+    """What is written to the shared folder, counted."""
+    made = []
+    for m in modules:
+        for name in ("cut", "_cut"):
+            if hasattr(m, name):
+                monkeypatch.setattr(m, name, lambda df, old=getattr(m, name): made.append(1) or old(df))
+    return made
+
+
+def test_rings_rounds_by_length(spark, monkeypatch):
+    """Rounds grow with the longest way, not with the nodes: 2000 rings of three, ways into them and ways that end."""
+    from pitlake.operators import evidence
+
+    rings = [(10 * i + k, 10 * i + (k + 1) % 3) for i in range(2000) for k in range(3)]
+    ways = [(10 * i + k, 10 * i + k + 1) for i in range(0, 2000, 7) for k in (5, 6)] + [(10 * i + 3, 10 * i) for i in range(0, 2000, 3)] + [(10 * i + 4, 10 * i + 3) for i in range(0, 2000, 3)]
+    edges = spark.createDataFrame([*rings, *ways, (7, 99_999), (99_999, 99_999)], "a long, b long")
+    made = _cuts(monkeypatch, evidence)
+    got = sorted(r.node for r in evidence.cycles(edges, "a", "b").collect())
+    assert got == [10 * i for i in range(2000)] + [99_999] and len(made) < 8
+    assert evidence.cycles(edges.where("a % 10 > 4 and a < 99999"), "a", "b").count() == 0
+    assert evidence.cycles(edges.limit(0), "a", "b").count() == 0
+
+
+def test_lineage_writes_pairs_once(spark, monkeypatch):
+    """A chain's pairs are written once; cycles and several parents give the same pairs as a plain search."""
+    from pitlake.operators import evidence
+
+    def reach(edges):
+        out = set(edges)
+        while more := {(a, d) for a, b in out for c, d in edges if b == c} - out:
+            out |= more
+        return out
+
+    for edges in ([(i, i // 2) for i in range(2, 40)], [(1, 2), (2, 3), (3, 1), (4, 1), (9, 8)], [(1, 1)], [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 2)], [(i, i + 1) for i in range(17)], []):
+        df = spark.createDataFrame(edges, "a long, b long")
+        got = [tuple(r) for r in evidence.lineage(df, "a", "b").collect()]
+        assert sorted(got) == sorted(reach(set(edges)))
+    sizes = []
+    monkeypatch.setattr(evidence, "_cut", lambda df, old=evidence._cut: (out := old(df), sizes.append(out.count()))[0])
+    assert evidence.lineage(spark.createDataFrame([(i, i + 1) for i in range(32)], "a long, b long"), "a", "b").count() == 528
+    assert sum(sizes) < 2 * 528
+
+
+def test_ends(spark):
+    """Root and depth by one doubling, as roots and depths give them; a chain that ended is not written again."""
+    from pitlake.operators import selection
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30 + i, 20) for i in range(5)] + [(40, 41)], "a long, b long")
+    got = {r.node: (r.root, r.depth) for r in selection.ends(edges, "a", "b").collect()}
+    want = {r.node: r.root for r in selection.roots(edges, "a", "b").collect()}, {r.node: r.depth for r in selection.depths(edges, "a", "b").collect()}
+    assert got == {n: (want[0][n], want[1][n]) for n in want[0]} and got[0] == (20, 20) and got[40] == (41, 1)
+    assert selection.ends(edges.limit(0), "a", "b").count() == 0
