@@ -32,3 +32,17 @@ def test_against_loops(spark, tmp_path):
         assert x.snippet == " ".join(w[max(0, x.first - 2) :][:6])
     assert {x.doc for x in search.containing(docs, "doc", "text", "e, ").collect()} == {i for i, t in enumerate(texts) if "e, " in (t or "").lower()}
     assert search.containing(docs, "doc", "text", " ").count() == 0 == search.posting_lists(docs.limit(0), "doc", "text").count()
+
+
+def test_one_shuffle_of_lists(spark):
+    """Words are lists before they are shuffled, and once; repeated ids are one document whose positions are all of theirs."""
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c"), (2, None), (3, "..."), (4, "b B")], "k long, t string").repartition(3)
+    lists = search.posting_lists(docs, "k", "t")
+    assert sorted((r.term, r.id, list(r.positions)) for r in lists.collect()) == [("a", 1, [0, 0, 2]), ("b", 1, [1]), ("b", 4, [0, 1]), ("c", 1, [1])]
+    made = []
+    old, search._cut = search._cut, lambda df: made.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    try:
+        search.posting_lists(docs, "k", "t")
+    finally:
+        search._cut = old
+    assert made[0].count("Exchange rangepartitioning") == 1 and made[0].count("Exchange hashpartitioning") == 0
