@@ -53,7 +53,7 @@ def _encoded(spark, sf_dir):
     what no one knows, English has a UTF-8 mark; a page without any of these is as it was."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in content.pieces(whole, 1)):
             out = []
             for html in b.column(1).to_pylist():
                 lang = re.search('lang="([a-z]+)"', html or "")

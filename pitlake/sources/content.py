@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +39,26 @@ def sniff(raw: bytes) -> tuple[str | None, str | None, str]:
     return None, tried[-1], "undecodable"
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes in a column, a row at least: what a task holds of its copies is bounded."""
+    sizes, start, held = pc.binary_length(batch.column(column)).fill_null(0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def decoded(files: DataFrame, id_col: str, content: str) -> DataFrame:
     """(id, text, charset, status) of bytes; null bytes are `missing`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sniff(x.as_py()) if x.is_valid else (None, None, "missing") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], pa.string()) for i in range(3))], names=[id_col, "text", "charset", "status"])
+            for part in pieces(b, 1):
+                found = [sniff(x.as_py()) if x.is_valid else (None, None, "missing") for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[i] for f in found], pa.string()) for i in range(3))], names=[id_col, "text", "charset", "status"])
 
     return files.select(id_col, content).mapInArrow(run, f"{id_col} {files.schema[id_col].dataType.simpleString()}, text string, charset string, status string")
 

@@ -107,3 +107,14 @@ def test_chosen(spark):
     df = spark.createDataFrame(rows, "key long, fact_id long, priority long, parents long, available_at long, value double, unit string")
     got = {tuple(x) for x in materialize.chosen(df, ["key"], [F.col("priority"), F.col("parents"), -F.col("available_at"), F.col("fact_id")]).collect()}
     assert got == {(1, 13, 3.0, "u", 4, 3), (2, 19, None, None, 2, 1)}
+
+
+def test_pieces_are_bounded():
+    """A batch of large rows is cut by bytes: nothing is lost, no slice is larger than the limit unless it is one row."""
+    import pyarrow as pa
+
+    rows = [b"x" * n for n in (10, 90, 5, 200, 0, 50, 50, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(rows, pa.binary())], names=["k", "c"])
+    got = list(content.pieces(batch.slice(1), 1, 100))
+    assert [p.column(0).to_pylist() for p in got] == [[1, 2], [3], [4, 5, 6], [7, 8]]
+    assert list(content.pieces(batch.slice(0, 0), 1)) == []
