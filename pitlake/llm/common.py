@@ -239,13 +239,13 @@ def near_pairs(values: np.ndarray, keys: np.ndarray, near: Callable, dense_above
         left.append(a[ok])
         right.append(b[ok])
         shift += 1
-    a, b = _forests(values, order[size > dense_above], np.cumsum(np.diff(k[size > dense_above], prepend=k[:1]) != 0) if (size > dense_above).any() else size[:0], near)
+    a, b = forests(values, order[size > dense_above], np.cumsum(np.diff(k[size > dense_above], prepend=k[:1]) != 0) if (size > dense_above).any() else size[:0], near)
     left.append(a)
     right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _forests(values: np.ndarray, rest: np.ndarray, group: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+def forests(values: np.ndarray, rest: np.ndarray, group: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within each group of rows `rest` (groups in order). All groups are walked side
     by side: in each round one row of every group meets those of its group that nothing has reached yet."""
     left, right = [rest[:0]], [rest[:0]]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlake.llm.common import components, free_name, hashed_words, mix64, near_pairs, slices, table
+from pitlake.llm.common import components, forests, free_name, hashed_words, mix64, slices, table
 from pitlake.llm.packed import batch as packed_batch
 from pitlake.llm.packed import merged, pack, runs_of, small
 
 COUNTERS = 22  # bits of a word's hash that say which counter it has
 SALTS = 32  # shares of a group of lines in a join on the group
-RARE, FREQUENT = 1, 27  # counter levels: up to RARE in no other line, from FREQUENT on in more than about 90
+RARE, FREQUENT = 1, 42  # counter levels: up to RARE in no other line, from FREQUENT on in some 1200 or more
+WIDE = (100, 200, 450)  # words from which lines have sketches of twice the width
+SHORT = (64, 80)  # words of lines: from the first on pairs of neighbours are blocks, up to the second all pairs
 
 
 _ASCII = bytes(c if c > 127 or chr(c).islower() else c + 32 if chr(c).isupper() else 48 if chr(c).isdigit() else 32 for c in range(256))
@@ -74,6 +76,8 @@ def similar(p: list, q: list, least: float) -> bool:
     edits = int((1 - least) * most + 1e-9)
     if abs(len(p) - len(q)) > edits or len(set(p).difference(q)) > edits:
         return False
+    if len(set(p)) < len(p) and (Counter(p) - Counter(q)).total() > edits:
+        return False
     i, stop = 0, min(len(p), len(q))
     while i < stop and p[i] == q[i]:
         i += 1
@@ -150,67 +154,158 @@ def counted(df: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray], chu
     return out.ravel()
 
 
-def simhash(words: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each line's weighted words (of which each line has one at least)."""
-    h = mix64(words.astype(np.uint64))
-    out = np.zeros(len(at) - 1, np.uint64)
-    line = 0
-    while line < len(out):
-        stop = max(line + 1, int(np.searchsorted(at, at[line] + 50_000, "right")) - 1)
-        lo, hi = at[line], at[stop]
-        bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * weight[lo:hi, None]
-        ones = np.add.reduceat(bits, at[line:stop] - lo, axis=0, dtype=np.int32)
-        total = np.add.reduceat(weight[lo:hi], at[line:stop] - lo, dtype=np.int32)
-        out[line:stop] = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        line = stop
+def edits_of(n: np.ndarray, least: float) -> np.ndarray:
+    """The edits that a similarity of `least` allows where the longer line has n words."""
+    return np.floor((1 - least) * n + 1e-9).astype(np.int64)
+
+
+def sketches(words: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """For each bit of a line's sketch whether an odd number of its words falls on it; a word's second occurrence in a line
+    is another word than its first. A sketch has 128 bits, and twice as many from each number of words in WIDE on: one
+    array (a row a line) for each of these widths. Lines are in order, equal words of a line side by side."""
+    first, all_ = np.r_[True, (words[1:] != words[:-1]) | (own[1:] != own[:-1])][: len(words)], np.arange(len(words))
+    nth = all_ - np.maximum.accumulate(np.where(first, all_, 0))
+    h = mix64(words.astype(np.uint64) + np.uint64(1 << 34) + (nth.astype(np.uint64) << np.uint64(36)))
+    kind = np.searchsorted(WIDE, n, "right")
+    row, out = np.zeros(len(n), np.int64), []
+    for i in range(len(WIDE) + 1):
+        mine = kind == i
+        row[mine] = np.arange(mine.sum())
+        of = np.flatnonzero(mine[own])
+        lane = row[own[of]] << i + 1 | (h[of] >> np.uint64(6) & np.uint64((2 << i) - 1)).astype(np.int64)
+        order = np.argsort(lane, kind="stable")
+        s = np.zeros(int(mine.sum()) << i + 1, np.uint64)
+        if len(of):
+            lane, first = np.unique(lane[order], return_index=True)
+            s[lane] = np.bitwise_xor.reduceat(np.uint64(1) << (h[of][order] & np.uint64(63)), first)
+        out.append(s.reshape(-1, 2 << i))
     return out
 
 
-def keys_of(flat: np.ndarray, at: np.ndarray, levels: np.ndarray, least: float, keys: int, most_words: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint of each line; line, key of each block): see repeated_lines."""
+def keys_of(flat: np.ndarray, at: np.ndarray, levels: np.ndarray, least: float, frequent: int = FREQUENT, short: tuple[int, int] = SHORT) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(sketches of the lines; line, key of each block): see repeated_lines."""
     n = np.diff(at)
-    own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    x = np.sort(own << np.uint64(40) | levels[flat >> (32 - COUNTERS)].astype(np.uint64) << np.uint64(32) | flat)
+    line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    grades = levels[flat >> (32 - COUNTERS)].astype(np.uint64)
+    x = np.sort(line << np.uint64(40) | grades << np.uint64(32) | flat)
+    sketch = sketches(x & np.uint64((1 << 32) - 1), line.astype(np.int64), n)
     x = x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
     own = (x >> np.uint64(40)).astype(np.int64)
-    start = np.searchsorted(own, np.arange(len(n)))
+    start = np.searchsorted(own, np.arange(len(n) + 1))
     place = np.arange(len(x)) - start[own]  # among the line's distinct words, the rarest first
     grade = (x >> np.uint64(32) & np.uint64(255)).astype(np.int64)
     word = x & np.uint64((1 << 32) - 1)
-    shared = grade > RARE
-    nth = np.cumsum(shared) - shared
-    nth -= nth[np.minimum(start, max(len(x) - 1, 0))][own] if len(x) else 0  # among those that occur elsewhere
-    use = shared & (nth < most_words)
-    fp = np.zeros(len(n), np.uint64)
-    lines, first = np.unique(own[use], return_index=True)
-    if len(lines):
-        fp[lines] = simhash(word[use], np.where(grade[use] < FREQUENT, 3, 1).astype(np.uint8), np.r_[first, use.sum()])
-    edits = np.floor((1 - least) * n + 1e-9).astype(np.int64)[own]
-    single = shared & (grade < FREQUENT) & (place <= edits) & (nth < keys)
-    have = np.bincount(own[single], minlength=len(n))
-    common = (grade >= FREQUENT) & (place <= edits + 1) & (have[own] < keys // 2)
-    nth = np.cumsum(common) - common
-    nth -= nth[np.minimum(start, max(len(x) - 1, 0))][own] if len(x) else 0
-    common &= nth < 5
-    wide = np.zeros((len(n), 5), np.uint64)
-    wide[own[common], nth[common]] = word[common] + np.uint64(1)
+    edits = edits_of(n, least)
+    few = np.diff(start) <= edits + 1  # one distinct word may be all that is left of such a line
+    single = np.flatnonzero((grade > RARE) & (place <= edits[own]) & ((grade < frequent) | few[own]))
     of, key = [own[single]], [mix64(word[single] + np.uint64(1 << 33))]
-    for i, j in combinations(range(5), 2):
-        two = np.flatnonzero(wide[:, j])
-        of.append(two)
-        key.append(mix64(mix64(wide[two, i]) + wide[two, j]))
-    return fp, np.concatenate(of), np.concatenate(key)
-
+    often = np.flatnonzero((grade >= frequent) & (place <= edits[own] + 1) & (n[own] <= short[1]))
+    for shift in range(1, int(np.bincount(own[often], minlength=1).max())):
+        one = np.flatnonzero(own[often[:-shift]] == own[often[shift:]])
+        of.append(own[often[one]])
+        key.append(mix64(mix64(word[often[one]]) + word[often[one + shift]]))
+    rare = np.bincount(own[grade < frequent], minlength=len(n))
+    wide = (n >= short[0]) & (rare <= edits)
+    two = np.flatnonzero((line[1:] == line[:-1]) & wide[line[1:].astype(np.int64)] & (np.minimum(grades[1:], grades[:-1]) >= frequent))
+    h = mix64(mix64(flat[two].astype(np.uint64)) + flat[two + 1]) >> np.uint64(32)
+    x = np.unique(line[two] << np.uint64(41) | grades[two] + grades[two + 1] << np.uint64(32) | h)
+    own_two = (x >> np.uint64(41)).astype(np.int64)
+    place = np.arange(len(x)) - np.searchsorted(own_two, np.arange(len(n)))[own_two]
+    lost = np.floor(2 * (1 - least) * n + 1e-8).astype(np.int64) - 2 * rare
+    use = place <= lost[own_two]
+    of.append(own_two[use])
+    key.append(mix64((x[use] & np.uint64((1 << 32) - 1)) + np.uint64(1 << 35)))
+    return sketch, np.concatenate(of), np.concatenate(key)
+
+
+def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether lines a and b (places in `order`) may be similar; loses no similar ones. All but the edits of the longer
+    line's words are in both, counted as often as they are in both, so the words that only one has are no more than the
+    rest of both; each changes one bit of the sketches.
+    Halves of a sketch, laid over each other, are the sketch of half its width."""
+    kind = np.searchsorted(WIDE, n, "right")
+    row, wide = [np.cumsum(kind >= i) - 1 for i in range(len(parts))], list(parts)
+    for i in range(len(WIDE) - 1, -1, -1):
+        wide[i] = np.zeros((int((kind >= i).sum()), 2 << i), np.uint64)
+        mine = kind[kind >= i] == i
+        wide[i][mine] = parts[i]
+        wide[i][~mine] = wide[i + 1][:, : 2 << i] ^ wide[i + 1][:, 2 << i :]
+    if order is not None:
+        n, kind, row, wide[0] = n[order], kind[order], [np.arange(len(order)), *(r[order] for r in row[1:])], wide[0][order]
+    lanes = [np.ascontiguousarray(w.T) for w in wide]
+    need = n - edits_of(n, least)
 
-def similar_filter(n: np.ndarray, fp: np.ndarray, least: float, max_bits: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ok = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
-        ok[ok] = np.bitwise_count(fp[a[ok]] ^ fp[b[ok]]) <= max_bits
+        most = n[a] + n[b] - 2 * np.maximum(need[a], need[b])
+        ok = most >= np.abs(n[a] - n[b])
+        on = np.flatnonzero(ok)
+        for i in range(len(lanes)):
+            x, y = row[i][a[on]], row[i][b[on]]
+            bits = np.zeros(len(on), np.int64)
+            for lane in lanes[i]:
+                bits += np.bitwise_count(lane[x] ^ lane[y])
+            ok[on] = bits <= most[on]
+            on = on[ok[on]]
+            on = on[np.minimum(kind[a[on]], kind[b[on]]) > i]
         return ok
 
     return near
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(roots after the pairs a, b have joined trees; the pairs that did so, a spanning forest of them)."""
+    left, right = [a[:0]], [b[:0]]
+    while True:
+        x, y = root[a], root[b]
+        ok = x != y
+        if not ok.any():
+            return root, np.concatenate(left), np.concatenate(right)
+        a, b = a[ok], b[ok]
+        high, one = np.unique(np.maximum(x, y)[ok], return_index=True)
+        root[high] = np.minimum(x, y)[ok][one]
+        left.append(a[one])
+        right.append(b[one])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def cell_links(k: np.ndarray, n: np.ndarray, near: Callable, least: float, dense_above: int, side: int = 4000, at_once: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, root) of lines in order of (key, words): pairs of lines of one key that may be similar, all of them in cells
+    of up to dense_above lines and a spanning forest of them in others; the roots of the latter's trees. Cells of up to
+    `side` lines are compared in order of length as far as lengths allow, larger ones are walked breadth first."""
+    need = n - edits_of(n, least)
+    cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[cut, len(k)])
+    size, end = np.repeat(sizes, sizes), np.repeat(cut + sizes, sizes)
+    root, left, right, wait_a, wait_b, waiting = np.arange(len(k)), [], [], [], [], 0
+    at, shift = np.flatnonzero((size > 1) & (size <= side)), 1
+    while len(at):
+        at = at[at + shift < end[at]]
+        at = at[need[at + shift] <= n[at]]
+        a = at[root[at] != root[at + shift]]
+        a = a[near(a, a + shift)]
+        dense = size[a] > dense_above
+        left.append(a[~dense])
+        right.append(a[~dense] + shift)
+        wait_a.append(a[dense])
+        wait_b.append(a[dense] + shift)
+        waiting += len(wait_a[-1])
+        if waiting > at_once or not shift & shift - 1 or not len(at):
+            root, a, b = joined(root, np.concatenate(wait_a), np.concatenate(wait_b))
+            left.append(a)
+            right.append(b)
+            wait_a, wait_b, waiting = [], [], 0
+        shift += 1
+    large = np.flatnonzero(size > side)
+    if len(large):
+        a, b = forests(np.arange(len(k)), large, np.cumsum(np.diff(k[large], prepend=k[large[:1]]) != 0), near)
+        left.append(a)
+        right.append(b)
+        root, *_ = joined(root, a, b)
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(left + none), np.concatenate(right + none), root
+
+
 def pieces(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of lines with about `most` words together: (start, stop, word hashes, offsets)."""
     flat, at = word_arrays(column)
@@ -221,44 +316,48 @@ def pieces(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int,
         start = stop
 
 
-def _deal(levels, least: float, keys: int, buckets: int):
+def _deal(levels, least: float, frequent: int, short: tuple[int, int], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for start, stop, flat, at in pieces(b.column(1)):
-                fp, of, key = keys_of(flat, at, levels.value, least, keys)
-                n, own = np.minimum(np.diff(at), (1 << 32) - 1).astype("<u4"), ids[start:stop]
+                sketch, of, key = keys_of(flat, at, levels.value, least, frequent, short)
+                n, own, half = np.minimum(np.diff(at), (1 << 32) - 1).astype("<u4"), ids[start:stop], (key >> np.uint64(32)).astype("<u4")
+                kind = np.searchsorted(WIDE, n, "right")
+                row = [np.cumsum(kind == i) - 1 for i in range(len(sketch))]
+                by_line = np.argsort(of, kind="stable")
+                of, key, half = of[by_line], key[by_line], half[by_line]
                 order, runs = runs_of((key % np.uint64(buckets)).astype(np.int64), buckets)
-                cut = [(c, of[order[i:j]], key[order[i:j]]) for c, i, j in runs]
-                yield packed_batch([c for c, *_ in cut], [pack(k, own[o], fp[o], small(n[o])) for _, o, k in cut])
+                cells, packed = [], []
+                for cell, i, j in runs:
+                    o, many = np.unique(of[order[i:j]], return_counts=True)
+                    cells.append(cell)
+                    packed.append(pack(half[order[i:j]], small(many), own[o], *(s[row[i][o[kind[o] == i]]].ravel() for i, s in enumerate(sketch)), small(n[o])))
+                yield packed_batch(cells, packed)
 
     return run
 
 
-def _meet(least: float, max_bits: int, dense_above: int):
+def _meet(least: float, dense_above: int):
     """Pairs (a, b) of lines of one bucket that share a key and pass the filter. Of cells with more than dense_above
-    lines a spanning forest of them, and the lines of each tree of three or more: (head, a, fp, n)."""
+    lines a spanning forest of them, and the lines of each tree of three or more: (head, a)."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        k, ids, fp, n = merged(t.column("packed").to_pylist())
-        order = np.lexsort((ids, k))
-        order = order[np.r_[True, (k[order][1:] != k[order][:-1]) | (ids[order][1:] != ids[order][:-1])]]
-        k, ids, fp, n = k[order], ids[order], fp[order], n[order].astype(np.int64)
-        a, b = near_pairs(np.arange(len(k)), k, similar_filter(n, fp, least, max_bits), dense_above)
+        k, many, ids, *parts, n = merged(t.column("packed").to_pylist())
+        line, n = np.repeat(np.arange(len(ids)), many), n.astype(np.int64)
+        order = np.lexsort((ids[line], n[line], k))
+        k, line = k[order], line[order]
+        once = np.r_[True, (k[1:] != k[:-1]) | (ids[line][1:] != ids[line][:-1])]
+        k, line = k[once], line[once]
+        near = similar_filter(n, [s.reshape(-1, 2 << i) for i, s in enumerate(parts)], least, line)
+        ids, n = ids[line], n[line]
+        a, b, root = cell_links(k, n, near, least, dense_above)
         pair = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1), axis=0)
-        _, of, many = np.unique(k, return_inverse=True, return_counts=True)
-        up = np.arange(len(k))
-        dense = many[of[a]] > dense_above
-        up[b[dense]] = a[dense]
-        while not np.array_equal(above := up[up], up):
-            up = above
-        d = np.flatnonzero(np.bincount(up, minlength=len(up))[up] > 2)
-        _, once = np.unique(np.stack([ids[up[d]], ids[d]], 1), axis=0, return_index=True)
-        d = d[once]
-        none, some = pa.nulls(len(pair), pa.int64()), lambda x: pa.array(x[d].view(np.int64))
+        d = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 2)
+        tree = np.unique(np.stack([ids[root[d]], ids[d]], 1), axis=0)
         return pa.table({
-            "a": np.r_[pair[:, 0], ids[d]], "b": pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(len(d), pa.int64())]),
-            "head": pa.concat_arrays([none, pa.array(ids[up[d]])]), "fp": pa.concat_arrays([none, some(fp)]), "n": pa.concat_arrays([none, some(n)]),
+            "a": np.r_[pair[:, 0], tree[:, 1]], "b": pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(len(tree), pa.int64())]),
+            "head": pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(tree[:, 0])]),
         })
 
     return run
@@ -274,14 +373,17 @@ def _verify(least: float):
     return run
 
 
-def _walk(least: float, max_bits: int):
+def _walk(least: float):
     """Verified links, as pairs of components, between the lines of one tree that are in different components so far.
     Each line outside the largest component meets the others once; components that a link joins are one from then on."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        fp, n, root = (t.column(c).to_numpy() for c in ("fp", "n", "root"))
-        w, known = t.column("w"), {}
-        near = similar_filter(n, fp.view(np.uint64), least, max_bits)
+        root, w, known = t.column("root").to_numpy(), t.column("w"), {}
+        flat, at = word_arrays(w.combine_chunks())
+        n = np.diff(at)
+        own = np.repeat(np.arange(len(n)), n)
+        x = np.sort(own.astype(np.uint64) << np.uint64(32) | flat)
+        near = similar_filter(n, sketches(x & np.uint64((1 << 32) - 1), own, n), least)
         _, part, many = np.unique(root, return_inverse=True, return_counts=True)
 
         def words(i: int) -> list:
@@ -302,29 +404,37 @@ def _walk(least: float, max_bits: int):
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, least: float = 0.8, max_bits: int = 18, keys: int = 8, per_bucket: int = 1_000_000, dense_above: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, least: float = 0.8, frequent: int = FREQUENT, short: tuple[int, int] = SHORT, per_bucket: int = 1_500_000, dense_above: int = 2
 ) -> DataFrame:
     """(doc_id, row, removed: sorted array<int>) of documents with lines to remove; row is xxhash64 of the text. See
     dedup_lines.
 
-    Links. At a similarity of `least`, an edit script leaves all but a share of 1 - least of a line's words alone, so
-    of that many and one more of its distinct words one is in both lines (pigeonhole). The blocks are the rarest of
-    them: rarity comes from 2 ** COUNTERS counters over all lines, which are broadcast; words in no other line are no
-    keys, up to `keys` words in at most about 90 lines are keys, and a line with fewer than half of those has pairs
-    of its more frequent ones (five words at most). Lines that share a key meet; a pair goes on to the verification
-    if its lengths allow it and its SimHashes (64 bits, of up to 64 words, rare ones counting three times) differ
-    in at most max_bits bits. Of cells with more than dense_above lines a spanning forest of such pairs goes on at
-    first. Where its links fail, so that a tree's lines are not all in one component, they are verified against each
-    other until no pair of them is left untried: one task holds the distinct lines of such a tree.
+    Links. At a similarity of `least` (0.6 at least), an edit script leaves all but a share of 1 - least of a line's words alone,
+    so no more of its distinct words are missing in the other line. In one order of all words the first common one is
+    among the first of both lines, as many as the edits allowed and one more, and the second common one within one
+    place more (prefix filter). The order is by rarity, from 2 ** COUNTERS counters over all lines, which are broadcast.
+    If the first common word is below level `frequent`, it is the block. Else all common words are frequent, and lines
+    of up to short[1] words have the pairs of their first ones as blocks. Lines of short[0] words or more have pairs of
+    neighbours, of which an edit takes two: the first ones in order, as many as the edits left by the line's rarer words can
+    take and one more. Lines whose similarity may be in doubt are in both ways (short[0] <= least * short[1]), so each
+    similar pair meets, and no line has more blocks than a fixed multiple of its words.
+
+    A pair that meets goes on to the verification if lengths and sketches allow it, which all similar pairs do. Of cells
+    with more than dense_above lines a spanning forest of such pairs goes on at first. Where its links fail, so that a
+    tree's lines are not all in one component, they are verified against each other until no pair of them is left
+    untried: one task holds the distinct lines of such a tree.
     """
+    if least < 0.6 or not 20 <= short[0] <= least * short[1]:
+        raise ValueError("least is 0.6 or more, and 20 <= short[0] <= least * short[1]")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     occ = table(texts.mapInArrow(_occurrences(min_words), "doc_id long, row long, line_no int, hi long, lo long, w binary"), "lines")
     words = occ.where("w is not null and octet_length(w) >= 20").select("hi", "w")  # shorter ones have no similar one
     levels = counted(words.select("w"), lambda b: word_arrays(b.column(0))[0] >> (32 - COUNTERS))
-    buckets = max(1, -(-words.count() * keys // per_bucket))
-    dealt = words.mapInArrow(_deal(spark.sparkContext.broadcast(levels), least, keys, buckets), "cell long, packed binary")
-    met = table(dealt.groupBy("cell").applyInArrow(_meet(least, max_bits, dense_above), "a long, b long, head long, fp long, n long"), "line-cells")
+    n, size = words.agg(F.count("*"), F.sum(F.octet_length("w"))).first()
+    buckets = max(1, -(-round(n + (1 - least) * (size or 0) / 4) // per_bucket))
+    dealt = words.mapInArrow(_deal(spark.sparkContext.broadcast(levels), least, frequent, short, buckets), "cell long, packed binary")
+    met = table(dealt.groupBy("cell").applyInArrow(_meet(least, dense_above), "a long, b long, head long"), "line-cells")
     pairs = met.where("b is not null").select("a", "b").distinct()
 
     def text_of(ids: DataFrame) -> DataFrame:
@@ -342,12 +452,12 @@ def repeated_lines(
     text = text_of(met.where("b is not null").select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(text.select(F.col("hi").alias("a"), F.col("w").alias("p")), "a").join(text.select(F.col("hi").alias("b"), F.col("w").alias("q")), "b")
     parts = components(both.select("a", "b", "p", "q").mapInArrow(_verify(least), "a long, b long"))
-    trees = met.where("head is not null").select("head", F.col("a").alias("id"), "fp", "n").distinct()
-    trees = trees.join(parts, trees.id == parts.node, "left").select("head", "id", "fp", "n", F.coalesce("root", "id").alias("root"))
+    trees = met.where("head is not null").select("head", F.col("a").alias("id")).distinct()
+    trees = trees.join(parts, trees.id == parts.node, "left").select("head", "id", F.coalesce("root", "id").alias("root"))
     mixed = trees.groupBy("head").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("head")
     members = table(trees.join(mixed, "head"), "line-trees")
     walked = members.join(text_of(members.select("id")).withColumnRenamed("hi", "id"), "id").groupBy("head")
-    more = table(walked.applyInArrow(_walk(least, max_bits), "a long, b long"), "line-links")
+    more = table(walked.applyInArrow(_walk(least), "a long, b long"), "line-links")
     if not more.isEmpty():
         over = components(more).select(F.col("node").alias("was"), F.col("root").alias("now"))
         parts = table(parts.join(over, parts.root == over.was, "left").select("node", F.coalesce("now", "root").alias("root")).union(over), "line-parts")
@@ -365,8 +475,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows of docs with text_col without its repeated lines, and n_lines, n_removed (long).
 
     Lines are split at \\n and normalised (case, digits, punctuation). Lines link when their normalised forms are
-    equal or their word edit similarity (1 - distance / words of the longer line) is at least `least` (0.8), as far
-    as the blocks and SimHashes of repeated_lines bring them together. Of each connected group the occurrence with
+    equal or their word edit similarity (1 - distance / words of the longer line) is at least `least` (0.8): the blocks
+    of repeated_lines bring all such pairs together. Of each connected group the occurrence with
     the smallest (id, hash of the text, line number) stays and all others go. Lines of fewer than five words can only
     have equal ones. Lines without a letter or digit (empty ones) always stay, and so do those of fewer than
     min_words words. Equal normalised lines meet by a group-by and are never paired.

@@ -139,3 +139,30 @@ def test_query(spark):
                 assert w not in first or k in gone[r.doc_id]  # every exact repeat goes
                 first.setdefault(w, (r.doc_id, k))
     assert Counter(len(x) > 0 for x in gone.values())[True]
+
+
+def removed(spark, texts, **how):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    return {r.doc_id for r in lines.repeated_lines(df, **how).collect()}
+
+
+@pytest.mark.parametrize("how", [{}, {"frequent": 2}, {"frequent": 9, "short": (20, 25), "per_bucket": 300}])
+def test_no_link_is_lost(spark, corpus, how):
+    """What goes is what brute force over all pairs removes, whichever words are blocks: rare ones, pairs, neighbours."""
+    few = [[rng.choice(COMMON[:3]) for _ in range(n)] for n in (5, 5, 6, 7, 9, 12, 20) for _ in range(4)]  # one or two distinct words
+    far = [w for n in (100, 150, 210, 300) for base in [prose(n)] for w in (base, edited(base, n // 5), edited(base, n // 6))]
+    texts = corpus + few + far
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if abs(len(texts[i]) - len(texts[j])) <= 0.2 * max(len(texts[i]), len(texts[j])) and lines.similar(texts[i], texts[j], 0.8)]
+    assert removed(spark, texts, **how) == {i for i, r in groups(range(len(texts)), pairs).items() if r != i}
+
+
+def test_words_beyond_the_rarest_are_blocks(spark):
+    """Lines whose 12 rarest words are each in one more line, and whose common words come after all of these."""
+    own = [[lettered(1000 * k + i) for i in range(12)] for k in range(2)]
+    base = [lettered(5000 + i) for i in range(48)]
+    texts = [[x for i in range(12) for x in (*base[4 * i : 4 * i + 4], words[i])] for words in own]
+    assert lines.similar(*texts, 0.8)
+    others = [[lettered(9000 + 10 * k + i) for i in range(6)] for k in range(80)]
+    texts += [[*w, x] for w, x in zip(others, [*own[0], *own[1]])] + [[*others[30 + k % 50], *base[12 * (k % 4) : 12 * (k % 4) + 12], lettered(20000 + k)] for k in range(20)]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if lines.similar(texts[i], texts[j], 0.8)]
+    assert (0, 1) in pairs and removed(spark, texts) == {i for i, r in groups(range(len(texts)), pairs).items() if r != i}
