@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable, Iterator
 from decimal import Decimal
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -13,54 +15,73 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+EPOCH, MICROSECOND = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc), dt.timedelta(microseconds=1)
+CHUNK = 1000  # rows of a key in one value of its state, and in one row that comes out
 Step = Callable[[dict, dict], list[tuple]]
 
 
+def chunks(lines: list[str]) -> list[tuple[str]]:
+    """Lines in strings of up to CHUNK of them: state and rows cost a round trip and a conversion each."""
+    return [("\n".join(lines[i : i + CHUNK]),) for i in range(0, len(lines), CHUNK)]
+
+
 class OrderedFold(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then folds them by (time, tie) and gives out what the step
-    makes of each. Rows that come when the watermark is past them are dropped by Spark (late rows). A key without a
-    row for idle_days is forgotten; its next row starts afresh."""
+    makes of each, as lines of JSON arrays. Rows that come when the watermark is past them are dropped by Spark (late
+    rows). A key without a row for idle_days is forgotten; its next row starts afresh."""
 
     def __init__(self, step: Step, start: dict, names: list[str], idle_days: int) -> None:
         self.step, self.start, self.names, self.idle = step, json.dumps(start), names, idle_days * DAY_MS
+        self.time = len(names) - 1  # rows are keys, time, row; names are keys and what is made
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, tie long, row string")
+        self.waiting = handle.getListState("waiting", "rows string")  # each up to CHUNK rows, a line each
         self.state = handle.getValueState("state", "state string, last long")
 
     def wake(self, at_us: int) -> None:
         self.handle.registerTimer(at_us // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r["_at"], r["_tie"], r["_row"]) for r in rows]
-        self.waiting.appendList(new)
-        self.wake(min(new)[0])
+        first, new = None, []
+        for r in rows:
+            first = r[self.time] if first is None else min(first, r[self.time])
+            new.append(r[self.time + 1])
+        self.waiting.appendList(chunks(new))
+        self.wake((first - EPOCH) // MICROSECOND)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        due, rest = sorted(r for r in rows if r[0] // 1000 < now), [r for r in rows if r[0] // 1000 >= now]
-        text, last = self.state.get() if self.state.exists() else (self.start, None)
+        due, rest, soonest = [], [], None
+        for (text,) in self.waiting.get():
+            lines = text.split("\n")
+            for line, row in zip(lines, json.loads(f"[{','.join(lines)}]")):
+                if row["_at"] // 1000 < now:
+                    due.append((row["_at"], row.pop("_tie"), line, row))
+                else:
+                    rest.append(line)
+                    soonest = row["_at"] if soonest is None else min(soonest, row["_at"])
+        due.sort(key=itemgetter(0, 1, 2))
+        text, last = self.state.get() or (self.start, None)
         if not due:
             if last is not None and not rest and now - last // 1000 > self.idle:
                 self.state.clear()
             return iter(())
         state, out = json.loads(text), []
-        for at, _, row in due:
+        for at, _, _, row in due:
             if last is not None and (at - last) // 1000 > self.idle:
                 state = json.loads(self.start)
-            out += [Row(**dict(zip(self.names, (*key, *made)))) for made in self.step(state, json.loads(row) | {"_at": at})]
+            out += self.step(state, row)
             last = at
         self.state.update((json.dumps(state), last))
         if rest:
-            self.waiting.put(rest)
-            self.wake(min(rest)[0])
+            self.waiting.put(chunks(rest))
+            self.wake(soonest)
         else:
             self.waiting.clear()
         self.handle.registerTimer(last // 1000 + self.idle + 1)
-        return iter(out)
+        return iter([Row(**dict(zip(self.names, (*key, x)))) for (x,) in chunks([json.dumps(made) for made in out])])
 
     def close(self) -> None:
         pass
@@ -72,10 +93,14 @@ def ordered_fold(events: DataFrame, keys: list[str], at: str, tie: str, columns:
     if not events.isStreaming:
         raise ValueError("ordered_fold takes a stream; the batch folds are in operators")
     timed = events.withColumn("_time", F.col(at).cast("timestamp")).where(F.col("_time").isNotNull()).where(" and ".join(f"{k} is not null" for k in keys))
-    rows = timed.withWatermark("_time", late).select(*keys, "_time", F.unix_micros("_time").alias("_at"), F.col(tie).cast("long").alias("_tie"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("_row"))
+    row = F.to_json(F.struct(F.unix_micros("_time").alias("_at"), F.col(tie).cast("long").alias("_tie"), *columns), {"ignoreNullFields": "false"})
+    rows = timed.withWatermark("_time", late).select(*keys, "_time", row.alias("_row"))
     kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*keys, *(x.strip().split(" ")[0] for x in made.split(","))]
-    return rows.groupBy(*keys).transformWithState(OrderedFold(step, start, names, idle_days), f"{kinds}, {made}", "append", "eventtime")
+    folded = rows.groupBy(*keys).transformWithState(OrderedFold(step, start, [*keys, "_made"], idle_days), f"{kinds}, _made string", "append", "eventtime")
+    lines = folded.select(*keys, F.explode(F.split("_made", "\n")).alias("_made"))
+    names = [x.strip().split(" ") for x in made.split(",")]
+    values = F.from_json("_made", "array<string>")
+    return lines.select(*keys, values.alias("_made")).select(*keys, *[F.get("_made", F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
 
 
 def series_links(events: DataFrame, keys: list[str], max_days: int = 800, late: str = "1 day") -> DataFrame:

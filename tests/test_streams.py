@@ -1,11 +1,13 @@
 """Folds over streams give what the batch folds give, rows out of order and in several batches; late rows, idle keys."""
 
 import datetime as dt
+import json
 import random
 from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pitlake.operators import analytics, extraction
@@ -89,3 +91,41 @@ def test_batch_is_no_stream(spark):
     df = spark.createDataFrame([], "k long, event_id long, ts timestamp, amount decimal(18,4)")
     with pytest.raises(ValueError, match="stream"):
         folds.running_balance(df, ["k"])
+
+
+def test_rows_wait_together():
+    """A batch's rows of a key are few values of its state and few rows that come out, however many they are."""
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        appendList = lambda self, x: self.rows.extend(x)
+        put = update = lambda self, x: setattr(self, "rows", x)
+        get = lambda self: self.rows or None
+        exists = lambda self: bool(self.rows)
+        clear = lambda self: self.rows.clear()
+
+    class Handle:
+        waiting, state, woken = Held(), Held(), []
+        getListState = lambda self, *_: self.waiting
+        getValueState = lambda self, *_: self.state
+        registerTimer = lambda self, at: self.woken.append(at)
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 2400
+
+    def step(state, row):
+        state["n"] += 1
+        return [(row["id"], f"{state['n']}\n")]
+
+    fold = folds.OrderedFold(step, {"n": 0}, ["k", "_made"], 10)
+    fold.init(Handle())
+    utc = dt.timezone.utc
+    one = lambda i: Row(k=1, _time=dt.datetime.fromtimestamp(i / 1000, utc), _row=json.dumps({"_at": i * 1000, "_tie": i, "id": i}))
+    assert list(fold.handleInputRows((1,), (one(i) for i in reversed(range(2500))), Now())) == []
+    assert len(Handle.waiting.rows) == 3 and Handle.woken == [1]
+    out = list(fold.handleExpiredTimer((1,), Now(), None))
+    made = [json.loads(x) for r in out for x in r["_made"].split("\n")]
+    assert len(out) == 3 and made == [[i, f"{i + 1}\n"] for i in range(2400)]
+    assert len(Handle.waiting.rows) == 1 and Handle.woken[1] == 2401
