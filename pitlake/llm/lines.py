@@ -76,15 +76,16 @@ def similar(p: list, q: list, least: float) -> bool:
     edits = int((1 - least) * most + 1e-9)
     if abs(len(p) - len(q)) > edits or len(set(p).difference(q)) > edits:
         return False
-    if len(set(p)) < len(p) and (Counter(p) - Counter(q)).total() > edits:
-        return False
     i, stop = 0, min(len(p), len(q))
     while i < stop and p[i] == q[i]:
         i += 1
     j, stop = 0, stop - i
     while j < stop and p[-1 - j] == q[-1 - j]:
         j += 1
-    return edit_distance(p[i : len(p) - j], q[i : len(q) - j]) <= edits
+    p, q = p[i : len(p) - j], q[i : len(q) - j]
+    if len(set(p)) < len(p) and (Counter(p) - Counter(q)).total() > edits:
+        return False
+    return edit_distance(p, q) <= edits
 
 
 def word_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +160,17 @@ def edits_of(n: np.ndarray, least: float) -> np.ndarray:
     return np.floor((1 - least) * n + 1e-9).astype(np.int64)
 
 
+def occurrence(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which occurrence in its line a word is, from 0. Lines are in order, equal words of a line side by side."""
+    first, all_ = np.r_[True, (words[1:] != words[:-1]) | (own[1:] != own[:-1])][: len(words)], np.arange(len(words))
+    return all_ - np.maximum.accumulate(np.where(first, all_, 0))
+
+
 def sketches(words: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """For each bit of a line's sketch whether an odd number of its words falls on it; a word's second occurrence in a line
     is another word than its first. A sketch has 128 bits, and twice as many from each number of words in WIDE on: one
     array (a row a line) for each of these widths. Lines are in order, equal words of a line side by side."""
-    first, all_ = np.r_[True, (words[1:] != words[:-1]) | (own[1:] != own[:-1])][: len(words)], np.arange(len(words))
-    nth = all_ - np.maximum.accumulate(np.where(first, all_, 0))
+    nth = occurrence(words, own)
     h = mix64(words.astype(np.uint64) + np.uint64(1 << 34) + (nth.astype(np.uint64) << np.uint64(36)))
     kind = np.searchsorted(WIDE, n, "right")
     row, out = np.zeros(len(n), np.int64), []
@@ -375,7 +381,9 @@ def _verify(least: float):
 
 def _walk(least: float):
     """Verified links, as pairs of components, between the lines of one tree that are in different components so far.
-    Each line outside the largest component meets the others once; components that a link joins are one from then on."""
+    Each line outside the largest component meets the others once; components that a link joins are one from then on.
+    A line's words, a second occurrence as another word, are marked, so that what it has in common with another is a
+    look at the other's words: edits are no fewer than the words of the longer line that are not."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         root, w, known = t.column("root").to_numpy(), t.column("w"), {}
@@ -383,8 +391,12 @@ def _walk(least: float):
         n = np.diff(at)
         own = np.repeat(np.arange(len(n)), n)
         x = np.sort(own.astype(np.uint64) << np.uint64(32) | flat)
-        near = similar_filter(n, sketches(x & np.uint64((1 << 32) - 1), own, n), least)
+        x &= np.uint64((1 << 32) - 1)
+        near = similar_filter(n, sketches(x, own, n), least)
+        _, ids = np.unique(x | occurrence(x, own).astype(np.uint64) << np.uint64(32), return_inverse=True)
+        mine = np.zeros(int(ids.max(initial=-1)) + 1, bool)
         _, part, many = np.unique(root, return_inverse=True, return_counts=True)
+        untried = np.ones(len(n), bool)
 
         def words(i: int) -> list:
             if i not in known:
@@ -393,11 +405,15 @@ def _walk(least: float):
 
         ea, eb = [], []
         for i in np.flatnonzero(part != many.argmax()).tolist():
-            others = np.flatnonzero(part != part[i])
+            untried[i] = False
+            others = np.flatnonzero(untried & (part != part[i]))
+            mine[ids[at[i] : at[i + 1]]] = True
             for j in others[near(np.full(len(others), i), others)].tolist():
-                if part[j] != part[i] and similar(words(i), words(j), least):
+                most = max(n[i], n[j])
+                if part[j] != part[i] and most - np.count_nonzero(mine[ids[at[j] : at[j + 1]]]) <= edits_of(most, least) and similar(words(i), words(j), least):
                     ea.append(root[i]), eb.append(root[j])
                     part[part == part[j]] = part[i]
+            mine[ids[at[i] : at[i + 1]]] = False
         return pa.table({"a": pa.array(ea, pa.int64()), "b": pa.array(eb, pa.int64())})
 
     return run

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitlake.llm import lines, queries
@@ -166,3 +168,25 @@ def test_words_beyond_the_rarest_are_blocks(spark):
     texts += [[*w, x] for w, x in zip(others, [*own[0], *own[1]])] + [[*others[30 + k % 50], *base[12 * (k % 4) : 12 * (k % 4) + 12], lettered(20000 + k)] for k in range(20)]
     pairs = [(i, j) for j in range(len(texts)) for i in range(j) if lines.similar(texts[i], texts[j], 0.8)]
     assert (0, 1) in pairs and removed(spark, texts) == {i for i, r in groups(range(len(texts)), pairs).items() if r != i}
+
+
+def test_trees_are_counted_before_they_are_compared(monkeypatch):
+    """Lines of a tree whose words alone rule a link out are not compared word by word; links are those of all pairs."""
+    r = random.Random(5)
+    base = [r.randrange(1, 1 << 32) for _ in range(95)]
+
+    def changed(n):
+        line = list(base)
+        for i in r.sample(range(95), n):
+            line[i] = r.randrange(1, 1 << 32)
+        return line
+
+    made = [changed(1) for _ in range(20)] + [changed(n) for n in (21, 22, 21, 20, 17)]
+    root = [1] * 20 + [2, 3, 4, 5, 6]
+    calls, plain = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda p, q, least: calls.append((p, q)) or plain(p, q, least))
+    t = pa.table({"root": pa.array(root, pa.int64()), "w": pa.array([np.array(x, np.uint32).tobytes() for x in made], pa.binary())})
+    out = lines._walk(0.8)((pa.scalar(1),), t)
+    assert list(zip(out["a"].to_pylist(), out["b"].to_pylist())) == [(6, 1)]
+    assert not any(plain(made[i], made[j], 0.8) for i in range(20, 24) for j in range(25) if i != j)
+    assert calls and all(max(len(p), len(q)) - (Counter(p) & Counter(q)).total() <= 19 for p, q in calls)
