@@ -83,18 +83,19 @@ def drops_blanks(path: str) -> bool:
 class Words:
     """Ids of words, for a file that drops white space: each distinct word is encoded once while the store holds it.
     A batch's distinct words come from 64-bit hashes, and all bytes are compared; where words of equal hash differ, a batch is
-    encoded word by word. A store of more than `most` words starts afresh."""
+    encoded word by word. A store of more than `most` bytes starts afresh."""
 
-    def __init__(self, ids_of: Callable[[list[bytes]], list[np.ndarray]], most: int = 600_000) -> None:
+    def __init__(self, ids_of: Callable[[list[bytes]], list[np.ndarray]], most: int = 32 << 20) -> None:
         self.ids_of, self.most = ids_of, most
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.size = 0
         self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > self.most:
+        if self.size > self.most:
             self.forget()
         where: list = []
         h, offsets = hashed_words(texts, where=where)
@@ -112,6 +113,7 @@ class Words:
             self.index.update(zip(fresh, known[new].tolist()))
             self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(x) for x in found])]
             self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
+            self.size += sum(map(len, fresh)) + 4 * sum(map(len, found)) + 200 * len(fresh)
         word = known[inverse]
         sizes = self.at[word + 1] - self.at[word]
         ends = np.r_[0, np.cumsum(sizes)]
@@ -166,8 +168,8 @@ class ChunkEncoder:
     the three; if not, the context grows (2, 4 and 8 words), and at last the whole text is encoded. Chunks that do not
     agree become part of a join. `whole` counts the texts encoded as a whole.
 
-    The stores are bounded (keep_mb of chunks and as much of joins); a full one starts afresh, which costs time and
-    changes nothing else.
+    The stores are bounded (keep_mb of chunks, as much of joins and of words); a full one starts afresh, which costs
+    time and changes nothing else.
     """
 
     def __init__(self, path: str, keep_mb: int = 32, bits: int = 10) -> None:
@@ -181,7 +183,7 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.most, self.bits, self.whole = keep_mb << 20, bits, 0
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words = Words(self.ids_of) if drops_blanks(path) else None
+        self.words = Words(self.ids_of, self.most) if drops_blanks(path) else None
         self.bodies: dict[bytes, tuple[int, int, np.ndarray] | None] = {}
         self.parts: dict[bytes, np.ndarray] = {}
         self.size = [0, 0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,11 +85,21 @@ def with_text_columns(
                 old = [batch.column(batch.schema.get_field_index(c)).slice(start, stop - start) for c in passed]
                 new = [pa.array(made[n], kinds[n]) for n in fields]
                 yield pa.RecordBatch.from_arrays(old + new, names=[*passed, *fields])
+            give_back()
 
     used = list(dict.fromkeys([*passed, text_col]))
     return df.select(*used).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return this Python worker's free memory to the system. Workers live on from task to task and stage to stage, and
+    would hold what the largest task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows whose texts together have at most about `most` bytes."""
     raw, size, start = [], 0, 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlake.llm.common import components, forests, free_name, hashed_words, mix64, slices, table
+from pitlake.llm.common import components, forests, free_name, give_back, hashed_words, mix64, slices, table
 from pitlake.llm.packed import batch as packed_batch
 from pitlake.llm.packed import merged, pack, runs_of, small
 
@@ -99,12 +99,12 @@ def _occurrences(min_words: int):
     """Each line with a word: where it is and its 128-bit digest; its word hashes where the task meets it first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int] | None] = {}
+        seen: dict[int, bytes] = {}  # the digest of a line's normal form; empty for lines that don't count
         for b in batches:
             for start, _, raws in slices(b.column(2), 2_000_000):
                 if len(seen) > 400_000:
                     seen.clear()
-                of, no, hi, lo, new, norms = [], [], [], [], [], []
+                of, no, digests, new, norms = [], [], [], [], []
                 for i, text in enumerate(raws, start):
                     for k, raw in enumerate(text.split(b"\n")):
                         key = xxhash.xxh3_128_intdigest(raw)
@@ -113,19 +113,21 @@ def _occurrences(min_words: int):
                         else:
                             norm = normalised(raw)
                             fresh = bool(norm) and norm.count(b" ") + 1 >= min_words
-                            x = xxhash.xxh3_128_digest(norm)
-                            d = seen[key] = (int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)) if fresh else None
+                            d = seen[key] = xxhash.xxh3_128_digest(norm) if fresh else b""
                             if fresh:
                                 norms.append(norm)
-                        if d is not None:
-                            of.append(i), no.append(k), hi.append(d[0]), lo.append(d[1]), new.append(fresh)
+                        if d:
+                            of.append(i), no.append(k), digests.append(d), new.append(fresh)
                 flat, at = hashed_words(norms)
                 flat = (flat >> np.uint64(32)).astype(np.uint32)
                 ends = np.zeros(len(new) + 1, np.int32)
                 ends[1:][new] = 4 * np.diff(at)
                 rows = pa.array(of, pa.int64())
+                hi, lo = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
                 w = pa.Array.from_buffers(pa.binary(), len(new), [pa.array(new, pa.bool_()).buffers()[1], pa.py_buffer(np.cumsum(ends, dtype=np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(no, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), w], names=["doc_id", "row", "line_no", "hi", "lo", "w"])
+        seen.clear()
+        give_back()
 
     return run
 
@@ -340,6 +342,7 @@ def _deal(levels, least: float, frequent: int, short: tuple[int, int], buckets:
                     cells.append(cell)
                     packed.append(pack(half[order[i:j]], small(many), own[o], *(s[row[i][o[kind[o] == i]]].ravel() for i, s in enumerate(sketch)), small(n[o])))
                 yield packed_batch(cells, packed)
+        give_back()
 
     return run
 
@@ -349,6 +352,12 @@ def _meet(least: float, dense_above: int):
     lines a spanning forest of them, and the lines of each tree of three or more: (head, a)."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
+        try:
+            return meet(t)
+        finally:
+            give_back()
+
+    def meet(t: pa.Table) -> pa.Table:
         k, many, ids, *parts, n = merged(t.column("packed").to_pylist())
         line, n = np.repeat(np.arange(len(ids)), many), n.astype(np.int64)
         order = np.lexsort((ids[line], n[line], k))

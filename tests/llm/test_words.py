@@ -10,11 +10,13 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 import zstandard
 
-from pitlake.llm import bpe, byte_bpe, common, kneser_ney, queries, ranked, spelling
+from pitlake.llm import bpe, byte_bpe, common, kneser_ney, lines, queries, ranked, spelling
 from pitlake.llm import warc as warc_op
 from tests.oracle import differences
 
@@ -264,6 +266,27 @@ def test_equal_hashes_of_different_words(monkeypatch):
         assert [x.tolist() for x in store.encode(texts)] == [[c for w in t.split() for c in w] for t in texts]
 
 
+def test_word_store_is_bounded_by_bytes():
+    """However long words and ids are, the store starts afresh before it outgrows its bytes by more than a batch."""
+    store = bpe.Words(lambda raws: [np.frombuffer(w, np.uint8).astype(np.uint32) for w in raws], most=1 << 20)
+    held = []
+    for i in range(30):
+        words = [b"%04d" % (100 * i + j) + b"x" * 1000 for j in range(100)]
+        assert b"".join(x.astype(np.uint8).tobytes() for x in store.encode([b" ".join(words)])) == b"".join(words)
+        held.append(sum(map(len, store.index)) + store.flat.nbytes)
+    assert max(held) <= (1 << 20) + 100 * 5300 and store.size >= held[-1]
+
+
+def test_a_seen_line_has_its_digest_again():
+    """Lines a task met before get the same digest and no words; lines without words none."""
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array(["Ab cd\n\nx", "ab  CD!\nAb cd\n--"])], names=["doc_id", "row", "text"])
+    rows = [r for out in lines._occurrences(1)(iter([b])) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["line_no"], r["w"] is None) for r in rows] == [(1, 0, False), (1, 2, False), (2, 0, False), (2, 1, True)]
+    x = xxhash.xxh3_128_digest(b"ab cd")
+    want = tuple(int.from_bytes(h, "little", signed=True) for h in (x[:8], x[8:]))
+    assert [(r["hi"], r["lo"]) == want for r in rows] == [True, False, True, True]
+
+
 def warc(kind, block, *fields, version="WARC/1.1", length=None, end=b"\r\n\r\n"):
     lines = [version, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", "WARC-Date: 2024-01-01T00:00:00Z", *fields, f"Content-Length: {len(block) if length is None else length}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + end
