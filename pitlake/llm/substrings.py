@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import mix64, slices, spans, table
-from pitlake.llm.packed import WordHashes, batch, pack, runs_of, small, unpack
+from pitlake.llm.common import mix64, slices, spans
+from pitlake.llm.packed import WordHashes, found, pack, runs_of, small, unpack
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -24,15 +24,14 @@ def text_key(b: bytes) -> int:
 class Texts:
     """The words of some rows as hash lanes, with what each position's window needs."""
 
-    def __init__(self, ids: np.ndarray, raw: list[bytes], known: WordHashes, window: int) -> None:
-        self.ids, self.words = ids, [b.split() for b in raw]
+    def __init__(self, ids: np.ndarray, ranks: np.ndarray, raw: list[bytes], known: WordHashes, window: int) -> None:
+        self.ids, self.ranks, self.words = ids, ranks, [b.split() for b in raw]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.at = spans(self.lengths)
         self.n = int(self.at[-1])
         self.doc = np.repeat(np.arange(len(raw)), self.lengths)
         self.place = np.arange(self.n) - self.at[self.doc]
         self.left = self.lengths[self.doc] - self.place  # words from here to the end of the text
-        self.keys = np.array([text_key(b) for b in raw], np.int64)
         self.hi, self.lo = known.lanes([w for words in self.words for w in words])
         self.window = window
 
@@ -65,27 +64,48 @@ class Texts:
         np.add.at(step, at + width, -1)
         return np.cumsum(step)[: self.n] > 0
 
-    def grouped(self, at: np.ndarray, groups: int, tag: int, values: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
-        """Places (or values) at `at`, packed by the group of their document; a place is one within its text."""
-        to = group_of(self.ids, self.keys, groups)[self.doc[at]] if len(at) else np.empty(0, np.int64)
-        order = np.lexsort((at, self.doc[at], to)) if len(at) else np.empty(0, np.int64)
-        a = at[order]
-        cells, packed = [], []
-        _, runs = runs_of(to[order], groups)
-        for g, i, j in runs:
-            part = a[i:j]
-            d = self.doc[part]
-            start = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            what = small(self.place[part]) if values is None else values[order[i:j]]
-            cells.append(-1 - g)
-            packed.append(pack(np.array([tag], "u1"), self.ids[d[start]].astype("<i8"), self.keys[d[start]], small(np.diff(np.r_[start, len(part)])), what))
-        return cells, packed
+    def decided(self, at: np.ndarray) -> bytes:
+        """The places of the windows that start at `at`, by the rank of their document in its group."""
+        at = np.sort(at)
+        d = self.doc[at]
+        start = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        return pack(np.array([DECIDED], "u1"), small(self.ranks[d[start]]), small(np.diff(np.r_[start, len(at)])), small(self.place[at]))
 
 
 def group_of(ids: np.ndarray, keys: np.ndarray, groups: int) -> np.ndarray:
     return ((mix64(ids.view(np.uint64) * _A + keys.view(np.uint64)) >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
 
 
+def ranks_of(docs: pa.Table) -> np.ndarray:
+    """The rank of each row's (id, key of the text) in its group, the same whatever order the rows come in; equal rows
+    have equal ranks, rows with a null id have -1."""
+    ids, keys = (docs.column(c).fill_null(0).to_numpy() for c in ("doc_id", "key"))
+    named = np.flatnonzero(docs.column("doc_id").is_valid().to_numpy())
+    order = named[np.lexsort((keys[named], ids[named]))]
+    out = np.full(len(ids), -1, np.int64)
+    out[order] = np.cumsum(np.r_[False, (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])][: len(order)])
+    return out
+
+
+def texts_of(docs: pa.Table, window: int) -> Iterator[Texts]:
+    """The rows of a group that have an id, slice by slice."""
+    ranks = ranks_of(docs)
+    named = pa.array(np.flatnonzero(ranks >= 0))
+    ranks, docs = ranks[ranks >= 0], docs.select(["doc_id", "text"]).take(named)
+    known = WordHashes(200_000)
+    for start, stop, raw in slices(docs.column("text").combine_chunks() if len(docs) else [], 3_000_000):
+        yield Texts(docs.column("doc_id").slice(start, stop - start).to_numpy(), ranks[start:stop], raw, known, window)
+
+
+def thin(h: np.ndarray) -> np.ndarray:
+    """Distinct 32-bit values in order as their distances, first the low bytes of all: the high ones are few and compress."""
+    return np.diff(h, prepend=h.dtype.type(0)).astype("<u4").view("u1").reshape(-1, 4).T.ravel()
+
+
+def thick(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 DECIDED, LIVE = 0, 1
 
 
@@ -94,157 +114,149 @@ def _anchor(window: int) -> int:
     return (window + 1) // 2
 
 
-def _probe(window: int, buckets: int, groups: int):
-    """Each slice of rows: its own repeats (decided), and for all other windows the rolling block hashes to probe
-    with and the aligned blocks to index, packed by hash bucket."""
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+
+
+def _probe(window: int, buckets: int):
+    """Each slice of a group: its own repeats (decided), and for all other windows the aligned blocks to index and the
+    rolling blocks to probe with: hashes only, each once a slice, by hash bucket. Those that an aligned block of one
+    document and any block of a larger one here share are live already."""
     block = _anchor(window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes(200_000)
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for start, stop, raw in slices(b.column(1), 3_000_000):
-                t = Texts(ids[start:stop], raw, known, window)
-                least, _, _, gone = t.split_known(t.starts())
-                yield batch(*t.grouped(gone, groups, DECIDED))
-                at = np.flatnonzero(t.marks(least, window - block + 1))
-                h = t.rolled(t.lo, block, _B)[at]
-                to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((t.place[at] % block != 0, t.doc[at], to))
-                _, runs = runs_of(to[order], buckets)
-                h, a = h[order].astype("<u4"), at[order]
-                cells, packed = [], []
-                for s, i, j in runs:
-                    d, aligned = t.doc[a[i:j]], t.place[a[i:j]] % block == 0
-                    first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                    n = np.add.reduceat(aligned.astype(np.int64), first)
-                    cells.append(s)
-                    packed.append(pack(t.ids[d[first]].astype("<i8"), t.keys[d[first]], small(np.diff(np.r_[first, j - i])), small(n), h[i:j]))
-                yield batch(cells, packed)
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        g = key[0].as_py()
+        cells, packed = [], []
+        for t in texts_of(docs, window):
+            least, _, _, gone = t.split_known(t.starts())
+            if len(gone):
+                cells.append(-1 - g)
+                packed.append(t.decided(gone))
+            at = np.flatnonzero(t.marks(least, window - block + 1))
+            h = t.rolled(t.lo, block, _B)[at]
+            h = (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64((1 << 32) - 1)
+            order = np.argsort(h)
+            h, who, aligned = h[order], t.ids[t.doc[at]][order], (t.place[at] % block == 0)[order]
+            if not len(h):
+                continue
+            first = _starts(h)
+            h, indexed = h[first], np.logical_or.reduceat(aligned, first)
+            live = indexed & (np.maximum.reduceat(who, first) > np.minimum.reduceat(np.where(aligned, who, np.iinfo(np.int64).max), first))
+            if live.any():
+                cells.append(-1 - g)
+                packed.append(pack(np.array([LIVE], "u1"), thin(np.unique(h[live].astype(np.uint32)))))
+            _, runs = runs_of((h >> np.uint64(32)).astype(np.int64), buckets)
+            for s, i, j in runs:
+                x, a = h[i:j].astype(np.uint32), indexed[i:j]
+                cells.append(s)
+                packed.append(pack(np.array([g], "<i8"), thin(x[a]), thin(x[~a])))
+        return pa.table({"cell": pa.array(cells, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _hit(groups: int):
-    """A bucket of block hashes: those that an aligned block of one document and any block of a larger one share,
-    sent to all such documents. Decided windows pass."""
+def _passed(cell: int, rows: list[bytes]) -> pa.Table:
+    return pa.table({"g": pa.array([-1 - cell] * len(rows), pa.int64()), "packed": pa.array(rows, pa.binary())})
+
+
+def _hit():
+    """A bucket of block hashes: those that an aligned block of one slice and any block of another share, sent to the
+    groups of all such slices. What is known already passes."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         cell, rows = key[0].as_py(), t.column("packed").to_pylist()
         if cell < 0:
-            return pa.table({"g": pa.array([-1 - cell] * len(rows), pa.int64()), "packed": pa.array(rows, pa.binary())})
-        parts = [unpack(r) for r in rows]
-        ids, keys, sizes, index = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in range(4))
-        h = np.concatenate([p[4] for p in parts])
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        aligned = np.arange(len(h)) - np.r_[0, np.cumsum(sizes)][doc] < index[doc]
+            return _passed(cell, rows)
+        lists, g = [], []
+        for r in rows:
+            to, *both = unpack(r)
+            g.append(int(to[0]))
+            lists += [thick(x) for x in both]
+        sizes = [len(x) for x in lists]
+        h = np.concatenate(lists)
+        of = np.repeat(np.arange(len(lists)), sizes)
         order = np.argsort(h, kind="stable")
-        s, d, al = h[order], doc[order], aligned[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(s)]))
-        who = ids[d]
-        least = np.minimum.reduceat(np.where(al, who, np.iinfo(np.int64).max), first)[of]
-        most = np.maximum.reduceat(who, first)[of]
-        live = (who > least) | (al & (who < most))
-        d, s = d[live], s[live]
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        if len(d):
-            new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])]
-            d, s = d[new], s[new]
-        to = group_of(ids, keys, groups)[d]
-        order, runs = runs_of(to, groups)
-        g, packed = [], []
-        for x, i, j in runs:
-            o = order[i:j]
-            start = np.flatnonzero(np.r_[True, d[o][1:] != d[o][:-1]])
-            g.append(x)
-            packed.append(pack(np.array([LIVE], "u1"), ids[d[o][start]].astype("<i8"), keys[d[o][start]], small(np.diff(np.r_[start, len(o)])), s[o]))
-        return pa.table({"g": pa.array(g, pa.int64()), "packed": pa.array(packed, pa.binary())})
+        h, of = h[order], of[order]
+        first = _starts(h)
+        many = np.diff(np.r_[first, len(h)])
+        live = np.repeat((many > 1) & np.logical_or.reduceat(of % 2 == 0, first), many) if len(h) else np.empty(0, bool)
+        h, of = h[live], of[live] // 2
+        order, runs = runs_of(of, len(g))
+        h = h[order]  # in order within each slice
+        to, packed = [], []
+        for r, i, j in runs:
+            to.append(g[r])
+            packed.append(pack(np.array([LIVE], "u1"), thin(h[i:j])))
+        return pa.table({"g": pa.array(to, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _by_document(rows: list[bytes], tag: int) -> dict[tuple[int, int], list[np.ndarray]]:
-    out: dict[tuple[int, int], list[np.ndarray]] = {}
-    for r in rows:
-        kind, ids, keys, sizes, values = unpack(r)
-        if kind[0] == tag:
-            ends = np.cumsum(sizes.astype(np.int64)).tolist()
-            for i, k, a, b in zip(ids.tolist(), keys.tolist(), [0, *ends], ends):
-                out.setdefault((i, k), []).append(values[a:b])
-    return out
-
-
-def _extend(window: int, buckets: int, groups: int):
-    """A group of documents with their hits: hits grow to all windows around them, whose hashes go to the buckets
-    for the smallest id; those of larger ids within the group are decided here."""
+def _extend(window: int, buckets: int):
+    """A group of documents with its hits: hits grow to all windows around them, whose hashes go to the buckets
+    for the smallest id; those of larger ids within a slice are decided here."""
     block = _anchor(window)
 
     def run(key: tuple, docs: pa.Table, hits: pa.Table) -> pa.Table:
-        live = _by_document(hits.column("packed").to_pylist(), LIVE)
-        known = WordHashes(200_000)
-        cells, packed = [], []
-        keep = [i for i, k in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("key").to_pylist())) if k in live]
-        docs = docs.take(pa.array(keep, pa.int64()))
-        ids = docs.column("doc_id").to_numpy()
-        text = docs.column("text").combine_chunks() if len(docs) else []
-        for start, stop, raw in slices(text, 3_000_000):
-            t = Texts(ids[start:stop], raw, known, window)
-            h = t.rolled(t.lo, block, _B).astype("<u4")
-            hit = [np.flatnonzero(np.isin(h[t.at[i] : t.at[i + 1]], np.concatenate(live[k]))) + t.at[i] for i, k in enumerate(zip(t.ids.tolist(), t.keys.tolist()))]
+        rows = hits.column("packed").to_pylist()
+        live = [thick(unpack(r)[1]) for r in rows if unpack(r)[0][0] == LIVE]
+        packed = [r for r in rows if unpack(r)[0][0] == DECIDED]
+        g = key[0].as_py() if rows else 0
+        cells = [-1 - g] * len(packed)
+        live = np.unique(np.concatenate(live)) if live else np.empty(0, np.uint32)
+        for t in texts_of(docs, window) if len(live) else ():
             near = np.zeros(t.n + 1, bool)
-            reach = window - block + 1  # a window may start so many places up to the hit
-            at = np.concatenate(hit)
-            for back in range(reach):
+            at = np.flatnonzero(found(live, t.rolled(t.lo, block, _B).astype(np.uint32))[1] & (t.left >= block))
+            for back in range(window - block + 1):  # a window may start so many places up to the hit
                 b = at - back
                 near[b[b >= 0]] = True
-            at = np.flatnonzero(near[: t.n] & (t.left >= window))
-            least, hi, lo, gone = t.split_known(at)
-            c, p = t.grouped(gone, groups, DECIDED)
-            cells += c
-            packed += p
+            least, hi, lo, gone = t.split_known(np.flatnonzero(near[: t.n] & (t.left >= window)))
+            if len(gone):
+                cells.append(-1 - g)
+                packed.append(t.decided(gone))
             to = ((hi >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((least, to))
             _, runs = runs_of(to[order], buckets)
             for s, i, j in runs:
                 o = order[i:j]
                 d = t.doc[least[o]]
-                first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                first = _starts(d)
+                ids = t.ids[d[first]]
+                base = ids.min()
                 cells.append(s)
-                packed.append(pack(t.ids[d[first]].astype("<i8"), t.keys[d[first]], small(np.diff(np.r_[first, len(o)])), small(t.place[least[o]]), hi[o], lo[o]))
+                packed.append(pack(np.array([g, base], "<i8"), small(ids.view(np.uint64) - base.view(np.uint64)), small(t.ranks[d[first]]), small(np.diff(np.r_[first, len(o)])), small(t.place[least[o]]), hi[o], lo[o]))
         return pa.table({"cell": pa.array(cells, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _decide(groups: int):
+def _decide():
     """A bucket of window hashes: windows whose sequence a smaller id holds too."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         cell, rows = key[0].as_py(), t.column("packed").to_pylist()
         if cell < 0:
-            return pa.table({"g": pa.array([-1 - cell] * len(rows), pa.int64()), "packed": pa.array(rows, pa.binary())})
+            return _passed(cell, rows)
         parts = [unpack(r) for r in rows]
-        ids, keys, sizes, place = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in range(4))
-        hi, lo = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
+        ids = np.concatenate([(p[1].astype(np.uint64) + p[0][1:].view(np.uint64)).view(np.int64) for p in parts])
+        of = np.repeat([int(p[0][0]) for p in parts], [len(p[1]) for p in parts])
+        ranks, sizes, place = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (2, 3, 4))
+        hi, lo = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
         doc = np.repeat(np.arange(len(ids)), sizes)
         order = np.lexsort((lo, hi))
         h, o, who = hi[order], lo[order], ids[doc[order]]
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
         least = np.repeat(np.minimum.reduceat(who, first), np.diff(np.r_[first, len(h)]))
         gone = order[who > least]
-        d = doc[gone]
-        to = group_of(ids, keys, groups)[d]
-        by = np.lexsort((place[gone], d, to))
-        d, p = d[by], place[gone][by]
-        _, runs = runs_of(to[by], groups)
+        order = np.lexsort((place[gone], ranks[doc[gone]], of[doc[gone]]))
+        d, p = doc[gone][order], place[gone][order]
         g, packed = [], []
-        for x, i, j in runs:
-            start = np.flatnonzero(np.r_[True, d[i:j][1:] != d[i:j][:-1]])
-            who = d[i:j][start]
-            g.append(x)
-            packed.append(pack(np.array([DECIDED], "u1"), ids[who].astype("<i8"), keys[who], small(np.diff(np.r_[start, j - i])), small(p[i:j])))
+        cut = _starts(of[d])
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(d)]):
+            r = ranks[d[i:j]]
+            start = _starts(r)
+            g.append(int(of[d[i]]))
+            packed.append(pack(np.array([DECIDED], "u1"), small(r[start]), small(np.diff(np.r_[start, j - i])), small(p[i:j])))
         return pa.table({"g": pa.array(g, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     return run
@@ -252,13 +264,18 @@ def _decide(groups: int):
 
 def _removed(window: int):
     def run(key: tuple, docs: pa.Table, decided: pa.Table) -> pa.Table:
-        gone = _by_document(decided.column("packed").to_pylist(), DECIDED)
+        gone: dict[int, list[np.ndarray]] = {}
+        for row in decided.column("packed").to_pylist():
+            _, ranks, sizes, places = unpack(row)
+            ends = np.cumsum(sizes.astype(np.int64)).tolist()
+            for r, a, b in zip(ranks.tolist(), [0, *ends], ends):
+                gone.setdefault(r, []).append(places[a:b])
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-        for i, k, text in zip(docs.column("doc_id").to_pylist(), docs.column("key").to_pylist(), docs.column("text")):
+        for i, r, text in zip(docs.column("doc_id").to_pylist(), ranks_of(docs).tolist(), docs.column("text")):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
             cut = np.zeros(len(words) + 1, np.int64)
-            if (i, k) in gone:
-                at = np.unique(np.concatenate([x.astype(np.int64) for x in gone[i, k]]))
+            if r in gone:
+                at = np.unique(np.concatenate([x.astype(np.int64) for x in gone[r]]))
                 np.add.at(cut, at, 1)
                 np.add.at(cut, at + window, -1)
                 left = [w for w, c in zip(words, np.cumsum(cut).tolist()) if not c]
@@ -300,7 +317,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (window + 1) // 2 words at every multiple of that length are indexed; any window holds one of them whole, so
     probing the index with every rolling block finds all documents that share a window. Hits grow to the windows
     around them, and these are compared by 128-bit hashes. A passage that many documents hold is decided within
-    each slice of rows first; a slice hands on one row for each sequence, and no pairs are made.
+    each slice of a group of documents first; a slice hands on one row for each sequence, and no pairs are made.
+
+    What is shuffled doesn't grow with the number of buckets to speak of: probes are hashes without documents, and
+    a document of a group is a number in it.
 
     Rows with a null id neither remove nor lose words. Null and empty texts have no words. Rows that repeat an id
     don't remove each other's words; equal ones get equal results. Extra columns are ignored.
@@ -308,10 +328,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = max(1, -(-size // (6 * per_bucket))), max(1, -(-size // per_group))
-    named = texts.where("doc_id is not null")
-    hits = table(named.mapInArrow(_probe(window, buckets, groups), "cell long, packed binary").groupBy("cell").applyInArrow(_hit(groups), "g long, packed binary"), "anchor-hits")
     keyed = texts.mapInArrow(_keyed(groups), "g long, doc_id long, key long, text string")
-    windows = keyed.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(window, buckets, groups), "cell long, packed binary")
-    decided = windows.groupBy("cell").applyInArrow(_decide(groups), "g long, packed binary").union(hits)
+    probes = keyed.groupBy("g").applyInArrow(_probe(window, buckets), "cell long, packed binary")
+    hits = probes.groupBy("cell").applyInArrow(_hit(), "g long, packed binary")
+    windows = keyed.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(window, buckets), "cell long, packed binary")
+    decided = windows.groupBy("cell").applyInArrow(_decide(), "g long, packed binary")
     run = _removed(window)
     return keyed.groupBy("g").cogroup(decided.groupBy("g")).applyInArrow(_digested(run) if digests else run, f"doc_id long, n_words long, n_removed long, {'kept_sha256 string' if digests else 'kept binary'}")

@@ -5,10 +5,12 @@ import hashlib
 import itertools
 import math
 import os
+import random
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -204,6 +206,46 @@ def test_substrings(docs, empty, small):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"per_bucket": 300, "per_group": 20_000}])
+def test_substrings_with_ids_far_apart(spark, how):
+    """Ids from end to end of their range, in slices and groups of their own, rows that repeat an id and rows without one."""
+    r = random.Random(3)
+    passages = [[r.choice("abcdefghij") for _ in range(r.randint(5, 40))] for _ in range(30)]
+    ids = [-(1 << 63), (1 << 63) - 1, None, -1, 0, 7, 7, 8, *(r.randrange(-(1 << 62), 1 << 62) for _ in range(60))]
+    data = [(i, " ".join(w for _ in range(r.randint(1, 8)) for w in [*r.choice(passages), str(r.randrange(1000))])) for i in ids]
+    data += [data[9], data[5]]
+    least = {}
+    for i, t in data:
+        w = t.split()
+        for s in range(len(w) - 12 if i is not None else 0):
+            k = tuple(w[s : s + 13])
+            least[k] = min(least.get(k, i), i)
+    want = Counter()
+    for i, t in data:
+        w, gone = t.split(), set()
+        for s in range(len(w) - 12 if i is not None else 0):
+            if least[tuple(w[s : s + 13])] < i:
+                gone.update(range(s, s + 13))
+        want[i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    got = substrings.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(5), **how).collect()
+    assert Counter((x.doc_id, x.n_words, x.n_removed, bytes(x.kept).decode()) for x in got) == want
+    assert sum(x.n_removed for x in got) > 1000
+
+
+def test_substring_probes_do_not_grow_with_buckets():
+    """The same hashes in 500 buckets: no document is named in each bucket that has one of its hashes."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(100_000)}" for _ in range(300)) for _ in range(100)]
+    docs = pa.table({"doc_id": pa.array(range(100), pa.int64()), "key": [substrings.text_key(t.encode()) for t in texts], "text": texts})
+    sizes = []
+    for buckets in (1, 500):
+        out = substrings._probe(13, buckets)((pa.scalar(0),), docs)
+        sizes.append(sum(map(len, out.column("packed").to_pylist())))
+        h = np.concatenate([substrings.thick(x) for row in out.column("packed").to_pylist() for x in substrings.unpack(row)[1:]])
+        assert len(h) == 100 * 294  # all blocks of seven words
+    assert sizes[1] <= 1.3 * sizes[0] <= 1.3 * 4.1 * 100 * 294
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, block=2, frame=16, rows_per_bucket=8).collect()
     ids = Counter(r.doc_id for r in docs.collect())
