@@ -168,7 +168,7 @@ class ChunkEncoder:
     the three; if not, the context grows (2, 4 and 8 words), and at last the whole text is encoded. Chunks that do not
     agree become part of a join. `whole` counts the texts encoded as a whole.
 
-    The stores are bounded (keep_mb of chunks, as much of joins and of words); a full one starts afresh, which costs
+    The stores are bounded (keep_mb of chunks, as much of joins, twice of words); a full one starts afresh, which costs
     time and changes nothing else.
     """
 
@@ -183,7 +183,7 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.most, self.bits, self.whole = keep_mb << 20, bits, 0
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words = Words(self.ids_of, self.most) if drops_blanks(path) else None
+        self.words = Words(self.ids_of, 2 * self.most) if drops_blanks(path) else None
         self.bodies: dict[bytes, tuple[int, int, np.ndarray] | None] = {}
         self.parts: dict[bytes, np.ndarray] = {}
         self.size = [0, 0]
