@@ -12,29 +12,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlake.llm.common import components, forests, free_name, give_back, hashed_words, mix64, slices, table
+from pitlake.llm.common import components, free_name, give_back, hashed_words, mix64, slices, table
 from pitlake.llm.packed import batch as packed_batch
 from pitlake.llm.packed import merged, pack, runs_of, small
 
 COUNTERS = 22  # bits of a word's hash that say which counter it has
 SALTS = 32  # shares of a group of lines in a join on the group
 RARE, FREQUENT = 1, 42  # counter levels: up to RARE in no other line, from FREQUENT on in some 1200 or more
-WIDE = (100, 200, 450)  # words from which lines have sketches of twice the width
+WIDE = (100, 200, 450, 900, 1800, 3600, 7200, 14400, 28800)  # words from which lines have sketches of twice the width
 SHORT = (64, 80)  # words of lines: from the first on pairs of neighbours are blocks, up to the second all pairs
 
 
-_ASCII = bytes(c if c > 127 or chr(c).islower() else c + 32 if chr(c).isupper() else 48 if chr(c).isdigit() else 32 for c in range(256))
+_ASCII = bytes(c if c > 127 or chr(c).islower() or c == 10 else c + 32 if chr(c).isupper() else 48 if chr(c).isdigit() else 32 for c in range(256))
 
 
-def normalised(raw: bytes) -> bytes:
-    """The words of a line of UTF-8, one blank between: lower case, digits as 0, cut at anything but letters and digits."""
+def folded(raw: bytes) -> bytes:
+    """A text of UTF-8 in lower case, digits as 0, with blanks for all but letters, digits and line ends."""
     if not raw.isascii():
         text = raw.decode("utf-8", "surrogatepass").lower()
-        for c in set(text):
-            if c > "\x7f" and (c.isdecimal() or not c.isalnum()):
-                text = text.replace(c, "0" if c.isdecimal() else " ")
+        beyond = set(raw.translate(None, bytes(range(128))).decode("utf-8", "surrogatepass").lower())
+        other = {c: "0" if c.isdecimal() else " " for c in beyond if c > "\x7f" and (c.isdecimal() or not c.isalnum())}
+        if len(other) > 20:
+            text = text.translate(str.maketrans(other))
+        else:
+            for c, as_ in other.items():
+                text = text.replace(c, as_)
         raw = text.encode("utf-8", "surrogatepass")
-    return b" ".join(raw.translate(_ASCII).split())
+    return raw.translate(_ASCII)
+
+
+def normalised(raw: bytes) -> bytes:
+    """The words of a line of UTF-8, one blank between: lower case, digits as 0, cut at anything but letters and digits."""
+    return b" ".join(folded(raw).split())
 
 
 def line_words(line: str) -> list[str]:
@@ -106,16 +115,19 @@ def _occurrences(min_words: int):
                     seen.clear()
                 of, no, digests, new, norms = [], [], [], [], []
                 for i, text in enumerate(raws, start):
-                    for k, raw in enumerate(text.split(b"\n")):
+                    for k, (raw, line) in enumerate(zip(text.split(b"\n"), folded(text).split(b"\n"))):
                         key = xxhash.xxh3_128_intdigest(raw)
                         if key in seen:
                             d, fresh = seen[key], False
                         else:
-                            norm = normalised(raw)
-                            fresh = bool(norm) and norm.count(b" ") + 1 >= min_words
-                            d = seen[key] = xxhash.xxh3_128_digest(norm) if fresh else b""
+                            words = line.split()
+                            fresh = bool(words) and len(words) >= min_words
+                            d = b""
                             if fresh:
+                                norm = b" ".join(words)
                                 norms.append(norm)
+                                d = xxhash.xxh3_128_digest(norm)
+                            seen[key] = d
                         if d:
                             of.append(i), no.append(k), digests.append(d), new.append(fresh)
                 flat, at = hashed_words(norms)
@@ -178,14 +190,18 @@ def sketches(words: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[np.ndarr
     row, out = np.zeros(len(n), np.int64), []
     for i in range(len(WIDE) + 1):
         mine = kind == i
+        if not mine.any():
+            out.append(np.zeros((0, 2 << i), np.uint64))
+            continue
         row[mine] = np.arange(mine.sum())
         of = np.flatnonzero(mine[own])
         lane = row[own[of]] << i + 1 | (h[of] >> np.uint64(6) & np.uint64((2 << i) - 1)).astype(np.int64)
-        order = np.argsort(lane, kind="stable")
+        order = np.argsort(lane)
         s = np.zeros(int(mine.sum()) << i + 1, np.uint64)
         if len(of):
-            lane, first = np.unique(lane[order], return_index=True)
-            s[lane] = np.bitwise_xor.reduceat(np.uint64(1) << (h[of][order] & np.uint64(63)), first)
+            lane = lane[order]
+            first = np.flatnonzero(np.r_[True, lane[1:] != lane[:-1]])
+            s[lane[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (h[of][order] & np.uint64(63)), first)
         out.append(s.reshape(-1, 2 << i))
     return out
 
@@ -216,7 +232,8 @@ def keys_of(flat: np.ndarray, at: np.ndarray, levels: np.ndarray, least: float,
     wide = (n >= short[0]) & (rare <= edits)
     two = np.flatnonzero((line[1:] == line[:-1]) & wide[line[1:].astype(np.int64)] & (np.minimum(grades[1:], grades[:-1]) >= frequent))
     h = mix64(mix64(flat[two].astype(np.uint64)) + flat[two + 1]) >> np.uint64(32)
-    x = np.unique(line[two] << np.uint64(41) | grades[two] + grades[two + 1] << np.uint64(32) | h)
+    x = np.sort(line[two] << np.uint64(41) | grades[two] + grades[two + 1] << np.uint64(32) | h)
+    x = x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
     own_two = (x >> np.uint64(41)).astype(np.int64)
     place = np.arange(len(x)) - np.searchsorted(own_two, np.arange(len(n)))[own_two]
     lost = np.floor(2 * (1 - least) * n + 1e-8).astype(np.int64) - 2 * rare
@@ -226,11 +243,13 @@ def keys_of(flat: np.ndarray, at: np.ndarray, levels: np.ndarray, least: float,
     return sketch, np.concatenate(of), np.concatenate(key)
 
 
-def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether lines a and b (places in `order`) may be similar; loses no similar ones. All but the edits of the longer
+def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order: np.ndarray | None = None) -> tuple[Callable, Callable]:
+    """(near, across). near(a, b): whether lines a and b (places in `order`) may be similar; loses no similar ones. across:
+    a coarser choice from the pairs of two runs of lines. All but the edits of the longer
     line's words are in both, counted as often as they are in both, so the words that only one has are no more than the
     rest of both; each changes one bit of the sketches.
-    Halves of a sketch, laid over each other, are the sketch of half its width."""
+    Halves of a sketch, laid over each other, are the sketch of half its width, so those of lines of one length and more
+    are compared at the width of the shortest."""
     kind = np.searchsorted(WIDE, n, "right")
     row, wide = [np.cumsum(kind >= i) - 1 for i in range(len(parts))], list(parts)
     for i in range(len(WIDE) - 1, -1, -1):
@@ -248,6 +267,8 @@ def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order:
         ok = most >= np.abs(n[a] - n[b])
         on = np.flatnonzero(ok)
         for i in range(len(lanes)):
+            if not len(on):
+                break
             x, y = row[i][a[on]], row[i][b[on]]
             bits = np.zeros(len(on), np.int64)
             for lane in lanes[i]:
@@ -257,7 +278,19 @@ def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order:
             on = on[np.minimum(kind[a[on]], kind[b[on]]) > i]
         return ok
 
-    return near
+    own, other = n.astype(np.int32), (n - 2 * need).astype(np.int32)
+
+    def across(at: int, to: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a line from at to `to` and a later one from start to stop, in order of words."""
+        i = int(kind[at])
+        x, y, bits = row[i][at:to], row[i][start:stop], np.zeros((to - at, stop - start), np.uint8 if i == 0 else np.int32)
+        for lane in lanes[i]:
+            bits += np.bitwise_count(lane[x][:, None] ^ lane[y])
+        a, b = np.divmod(np.flatnonzero(bits <= own[at:to, None] + other[start:stop]), stop - start)
+        later = a + at < b + start
+        return a[later] + at, b[later] + start
+
+    return near, across
 
 
 def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,40 +310,52 @@ def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
             root = up
 
 
-def cell_links(k: np.ndarray, n: np.ndarray, near: Callable, least: float, dense_above: int, side: int = 4000, at_once: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cell_links(k: np.ndarray, n: np.ndarray, near: Callable, across: Callable, least: float, dense_above: int, side: int = 64, at_once: int = 200_000, tile: tuple[int, int] = (128, 2048)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, root) of lines in order of (key, words): pairs of lines of one key that may be similar, all of them in cells
-    of up to dense_above lines and a spanning forest of them in others; the roots of the latter's trees. Cells of up to
-    `side` lines are compared in order of length as far as lengths allow, larger ones are walked breadth first."""
+    of up to dense_above lines and a spanning forest of them in others; the roots of the latter's trees. Lines are
+    compared as far as lengths allow: in cells of up to `side` lines those of all cells with the next, the next but one
+    and so on, in larger ones tile by tile."""
     need = n - edits_of(n, least)
     cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[cut, len(k)])
     size, end = np.repeat(sizes, sizes), np.repeat(cut + sizes, sizes)
+    none = [np.empty(0, np.int64)]
     root, left, right, wait_a, wait_b, waiting = np.arange(len(k)), [], [], [], [], 0
-    at, shift = np.flatnonzero((size > 1) & (size <= side)), 1
-    while len(at):
-        at = at[at + shift < end[at]]
-        at = at[need[at + shift] <= n[at]]
-        a = at[root[at] != root[at + shift]]
-        a = a[near(a, a + shift)]
+
+    def add(a: np.ndarray, b: np.ndarray, now: bool = False) -> None:
+        """Pairs that may be similar: those of dense cells wait until many, or all, are joined at once."""
+        nonlocal root, wait_a, wait_b, waiting
         dense = size[a] > dense_above
         left.append(a[~dense])
-        right.append(a[~dense] + shift)
+        right.append(b[~dense])
         wait_a.append(a[dense])
-        wait_b.append(a[dense] + shift)
+        wait_b.append(b[dense])
         waiting += len(wait_a[-1])
-        if waiting > at_once or not shift & shift - 1 or not len(at):
+        if waiting > at_once or now:
             root, a, b = joined(root, np.concatenate(wait_a), np.concatenate(wait_b))
             left.append(a)
             right.append(b)
             wait_a, wait_b, waiting = [], [], 0
+
+    at, shift = np.flatnonzero((size > 1) & (size <= side)), 1
+    while len(at):
+        at = at[at + shift < end[at]]
+        at = at[need[at + shift] <= n[at]]
+        a = at[root[at] != root[at + shift]]
+        a = a[near(a, a + shift)]
+        add(a, a + shift, not shift & shift - 1)
         shift += 1
-    large = np.flatnonzero(size > side)
-    if len(large):
-        a, b = forests(np.arange(len(k)), large, np.cumsum(np.diff(k[large], prepend=k[large[:1]]) != 0), near)
-        left.append(a)
-        right.append(b)
-        root, *_ = joined(root, a, b)
-    none = [np.empty(0, np.int64)]
+    for start, stop in zip(cut[sizes > side].tolist(), (cut + sizes)[sizes > side].tolist()):
+        for i in range(start, stop - 1, tile[0]):
+            to = min(i + tile[0], stop)
+            last = start + int(np.searchsorted(need[start:stop], n[to - 1], "right"))
+            for j in range(i + 1, last, tile[1]):
+                a, b = across(i, to, j, min(j + tile[1], last))
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+                ok = near(a, b)
+                add(a[ok], b[ok])
+    add(*none, *none, True)
     return np.concatenate(left + none), np.concatenate(right + none), root
 
 
@@ -325,6 +370,8 @@ def pieces(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int,
 
 
 def _deal(levels, least: float, frequent: int, short: tuple[int, int], buckets: int):
+    none = np.zeros(0, "<u8")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -335,12 +382,20 @@ def _deal(levels, least: float, frequent: int, short: tuple[int, int], buckets:
                 row = [np.cumsum(kind == i) - 1 for i in range(len(sketch))]
                 by_line = np.argsort(of, kind="stable")
                 of, key, half = of[by_line], key[by_line], half[by_line]
-                order, runs = runs_of((key % np.uint64(buckets)).astype(np.int64), buckets)
-                cells, packed = [], []
-                for cell, i, j in runs:
-                    o, many = np.unique(of[order[i:j]], return_counts=True)
+                order, runs = runs_of(small(key % np.uint64(buckets)), buckets)
+                of, half, runs = of[order], half[order], list(runs)
+                new = np.r_[True, of[1:] != of[:-1]][: len(of)]
+                new[[i for _, i, _ in runs]] = True
+                first = np.flatnonzero(new)
+                many, of = np.diff(np.r_[first, len(of)]), of[first]
+                ends = np.searchsorted(first, [j for _, _, j in runs]).tolist()
+                cells, packed, widths, was = [], [], [s if len(s) else None for s in sketch], 0
+                for (cell, i, j), end in zip(runs, ends):
+                    o = of[was:end]
+                    k = kind[o]
                     cells.append(cell)
-                    packed.append(pack(half[order[i:j]], small(many), own[o], *(s[row[i][o[kind[o] == i]]].ravel() for i, s in enumerate(sketch)), small(n[o])))
+                    packed.append(pack(half[i:j], small(many[was:end]), own[o], *(none if s is None else s[row[w][o[k == w]]].ravel() for w, s in enumerate(widths)), small(n[o])))
+                    was = end
                 yield packed_batch(cells, packed)
         give_back()
 
@@ -359,14 +414,21 @@ def _meet(least: float, dense_above: int):
 
     def meet(t: pa.Table) -> pa.Table:
         k, many, ids, *parts, n = merged(t.column("packed").to_pylist())
-        line, n = np.repeat(np.arange(len(ids)), many), n.astype(np.int64)
-        order = np.lexsort((ids[line], n[line], k))
-        k, line = k[order], line[order]
-        once = np.r_[True, (k[1:] != k[:-1]) | (ids[line][1:] != ids[line][:-1])]
-        k, line = k[once], line[once]
-        near = similar_filter(n, [s.reshape(-1, 2 << i) for i, s in enumerate(parts)], least, line)
+        order = np.argsort(ids)
+        order = order[np.argsort(n[order], kind="stable")]
+        own, n = ids[order], n.astype(np.int64)
+        new = np.r_[True, own[1:] != own[:-1]]
+        place = np.empty(len(ids), np.uint64)
+        place[order] = np.cumsum(new) - 1  # among the distinct lines, in order of words
+        x = np.sort(k.astype(np.uint64) << np.uint64(32) | np.repeat(place, many))
+        x = x[np.r_[True, x[1:] != x[:-1]]]
+        k = x >> np.uint64(32)
+        same = k[1:] == k[:-1]
+        met = np.r_[False, same] | np.r_[same, False]
+        k, line = k[met], order[new][(x[met] & np.uint64((1 << 32) - 1)).astype(np.int64)]
+        near, across = similar_filter(n, [s.reshape(-1, 2 << i) for i, s in enumerate(parts)], least, line)
         ids, n = ids[line], n[line]
-        a, b, root = cell_links(k, n, near, least, dense_above)
+        a, b, root = cell_links(k, n, near, across, least, dense_above)
         pair = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1), axis=0)
         d = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 2)
         tree = np.unique(np.stack([ids[root[d]], ids[d]], 1), axis=0)
@@ -401,7 +463,7 @@ def _walk(least: float):
         own = np.repeat(np.arange(len(n)), n)
         x = np.sort(own.astype(np.uint64) << np.uint64(32) | flat)
         x &= np.uint64((1 << 32) - 1)
-        near = similar_filter(n, sketches(x, own, n), least)
+        near, _ = similar_filter(n, sketches(x, own, n), least)
         _, ids = np.unique(x | occurrence(x, own).astype(np.uint64) << np.uint64(32), return_inverse=True)
         mine = np.zeros(int(ids.max(initial=-1)) + 1, bool)
         _, part, many = np.unique(root, return_inverse=True, return_counts=True)

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -190,3 +191,36 @@ def test_trees_are_counted_before_they_are_compared(monkeypatch):
     assert list(zip(out["a"].to_pylist(), out["b"].to_pylist())) == [(6, 1)]
     assert not any(plain(made[i], made[j], 0.8) for i in range(20, 24) for j in range(25) if i != j)
     assert calls and all(max(len(p), len(q)) - (Counter(p) & Counter(q)).total() <= 19 for p, q in calls)
+
+
+def test_long_lines_with_a_word_in_common_are_no_candidates():
+    """Sketches grow with the lines: one word again and again, and a common one, are no candidates; a near copy is."""
+    made = [[7] + [100 + i] * (1300 + 37 * i) for i in range(60)]
+    made.append(made[50][:-200] + list(range(1000, 1200)))
+    b = pa.RecordBatch.from_arrays([pa.array(range(61), pa.int64()), pa.array([np.array(x, np.uint32).tobytes() for x in made], pa.binary())], names=["hi", "w"])
+    levels = SimpleNamespace(value=np.full(1 << lines.COUNTERS, lines.FREQUENT, np.uint8))
+    (dealt,) = lines._deal(levels, 0.8, lines.FREQUENT, lines.SHORT, 1)(iter([b]))
+    out = lines._meet(0.8, 2)((pa.scalar(0),), pa.table({"packed": dealt.column("packed")}))
+    assert [(r["a"], r["b"]) for r in out.to_pylist()] == [(50, 60)]
+
+
+@pytest.mark.parametrize("side, tile", [(64, (128, 2048)), (3, (7, 5)), (500, (9, 9))])
+def test_cells_are_compared_in_full(side, tile):
+    """Pairs of small cells are all that may be similar, those of dense ones join the same lines as all pairs do."""
+    r = np.random.default_rng(3)
+    base = [r.integers(1 << 32, size=n, dtype=np.uint64) for n in (6, 9, 30, 110, 130, 240, 2000)]
+    made = [np.sort(np.where(r.random(len(x)) < 0.12, r.integers(1 << 32, size=len(x), dtype=np.uint64), x)[: len(x) - r.integers(3)]) for x in base for _ in range(40)]
+    k = r.choice([1, 1, 1, 2, 3, 4, 5], len(made))
+    order = np.lexsort(([len(x) for x in made], k))
+    k, made = k[order], [made[i] for i in order]
+    n = np.array([len(x) for x in made])
+    sketch = lines.sketches(np.concatenate(made), np.repeat(np.arange(len(n)), n), n)
+    near, across = lines.similar_filter(n, sketch, 0.8, np.arange(len(n)))
+    a, b = np.triu_indices(len(n), 1)
+    a, b = a[k[a] == k[b]], b[k[a] == k[b]]
+    ok = near(a, b)
+    want = set(zip(a[ok].tolist(), b[ok].tolist()))
+    got = lines.cell_links(k, n, near, across, 0.8, 10**6, side=side, tile=tile)
+    assert len(want) > 500 and set(zip(*(x.tolist() for x in got[:2]))) == want
+    a, b, root = lines.cell_links(k, n, near, across, 0.8, 2, side=side, tile=tile, at_once=50)
+    assert groups(range(len(n)), zip(a.tolist(), b.tolist())) == groups(range(len(n)), want) == dict(enumerate(root.tolist()))
