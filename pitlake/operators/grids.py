@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,16 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), f)[0]
 
 
+def remembered(most: int = 1 << 12, longest: int = 500) -> Callable[[Callable], Callable]:
+    """A function of a text, or of a tuple first, that keeps its last results for short ones."""
+
+    def of(f: Callable) -> Callable:
+        kept = lru_cache(most)(f)
+        return wraps(f)(lambda x, *more: kept(x, *more) if len(x) <= longest else f(x, *more))
+
+    return of
+
+
 def plain_text(x: Column) -> Column:
     """HTML without tags, named and numeric entities decoded; &amp; last, so that nothing is decoded twice."""
 
@@ -95,12 +106,38 @@ def _plain(x: str) -> str:
     return x
 
 
-def _cells(row: str) -> Iterator[tuple[str, int, int]]:
+@remembered()
+def _cells(row: str) -> tuple[tuple[str, int, int], ...]:
     """(text, columns, rows) of the cells of a row."""
+    out = []
     for cell in _CELL.split(row)[1:]:
         tag, _, body = cell.partition(">")
         span = [min(max(int(found[1]), 1), 1000) if "span" in tag.lower() and (found := pattern.search(tag)) else 1 for pattern in _SPAN]
-        yield _EDGES.sub("", _plain(body if len(tag) < len(cell) else cell)), *span
+        out.append((_EDGES.sub("", _plain(body if len(tag) < len(cell) else cell)), *span))
+    return tuple(out)
+
+
+def _simple(row: str) -> list[str] | None:
+    """The texts of a row that holds nothing but plain cells; None for any other."""
+    cells = row.replace("</td>", "").replace("</tr>", "")
+    first, *texts = cells.split("<td>")
+    if first or cells.count("<") != len(texts) or "&" in row or not row.isprintable():
+        return None
+    return [x.strip(" ") for x in texts]
+
+
+@remembered()
+def _before(x: str) -> str:
+    return _plain(_BREAK.sub("\n", x))
+
+
+def tables_of(html: str | None) -> Iterator[tuple[int, str, Iterator[list[str]]]]:
+    """(table_no, before, grid) of the tables of a page, see html_rows."""
+    before, *rest = _TABLE.split(html or "")
+    for n, x in enumerate(rest, 1):
+        table, *after = _END.split(x, maxsplit=1)
+        yield n, _before(before), _grid(_ROW.split(table)[1:])
+        before = "".join(after)
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +146,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(whole), 500):
             b, from_page, out = whole.slice(at, 500), [], ([], [], [], [])
             for page, html in enumerate(b.column(1).to_pylist()):
-                parts = [_END.split(x, 1) for x in _TABLE.split(html or "")]
-                for n, part in enumerate(parts[1:], 1):
-                    before = _plain(_BREAK.sub("\n", _TABLE.split(html, 1)[0] if n == 1 else "".join(parts[n - 1][1:])))
-                    for row_no, texts in enumerate(_grid(_ROW.split(part[0])[1:])):
+                for n, before, grid in tables_of(html):
+                    for row_no, texts in enumerate(grid):
                         from_page.append(page)
                         for column, x in zip(out, (n, before, row_no, texts)):
                             column.append(x)
@@ -124,6 +159,9 @@ def _grid(rows: list[str]) -> Iterator[list[str]]:
     """Rows of cells with spans to rows of a grid."""
     open_: dict[int, tuple[int, str]] = {}  # column: rows that a cell from above still covers, its text
     for row in rows:
+        if not open_ and (texts := _simple(row)) is not None:
+            yield texts
+            continue
         line, column = {c: text for c, (_, text) in open_.items()}, 0
         open_ = {c: (down - 1, text) for c, (down, text) in open_.items() if down > 1}
         for text, across, down in _cells(row):

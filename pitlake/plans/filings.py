@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.operators import analytics, grids, statements
+from pitlake.operators import grids, notes, statements
 from pitlake.plans.queries import query
 from pitlake.sources.tables import read
 
@@ -49,17 +49,14 @@ SELECT o_orderkey, table_no, CAST(row_no AS INTEGER) AS row_no, column_no, CASE
   CASE column_no WHEN 2 THEN true WHEN 3 THEN st <> 'O' ELSE st = 'P' END AS at_date FROM v""")
 def note_table_cells(spark, sf_dir):
     """Every cell of the notes' HTML tables with its header path, row context, state, unit and currency."""
-    grid = analytics._cut(grids.html_rows(_notes(spark, sf_dir), "o_orderkey", "html"))  # read twice
-    return grids.note_cells(grids.note_rows(grid, grids.note_tables(grid, "o_orderkey", "存货"), "o_orderkey"), "o_orderkey")
+    return notes.html_cells(_notes(spark, sf_dir), "o_orderkey", "html", "存货")
 
 
 @query(f"""WITH {_NOTES}, p AS (SELECT o_orderkey, table_no, CASE WHEN n = 7 THEN 'column_count_mismatch' WHEN tax = 0 THEN 'row_label_missing' WHEN row_number() OVER (PARTITION BY o_orderkey, table_no, n = 7, CASE WHEN tax = 0 THEN NULL ELSE label END ORDER BY n) > 1 THEN 'repeated_row_label' END AS issue FROM r)
 SELECT o_orderkey, table_no, coalesce(string_agg(DISTINCT issue, ',' ORDER BY issue), '') AS issues FROM p GROUP BY ALL""")
 def note_table_issues(spark, sf_dir):
     """What is wrong with each of the notes' tables."""
-    grid = analytics._cut(grids.html_rows(_notes(spark, sf_dir), "o_orderkey", "html"))  # read twice
-    tables = grids.note_tables(grid, "o_orderkey", "存货")
-    found = grids.note_issues(grids.note_rows(grid, tables, "o_orderkey"), tables, "o_orderkey")
+    found = notes.html_issues(_notes(spark, sf_dir), "o_orderkey", "html", "存货")
     return found.select("o_orderkey", "table_no", F.array_join("issues", ",").alias("issues"))
 
 
