@@ -250,16 +250,23 @@ def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order:
     rest of both; each changes one bit of the sketches.
     Halves of a sketch, laid over each other, are the sketch of half its width, so those of lines of one length and more
     are compared at the width of the shortest."""
-    kind = np.searchsorted(WIDE, n, "right")
-    row, wide = [np.cumsum(kind >= i) - 1 for i in range(len(parts))], list(parts)
+    kind = np.searchsorted(WIDE, n, "right").astype(np.int8)
+    have, wide = [np.flatnonzero(kind >= i) if i else None for i in range(len(parts))], list(parts)
     for i in range(len(WIDE) - 1, -1, -1):
         wide[i] = np.zeros((int((kind >= i).sum()), 2 << i), np.uint64)
         mine = kind[kind >= i] == i
         wide[i][mine] = parts[i]
         wide[i][~mine] = wide[i + 1][:, : 2 << i] ^ wide[i + 1][:, 2 << i :]
     if order is not None:
-        n, kind, row, wide[0] = n[order], kind[order], [np.arange(len(order)), *(r[order] for r in row[1:])], wide[0][order]
-    lanes = [np.ascontiguousarray(w.T) for w in wide]
+        n, kind, wide[0] = n[order], kind[order], wide[0][order]
+    lanes = []
+    while wide:
+        lanes.append(np.ascontiguousarray(wide.pop(0).T))
+
+    def rows(i: int, at: np.ndarray) -> np.ndarray:
+        """Where lanes[i] have lines, those of lanes[0] in `order`."""
+        return np.searchsorted(have[i], at if order is None else order[at]) if i else at
+
     need = n - edits_of(n, least)
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -269,7 +276,7 @@ def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order:
         for i in range(len(lanes)):
             if not len(on):
                 break
-            x, y = row[i][a[on]], row[i][b[on]]
+            x, y = rows(i, a[on]), rows(i, b[on])
             bits = np.zeros(len(on), np.int64)
             for lane in lanes[i]:
                 bits += np.bitwise_count(lane[x] ^ lane[y])
@@ -283,7 +290,7 @@ def similar_filter(n: np.ndarray, parts: list[np.ndarray], least: float, order:
     def across(at: int, to: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a line from at to `to` and a later one from start to stop, in order of words."""
         i = int(kind[at])
-        x, y, bits = row[i][at:to], row[i][start:stop], np.zeros((to - at, stop - start), np.uint8 if i == 0 else np.int32)
+        x, y, bits = rows(i, np.arange(at, to)), rows(i, np.arange(start, stop)), np.zeros((to - at, stop - start), np.uint8 if i == 0 else np.int32)
         for lane in lanes[i]:
             bits += np.bitwise_count(lane[x][:, None] ^ lane[y])
         a, b = np.divmod(np.flatnonzero(bits <= own[at:to, None] + other[start:stop]), stop - start)
@@ -426,7 +433,9 @@ def _meet(least: float, dense_above: int):
         same = k[1:] == k[:-1]
         met = np.r_[False, same] | np.r_[same, False]
         k, line = k[met], order[new][(x[met] & np.uint64((1 << 32) - 1)).astype(np.int64)]
+        del order, own, new, place, x, same, met, many
         near, across = similar_filter(n, [s.reshape(-1, 2 << i) for i, s in enumerate(parts)], least, line)
+        del parts
         ids, n = ids[line], n[line]
         a, b, root = cell_links(k, n, near, across, least, dense_above)
         pair = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1), axis=0)
